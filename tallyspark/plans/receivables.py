@@ -145,3 +145,533 @@ def customer_ledger(t: Tables) -> DataFrame:
                                 "running_balance", chunk="gl_date")
     return out.select("customer_name", "account_number", "gl_date", "trx_number", "source", "type",
                       "debit_amt", "credit_amt", F.col("running_balance").cast(TOTAL).alias("running_balance"))
+
+
+# ---------------------------------------------------------------------------
+# The signed-movement fact (R-AR8) and its reports
+# ---------------------------------------------------------------------------
+
+def movement_fact(t: Tables, as_of=AS_OF) -> DataFrame:
+    """One long fact of signed movements per transaction up to the date.
+
+    Components: invoice (original x rate), cash and credit-memo
+    applications, adjustments, earned discount and exchange difference --
+    six typed UNION ALL branches (O4).  Amounts are signed so that the
+    balance is their plain sum (§8 #1: amounts are already signed).
+    """
+    inv = S.invoices(t).filter((F.col("trx_date") <= F.lit(as_of)) & (F.col("amount") != 0))
+    inv_b = inv.select("trx_id", "customer_id", F.col("trx_date").alias("mv_date"),
+                       round_money(F.col("amount") * F.coalesce(F.col("exchange_rate"), F.lit(1))).alias("amount"))
+    app = S.applications(t).filter(F.col("apply_date") <= F.lit(as_of))
+    app = app.join(inv.select(F.col("trx_id").alias("applied_trx_id"), "customer_id"), "applied_trx_id")
+    base = lambda cond, amt: app.filter(cond).select(
+        F.col("applied_trx_id").alias("trx_id"), "customer_id", F.col("apply_date").alias("mv_date"),
+        (-amt).cast(MONEY).alias("amount"))
+    cash = F.col("app_type") == "CASH"
+    return union_branches([
+        ("INVOICE", 1, inv_b),
+        ("CASH", 2, base(cash, F.col("amount"))),
+        ("CREDIT_MEMO", 3, base(F.col("app_type") == "CM", F.col("amount"))),
+        ("ADJUSTMENT", 4, base(F.col("app_type") == "ADJ", F.col("amount"))),
+        ("DISCOUNT", 5, base(cash, F.col("discount_taken"))),
+        ("EXCHANGE", 6, base(cash, F.col("acctd_amount") - F.col("amount"))),
+    ])
+
+
+def _mv_branch_sql(cond: str, amt: str, kind: str, rank: int) -> str:
+    return (f"SELECT a.applied_trx_id AS trx_id, i.customer_id, a.apply_date AS mv_date, "
+            f"CAST(-({amt}) AS DECIMAL(18,2)) AS amount, '{kind}' AS movement_type, {rank} AS branch_rank "
+            f"FROM applications a JOIN invoices i ON a.applied_trx_id = i.trx_id "
+            f"WHERE a.apply_date <= {D(AS_OF)} AND i.trx_date <= {D(AS_OF)} AND i.amount <> 0 AND {cond}")
+
+
+MOVEMENTS_SQL = f"""(
+SELECT trx_id, customer_id, trx_date AS mv_date,
+       CAST(ROUND(amount * COALESCE(exchange_rate, 1), 2) AS DECIMAL(18,2)) AS amount,
+       'INVOICE' AS movement_type, 1 AS branch_rank
+FROM invoices WHERE trx_date <= {D(AS_OF)} AND amount <> 0
+UNION ALL {_mv_branch_sql("a.app_type = 'CASH'", "a.amount", "CASH", 2)}
+UNION ALL {_mv_branch_sql("a.app_type = 'CM'", "a.amount", "CREDIT_MEMO", 3)}
+UNION ALL {_mv_branch_sql("a.app_type = 'ADJ'", "a.amount", "ADJUSTMENT", 4)}
+UNION ALL {_mv_branch_sql("a.app_type = 'CASH'", "a.discount_taken", "DISCOUNT", 5)}
+UNION ALL {_mv_branch_sql("a.app_type = 'CASH'", "a.acctd_amount - a.amount", "EXCHANGE", 6)})"""
+
+_COMPONENTS = [("INVOICE", "invoice_amt"), ("CASH", "cash_amt"), ("CREDIT_MEMO", "credit_memo_amt"),
+               ("ADJUSTMENT", "adjustment_amt"), ("DISCOUNT", "discount_amt"), ("EXCHANGE", "exchange_amt")]
+
+
+def _component_sql(prefix: str = "") -> str:
+    return ", ".join(f"CAST(SUM(CASE WHEN {prefix}movement_type = '{k}' THEN {prefix}amount ELSE 0 END) "
+                     f"AS DECIMAL(38,2)) AS {c}" for k, c in _COMPONENTS)
+
+
+_AR8_SQL = S.with_sql(f"""
+SELECT m.customer_id, {_component_sql('m.')},
+       CAST(SUM(m.amount) AS DECIMAL(38,2)) AS balance
+FROM {MOVEMENTS_SQL} m GROUP BY m.customer_id""", "invoices", "applications")
+
+
+@register("r_ar8_component_balance", _AR8_SQL)
+def component_balance(t: Tables) -> DataFrame:
+    """R-AR8: six-component balance per customer at the date (one movement
+    fact, one conditional-sum pass)."""
+    mv = movement_fact(t)
+    comps = [F.sum(F.when(F.col("movement_type") == k, F.col("amount")).otherwise(0)).cast(TOTAL).alias(c)
+             for k, c in _COMPONENTS]
+    return mv.groupBy("customer_id").agg(*comps, F.sum("amount").cast(TOTAL).alias("balance"))
+
+
+_AR9_SQL = S.with_sql(f"""
+SELECT s.trx_id, s.balance, {aging.AR_SIX_NOT_DUE.sql_sums(f"({D(AS_OF)} - i.due_date)", "s.balance")}
+FROM (SELECT trx_id, SUM(amount) AS balance FROM {MOVEMENTS_SQL} m GROUP BY trx_id) s
+JOIN invoices i ON s.trx_id = i.trx_id
+GROUP BY s.trx_id, s.balance""", "invoices", "applications")
+
+
+@register("r_ar9_transaction_buckets", _AR9_SQL)
+def transaction_buckets(t: Tables) -> DataFrame:
+    """R-AR9: aging buckets per transaction from the movement fact, with a
+    not-due column so that the buckets add up to the balance (§8 #5)."""
+    per_trx = movement_fact(t).groupBy("trx_id").agg(F.sum("amount").alias("balance"))
+    inv = S.invoices(t).select("trx_id", "due_date")
+    x = per_trx.join(inv, "trx_id").withColumn("days_due", F.datediff(F.lit(AS_OF), F.col("due_date")))
+    return x.groupBy("trx_id", "balance").agg(*aging.AR_SIX_NOT_DUE.sums("days_due", "balance"))
+
+
+# ---------------------------------------------------------------------------
+# R-AR11: opening balance of customers active in the period
+# ---------------------------------------------------------------------------
+
+def _func(amount: str = "amount") -> F.Column:
+    return F.round(F.col(amount) * F.coalesce(F.col("exchange_rate"), F.lit(1)), 2)
+
+
+_AR11_SQL = S.with_sql(f"""
+SELECT a.customer_id, c.party_name,
+       CAST(COALESCE(SUM(o.amount), 0) AS DECIMAL(38,2)) AS opening_balance
+FROM (SELECT customer_id FROM invoices WHERE trx_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)} AND complete_flag = 'Y'
+      UNION
+      SELECT customer_id FROM receipts WHERE receipt_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}) a
+JOIN customers c ON a.customer_id = c.customer_id
+LEFT JOIN (SELECT customer_id, ROUND(amount * COALESCE(exchange_rate, 1), 2) AS amount FROM invoices
+           WHERE trx_date < {D(PERIOD_FROM)} AND complete_flag = 'Y'
+           UNION ALL
+           SELECT customer_id, -ROUND(amount * COALESCE(exchange_rate, 1), 2) FROM receipts r
+           WHERE receipt_date < {D(PERIOD_FROM)}
+             AND NOT EXISTS (SELECT 1 FROM receipt_history h WHERE h.receipt_id = r.receipt_id AND h.status = 'REVERSED')) o
+  ON a.customer_id = o.customer_id
+GROUP BY a.customer_id, c.party_name""", "invoices", "receipts", "receipt_history", "customers")
+
+
+def _opening_per_customer(t: Tables) -> DataFrame:
+    inv = S.invoices(t).filter(F.col("complete_flag") == "Y")
+    rc = S.receipts(t).join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"),
+                            "receipt_id", "left_anti")
+    before = (inv.filter(F.col("trx_date") < F.lit(PERIOD_FROM)).select("customer_id", _func().alias("amount"))
+              .unionByName(rc.filter(F.col("receipt_date") < F.lit(PERIOD_FROM))
+                           .select("customer_id", (-_func()).alias("amount"))))
+    return before.groupBy("customer_id").agg(F.sum("amount").alias("opening_balance"))
+
+
+@register("r_ar11_opening_balance", _AR11_SQL)
+def opening_balance(t: Tables) -> DataFrame:
+    """R-AR11: opening balance (functional currency) of the customers active
+    in the period.  Pre-aggregated per customer before the join (A8), the
+    active set is a distinct union of the period's invoices and receipts."""
+    inv = S.invoices(t).filter(F.col("complete_flag") == "Y")
+    in_period = lambda c: (F.col(c) >= F.lit(PERIOD_FROM)) & (F.col(c) <= F.lit(PERIOD_TO))
+    active = (inv.filter(in_period("trx_date")).select("customer_id")
+              .union(S.receipts(t).filter(in_period("receipt_date")).select("customer_id")).distinct())
+    cust = S.customers(t).select("customer_id", "party_name")
+    out = active.join(cust, "customer_id").join(_opening_per_customer(t), "customer_id", "left")
+    return out.select("customer_id", "party_name",
+                      F.coalesce(F.col("opening_balance"), F.lit(0)).cast(TOTAL).alias("opening_balance"))
+
+
+# ---------------------------------------------------------------------------
+# R-AR12: production ledger -- opening row + detail rows + running balance
+# ---------------------------------------------------------------------------
+
+def _ar12_sql() -> str:
+    detail = f"""
+ SELECT customer_id, trx_date AS gl_date, trx_number AS doc_number,
+        CASE WHEN class = 'CM' THEN 'CREDIT_MEMO' ELSE 'INVOICE' END AS doc_type,
+        ROUND(amount * COALESCE(exchange_rate, 1), 2) AS amount
+ FROM invoices WHERE complete_flag = 'Y' AND trx_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}
+ UNION ALL
+ SELECT customer_id, receipt_date, receipt_number, 'RECEIPT', -ROUND(amount * COALESCE(exchange_rate, 1), 2)
+ FROM receipts r WHERE receipt_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}
+   AND NOT EXISTS (SELECT 1 FROM receipt_history h WHERE h.receipt_id = r.receipt_id AND h.status = 'REVERSED')"""
+    opening = f"""
+ SELECT customer_id, SUM(amount) AS opening_balance FROM (
+   SELECT customer_id, ROUND(amount * COALESCE(exchange_rate, 1), 2) AS amount FROM invoices
+   WHERE trx_date < {D(PERIOD_FROM)} AND complete_flag = 'Y'
+   UNION ALL
+   SELECT customer_id, -ROUND(amount * COALESCE(exchange_rate, 1), 2) FROM receipts r
+   WHERE receipt_date < {D(PERIOD_FROM)}
+     AND NOT EXISTS (SELECT 1 FROM receipt_history h WHERE h.receipt_id = r.receipt_id AND h.status = 'REVERSED')) x
+ GROUP BY customer_id"""
+    body = f"""
+SELECT d.customer_id, c.party_name, 2 AS block, d.gl_date, d.doc_number, d.doc_type,
+       CAST(d.amount AS DECIMAL(38,2)) AS amount,
+       CAST(COALESCE(o.opening_balance, 0) + SUM(d.amount) OVER (PARTITION BY d.customer_id
+            ORDER BY d.gl_date, d.doc_type, d.doc_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            AS DECIMAL(38,2)) AS running_balance
+FROM ({detail}) d JOIN customers c ON d.customer_id = c.customer_id
+LEFT JOIN ({opening}) o ON d.customer_id = o.customer_id
+UNION ALL
+SELECT o.customer_id, c.party_name, 1, CAST({D(PERIOD_FROM)} AS DATE), 'OPENING', 'OPENING',
+       CAST(o.opening_balance AS DECIMAL(38,2)), CAST(o.opening_balance AS DECIMAL(38,2))
+FROM ({opening}) o JOIN customers c ON o.customer_id = c.customer_id
+WHERE o.customer_id IN (SELECT customer_id FROM ({detail}) dd)"""
+    return S.with_sql(body, "invoices", "receipts", "receipt_history", "customers")
+
+
+@register("r_ar12_production_ledger", _ar12_sql())
+def production_ledger(t: Tables) -> DataFrame:
+    """R-AR12: opening row (block 1) and period detail (block 2) per active
+    customer; running balance = opening + running sum of the detail.
+
+    Running sum is the skew-safe two-level W1 (chunk = date)."""
+    inv = S.invoices(t).filter(F.col("complete_flag") == "Y")
+    rc = S.receipts(t).join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"),
+                            "receipt_id", "left_anti")
+    in_period = lambda c: (F.col(c) >= F.lit(PERIOD_FROM)) & (F.col(c) <= F.lit(PERIOD_TO))
+    detail = (inv.filter(in_period("trx_date")).select(
+                  "customer_id", F.col("trx_date").alias("gl_date"), F.col("trx_number").alias("doc_number"),
+                  F.when(F.col("class") == "CM", "CREDIT_MEMO").otherwise("INVOICE").alias("doc_type"),
+                  _func().alias("amount"))
+              .unionByName(rc.filter(in_period("receipt_date")).select(
+                  "customer_id", F.col("receipt_date").alias("gl_date"),
+                  F.col("receipt_number").alias("doc_number"), F.lit("RECEIPT").alias("doc_type"),
+                  (-_func()).alias("amount"))))
+    opening = _opening_per_customer(t)
+    cust = S.customers(t).select("customer_id", "party_name")
+    run = windows.running_total(detail, ["customer_id"], ["gl_date", "doc_type", "doc_number"], "amount",
+                                "run", chunk="gl_date")
+    run = run.join(opening, "customer_id", "left").join(cust, "customer_id")
+    det_out = run.select(
+        "customer_id", "party_name", F.lit(2).alias("block"), "gl_date", "doc_number", "doc_type",
+        F.col("amount").cast(TOTAL).alias("amount"),
+        (F.coalesce(F.col("opening_balance"), F.lit(0)) + F.col("run")).cast(TOTAL).alias("running_balance"))
+    active = detail.select("customer_id").distinct()
+    open_out = opening.join(active, "customer_id", "left_semi").join(cust, "customer_id").select(
+        "customer_id", "party_name", F.lit(1).alias("block"), F.lit(PERIOD_FROM).alias("gl_date"),
+        F.lit("OPENING").alias("doc_number"), F.lit("OPENING").alias("doc_type"),
+        F.col("opening_balance").cast(TOTAL).alias("amount"),
+        F.col("opening_balance").cast(TOTAL).alias("running_balance"))
+    return det_out.unionByName(open_out)
+
+
+# ---------------------------------------------------------------------------
+# R-AR13: unapplied receipts aging, 8 buckets, negative sign
+# ---------------------------------------------------------------------------
+
+_AR13_SQL = S.with_sql(f"""
+SELECT u.customer_id, c.party_name, CAST(SUM(u.amount) AS DECIMAL(38,2)) AS unapplied_total,
+       {aging.UNAPPLIED_EIGHT.sql_sums(f"({D(AS_OF)} - u.receipt_date)", "u.amount")}
+FROM unapplied_receipts u JOIN customers c ON u.customer_id = c.customer_id
+WHERE u.receipt_date <= {D(AS_OF)}
+  AND NOT EXISTS (SELECT 1 FROM receipt_history h WHERE h.receipt_id = u.receipt_id AND h.status = 'REVERSED')
+GROUP BY u.customer_id, c.party_name
+HAVING SUM(u.amount) <> 0""", "unapplied_receipts", "receipt_history", "customers")
+
+
+@register("r_ar13_unapplied_aging", _AR13_SQL)
+def unapplied_aging(t: Tables) -> DataFrame:
+    """R-AR13: unapplied receipts at the date, not reversed (J4), aged by
+    receipt date into 8 buckets, negative amounts, non-zero customers (A4)."""
+    u = S.unapplied_receipts(t).filter(F.col("receipt_date") <= F.lit(AS_OF))
+    u = u.join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"),
+               "receipt_id", "left_anti")
+    u = u.withColumn("days", F.datediff(F.lit(AS_OF), F.col("receipt_date")))
+    per = aging.bucket_totals(u, ["customer_id"], "days", "amount", aging.UNAPPLIED_EIGHT, "unapplied_total")
+    per = per.filter(F.col("unapplied_total") != 0)
+    return per.join(S.customers(t).select("customer_id", "party_name"), "customer_id")
+
+
+# ---------------------------------------------------------------------------
+# R-AR14: aging with unapplied receipts (7 components, 6 buckets, days text)
+# ---------------------------------------------------------------------------
+
+def _days_text(days) -> F.Column:
+    return (F.when(days < 0, F.concat(F.lit("Due in "), (-days).cast("string"), F.lit(" days")))
+             .when(days == 0, F.lit("Due today"))
+             .otherwise(F.concat(F.lit("Overdue by "), days.cast("string"), F.lit(" days"))))
+
+
+def _days_text_sql(d: str) -> str:
+    return (f"CASE WHEN {d} < 0 THEN 'Due in ' || CAST(-({d}) AS VARCHAR) || ' days' WHEN {d} = 0 THEN 'Due today' "
+            f"ELSE 'Overdue by ' || CAST({d} AS VARCHAR) || ' days' END")
+
+
+_AR14_SQL = S.with_sql(f"""
+SELECT x.doc_id, x.doc_kind, x.customer_id, c.party_name, x.ref_date,
+       CAST(x.balance AS DECIMAL(38,2)) AS balance,
+       {_days_text_sql(f"({D(AS_OF)} - x.ref_date)")} AS days_text,
+       {", ".join(f"CAST(CASE WHEN ({aging.AR_SIX_NOT_DUE.sql_label(f'({D(AS_OF)} - x.ref_date)')}) = '{lab}' THEN x.balance ELSE 0 END AS DECIMAL(38,2)) AS {col}" for lab, col, _, _ in aging.AR_SIX_NOT_DUE.buckets)}
+FROM (SELECT s.trx_id AS doc_id, 'TRX' AS doc_kind, i.customer_id, i.due_date AS ref_date, s.balance
+      FROM (SELECT trx_id, SUM(amount) AS balance FROM {MOVEMENTS_SQL} m GROUP BY trx_id) s
+      JOIN invoices i ON s.trx_id = i.trx_id
+      UNION ALL
+      SELECT receipt_id, 'UNAPPLIED', customer_id, receipt_date, amount FROM unapplied_receipts u
+      WHERE receipt_date <= {D(AS_OF)}
+        AND NOT EXISTS (SELECT 1 FROM receipt_history h WHERE h.receipt_id = u.receipt_id AND h.status = 'REVERSED')) x
+JOIN customers c ON x.customer_id = c.customer_id
+WHERE x.balance <> 0""", "invoices", "applications", "unapplied_receipts", "receipt_history", "customers")
+
+
+@register("r_ar14_aging_with_unapplied", _AR14_SQL)
+def aging_with_unapplied(t: Tables) -> DataFrame:
+    """R-AR14: per open transaction (six movement components) and per
+    unapplied receipt (the seventh), the balance, its not-due/overdue
+    bucket and a days-left text; zero balances dropped."""
+    per_trx = movement_fact(t).groupBy("trx_id").agg(F.sum("amount").alias("balance"))
+    inv = S.invoices(t).select("trx_id", "customer_id", "due_date")
+    trx = per_trx.join(inv, "trx_id").select(
+        F.col("trx_id").alias("doc_id"), F.lit("TRX").alias("doc_kind"), "customer_id",
+        F.col("due_date").alias("ref_date"), "balance")
+    u = S.unapplied_receipts(t).filter(F.col("receipt_date") <= F.lit(AS_OF))
+    u = u.join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"),
+               "receipt_id", "left_anti")
+    un = u.select(F.col("receipt_id").alias("doc_id"), F.lit("UNAPPLIED").alias("doc_kind"), "customer_id",
+                  F.col("receipt_date").alias("ref_date"), F.col("amount").alias("balance"))
+    x = trx.unionByName(un).filter(F.col("balance") != 0)
+    days = F.datediff(F.lit(AS_OF), F.col("ref_date"))
+    lab = aging.AR_SIX_NOT_DUE.label(days)
+    buckets = [F.when(lab == F.lit(label), F.col("balance")).otherwise(F.lit(0)).cast(TOTAL).alias(col)
+               for label, col, _, _ in aging.AR_SIX_NOT_DUE.buckets]
+    x = x.join(S.customers(t).select("customer_id", "party_name"), "customer_id")
+    return x.select("doc_id", "doc_kind", "customer_id", "party_name", "ref_date",
+                    F.col("balance").cast(TOTAL).alias("balance"), _days_text(days).alias("days_text"), *buckets)
+
+
+# ---------------------------------------------------------------------------
+# Smaller receivables blocks
+# ---------------------------------------------------------------------------
+
+_AR3_SQL = S.with_sql(f"""
+SELECT ob.customer_id, c.party_name, CAST(SUM(ob.remaining) AS DECIMAL(38,2)) AS total_due,
+       {aging.AR_SEVEN.sql_sums(f"({D(AS_OF)} - ob.due_date)", "ob.remaining")}
+FROM {OPEN_BAL_SQL} ob JOIN customers c ON ob.customer_id = c.customer_id
+WHERE ob.remaining <> 0 GROUP BY ob.customer_id, c.party_name""", "invoices", "applications", "customers")
+
+
+@register("r_ar3_aging_7_buckets", _AR3_SQL)
+def aging_7(t: Tables) -> DataFrame:
+    """R-AR3: aging by customer, all 7 buckets output (they add up, §8 #3)."""
+    bal = open_balances(t).filter(F.col("remaining") != 0).withColumn(
+        "days", F.datediff(F.lit(AS_OF), F.col("due_date")))
+    per = aging.bucket_totals(bal, ["customer_id"], "days", "remaining", aging.AR_SEVEN)
+    return per.join(S.customers(t).select("customer_id", "party_name"), "customer_id")
+
+
+_AR4_SQL = S.with_sql(f"""
+SELECT i.trx_id, i.trx_number, i.trx_date, i.class, c.party_name, c.unit_name, i.amount,
+       i.due_date, COALESCE(i.term_name, 'NONE') AS term_name
+FROM invoices i JOIN customers c ON i.customer_id = c.customer_id
+WHERE i.trx_date >= {D(PERIOD_FROM)} AND i.trx_date <= {D(PERIOD_TO)} AND i.complete_flag = 'Y'
+""", "invoices", "customers")
+
+
+@register("r_ar4_transaction_register", _AR4_SQL)
+def transaction_register(t: Tables) -> DataFrame:
+    """R-AR4: complete transactions in the period with customer, unit and terms."""
+    from tallyspark.functions.params import date_range
+    inv = S.invoices(t).filter(date_range("trx_date", PERIOD_FROM, PERIOD_TO) & (F.col("complete_flag") == "Y"))
+    c = S.customers(t).select("customer_id", "party_name", "unit_name")
+    return inv.join(c, "customer_id").select(
+        "trx_id", "trx_number", "trx_date", "class", "party_name", "unit_name", "amount", "due_date",
+        F.coalesce(F.col("term_name"), F.lit("NONE")).alias("term_name"))
+
+
+_AR5_SQL = S.with_sql(f"""
+SELECT r.receipt_id, r.receipt_number, r.receipt_date, c.party_name, r.amount,
+       COALESCE(a.app_count, 0) AS app_count, CAST(COALESCE(a.applied, 0) AS DECIMAL(38,2)) AS applied_amount
+FROM receipts r JOIN customers c ON r.customer_id = c.customer_id
+LEFT JOIN (SELECT applied_trx_id, COUNT(*) AS app_count, SUM(amount) AS applied FROM applications
+           WHERE app_type = 'CASH' GROUP BY applied_trx_id) a ON a.applied_trx_id = r.receipt_id
+WHERE r.receipt_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}
+  AND NOT EXISTS (SELECT 1 FROM receipt_history h WHERE h.receipt_id = r.receipt_id AND h.status = 'REVERSED')
+""", "receipts", "applications", "receipt_history", "customers")
+
+
+@register("r_ar5_receipt_register", _AR5_SQL)
+def receipt_register(t: Tables) -> DataFrame:
+    """R-AR5: receipts in the period, reversed ones excluded (J4), with
+    their application count and amount (pre-aggregated, J2)."""
+    r = S.receipts(t).filter((F.col("receipt_date") >= F.lit(PERIOD_FROM)) & (F.col("receipt_date") <= F.lit(PERIOD_TO)))
+    r = r.join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"), "receipt_id", "left_anti")
+    apps = (S.applications(t).filter(F.col("app_type") == "CASH").groupBy(F.col("applied_trx_id").alias("receipt_id"))
+            .agg(F.count(F.lit(1)).alias("app_count"), F.sum("amount").alias("applied")))
+    out = r.join(apps, "receipt_id", "left").join(S.customers(t).select("customer_id", "party_name"), "customer_id")
+    return out.select("receipt_id", "receipt_number", "receipt_date", "party_name", "amount",
+                      F.coalesce(F.col("app_count"), F.lit(0)).alias("app_count"),
+                      F.coalesce(F.col("applied"), F.lit(0)).cast(TOTAL).alias("applied_amount"))
+
+
+_AR15_SQL = S.with_sql("""
+SELECT applied_trx_id, line_number, apply_date,
+       CAST(acctd_amount - amount AS DECIMAL(18,2)) AS gain_loss,
+       CASE WHEN acctd_amount - amount > 0 THEN 'GAIN' ELSE 'LOSS' END AS gain_loss_type
+FROM applications WHERE app_type = 'CASH' AND acctd_amount - amount <> 0""", "applications")
+
+
+@register("r_ar15_exchange_gain_loss", _AR15_SQL)
+def exchange_gain_loss(t: Tables) -> DataFrame:
+    """R-AR15: exchange gain/loss per cash application, zero rows dropped."""
+    a = S.applications(t).filter(F.col("app_type") == "CASH")
+    gl = (F.col("acctd_amount") - F.col("amount")).cast(MONEY)
+    return a.filter(gl != 0).select("applied_trx_id", "line_number", "apply_date", gl.alias("gain_loss"),
+                                    F.when(gl > 0, "GAIN").otherwise("LOSS").alias("gain_loss_type"))
+
+
+_AR17_SQL = S.with_sql("""
+SELECT applied_trx_id AS trx_id,
+       CAST(SUM(CASE WHEN line_status = 'O' THEN amount ELSE 0 END) AS DECIMAL(38,2)) AS tax_withheld,
+       CAST(SUM(CASE WHEN line_status = 'F' THEN amount ELSE 0 END) AS DECIMAL(38,2)) AS bank_charges
+FROM applications WHERE app_type = 'ADJ' GROUP BY applied_trx_id""", "applications")
+
+
+@register("r_ar17_adjustments", _AR17_SQL)
+def adjustments(t: Tables) -> DataFrame:
+    """R-AR17: adjustments per transaction split into tax withheld (open)
+    and bank charges (finished) -- conditional-sum pivot (A2)."""
+    a = S.applications(t).filter(F.col("app_type") == "ADJ")
+    return a.groupBy(F.col("applied_trx_id").alias("trx_id")).agg(
+        F.sum(F.when(F.col("line_status") == "O", F.col("amount")).otherwise(0)).cast(TOTAL).alias("tax_withheld"),
+        F.sum(F.when(F.col("line_status") == "F", F.col("amount")).otherwise(0)).cast(TOTAL).alias("bank_charges"))
+
+
+_AR18_SQL = S.with_sql("""
+SELECT applied_trx_id AS trx_id, MIN(apply_date) AS first_receipt_date,
+       CAST(SUM(amount) AS DECIMAL(38,2)) AS total_received, COUNT(*) AS receipt_lines
+FROM applications WHERE app_type = 'CASH' GROUP BY applied_trx_id""", "applications")
+
+
+@register("r_ar18_first_receipt", _AR18_SQL)
+def first_receipt(t: Tables) -> DataFrame:
+    """R-AR18: first receipt date and total received per invoice."""
+    a = S.applications(t).filter(F.col("app_type") == "CASH")
+    return a.groupBy(F.col("applied_trx_id").alias("trx_id")).agg(
+        F.min("apply_date").alias("first_receipt_date"), F.sum("amount").cast(TOTAL).alias("total_received"),
+        F.count(F.lit(1)).alias("receipt_lines"))
+
+
+_AR19_SQL = S.with_sql("""
+SELECT i.trx_id, i.trx_number,
+       CASE WHEN j.n IS NULL THEN 'UNACCOUNTED' WHEN j.posted = j.n THEN 'ACCOUNTED' ELSE 'PARTIAL' END AS accounting_status,
+       COALESCE(j.n, 0) AS journal_lines, j.last_gl_date
+FROM invoices i LEFT JOIN (SELECT je_header_id, COUNT(*) AS n, SUM(CASE WHEN status = 'P' THEN 1 ELSE 0 END) AS posted,
+                                  MAX(gl_date) AS last_gl_date
+                           FROM journal_lines GROUP BY je_header_id) j ON i.trx_id = j.je_header_id""",
+                      "invoices", "journal_lines")
+
+
+@register("r_ar19_accounting_status", _AR19_SQL)
+def accounting_status(t: Tables) -> DataFrame:
+    """R-AR19: accounted / partial / unaccounted per transaction from its
+    journal lines (pre-aggregated, then left-joined)."""
+    j = S.journal_lines(t).groupBy(F.col("je_header_id").alias("trx_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("status") == "P", 1).otherwise(0)).alias("posted"),
+        F.max("gl_date").alias("last_gl_date"))
+    out = S.invoices(t).select("trx_id", "trx_number").join(j, "trx_id", "left")
+    status = (F.when(F.col("n").isNull(), "UNACCOUNTED").when(F.col("posted") == F.col("n"), "ACCOUNTED")
+              .otherwise("PARTIAL"))
+    return out.select("trx_id", "trx_number", status.alias("accounting_status"),
+                      F.coalesce(F.col("n"), F.lit(0)).alias("journal_lines"), "last_gl_date")
+
+
+_AR20_SQL = S.with_sql("""
+SELECT trx_id, trx_date, COALESCE(term_name, 'NONE') AS term_name, COALESCE(due_days, 0) AS due_days, due_date
+FROM invoices""", "invoices")
+
+
+@register("r_ar20_due_date", _AR20_SQL)
+def due_dates(t: Tables) -> DataFrame:
+    """R-AR20: due date from the payment terms by join (not a scalar subquery)."""
+    return S.invoices(t).select("trx_id", "trx_date", F.coalesce(F.col("term_name"), F.lit("NONE")).alias("term_name"),
+                                F.coalesce(F.col("due_days"), F.lit(0)).alias("due_days"), "due_date")
+
+
+_AR21_SQL = S.with_sql("""
+SELECT i.trx_id, COALESCE(g.project_id, l.project_id, p.project_id) AS project_id,
+       CASE WHEN g.project_id IS NOT NULL THEN 'LEDGER' WHEN l.project_id IS NOT NULL THEN 'LINE'
+            WHEN p.project_id IS NOT NULL THEN 'CONTRACT' ELSE 'NONE' END AS project_route
+FROM invoices i
+LEFT JOIN (SELECT je_header_id, MIN(supplier_id) AS project_id FROM journal_lines WHERE je_source = 'Receivables'
+           GROUP BY je_header_id) g ON i.trx_id = g.je_header_id
+LEFT JOIN (SELECT applied_trx_id, MIN(supplier_id) AS project_id FROM applications GROUP BY applied_trx_id) l
+       ON i.trx_id = l.applied_trx_id
+LEFT JOIN (SELECT DISTINCT project_id FROM plan_versions) p ON i.customer_id = p.project_id""",
+                      "invoices", "journal_lines", "applications", "plan_versions")
+
+
+@register("r_ar21_project_attribution", _AR21_SQL)
+def project_attribution(t: Tables) -> DataFrame:
+    """R-AR21: project of a transaction by three routes (ledger segment,
+    invoice line, contract); first route with a value wins (J14)."""
+    g = (S.journal_lines(t).filter(F.col("je_source") == "Receivables")
+         .groupBy(F.col("je_header_id").alias("trx_id")).agg(F.min("supplier_id").alias("p_gl")))
+    ln = S.applications(t).groupBy(F.col("applied_trx_id").alias("trx_id")).agg(F.min("supplier_id").alias("p_line"))
+    ct = S.plan_versions(t).select(F.col("project_id").alias("customer_id")).distinct().withColumn(
+        "p_contract", F.col("customer_id"))
+    x = S.invoices(t).select("trx_id", "customer_id").join(g, "trx_id", "left").join(ln, "trx_id", "left") \
+        .join(ct, "customer_id", "left")
+    route = (F.when(F.col("p_gl").isNotNull(), "LEDGER").when(F.col("p_line").isNotNull(), "LINE")
+             .when(F.col("p_contract").isNotNull(), "CONTRACT").otherwise("NONE"))
+    return x.select("trx_id", F.coalesce("p_gl", "p_line", "p_contract").alias("project_id"),
+                    route.alias("project_route"))
+
+
+def _ar22_sql(basis: str, widen: int) -> str:
+    col = "ob.due_date" if basis == "due" else "ob.trx_date"
+    return S.with_sql(f"""
+SELECT ob.customer_id, CAST(SUM(ob.remaining) AS DECIMAL(38,2)) AS total_due,
+       {aging.AR_SEVEN.sql_sums(f"({D(AS_OF)} - {col} - {widen})", "ob.remaining")}
+FROM {OPEN_BAL_SQL} ob WHERE ob.remaining <> 0 GROUP BY ob.customer_id""", "invoices", "applications")
+
+
+def _aging_basis(t: Tables, basis: str, widen: int) -> DataFrame:
+    bal = open_balances(t).filter(F.col("remaining") != 0)
+    ref = F.col("due_date") if basis == "due" else F.col("trx_date")
+    bal = bal.withColumn("days", F.datediff(F.lit(AS_OF), ref) - F.lit(widen))
+    return aging.bucket_totals(bal, ["customer_id"], "days", "remaining", aging.AR_SEVEN)
+
+
+@register("r_ar22_aging_invoice_date_widened", _ar22_sql("invoice", 60))
+def aging_invoice_basis(t: Tables) -> DataFrame:
+    """R-AR22: aging by invoice date with the optional -60 day widening."""
+    return _aging_basis(t, "invoice", 60)
+
+
+_AR23_SQL = S.with_sql("""
+SELECT applied_trx_id, line_number, app_type,
+       CASE WHEN acctd_amount <> amount THEN 'Y' ELSE 'N' END AS gain_loss_flag,
+       CASE WHEN app_type = 'CM' AND line_status = 'F' THEN 'Y' ELSE 'N' END AS refund_flag,
+       amount
+FROM applications WHERE app_type IN ('CASH', 'CM')""", "applications")
+
+
+@register("r_ar23_application_typing", _AR23_SQL)
+def application_typing(t: Tables) -> DataFrame:
+    """R-AR23: receipt application typing -- gain/loss and refund flags."""
+    a = S.applications(t).filter(F.col("app_type").isin("CASH", "CM"))
+    return a.select("applied_trx_id", "line_number", "app_type",
+                    F.when(F.col("acctd_amount") != F.col("amount"), "Y").otherwise("N").alias("gain_loss_flag"),
+                    F.when((F.col("app_type") == "CM") & (F.col("line_status") == "F"), "Y").otherwise("N")
+                    .alias("refund_flag"), "amount")
+
+
+_AR24_SQL = S.with_sql(f"""
+SELECT r.customer_id, CAST(SUM(r.amount) AS DECIMAL(38,2)) AS received,
+       {aging.AR_FIVE.sql_sums(f"({D(AS_OF)} - r.receipt_date)", "r.amount")}
+FROM receipts r WHERE r.receipt_date <= {D(AS_OF)} GROUP BY r.customer_id""", "receipts")
+
+
+@register("r_ar24_aging_by_receipt_date", _AR24_SQL)
+def aging_by_receipt(t: Tables) -> DataFrame:
+    """R-AR24: receipts aged by receipt date, 5 buckets per customer."""
+    r = S.receipts(t).filter(F.col("receipt_date") <= F.lit(AS_OF)).withColumn(
+        "days", F.datediff(F.lit(AS_OF), F.col("receipt_date")))
+    return aging.bucket_totals(r, ["customer_id"], "days", "amount", aging.AR_FIVE, "received")
