@@ -143,7 +143,7 @@ SELECT o_orderkey AS trx_id,
        CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN o_orderkey % 10 = 0 THEN -1 ELSE 1 END AS DECIMAL(18,2)) AS amount,
        CASE WHEN o_orderstatus = 'P' THEN 'N' ELSE 'Y' END AS complete_flag,
        CAST(CASE WHEN n_regionkey = 0 THEN NULL ELSE 1 + n_nationkey * CAST(0.01 AS DECIMAL(3,2)) END AS DECIMAL(18,6)) AS exchange_rate,
-       pt.term_id, pt.term_name, pt.due_days,
+       CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS term_id, pt.term_name, pt.due_days,
        CAST(o_orderdate AS DATE) + CAST(COALESCE(pt.due_days, 0) AS INTEGER) AS due_date,
        o_orderstatus AS order_status, o_orderpriority AS priority
 FROM orders
