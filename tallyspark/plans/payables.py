@@ -1 +1,237 @@
-"""Placeholder."""
+"""Payables reports (R-AP*).
+
+Stand-ins (FIXTURES part 2 extended): a supplier invoice is the set of line
+items of one order from one supplier; cash lines (A) are payments, open
+adjustments (N) are prepayment applications.  Both are pre-aggregated per
+invoice before any join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyspark.functions.params import AS_OF, PERIOD_FROM, PERIOD_TO
+from tallyspark.functions.scalars import MONEY, TOTAL
+from tallyspark.operators import aging, quality
+from tallyspark.operators.rollup import debit_credit
+from tallyspark.plans.registry import register
+from tallyspark.sources import standins as S
+from tallyspark.sources.tables import Tables
+
+D = S._d
+
+
+def ap_invoices(t: Tables) -> DataFrame:
+    """Supplier invoice per (order, supplier); due 30 days after the date."""
+    a = S.applications(t)
+    g = a.groupBy(F.col("applied_trx_id").alias("order_id"), F.col("supplier_id").alias("vendor_id")).agg(
+        F.min("apply_date").alias("invoice_date"),
+        F.sum("gross_amount").cast(MONEY).alias("invoice_amount"),
+        F.max("line_status").alias("max_status"))
+    return g.select(
+        "order_id", "vendor_id",
+        F.concat(F.col("order_id").cast("string"), F.lit("-"), F.col("vendor_id").cast("string")).alias("invoice_num"),
+        "invoice_date", F.date_add("invoice_date", 30).alias("due_date"), "invoice_amount",
+        F.when(F.col("max_status") == "F", "APPROVED").otherwise("PENDING").alias("approval_status"))
+
+
+S._cte("ap_invoices", ("applications",), """
+SELECT order_id, vendor_id, CAST(order_id AS VARCHAR) || '-' || CAST(vendor_id AS VARCHAR) AS invoice_num,
+       invoice_date, CAST(invoice_date + 30 AS DATE) AS due_date, invoice_amount,
+       CASE WHEN max_status = 'F' THEN 'APPROVED' ELSE 'PENDING' END AS approval_status
+FROM (SELECT applied_trx_id AS order_id, supplier_id AS vendor_id, MIN(apply_date) AS invoice_date,
+             CAST(SUM(gross_amount) AS DECIMAL(18,2)) AS invoice_amount, MAX(line_status) AS max_status
+      FROM applications GROUP BY applied_trx_id, supplier_id) g""")
+
+
+def ap_payments(t: Tables) -> DataFrame:
+    """Payment lines (A) and prepayment applications (N) per invoice."""
+    a = S.applications(t).filter(F.col("return_flag").isin("A", "N"))
+    return a.select(F.col("applied_trx_id").alias("order_id"), F.col("supplier_id").alias("vendor_id"),
+                    F.when(F.col("return_flag") == "A", "PAYMENT").otherwise("PREPAY").alias("pay_type"),
+                    F.col("apply_date").alias("pay_date"), "amount", "discount_taken")
+
+
+S._cte("ap_payments", ("applications",), """
+SELECT applied_trx_id AS order_id, supplier_id AS vendor_id,
+       CASE WHEN return_flag = 'A' THEN 'PAYMENT' ELSE 'PREPAY' END AS pay_type,
+       apply_date AS pay_date, amount, discount_taken
+FROM applications WHERE return_flag IN ('A', 'N')""")
+
+
+def _paid_at(t: Tables, as_of=AS_OF) -> DataFrame:
+    p = ap_payments(t).filter(F.col("pay_date") <= F.lit(as_of))
+    return p.groupBy("order_id", "vendor_id").agg(
+        F.sum(F.when(F.col("pay_type") == "PAYMENT", F.col("amount")).otherwise(0)).alias("paid"),
+        F.sum(F.when(F.col("pay_type") == "PREPAY", F.col("amount")).otherwise(0)).alias("prepaid"))
+
+
+_PAID_SQL = f"""(SELECT order_id, vendor_id,
+   SUM(CASE WHEN pay_type = 'PAYMENT' THEN amount ELSE 0 END) AS paid,
+   SUM(CASE WHEN pay_type = 'PREPAY' THEN amount ELSE 0 END) AS prepaid
+ FROM ap_payments WHERE pay_date <= {D(AS_OF)} GROUP BY order_id, vendor_id)"""
+
+
+_AP1_SQL = S.with_sql(f"""
+SELECT x.vendor_id, s.vendor_name, CAST(SUM(x.outstanding) AS DECIMAL(38,2)) AS total_outstanding,
+       {aging.AP_FOURTEEN.sql_sums(f"({D(AS_OF)} - x.due_date)", "x.outstanding")}
+FROM (SELECT i.vendor_id, i.due_date,
+             i.invoice_amount - COALESCE(p.paid, 0) - COALESCE(p.prepaid, 0) AS outstanding
+      FROM ap_invoices i LEFT JOIN {_PAID_SQL} p ON i.order_id = p.order_id AND i.vendor_id = p.vendor_id
+      WHERE i.invoice_date <= {D(AS_OF)}) x
+JOIN suppliers s ON s.supplier_id = x.vendor_id
+WHERE x.outstanding <> 0
+GROUP BY x.vendor_id, s.vendor_name""", "ap_invoices", "ap_payments", "suppliers")
+
+
+@register("r_ap1_supplier_aging_14", _AP1_SQL)
+def supplier_aging(t: Tables) -> DataFrame:
+    """R-AP1: supplier aging at a date, 14 buckets, prepayments netted."""
+    inv = ap_invoices(t).filter(F.col("invoice_date") <= F.lit(AS_OF))
+    x = inv.join(_paid_at(t), ["order_id", "vendor_id"], "left")
+    x = x.withColumn("outstanding", F.col("invoice_amount") - F.coalesce("paid", F.lit(0)) - F.coalesce("prepaid", F.lit(0)))
+    x = x.filter(F.col("outstanding") != 0).withColumn("days", F.datediff(F.lit(AS_OF), F.col("due_date")))
+    per = aging.bucket_totals(x, ["vendor_id"], "days", "outstanding", aging.AP_FOURTEEN, "total_outstanding")
+    s = S.suppliers(t).select(F.col("supplier_id").alias("vendor_id"), "vendor_name")
+    return per.join(s, "vendor_id")
+
+
+_AP2_SQL = S.with_sql(f"""
+SELECT i.invoice_num, i.invoice_date, i.vendor_id, s.vendor_name, i.invoice_amount, i.approval_status,
+       p.last_payment_date, CAST(COALESCE(p.paid, 0) AS DECIMAL(38,2)) AS paid_amount
+FROM ap_invoices i JOIN suppliers s ON s.supplier_id = i.vendor_id
+LEFT JOIN (SELECT order_id, vendor_id, MAX(pay_date) AS last_payment_date, SUM(amount) AS paid
+           FROM ap_payments WHERE pay_type = 'PAYMENT' GROUP BY order_id, vendor_id) p
+  ON p.order_id = i.order_id AND p.vendor_id = i.vendor_id
+WHERE i.invoice_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}""", "ap_invoices", "ap_payments", "suppliers")
+
+
+@register("r_ap2_invoice_register", _AP2_SQL)
+def invoice_register(t: Tables) -> DataFrame:
+    """R-AP2: invoices of the period with approval and payment status."""
+    inv = ap_invoices(t).filter(F.col("invoice_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    pay = (ap_payments(t).filter(F.col("pay_type") == "PAYMENT").groupBy("order_id", "vendor_id")
+           .agg(F.max("pay_date").alias("last_payment_date"), F.sum("amount").alias("paid")))
+    s = S.suppliers(t).select(F.col("supplier_id").alias("vendor_id"), "vendor_name")
+    x = inv.join(s, "vendor_id").join(pay, ["order_id", "vendor_id"], "left")
+    return x.select("invoice_num", "invoice_date", "vendor_id", "vendor_name", "invoice_amount", "approval_status",
+                    "last_payment_date", F.coalesce("paid", F.lit(0)).cast(TOTAL).alias("paid_amount"))
+
+
+_AP3_SQL = S.with_sql(f"""
+SELECT vendor_id,
+       CAST(SUM(CASE WHEN kind = 'INVOICE' THEN amount ELSE 0 END) AS DECIMAL(38,2)) AS invoiced,
+       CAST(SUM(CASE WHEN kind = 'PAYMENT' THEN -amount ELSE 0 END) AS DECIMAL(38,2)) AS paid,
+       CAST(CASE WHEN SUM(amount) > 0 THEN SUM(amount) ELSE 0 END AS DECIMAL(38,2)) AS net_credit,
+       CAST(CASE WHEN SUM(amount) < 0 THEN -SUM(amount) ELSE 0 END AS DECIMAL(38,2)) AS net_debit
+FROM (SELECT vendor_id, 'INVOICE' AS kind, invoice_amount AS amount FROM ap_invoices
+      WHERE invoice_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}
+      UNION ALL
+      SELECT vendor_id, 'PAYMENT', -amount FROM ap_payments
+      WHERE pay_type = 'PAYMENT' AND pay_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}) u
+GROUP BY vendor_id""", "ap_invoices", "ap_payments")
+
+
+@register("r_ap3_supplier_ledger", _AP3_SQL)
+def supplier_ledger(t: Tables) -> DataFrame:
+    """R-AP3: invoices and payments of the period per supplier (O4), with
+    the net split into credit/debit by sign (A10)."""
+    inv = ap_invoices(t).filter(F.col("invoice_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO))) \
+        .select("vendor_id", F.lit("INVOICE").alias("kind"), F.col("invoice_amount").alias("amount"))
+    pay = ap_payments(t).filter((F.col("pay_type") == "PAYMENT") & F.col("pay_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO))) \
+        .select("vendor_id", F.lit("PAYMENT").alias("kind"), (-F.col("amount")).alias("amount"))
+    g = inv.unionByName(pay).groupBy("vendor_id").agg(
+        F.sum(F.when(F.col("kind") == "INVOICE", F.col("amount")).otherwise(0)).cast(TOTAL).alias("invoiced"),
+        F.sum(F.when(F.col("kind") == "PAYMENT", -F.col("amount")).otherwise(0)).cast(TOTAL).alias("paid"),
+        F.sum("amount").alias("net"))
+    cr, dr = debit_credit("net")
+    return g.select("vendor_id", "invoiced", "paid", cr.cast(TOTAL).alias("net_credit"), dr.cast(TOTAL).alias("net_debit"))
+
+
+_AP6_SQL = S.with_sql(f"""
+SELECT i.invoice_num, i.vendor_id, i.invoice_amount,
+       CAST(COALESCE(p.paid, 0) AS DECIMAL(38,2)) AS paid_at_date,
+       CAST(i.invoice_amount - COALESCE(p.paid, 0) AS DECIMAL(38,2)) AS outstanding,
+       {D(AS_OF)} - i.due_date AS days_past_due
+FROM ap_invoices i LEFT JOIN {_PAID_SQL} p ON i.order_id = p.order_id AND i.vendor_id = p.vendor_id
+WHERE i.invoice_date <= {D(AS_OF)} AND i.invoice_amount - COALESCE(p.paid, 0) <> 0""", "ap_invoices", "ap_payments")
+
+
+@register("r_ap6_outstanding_at_date", _AP6_SQL)
+def outstanding_at_date(t: Tables) -> DataFrame:
+    """R-AP6: invoice total less paid at the date (A12), days past due, non-zero (A4)."""
+    inv = ap_invoices(t).filter(F.col("invoice_date") <= F.lit(AS_OF))
+    x = inv.join(_paid_at(t), ["order_id", "vendor_id"], "left")
+    out = (F.col("invoice_amount") - F.coalesce("paid", F.lit(0)))
+    return x.filter(out != 0).select(
+        "invoice_num", "vendor_id", "invoice_amount", F.coalesce("paid", F.lit(0)).cast(TOTAL).alias("paid_at_date"),
+        out.cast(TOTAL).alias("outstanding"), F.datediff(F.lit(AS_OF), F.col("due_date")).alias("days_past_due"))
+
+
+_AP7_SQL = S.with_sql("""
+SELECT order_id, vendor_id, CAST(SUM(amount) AS DECIMAL(38,2)) AS prepayment_applied, COUNT(*) AS applications
+FROM ap_payments WHERE pay_type = 'PREPAY' GROUP BY order_id, vendor_id""", "ap_payments")
+
+
+@register("r_ap7_prepayment_applied", _AP7_SQL)
+def prepayment_applied(t: Tables) -> DataFrame:
+    """R-AP7: prepayment applied per invoice pair (prepayment -> invoice)."""
+    p = ap_payments(t).filter(F.col("pay_type") == "PREPAY")
+    return p.groupBy("order_id", "vendor_id").agg(F.sum("amount").cast(TOTAL).alias("prepayment_applied"),
+                                                  F.count(F.lit(1)).alias("applications"))
+
+
+_AP8_SQL = S.with_sql("""
+SELECT applied_trx_id AS order_id, supplier_id AS vendor_id, COUNT(*) AS active_holds
+FROM applications WHERE return_flag = 'R' AND line_status = 'O' GROUP BY applied_trx_id, supplier_id""", "applications")
+
+
+@register("r_ap8_active_holds", _AP8_SQL)
+def active_holds(t: Tables) -> DataFrame:
+    """R-AP8: active (unreleased) holds per invoice -- returned, still open lines."""
+    a = S.applications(t).filter((F.col("return_flag") == "R") & (F.col("line_status") == "O"))
+    return a.groupBy(F.col("applied_trx_id").alias("order_id"), F.col("supplier_id").alias("vendor_id")) \
+        .agg(F.count(F.lit(1)).alias("active_holds"))
+
+
+_AP9_SQL = S.with_sql("""
+SELECT COALESCE(i.order_id, j.order_id) AS order_id, CAST(i.inv AS DECIMAL(38,2)) AS invoice_total,
+       CAST(j.liab AS DECIMAL(38,2)) AS liability_total,
+       CAST(COALESCE(i.inv, 0) - COALESCE(j.liab, 0) AS DECIMAL(38,2)) AS difference
+FROM (SELECT order_id, SUM(invoice_amount) AS inv FROM ap_invoices GROUP BY order_id) i
+FULL OUTER JOIN (SELECT je_header_id AS order_id, SUM(COALESCE(accounted_dr, 0) + COALESCE(accounted_cr, 0)) AS liab
+                 FROM journal_lines GROUP BY je_header_id) j ON i.order_id = j.order_id
+WHERE abs(COALESCE(i.inv, 0) - COALESCE(j.liab, 0)) > 0.01""", "ap_invoices", "journal_lines")
+
+
+@register("r_ap9_subledger_reconciliation", _AP9_SQL)
+def subledger_reconciliation(t: Tables) -> DataFrame:
+    """R-AP9 / Q6: invoice totals vs accounted liability lines per invoice
+    (full outer compare, tolerance 0.01)."""
+    inv = ap_invoices(t).groupBy("order_id").agg(F.sum("invoice_amount").alias("inv"))
+    jl = S.journal_lines(t).groupBy(F.col("je_header_id").alias("order_id")).agg(
+        F.sum(F.coalesce("accounted_dr", F.lit(0)) + F.coalesce("accounted_cr", F.lit(0))).alias("liab"))
+    d = quality.tie_out(inv, jl, ["order_id"], "inv", "liab")
+    return d.select("order_id", F.col("inv").cast(TOTAL).alias("invoice_total"),
+                    F.col("liab").cast(TOTAL).alias("liability_total"), F.col("difference").cast(TOTAL).alias("difference"))
+
+
+_AP10_SQL = S.with_sql("""
+SELECT i.order_id, i.vendor_id, MAX(a.line_status || '-' || CAST(a.line_number AS VARCHAR)) AS max_text_approver,
+       arg_max('APPROVER-' || CAST(a.part_id AS VARCHAR), (a.apply_date, a.line_number, a.part_id)) AS latest_approver
+FROM ap_invoices i JOIN applications a ON a.applied_trx_id = i.order_id AND a.supplier_id = i.vendor_id
+GROUP BY i.order_id, i.vendor_id""", "ap_invoices", "applications")
+
+
+@register("r_ap10_latest_approver", _AP10_SQL)
+def latest_approver(t: Tables) -> DataFrame:
+    """R-AP10: latest approver per invoice (max_by), beside the reference's
+    MAX-over-text label (A16)."""
+    a = S.applications(t).select(F.col("applied_trx_id").alias("order_id"), F.col("supplier_id").alias("vendor_id"),
+                                 "line_status", "line_number", "part_id", "apply_date")
+    g = a.groupBy("order_id", "vendor_id").agg(
+        F.max(F.concat(F.col("line_status"), F.lit("-"), F.col("line_number").cast("string"))).alias("max_text_approver"),
+        F.max_by(F.concat(F.lit("APPROVER-"), F.col("part_id").cast("string")),
+                 F.struct("apply_date", "line_number", "part_id")).alias("latest_approver"))
+    return g.join(ap_invoices(t).select("order_id", "vendor_id"), ["order_id", "vendor_id"], "left_semi")

@@ -68,6 +68,7 @@ def get_session(master: str | None = None, app: str = "tallyspark",
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         .config("spark.driver.memory", os.environ.get("TALLY_DRIVER_MEMORY", "16g"))
         .config("spark.sql.session.timeZone", "UTC")
