@@ -1 +1,171 @@
-"""Placeholder."""
+"""Projects and costing (R-PJ*, R-CO*).
+
+Cost items come from the project-cost stand-in; plan versions from the
+plan-version stand-in.  Inception/year/period-to-date sums are one
+conditional-sum pass (A15) instead of three scalar subqueries.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyspark.functions.params import AS_OF
+from tallyspark.functions.scalars import TOTAL, decode
+from tallyspark.operators import effective as E
+from tallyspark.operators import rollup as A
+from tallyspark.plans.registry import register
+from tallyspark.sources import standins as S
+from tallyspark.sources.tables import Tables
+
+D = S._d
+_Y0 = f"DATE '{AS_OF.year}-01-01'"
+_M0 = f"DATE '{AS_OF.year}-{AS_OF.month:02d}-01'"
+
+
+def _td_sql(val: str, prefix: str) -> str:
+    return (f"CAST(SUM(CASE WHEN expenditure_date <= {D(AS_OF)} THEN {val} ELSE 0 END) AS DECIMAL(38,2)) AS {prefix}itd, "
+            f"CAST(SUM(CASE WHEN expenditure_date <= {D(AS_OF)} AND expenditure_date >= {_Y0} THEN {val} ELSE 0 END) AS DECIMAL(38,2)) AS {prefix}ytd, "
+            f"CAST(SUM(CASE WHEN expenditure_date <= {D(AS_OF)} AND expenditure_date >= {_M0} THEN {val} ELSE 0 END) AS DECIMAL(38,2)) AS {prefix}ptd")
+
+
+@register("r_co5_actual_cost_to_date", S.with_sql(f"""
+SELECT project_id, {_td_sql('raw_cost', 'raw_')}, {_td_sql('burdened_cost - raw_cost', 'burden_')},
+       {_td_sql('burdened_cost', 'total_')}
+FROM project_costs GROUP BY project_id""", "project_costs"))
+def actual_cost_to_date(t: Tables) -> DataFrame:
+    """R-CO5/R-PJ3/A15: raw, burden and total cost inception-, year- and
+    period-to-date in one aggregation pass."""
+    c = S.project_costs(t)
+    return c.groupBy("project_id").agg(
+        *A.to_date_sums("expenditure_date", "raw_cost", AS_OF, "raw_"),
+        *A.to_date_sums("expenditure_date", F.col("burdened_cost") - F.col("raw_cost"), AS_OF, "burden_"),
+        *A.to_date_sums("expenditure_date", "burdened_cost", AS_OF, "total_"))
+
+
+@register("r_co2_cost_by_category", S.with_sql("""
+SELECT project_id,
+       CAST(SUM(CASE WHEN cost_category = 'Staff' THEN raw_cost ELSE 0 END) AS DECIMAL(38,2)) AS staff_cost,
+       CAST(SUM(CASE WHEN cost_category = 'Burden' THEN raw_cost ELSE 0 END) AS DECIMAL(38,2)) AS burden_cost,
+       CAST(SUM(CASE WHEN cost_category = 'Expenses' THEN raw_cost ELSE 0 END) AS DECIMAL(38,2)) AS expense_cost
+FROM project_costs GROUP BY project_id""", "project_costs"))
+def cost_by_category(t: Tables) -> DataFrame:
+    """R-CO2: cost by category (staff, burden, expenses) per project (A2)."""
+    return A.pivot_sum(S.project_costs(t), ["project_id"], "cost_category", "raw_cost", ["Staff", "Burden", "Expenses"],
+                       {"Staff": "staff_cost", "Burden": "burden_cost", "Expenses": "expense_cost"})
+
+
+@register("r_co3_contract_cost_overhead", S.with_sql("""
+SELECT project_id, CAST(SUM(raw_cost) AS DECIMAL(38,2)) AS cost_without_overhead,
+       CAST(SUM(burdened_cost) AS DECIMAL(38,2)) AS cost_with_overhead
+FROM project_costs WHERE billable_flag = 'Y' GROUP BY project_id""", "project_costs"))
+def contract_cost_overhead(t: Tables) -> DataFrame:
+    """R-CO3: contract (billable) cost with and without overhead, each
+    detail set aggregated once (no fan-out, §8 #14)."""
+    c = S.project_costs(t).filter(F.col("billable_flag") == "Y")
+    return c.groupBy("project_id").agg(F.sum("raw_cost").cast(TOTAL).alias("cost_without_overhead"),
+                                       F.sum("burdened_cost").cast(TOTAL).alias("cost_with_overhead"))
+
+
+@register("r_co4_wip", S.with_sql("""
+SELECT project_id, recognised, invoiced, CAST(recognised - invoiced AS DECIMAL(38,2)) AS wip
+FROM (SELECT project_id,
+             CAST(SUM(CASE WHEN revenue_recognized_flag = 'F' THEN burdened_cost ELSE 0 END) AS DECIMAL(38,2)) AS recognised,
+             CAST(SUM(CASE WHEN invoiced_flag = 'F' THEN burdened_cost ELSE 0 END) AS DECIMAL(38,2)) AS invoiced
+      FROM project_costs WHERE billable_flag = 'Y' GROUP BY project_id) x
+WHERE recognised - invoiced <> 0""", "project_costs"))
+def wip(t: Tables) -> DataFrame:
+    """R-CO4: WIP = recognised - invoiced per project, non-zero only."""
+    c = S.project_costs(t).filter(F.col("billable_flag") == "Y")
+    g = c.groupBy("project_id").agg(
+        F.sum(F.when(F.col("revenue_recognized_flag") == "F", F.col("burdened_cost")).otherwise(0)).cast(TOTAL).alias("recognised"),
+        F.sum(F.when(F.col("invoiced_flag") == "F", F.col("burdened_cost")).otherwise(0)).cast(TOTAL).alias("invoiced"))
+    g = g.withColumn("wip", (F.col("recognised") - F.col("invoiced")).cast(TOTAL))
+    return g.filter(F.col("wip") != 0)
+
+
+@register("r_co6_quantity_hours", S.with_sql("""
+SELECT project_id, CAST(SUM(quantity) AS DECIMAL(38,2)) AS hours
+FROM project_costs c WHERE EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = c.expenditure_type_id
+                                   AND split_part(p.p_type, ' ', 1) IN ('ECONOMY', 'STANDARD'))
+GROUP BY project_id""", "project_costs"))
+def quantity_hours(t: Tables) -> DataFrame:
+    """R-CO6: quantity in hours -- items whose expenditure type is a labour
+    type (semi join, J3)."""
+    labour = t.part.filter(F.split("p_type", " ").getItem(0).isin("ECONOMY", "STANDARD")) \
+        .select(F.col("p_partkey").alias("expenditure_type_id"))
+    c = S.project_costs(t).join(labour, "expenditure_type_id", "left_semi")
+    return c.groupBy("project_id").agg(F.sum("quantity").cast(TOTAL).alias("hours"))
+
+
+@register("r_pj4_wip_billed_status", S.with_sql("""
+SELECT project_id, task_id,
+       CASE invoiced_flag WHEN 'F' THEN 'Fully Billed' WHEN 'P' THEN 'Partially Billed' ELSE 'Unbilled' END AS billed_status,
+       COUNT(*) AS items, CAST(SUM(burdened_cost) AS DECIMAL(38,2)) AS amount
+FROM project_costs GROUP BY 1, 2, 3""", "project_costs"))
+def wip_billed_status(t: Tables) -> DataFrame:
+    """R-PJ4: WIP detail with billed status (DECODE of the invoiced flag)."""
+    c = S.project_costs(t)
+    st = decode("invoiced_flag", [("F", "Fully Billed"), ("P", "Partially Billed")], "Unbilled")
+    return c.groupBy("project_id", "task_id", st.alias("billed_status")).agg(
+        F.count(F.lit(1)).alias("items"), F.sum("burdened_cost").cast(TOTAL).alias("amount"))
+
+
+_PJ2_SQL = S.with_sql(f"""
+SELECT p.project_id, b.budget_amount, f.forecast_amount, CAST(COALESCE(c.actual_cost, 0) AS DECIMAL(38,2)) AS actual_cost
+FROM (SELECT DISTINCT project_id FROM plan_versions) p
+LEFT JOIN (SELECT project_id, arg_max(plan_amount, (submitted_date, plan_version_id)) AS budget_amount
+           FROM plan_versions WHERE plan_class = 'BUDGET' AND plan_status = 'BASELINED' AND submitted_date <= {D(AS_OF)}
+           GROUP BY project_id) b ON b.project_id = p.project_id
+LEFT JOIN (SELECT project_id, arg_max(plan_amount, (submitted_date, plan_version_id)) AS forecast_amount
+           FROM plan_versions WHERE plan_class = 'FORECAST' AND submitted_date <= {D(AS_OF)}
+           GROUP BY project_id) f ON f.project_id = p.project_id
+LEFT JOIN (SELECT project_id, SUM(burdened_cost) AS actual_cost FROM project_costs
+           WHERE expenditure_date <= {D(AS_OF)} GROUP BY project_id) c ON c.project_id = p.project_id""",
+                      "plan_versions", "project_costs")
+
+
+@register("r_pj2_project_summary", _PJ2_SQL)
+def project_summary(t: Tables) -> DataFrame:
+    """R-PJ2: latest baselined budget and latest forecast at the date (V1
+    as a grouped max_by), actual cost to date, per project."""
+    pv = S.plan_versions(t).filter(F.col("submitted_date") <= F.lit(AS_OF))
+    bud = E.latest(pv.filter((F.col("plan_class") == "BUDGET") & (F.col("plan_status") == "BASELINED"))
+                   .select("project_id", "submitted_date", "plan_version_id", "plan_amount"),
+                   ["project_id"], ["submitted_date", "plan_version_id"]).select(
+        "project_id", F.col("plan_amount").alias("budget_amount"))
+    fc = E.latest(pv.filter(F.col("plan_class") == "FORECAST").select("project_id", "submitted_date", "plan_version_id", "plan_amount"),
+                  ["project_id"], ["submitted_date", "plan_version_id"]).select(
+        "project_id", F.col("plan_amount").alias("forecast_amount"))
+    cost = (S.project_costs(t).filter(F.col("expenditure_date") <= F.lit(AS_OF)).groupBy("project_id")
+            .agg(F.sum("burdened_cost").alias("actual_cost")))
+    p = S.plan_versions(t).select("project_id").distinct()
+    j = p.join(bud, "project_id", "left").join(fc, "project_id", "left").join(cost, "project_id", "left")
+    return j.select("project_id", "budget_amount", "forecast_amount",
+                    F.coalesce("actual_cost", F.lit(0)).cast(TOTAL).alias("actual_cost"))
+
+
+@register("r_pj10_plan_status_map", S.with_sql("""
+SELECT plan_class, plan_status,
+       CASE plan_class WHEN 'BUDGET' THEN CASE plan_status WHEN 'BASELINED' THEN 'Current Baseline'
+                                                           WHEN 'SUBMITTED' THEN 'Submitted' ELSE 'Working' END
+                       ELSE CASE plan_status WHEN 'BASELINED' THEN 'Approved Forecast' ELSE 'Draft Forecast' END END AS status_label,
+       COUNT(*) AS versions
+FROM plan_versions GROUP BY 1, 2, 3""", "plan_versions"))
+def plan_status_map(t: Tables) -> DataFrame:
+    """R-PJ10: nested status code map (DECODE within DECODE)."""
+    pv = S.plan_versions(t)
+    inner_b = decode("plan_status", [("BASELINED", "Current Baseline"), ("SUBMITTED", "Submitted")], "Working")
+    inner_f = decode("plan_status", [("BASELINED", "Approved Forecast")], "Draft Forecast")
+    lab = decode("plan_class", [("BUDGET", inner_b)], inner_f)
+    return pv.groupBy("plan_class", "plan_status", lab.alias("status_label")).agg(F.count(F.lit(1)).alias("versions"))
+
+
+@register("r_co7_unpaid_supplier_invoices", S.with_sql("""
+SELECT c.project_id, COUNT(*) AS unpaid_items, CAST(SUM(c.raw_cost) AS DECIMAL(38,2)) AS unpaid_amount
+FROM project_costs c WHERE c.invoiced_flag <> 'F' GROUP BY c.project_id""", "project_costs"))
+def unpaid_supplier_invoices(t: Tables) -> DataFrame:
+    """R-CO7: unpaid supplier cost per project."""
+    c = S.project_costs(t).filter(F.col("invoiced_flag") != "F")
+    return c.groupBy("project_id").agg(F.count(F.lit(1)).alias("unpaid_items"),
+                                       F.sum("raw_cost").cast(TOTAL).alias("unpaid_amount"))

@@ -1 +1,195 @@
-"""Placeholder."""
+"""Supply-chain reports: purchasing, inventory, order management and the
+procure-to-pay chain (R-PO*, R-IV*, R-OM1, R-P2P*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyspark.functions.params import AS_OF
+from tallyspark.functions.scalars import MONEY, TOTAL, money, round_money
+from tallyspark.operators import effective as E
+from tallyspark.plans.registry import register
+from tallyspark.sources import standins as S
+from tallyspark.sources.tables import Tables
+
+D = S._d
+
+
+@register("r_po1_open_purchase_orders", """
+SELECT o.o_orderkey AS po_id, o.o_custkey AS buyer_id, q.ordered_qty, q.received_qty,
+       q.ordered_qty - q.received_qty AS open_qty
+FROM orders o JOIN (SELECT l_orderkey, SUM(CAST(l_quantity AS BIGINT)) AS ordered_qty,
+                           SUM(CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS received_qty
+                    FROM lineitem GROUP BY l_orderkey) q ON q.l_orderkey = o.o_orderkey
+WHERE o.o_orderstatus = 'O' AND q.ordered_qty - q.received_qty > 0""")
+def open_purchase_orders(t: Tables) -> DataFrame:
+    """R-PO1/F14: open (not closed, not cancelled) orders with open quantity > 0.
+
+    Quantities are aggregated per order before the join."""
+    q = t.lineitem.groupBy(F.col("l_orderkey").alias("po_id")).agg(
+        F.sum(F.col("l_quantity").cast("bigint")).alias("ordered_qty"),
+        F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity").cast("bigint")).otherwise(0)).alias("received_qty"))
+    o = t.orders.filter(F.col("o_orderstatus") == "O").select(F.col("o_orderkey").alias("po_id"),
+                                                              F.col("o_custkey").alias("buyer_id"))
+    j = o.join(q, "po_id").withColumn("open_qty", F.col("ordered_qty") - F.col("received_qty"))
+    return j.filter(F.col("open_qty") > 0)
+
+
+@register("r_po2_po_shipment_detail", """
+SELECT l.l_orderkey AS po_id, l.l_linenumber AS shipment_num, l.l_partkey AS item_id, p.p_name AS item_name,
+       s.s_name AS supplier_name, n.n_name AS supplier_country, c.c_name AS buyer_name,
+       CAST(o.o_orderdate AS DATE) AS po_date, CAST(l.l_quantity AS BIGINT) AS quantity,
+       CAST(l.l_extendedprice AS DECIMAL(18,2)) AS amount, f.first_buyer
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
+JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN nation n ON n.n_nationkey = s.s_nationkey
+JOIN part p ON p.p_partkey = l.l_partkey
+JOIN (SELECT l_suppkey, arg_min(o_custkey, (o_orderdate, o_orderkey, o_custkey)) AS first_buyer
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_suppkey) f ON f.l_suppkey = l.l_suppkey""")
+def po_shipment_detail(t: Tables) -> DataFrame:
+    """R-PO2/J21: one row per shipment stitched from order, buyer, supplier,
+    country and item masters, plus the supplier's first buyer (W6 as a
+    grouped min_by)."""
+    li, o = t.lineitem, t.orders
+    base = li.join(o, li.l_orderkey == o.o_orderkey)
+    first = base.groupBy("l_suppkey").agg(
+        F.min_by("o_custkey", F.struct("o_orderdate", "o_orderkey", "o_custkey")).alias("first_buyer"))
+    j = (base.join(t.customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+             .join(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+             .join(F.broadcast(t.nation.select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"))
+             .join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+             .join(first, "l_suppkey"))
+    return j.select(F.col("l_orderkey").alias("po_id"), F.col("l_linenumber").alias("shipment_num"),
+                    F.col("l_partkey").alias("item_id"), F.col("p_name").alias("item_name"),
+                    F.col("s_name").alias("supplier_name"), F.col("n_name").alias("supplier_country"),
+                    F.col("c_name").alias("buyer_name"), F.to_date("o_orderdate").alias("po_date"),
+                    F.col("l_quantity").cast("bigint").alias("quantity"), money("l_extendedprice").alias("amount"),
+                    "first_buyer")
+
+
+@register("r_po5_shipment_tax", S.with_sql("""
+SELECT applied_trx_id AS po_id, CAST(SUM(gross_amount) AS DECIMAL(38,2)) AS order_amount,
+       CAST(SUM(acctd_amount - amount) AS DECIMAL(38,2)) AS recoverable_tax
+FROM applications GROUP BY applied_trx_id""", "applications"))
+def shipment_tax(t: Tables) -> DataFrame:
+    """R-PO5: order amount from its distributions and recoverable tax per order."""
+    a = S.applications(t)
+    return a.groupBy(F.col("applied_trx_id").alias("po_id")).agg(
+        F.sum("gross_amount").cast(TOTAL).alias("order_amount"),
+        F.sum(F.col("acctd_amount") - F.col("amount")).cast(TOTAL).alias("recoverable_tax"))
+
+
+@register("r_om1_sales_order_lines", """
+SELECT l.l_orderkey AS order_id, l.l_linenumber AS line_num, o.o_custkey AS customer_id,
+       CASE l.l_linestatus WHEN 'F' THEN 'CLOSED' WHEN 'O' THEN 'AWAITING_SHIPPING' ELSE 'ENTERED' END AS line_status,
+       CASE l.l_returnflag WHEN 'R' THEN 'RETURNED' WHEN 'A' THEN 'ACCEPTED' ELSE 'NONE' END AS return_status,
+       CAST(l.l_quantity AS BIGINT) AS quantity
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey""")
+def sales_order_lines(t: Tables) -> DataFrame:
+    """R-OM1: sales order lines with a decoded line and return status."""
+    from tallyspark.functions.scalars import decode
+    li, o = t.lineitem, t.orders.select("o_orderkey", "o_custkey")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    return j.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_num"),
+                    F.col("o_custkey").alias("customer_id"),
+                    decode("l_linestatus", [("F", "CLOSED"), ("O", "AWAITING_SHIPPING")], "ENTERED").alias("line_status"),
+                    decode("l_returnflag", [("R", "RETURNED"), ("A", "ACCEPTED")], "NONE").alias("return_status"),
+                    F.col("l_quantity").cast("bigint").alias("quantity"))
+
+
+@register("r_iv1_onhand", S.with_sql("""
+SELECT item_id, org_id, SUM(quantity) AS onhand_qty, CAST(SUM(CASE WHEN quantity < 0 THEN -value ELSE value END) AS DECIMAL(38,2)) AS onhand_value
+FROM movements GROUP BY item_id, org_id""", "movements"))
+def onhand(t: Tables) -> DataFrame:
+    """R-IV1: on-hand quantity and value by item and location."""
+    m = S.movements(t)
+    return m.groupBy("item_id", "org_id").agg(
+        F.sum("quantity").alias("onhand_qty"),
+        F.sum(F.when(F.col("quantity") < 0, -F.col("value")).otherwise(F.col("value"))).cast(TOTAL).alias("onhand_value"))
+
+
+@register("r_iv3_movement_cost", S.with_sql("""
+SELECT m.source_doc_id, m.item_id, m.org_id, m.trx_date, m.quantity, c.unit_cost_average,
+       CAST(m.quantity * c.unit_cost_average AS DECIMAL(38,2)) AS movement_cost
+FROM movements m JOIN cost_periods c ON c.item_id = m.item_id
+ AND m.trx_date >= c.cost_date AND m.trx_date <= c.cost_end_date AND m.trx_date <> c.cost_end_date""",
+                                           "movements", "cost_periods"))
+def movement_cost(t: Tables) -> DataFrame:
+    """R-IV3/J10: average cost of each movement from the item's cost period
+    (equi key item + date range, the period end excluded as in the source)."""
+    m = S.movements(t)
+    c = S.cost_periods(t)
+    j = E.join_period(m, c, ["item_id"], "trx_date", "cost_date", "cost_end_date", exclude_end=True)
+    return j.select("source_doc_id", "item_id", "org_id", "trx_date", "quantity", "unit_cost_average",
+                    (F.col("quantity") * F.col("unit_cost_average")).cast(TOTAL).alias("movement_cost"))
+
+
+def _stage_status() -> F.Column:
+    return (F.when(F.col("pay_amount").isNotNull(), "PAID").when(F.col("inv_amount").isNotNull(), "INVOICED")
+             .when(F.col("rcv_amount").isNotNull(), "RECEIVED").when(F.col("po_amount").isNotNull(), "ORDERED")
+             .otherwise("REQUISITIONED"))
+
+
+_STAGE_SQL = ("CASE WHEN pay_amount IS NOT NULL THEN 'PAID' WHEN inv_amount IS NOT NULL THEN 'INVOICED' "
+              "WHEN rcv_amount IS NOT NULL THEN 'RECEIVED' WHEN po_amount IS NOT NULL THEN 'ORDERED' "
+              "ELSE 'REQUISITIONED' END")
+
+
+@register("r_p2p1_procure_to_pay", S.with_sql(f"""
+SELECT req_id, req_date, req_amount, po_amount, rcv_amount, inv_amount, pay_amount, {_STAGE_SQL} AS stage
+FROM p2p_stages""", "p2p_stages"))
+def procure_to_pay(t: Tables) -> DataFrame:
+    """R-P2P1/J22: requisition -> order -> receipt -> invoice -> payment with
+    partial progress; every stage pre-aggregated per document (§8 #15)."""
+    s = S.p2p_stages(t)
+    return s.select("req_id", "req_date", "req_amount", "po_amount", "rcv_amount", "inv_amount", "pay_amount",
+                    _stage_status().alias("stage"))
+
+
+@register("r_p2p2_lead_time_savings", S.with_sql("""
+SELECT req_id, rcv_date - po_date AS lead_time_days,
+       CAST(req_amount - po_amount AS DECIMAL(38,2)) AS savings,
+       CASE WHEN rcv_amount IS NOT NULL AND inv_amount IS NULL THEN 'Y' ELSE 'N' END AS received_not_invoiced
+FROM p2p_stages WHERE po_amount IS NOT NULL""", "p2p_stages"))
+def lead_time_savings(t: Tables) -> DataFrame:
+    """R-P2P2: lead time in days, savings, receipt-not-invoiced flag."""
+    s = S.p2p_stages(t).filter(F.col("po_amount").isNotNull())
+    return s.select("req_id", F.datediff("rcv_date", "po_date").alias("lead_time_days"),
+                    (F.col("req_amount") - F.col("po_amount")).cast(TOTAL).alias("savings"),
+                    F.when(F.col("rcv_amount").isNotNull() & F.col("inv_amount").isNull(), "Y").otherwise("N")
+                    .alias("received_not_invoiced"))
+
+
+@register("r_p2p3_p2p6_match_status", S.with_sql("""
+SELECT CASE WHEN po_amount IS NULL THEN 'NO PO'
+            WHEN rcv_amount IS NOT NULL AND inv_amount IS NOT NULL AND pay_amount IS NOT NULL THEN '4-WAY'
+            WHEN rcv_amount IS NOT NULL AND inv_amount IS NOT NULL THEN '3-WAY'
+            WHEN inv_amount IS NOT NULL THEN '2-WAY' ELSE 'UNMATCHED' END AS match_class,
+       CASE WHEN rcv_amount IS NOT NULL AND (inv_amount IS NULL OR inv_amount < rcv_amount) THEN 'OPEN' ELSE 'CLOSED' END AS grn_status,
+       COUNT(*) AS documents
+FROM p2p_stages GROUP BY 1, 2""", "p2p_stages"))
+def match_status(t: Tables) -> DataFrame:
+    """R-P2P3/R-P2P6: 2/3/4-way match class and goods-received open status."""
+    s = S.p2p_stages(t)
+    cls = (F.when(F.col("po_amount").isNull(), "NO PO")
+           .when(F.col("rcv_amount").isNotNull() & F.col("inv_amount").isNotNull() & F.col("pay_amount").isNotNull(), "4-WAY")
+           .when(F.col("rcv_amount").isNotNull() & F.col("inv_amount").isNotNull(), "3-WAY")
+           .when(F.col("inv_amount").isNotNull(), "2-WAY").otherwise("UNMATCHED"))
+    grn = F.when(F.col("rcv_amount").isNotNull() & (F.col("inv_amount").isNull() | (F.col("inv_amount") < F.col("rcv_amount"))),
+                 "OPEN").otherwise("CLOSED")
+    return s.groupBy(cls.alias("match_class"), grn.alias("grn_status")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@register("r_p2p5_supplier_qualification", S.with_sql(f"""
+SELECT s.supplier_id, s.vendor_name, COUNT(DISTINCT a.applied_trx_id) AS orders_supplied,
+       CASE WHEN s.acctbal >= 0 THEN 'QUALIFIED' ELSE 'ON HOLD' END AS qualification
+FROM suppliers s LEFT JOIN applications a ON a.supplier_id = s.supplier_id AND a.apply_date <= {D(AS_OF)}
+GROUP BY s.supplier_id, s.vendor_name, s.acctbal""", "suppliers", "applications"))
+def supplier_qualification(t: Tables) -> DataFrame:
+    """R-P2P5: supplier qualification list at a date."""
+    s = S.suppliers(t)
+    a = (S.applications(t).filter(F.col("apply_date") <= F.lit(AS_OF)).groupBy("supplier_id")
+         .agg(F.count_distinct("applied_trx_id").alias("orders_supplied")))
+    j = s.join(a, "supplier_id", "left")
+    return j.select("supplier_id", "vendor_name", F.coalesce("orders_supplied", F.lit(0)).alias("orders_supplied"),
+                    F.when(F.col("acctbal") >= 0, "QUALIFIED").otherwise("ON HOLD").alias("qualification"))
