@@ -1 +1,249 @@
-"""Placeholder."""
+"""Time and attendance (R-TL*).
+
+People x days is the one expansion step: it is generated per person from
+the bounded parameter window (``schedule_days``), and every "minus" step
+(reported days, holidays, leave) is an equi anti-join on (person, day), so
+the three exclusions share the same hash partitioning.
+"""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyspark.functions.params import EVENTS_FROM, EVENTS_TO
+from tallyspark.functions.scalars import percent, sql_percent, div_round, sql_div_round
+from tallyspark.operators import effective as E
+from tallyspark.plans.registry import register
+from tallyspark.sources import standins as S
+from tallyspark.sources.tables import Tables
+
+D = S._d
+FULL_DAY_MIN = 480
+
+
+def punch_days(t: Tables) -> DataFrame:
+    """Per person and day: punches, first and last punch, worked minutes."""
+    tr = S.time_records(t)
+    mod = F.hour("start_time") * 60 + F.minute("start_time")
+    return tr.groupBy(F.col("resource_id").alias("person_id"), "work_date").agg(
+        F.count(F.lit(1)).alias("punches"), F.min("start_time").alias("first_in"), F.max("start_time").alias("last_out"),
+        (F.max(mod) - F.min(mod)).alias("worked_minutes"), F.sum("measure").alias("measure"))
+
+
+S._cte("punch_days", ("time_records",), """
+SELECT resource_id AS person_id, work_date, COUNT(*) AS punches, MIN(start_time) AS first_in, MAX(start_time) AS last_out,
+       MAX(hour(start_time) * 60 + minute(start_time)) - MIN(hour(start_time) * 60 + minute(start_time)) AS worked_minutes,
+       SUM(measure) AS measure
+FROM time_records GROUP BY resource_id, work_date""")
+
+
+def missing_days(t: Tables, as_of: _dt.date = EVENTS_TO) -> DataFrame:
+    days = S.schedule_days(t).filter(F.col("work_date") <= F.lit(as_of))
+    reported = S.time_records(t).select(F.col("resource_id").alias("person_id"), "work_date").distinct()
+    hol = S.person_holidays(t).select("person_id", F.col("holiday_date").alias("work_date"))
+    out = days.join(reported, ["person_id", "work_date"], "left_anti").join(hol, ["person_id", "work_date"], "left_anti")
+    return E.anti_interval(out, S.leaves(t), "person_id", "work_date", "start_date", "end_date")
+
+
+_TL1_SQL = S.with_sql(f"""
+SELECT d.person_id, d.schedule_id, d.work_date, d.weekday FROM schedule_days d
+WHERE d.work_date <= {D(EVENTS_TO)}
+  AND NOT EXISTS (SELECT 1 FROM time_records r WHERE r.resource_id = d.person_id AND r.work_date = d.work_date)
+  AND NOT EXISTS (SELECT 1 FROM person_holidays h WHERE h.person_id = d.person_id AND h.holiday_date = d.work_date)
+  AND NOT EXISTS (SELECT 1 FROM leaves l WHERE l.person_id = d.person_id AND d.work_date BETWEEN l.start_date AND l.end_date)""",
+                      "schedule_days", "time_records", "person_holidays", "leaves")
+
+
+@register("r_tl1_missing_timecard_days", _TL1_SQL)
+def missing_timecard_days(t: Tables) -> DataFrame:
+    """R-TL1: scheduled working days (override schedule, S6) without a time
+    record, a holiday or a leave day, up to the date."""
+    return missing_days(t).select("person_id", "schedule_id", "work_date", "weekday")
+
+
+_WEEK1_TO = _dt.date(2024, 1, 7)
+
+
+@register("r_tl3_no_timesheet", S.with_sql(f"""
+SELECT p.person_id FROM people p
+WHERE NOT EXISTS (SELECT 1 FROM time_records r WHERE r.resource_id = p.person_id
+                  AND r.work_date BETWEEN {D(EVENTS_FROM)} AND {D(_WEEK1_TO)})""", "people", "time_records"))
+def no_timesheet(t: Tables) -> DataFrame:
+    """R-TL3: employees without any time record in the first week."""
+    r = S.time_records(t).filter(F.col("work_date").between(F.lit(EVENTS_FROM), F.lit(_WEEK1_TO))) \
+        .select(F.col("resource_id").alias("person_id"))
+    return S.people(t).join(r, "person_id", "left_anti")
+
+
+@register("r_tl4_hours_by_week", S.with_sql("""
+SELECT resource_id AS person_id, CAST(date_trunc('week', work_date) AS DATE) AS week_start,
+       CAST(SUM(measure) AS DECIMAL(38,2)) AS hours, COUNT(*) AS entries
+FROM time_records GROUP BY 1, 2""", "time_records"))
+def hours_by_week(t: Tables) -> DataFrame:
+    """R-TL4: reported hours per person and week."""
+    tr = S.time_records(t)
+    return tr.groupBy(F.col("resource_id").alias("person_id"), F.trunc("work_date", "week").alias("week_start")).agg(
+        F.sum("measure").cast("decimal(38,2)").alias("hours"), F.count(F.lit(1)).alias("entries"))
+
+
+_ATT_SQL = ("CASE WHEN p.punches IS NULL THEN 'ABSENT' WHEN p.punches = 1 THEN 'MISSING OUT' ELSE 'PRESENT' END")
+
+
+@register("r_tl6_daily_attendance", S.with_sql(f"""
+SELECT d.person_id, d.work_date, COALESCE(p.punches, 0) AS punches, p.first_in, p.last_out, {_ATT_SQL} AS attendance
+FROM schedule_days d LEFT JOIN punch_days p ON p.person_id = d.person_id AND p.work_date = d.work_date""",
+                                               "schedule_days", "punch_days"))
+def daily_attendance(t: Tables) -> DataFrame:
+    """R-TL6: daily attendance per scheduled day: present / missing out / absent."""
+    d = S.schedule_days(t).select("person_id", "work_date")
+    p = punch_days(t)
+    j = d.join(p, ["person_id", "work_date"], "left")
+    st = (F.when(F.col("punches").isNull(), "ABSENT").when(F.col("punches") == 1, "MISSING OUT").otherwise("PRESENT"))
+    return j.select("person_id", "work_date", F.coalesce("punches", F.lit(0)).alias("punches"), "first_in", "last_out",
+                    st.alias("attendance"))
+
+
+_TL7_SQL = S.with_sql(f"""
+SELECT d.person_id, COUNT(*) AS scheduled_days,
+       SUM(CASE WHEN p.person_id IS NOT NULL THEN 1 ELSE 0 END) AS worked_days,
+       30 - COUNT(*) AS week_off_days,
+       SUM(CASE WHEN l.person_id IS NOT NULL THEN 1 ELSE 0 END) AS leave_days,
+       SUM(CASE WHEN p.person_id IS NULL AND l.person_id IS NULL AND h.person_id IS NULL THEN 1 ELSE 0 END) AS absent_days,
+       {sql_percent('SUM(CASE WHEN p.person_id IS NOT NULL THEN 1 ELSE 0 END)', 'COUNT(*)')} AS attendance_pct
+FROM schedule_days d
+LEFT JOIN (SELECT DISTINCT person_id, work_date FROM punch_days) p ON p.person_id = d.person_id AND p.work_date = d.work_date
+LEFT JOIN (SELECT DISTINCT person_id, CAST(unnest(generate_series(start_date::TIMESTAMP, end_date::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS work_date
+           FROM leaves) l ON l.person_id = d.person_id AND l.work_date = d.work_date
+LEFT JOIN person_holidays h ON h.person_id = d.person_id AND h.holiday_date = d.work_date
+GROUP BY d.person_id""", "schedule_days", "punch_days", "leaves", "person_holidays")
+
+
+@register("r_tl7_monthly_attendance", _TL7_SQL)
+def monthly_attendance(t: Tables) -> DataFrame:
+    """R-TL7: scheduled, worked, week-off, leave and absent days and the
+    attendance percent (exact, zero-guarded); absent is 0, not NULL,
+    without a schedule row (§8 #18)."""
+    d = S.schedule_days(t).select("person_id", "work_date")
+    worked = punch_days(t).select("person_id", "work_date").distinct().withColumn("w", F.lit(1))
+    lv = E.explode_interval(S.leaves(t).select("person_id", "start_date", "end_date"), "start_date", "end_date", "work_date") \
+        .select("person_id", "work_date").distinct().withColumn("l", F.lit(1))
+    hol = S.person_holidays(t).select("person_id", F.col("holiday_date").alias("work_date")).withColumn("h", F.lit(1))
+    j = d.join(worked, ["person_id", "work_date"], "left").join(lv, ["person_id", "work_date"], "left") \
+        .join(hol, ["person_id", "work_date"], "left")
+    g = j.groupBy("person_id").agg(
+        F.count(F.lit(1)).alias("scheduled_days"),
+        F.sum(F.when(F.col("w").isNotNull(), 1).otherwise(0)).alias("worked_days"),
+        F.sum(F.when(F.col("l").isNotNull(), 1).otherwise(0)).alias("leave_days"),
+        F.sum(F.when(F.col("w").isNull() & F.col("l").isNull() & F.col("h").isNull(), 1).otherwise(0)).alias("absent_days"))
+    days_in_window = (EVENTS_TO - EVENTS_FROM).days + 1
+    return g.select("person_id", "scheduled_days", "worked_days",
+                    (F.lit(days_in_window) - F.col("scheduled_days")).alias("week_off_days"), "leave_days", "absent_days",
+                    percent("worked_days", "scheduled_days").alias("attendance_pct"))
+
+
+_SHIFT_SQL = ("CASE WHEN hour(first_in) >= 20 OR hour(first_in) < 6 THEN 'NIGHT' "
+              "WHEN hour(first_in) >= 14 THEN 'EVENING' ELSE 'DAY' END")
+
+
+@register("r_tl8_shift_allowance", S.with_sql(f"""
+SELECT person_id, work_date, {_SHIFT_SQL} AS shift_type, worked_minutes,
+       CASE WHEN ({_SHIFT_SQL}) IN ('NIGHT', 'EVENING') AND worked_minutes >= {FULL_DAY_MIN} AND punches >= 2
+            THEN 'Y' ELSE 'N' END AS allowance_eligible
+FROM punch_days""", "punch_days"))
+def shift_allowance(t: Tables) -> DataFrame:
+    """R-TL8: shift type from the first punch and allowance eligibility
+    (night/evening shift, full shift, both punches present)."""
+    p = punch_days(t)
+    h = F.hour("first_in")
+    shift = F.when((h >= 20) | (h < 6), "NIGHT").when(h >= 14, "EVENING").otherwise("DAY")
+    elig = F.when(shift.isin("NIGHT", "EVENING") & (F.col("worked_minutes") >= FULL_DAY_MIN) & (F.col("punches") >= 2),
+                  "Y").otherwise("N")
+    return p.select("person_id", "work_date", shift.alias("shift_type"), "worked_minutes", elig.alias("allowance_eligible"))
+
+
+@register("r_tl9_missing_punches", S.with_sql("""
+SELECT person_id, work_date, first_in AS only_punch FROM punch_days WHERE punches = 1""", "punch_days"))
+def missing_punches(t: Tables) -> DataFrame:
+    """R-TL9: days with a single punch (in without out)."""
+    p = punch_days(t).filter(F.col("punches") == 1)
+    return p.select("person_id", "work_date", F.col("first_in").alias("only_punch"))
+
+
+_OT_SQL = f"""(SELECT p.person_id, p.work_date, p.worked_minutes,
+   LEAST(GREATEST(p.worked_minutes - {FULL_DAY_MIN}, 0),
+         CASE WHEN h.person_id IS NOT NULL OR isodow(p.work_date) >= 6 THEN 480 ELSE 120 END) AS overtime_minutes
+ FROM punch_days p LEFT JOIN person_holidays h ON h.person_id = p.person_id AND h.holiday_date = p.work_date)"""
+
+
+@register("r_tl10_overtime", S.with_sql(f"""
+SELECT person_id, CAST(date_trunc('week', work_date) AS DATE) AS week_start, SUM(worked_minutes) AS worked_minutes,
+       SUM(overtime_minutes) AS capped_overtime_minutes,
+       CASE WHEN SUM(worked_minutes) > 45 * 60 THEN 'Y' ELSE 'N' END AS over_weekly_threshold
+FROM {_OT_SQL} o GROUP BY 1, 2""", "punch_days", "person_holidays"))
+def overtime(t: Tables) -> DataFrame:
+    """R-TL10: daily overtime capped at 2 h on weekdays and 8 h on holidays
+    and weekends, summed per week with the 45 h threshold flag."""
+    p = punch_days(t)
+    hol = S.person_holidays(t).select("person_id", F.col("holiday_date").alias("work_date"), F.lit(1).alias("hol"))
+    j = p.join(hol, ["person_id", "work_date"], "left")
+    cap = F.when(F.col("hol").isNotNull() | (F.weekday("work_date") >= 5), 480).otherwise(120)
+    j = j.withColumn("overtime_minutes", F.least(F.greatest(F.col("worked_minutes") - FULL_DAY_MIN, F.lit(0)), cap))
+    g = j.groupBy("person_id", F.trunc("work_date", "week").alias("week_start")).agg(
+        F.sum("worked_minutes").alias("worked_minutes"), F.sum("overtime_minutes").alias("capped_overtime_minutes"))
+    return g.withColumn("over_weekly_threshold", F.when(F.col("worked_minutes") > 45 * 60, "Y").otherwise("N"))
+
+
+@register("r_tl11_monthly_deficit_alert", S.with_sql(f"""
+SELECT d.person_id, COUNT(*) * {FULL_DAY_MIN} AS scheduled_minutes, COALESCE(SUM(p.worked_minutes), 0) AS worked_minutes,
+       COUNT(*) * {FULL_DAY_MIN} - COALESCE(SUM(p.worked_minutes), 0) AS deficit_minutes
+FROM schedule_days d LEFT JOIN punch_days p ON p.person_id = d.person_id AND p.work_date = d.work_date
+GROUP BY d.person_id HAVING COUNT(*) * {FULL_DAY_MIN} - COALESCE(SUM(p.worked_minutes), 0) >= 360""",
+                                                    "schedule_days", "punch_days"))
+def monthly_deficit(t: Tables) -> DataFrame:
+    """R-TL11: people whose worked time falls short of the schedule by 6 h
+    or more in the month (A2 + A4)."""
+    d = S.schedule_days(t).select("person_id", "work_date")
+    j = d.join(punch_days(t).select("person_id", "work_date", "worked_minutes"), ["person_id", "work_date"], "left")
+    g = j.groupBy("person_id").agg((F.count(F.lit(1)) * FULL_DAY_MIN).alias("scheduled_minutes"),
+                                   F.coalesce(F.sum("worked_minutes"), F.lit(0)).alias("worked_minutes"))
+    g = g.withColumn("deficit_minutes", F.col("scheduled_minutes") - F.col("worked_minutes"))
+    return g.filter(F.col("deficit_minutes") >= 360)
+
+
+@register("r_tl12_holidays_per_person", S.with_sql("""
+SELECT person_id, COUNT(DISTINCT holiday_date) AS holiday_days FROM person_holidays GROUP BY person_id""",
+                                                   "person_holidays"))
+def holidays_per_person(t: Tables) -> DataFrame:
+    """R-TL12: holiday days per person (distinct dates)."""
+    return S.person_holidays(t).groupBy("person_id").agg(F.count_distinct("holiday_date").alias("holiday_days"))
+
+
+# Leave entitlement (days per year) by completed years of service.
+ENTITLEMENT_BANDS = [("21", None, 4), ("25", 5, 9), ("30", 10, None)]
+
+
+@register("r_tl13_leave_entitlement", S.with_sql(f"""
+SELECT person_id, service_years, CAST(entitlement AS INTEGER) AS entitlement_days,
+       {sql_div_round('CAST(entitlement AS INTEGER) * 100', '1200')} AS monthly_accrual
+FROM (SELECT person_id, service_years,
+             CASE WHEN service_years <= 4 THEN '21' WHEN service_years >= 5 AND service_years <= 9 THEN '25' ELSE '30' END AS entitlement
+      FROM (SELECT person_id, CAST(floor((CASE WHEN day(DATE '2000-12-31') = day(date_start) OR
+            (DATE '2000-12-31' = last_day(DATE '2000-12-31') AND date_start = last_day(date_start))
+            THEN CAST((year(DATE '2000-12-31') - year(date_start)) * 12 + month(DATE '2000-12-31') - month(date_start) AS DOUBLE)
+            ELSE (year(DATE '2000-12-31') - year(date_start)) * 12 + month(DATE '2000-12-31') - month(date_start)
+                 + (day(DATE '2000-12-31') - day(date_start)) / 31.0 END) / 12) AS BIGINT) AS service_years
+            FROM service_periods) s) b""", "service_periods"))
+def leave_entitlement(t: Tables) -> DataFrame:
+    """R-TL13: entitlement by completed years of service (bands, first
+    match wins) and the monthly accrual (entitlement / 12, exact)."""
+    from tallyspark.functions.scalars import band
+    from tallyspark.functions.params import AS_OF
+    s = S.service_periods(t)
+    yrs = F.floor(F.months_between(F.lit(AS_OF), F.col("date_start"), False) / 12).cast("bigint")
+    s = s.select("person_id", yrs.alias("service_years"))
+    ent = band("service_years", ENTITLEMENT_BANDS).cast("int")
+    return s.select("person_id", "service_years", ent.alias("entitlement_days"),
+                    div_round(ent * 100, F.lit(1200), 2).alias("monthly_accrual"))
