@@ -1 +1,208 @@
-"""Placeholder."""
+"""Payroll, compensation and benefits (R-PY*, R-CP*).
+
+Run results hold their value as text (as in the source system); it is
+converted with ``try_cast`` so a bad value becomes NULL instead of failing
+the job under ANSI mode.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyspark.functions.params import AS_OF, END_OF_TIME, EVENTS_TO, PERIOD_FROM, PERIOD_TO
+from tallyspark.functions.scalars import TOTAL, band, cents, div_round, percent, sql_band, sql_div_round, sql_percent
+from tallyspark.operators import effective as E
+from tallyspark.operators import rollup as A
+from tallyspark.operators import windows as W
+from tallyspark.plans.registry import register
+from tallyspark.sources import standins as S
+from tallyspark.sources.tables import Tables
+
+D = S._d
+
+
+def _value() -> F.Column:
+    return F.col("result_value").try_cast("decimal(18,2)")
+
+
+_VAL = "TRY_CAST(result_value AS DECIMAL(18,2))"
+
+
+@register("r_py1_payslip", S.with_sql(f"""
+SELECT person_id, strftime(effective_date, '%Y-%m') AS pay_period,
+       CAST(SUM(CASE WHEN classification = 'Earnings' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS earnings,
+       CAST(SUM(CASE WHEN classification = 'Deductions' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS deductions,
+       CAST(SUM(CASE WHEN classification = 'Earnings' THEN {_VAL} WHEN classification = 'Deductions' THEN -{_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS net_pay
+FROM run_results GROUP BY 1, 2""", "run_results"))
+def payslip(t: Tables) -> DataFrame:
+    """R-PY1: earnings, deductions and net per person and month; net is
+    ELSE 0 so a person without deductions still gets a net (§8 #16)."""
+    r = S.run_results(t)
+    v = _value()
+    return r.groupBy("person_id", F.date_format("effective_date", "yyyy-MM").alias("pay_period")).agg(
+        F.sum(F.when(F.col("classification") == "Earnings", v).otherwise(0)).cast(TOTAL).alias("earnings"),
+        F.sum(F.when(F.col("classification") == "Deductions", v).otherwise(0)).cast(TOTAL).alias("deductions"),
+        F.sum(F.when(F.col("classification") == "Earnings", v).when(F.col("classification") == "Deductions", -v)
+              .otherwise(0)).cast(TOTAL).alias("net_pay"))
+
+
+@register("r_py2_element_register", S.with_sql(f"""
+SELECT element, classification, COUNT(*) AS entries, COUNT(DISTINCT person_id) AS people,
+       CAST(SUM({_VAL}) AS DECIMAL(38,2)) AS total
+FROM run_results GROUP BY element, classification""", "run_results"))
+def element_register(t: Tables) -> DataFrame:
+    """R-PY2: element register -- entries, people and total per element."""
+    r = S.run_results(t)
+    return r.groupBy("element", "classification").agg(
+        F.count(F.lit(1)).alias("entries"), F.count_distinct("person_id").alias("people"),
+        F.sum(_value()).cast(TOTAL).alias("total"))
+
+
+@register("r_py5_classification_net", S.with_sql(f"""
+SELECT x.*, CAST(SUM(CASE WHEN classification = 'Deductions' THEN -amount WHEN classification = 'Earnings' THEN amount ELSE 0 END)
+             OVER (PARTITION BY person_id) AS DECIMAL(38,2)) AS person_net
+FROM (SELECT person_id, classification, CAST(SUM({_VAL}) AS DECIMAL(38,2)) AS amount
+      FROM run_results GROUP BY person_id, classification) x""", "run_results"))
+def classification_net(t: Tables) -> DataFrame:
+    """R-PY5: element-agnostic totals by classification with the person's
+    net beside each row (W3 as aggregate + join back)."""
+    r = S.run_results(t)
+    g = r.groupBy("person_id", "classification").agg(F.sum(_value()).cast(TOTAL).alias("amount"))
+    signed = (F.when(F.col("classification") == "Deductions", -F.col("amount"))
+              .when(F.col("classification") == "Earnings", F.col("amount")).otherwise(0))
+    g = W.partition_total(g, ["person_id"], signed, "person_net")
+    return g.withColumn("person_net", F.col("person_net").cast(TOTAL))
+
+
+@register("r_py6_information_elements", S.with_sql("""
+SELECT person_id, COUNT(*) AS info_entries, MAX(effective_date) AS last_entry
+FROM run_results WHERE classification = 'Information' GROUP BY person_id""", "run_results"))
+def information_elements(t: Tables) -> DataFrame:
+    """R-PY6: information (non-money) elements per person."""
+    r = S.run_results(t).filter(F.col("classification") == "Information")
+    return r.groupBy("person_id").agg(F.count(F.lit(1)).alias("info_entries"), F.max("effective_date").alias("last_entry"))
+
+
+_MONTH0 = f"DATE '{EVENTS_TO.year}-{EVENTS_TO.month:02d}-15'"
+
+
+@register("r_py8_balance_dimensions", S.with_sql(f"""
+SELECT person_id, element,
+       CAST(SUM(CASE WHEN effective_date <= {D(EVENTS_TO)} THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS itd,
+       CAST(SUM(CASE WHEN effective_date <= {D(EVENTS_TO)} AND effective_date >= DATE '{EVENTS_TO.year}-01-01' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS ytd,
+       CAST(SUM(CASE WHEN effective_date <= {D(EVENTS_TO)} AND effective_date >= DATE '{EVENTS_TO.year}-{EVENTS_TO.month:02d}-01' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS ptd
+FROM run_results WHERE classification <> 'Information' GROUP BY person_id, element""", "run_results"))
+def balance_dimensions(t: Tables) -> DataFrame:
+    """R-PY8: balance per dimension re-aimed as ITD/YTD/PTD sums of run
+    results (A15, one pass)."""
+    r = S.run_results(t).filter(F.col("classification") != "Information")
+    return r.groupBy("person_id", "element").agg(*A.to_date_sums("effective_date", _value(), EVENTS_TO))
+
+
+@register("r_py9_component_breakdown", S.with_sql(f"""
+SELECT person_id,
+       CAST(SUM(CASE WHEN element = 'Basic' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS basic,
+       CAST(SUM(CASE WHEN element = 'Housing' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS housing,
+       CAST(SUM(CASE WHEN element = 'Transport' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS transport,
+       CAST(SUM(CASE WHEN classification = 'Earnings' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS gross,
+       CAST(SUM(CASE WHEN classification = 'Deductions' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS deductions,
+       CAST(SUM(CASE WHEN classification = 'Earnings' THEN {_VAL} WHEN classification = 'Deductions' THEN -{_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS net
+FROM run_results GROUP BY person_id""", "run_results"))
+def component_breakdown(t: Tables) -> DataFrame:
+    """R-PY9: components, gross and net per person (A2)."""
+    r = S.run_results(t)
+    v = _value()
+    el, cl = F.col("element"), F.col("classification")
+    return r.groupBy("person_id").agg(
+        F.sum(F.when(el == "Basic", v).otherwise(0)).cast(TOTAL).alias("basic"),
+        F.sum(F.when(el == "Housing", v).otherwise(0)).cast(TOTAL).alias("housing"),
+        F.sum(F.when(el == "Transport", v).otherwise(0)).cast(TOTAL).alias("transport"),
+        F.sum(F.when(cl == "Earnings", v).otherwise(0)).cast(TOTAL).alias("gross"),
+        F.sum(F.when(cl == "Deductions", v).otherwise(0)).cast(TOTAL).alias("deductions"),
+        F.sum(F.when(cl == "Earnings", v).when(cl == "Deductions", -v).otherwise(0)).cast(TOTAL).alias("net"))
+
+
+@register("r_cp4_salary_history", S.with_sql(f"""
+SELECT person_id, eff_start, salary, previous_salary, CAST(salary - previous_salary AS DECIMAL(18,2)) AS change_amount,
+       {sql_percent('CAST((salary - previous_salary) * 100 AS BIGINT)', 'CAST(previous_salary * 100 AS BIGINT)')} AS change_pct
+FROM (SELECT person_id, eff_start, salary,
+             LAG(salary) OVER (PARTITION BY person_id ORDER BY eff_start) AS previous_salary
+      FROM person_versions) x""", "person_versions"))
+def salary_history(t: Tables) -> DataFrame:
+    """R-CP4/W8: salary history with previous value, change and percent
+    change (exact, NULL when there is no previous value or it is 0)."""
+    pv = S.person_versions(t).select("person_id", "eff_start", "salary")
+    h = W.lag_change(pv, ["person_id"], ["eff_start"], "salary", "previous_salary", "change_amount")
+    return h.select("person_id", "eff_start", "salary", "previous_salary",
+                    F.col("change_amount").cast("decimal(18,2)").alias("change_amount"),
+                    percent(cents("change_amount"), cents("previous_salary")).alias("change_pct"))
+
+
+@register("r_cp5_salary_at_date", S.with_sql(f"""
+SELECT s.person_id, s.department, v.salary, v.eff_start AS salary_since
+FROM service_periods s JOIN person_versions v ON v.person_id = s.person_id
+ AND {D(AS_OF)} >= v.eff_start AND {D(AS_OF)} <= COALESCE(v.eff_end, {D(END_OF_TIME)})""",
+                                             "service_periods", "person_versions"))
+def salary_at_date(t: Tables) -> DataFrame:
+    """R-CP5/J7: salary valid at the date (dimension filtered first)."""
+    sp = S.service_periods(t).select("person_id", "department")
+    pv = E.as_of(S.person_versions(t), AS_OF).select("person_id", "salary", F.col("eff_start").alias("salary_since"))
+    return sp.join(pv, "person_id")
+
+
+# Salary and experience bands (first match wins, §8 #20).
+SALARY_BANDS = [("Band A", None, 99999.99), ("Band B", 100000, 249999.99), ("Band C", 250000, 399999.99), ("Band D", 400000, None)]
+EXPERIENCE_BANDS = [("0-2 years", None, 2), ("3-5 years", 3, 5), ("6-10 years", 6, 10), ("10+ years", 11, None)]
+
+
+def _current_salary(t: Tables) -> DataFrame:
+    return S.person_versions(t).filter(F.col("eff_end") == F.lit(END_OF_TIME)).select("person_id", "salary")
+
+
+_CUR_SAL_SQL = f"(SELECT person_id, salary FROM person_versions WHERE eff_end = {D(END_OF_TIME)})"
+_YEARS_SQL = ("(CAST((year(DATE '2000-12-31') - year(date_start)) * 12 + month(DATE '2000-12-31') - month(date_start) "
+              "- CASE WHEN day(DATE '2000-12-31') < day(date_start) THEN 1 ELSE 0 END AS BIGINT) // 12)")
+
+
+@register("r_cp6_salary_experience_bands", S.with_sql(f"""
+SELECT s.person_id, c.salary, {sql_band('c.salary', SALARY_BANDS)} AS salary_band, y.years AS service_years,
+       {sql_band('y.years', EXPERIENCE_BANDS)} AS experience_band,
+       {sql_div_round('CAST(c.salary * 100 AS BIGINT)', 'y.years * 100')} AS pay_per_service_year
+FROM service_periods s JOIN {_CUR_SAL_SQL} c ON c.person_id = s.person_id
+JOIN (SELECT person_id, {_YEARS_SQL} AS years FROM service_periods) y ON y.person_id = s.person_id
+WHERE s.date_start <= {D(AS_OF)}""",
+                                                       "service_periods", "person_versions"))
+def salary_experience_bands(t: Tables) -> DataFrame:
+    """R-CP6/X14: salary band, experience band and pay per service year."""
+    s = S.service_periods(t).filter(F.col("date_start") <= F.lit(AS_OF))
+    months = ((F.year(F.lit(AS_OF)) - F.year("date_start")) * 12 + F.month(F.lit(AS_OF)) - F.month("date_start")
+              - F.when(F.dayofmonth(F.lit(AS_OF)) < F.dayofmonth("date_start"), 1).otherwise(0))
+    s = s.select("person_id", F.floor(months / 12).cast("bigint").alias("service_years"))
+    j = s.join(_current_salary(t), "person_id")
+    return j.select("person_id", "salary", band("salary", SALARY_BANDS).alias("salary_band"), "service_years",
+                    band("service_years", EXPERIENCE_BANDS).alias("experience_band"),
+                    div_round(cents("salary"), F.col("service_years") * 100, 2).alias("pay_per_service_year"))
+
+
+@register("r_cp3_compensation_by_department", S.with_sql(f"""
+SELECT s.department, COUNT(*) AS cnt, CAST(SUM(c.salary) AS DECIMAL(38,2)) AS total,
+       {sql_div_round('SUM(CAST(c.salary * 100 AS BIGINT))', 'COUNT(c.salary) * 100')} AS avg,
+       MIN(c.salary) AS min, MAX(c.salary) AS max
+FROM service_periods s JOIN {_CUR_SAL_SQL} c ON c.person_id = s.person_id GROUP BY s.department""",
+                                                          "service_periods", "person_versions"))
+def compensation_by_department(t: Tables) -> DataFrame:
+    """R-CP3/A1: count, total, average, min and max current salary per department."""
+    j = S.service_periods(t).select("person_id", "department").join(_current_salary(t), "person_id")
+    return A.summarize(j, ["department"], "salary")
+
+
+@register("r_cp2_new_joiners", S.with_sql(f"""
+SELECT s.person_id, s.date_start, v.salary AS starting_salary
+FROM service_periods s JOIN person_versions v ON v.person_id = s.person_id AND v.eff_start = s.date_start
+WHERE s.date_start BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}""", "service_periods", "person_versions"))
+def new_joiners(t: Tables) -> DataFrame:
+    """R-CP2: people hired in the period with their starting salary."""
+    s = S.service_periods(t).filter(F.col("date_start").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    v = S.person_versions(t).select("person_id", F.col("eff_start").alias("date_start"), F.col("salary").alias("starting_salary"))
+    return s.select("person_id", "date_start").join(v, ["person_id", "date_start"])
