@@ -1 +1,245 @@
-"""Placeholder."""
+"""HR, absence and recruiting (R-HR*, R-AB*, R-RC*)."""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyspark.functions.params import AS_OF, END_OF_TIME, EVENTS_FROM, EVENTS_TO
+from tallyspark.functions.scalars import TOTAL, percent, sql_percent
+from tallyspark.operators import effective as E
+from tallyspark.operators import rollup as A
+from tallyspark.plans.registry import register
+from tallyspark.sources import standins as S
+from tallyspark.sources.tables import Tables
+
+D = S._d
+
+
+@register("r_hr1_headcount_at_date", S.with_sql(f"""
+SELECT department, COUNT(*) AS headcount FROM service_periods
+WHERE date_start <= {D(AS_OF)} AND COALESCE(actual_termination_date, {D(END_OF_TIME)}) >= {D(AS_OF)}
+GROUP BY department""", "service_periods"))
+def headcount(t: Tables) -> DataFrame:
+    """R-HR1: headcount at a date by department (period of service valid at the date)."""
+    s = E.as_of(S.service_periods(t), AS_OF, "date_start", "actual_termination_date")
+    return s.groupBy("department").agg(F.count(F.lit(1)).alias("headcount"))
+
+
+@register("r_hr2_worker_master", S.with_sql(f"""
+SELECT s.person_id, s.person_number, s.full_name, s.department, s.date_start,
+       LEAST(COALESCE(s.actual_termination_date, {D(AS_OF)}), {D(AS_OF)}) AS service_end,
+       LEAST(COALESCE(s.actual_termination_date, {D(AS_OF)}), {D(AS_OF)}) - s.date_start AS service_days,
+       CASE WHEN s.actual_termination_date IS NULL OR s.actual_termination_date >= {D(AS_OF)} THEN 'ACTIVE' ELSE 'TERMINATED' END AS assignment_status
+FROM service_periods s WHERE s.date_start <= {D(AS_OF)}""", "service_periods"))
+def worker_master(t: Tables) -> DataFrame:
+    """R-HR2: worker master with service (as-of date capped by termination, J9)."""
+    s = S.service_periods(t).filter(F.col("date_start") <= F.lit(AS_OF))
+    end = E.capped_as_of("actual_termination_date", AS_OF)
+    status = F.when(F.col("actual_termination_date").isNull() | (F.col("actual_termination_date") >= F.lit(AS_OF)),
+                    "ACTIVE").otherwise("TERMINATED")
+    return s.select("person_id", "person_number", "full_name", "department", "date_start", end.alias("service_end"),
+                    F.datediff(end, F.col("date_start")).alias("service_days"), status.alias("assignment_status"))
+
+
+@register("r_hr4_leaving_state", S.with_sql("""
+SELECT s.person_id, s.actual_termination_date, v.salary AS last_salary, v.grade_id AS last_grade,
+       CASE WHEN v.grade_id <= 2 THEN 'RESIGNATION' ELSE 'END OF CONTRACT' END AS leaving_reason
+FROM service_periods s LEFT JOIN person_versions v ON v.person_id = s.person_id
+ AND CAST(s.actual_termination_date + 1 AS DATE) BETWEEN v.eff_start AND v.eff_end
+WHERE s.actual_termination_date IS NOT NULL""", "service_periods", "person_versions"))
+def leaving_state(t: Tables) -> DataFrame:
+    """R-HR4: leaving action and reason from the state on termination + 1 day."""
+    s = S.service_periods(t).filter(F.col("actual_termination_date").isNotNull()) \
+        .select("person_id", "actual_termination_date", F.date_add("actual_termination_date", 1).alias("probe"))
+    j = E.join_effective(s, S.person_versions(t), ["person_id"], "probe")
+    reason = F.when(F.col("grade_id") <= 2, "RESIGNATION").otherwise("END OF CONTRACT")
+    return j.select("person_id", "actual_termination_date", F.col("salary").alias("last_salary"),
+                    F.col("grade_id").alias("last_grade"), reason.alias("leaving_reason"))
+
+
+@register("r_ab5_leave_summary", S.with_sql("""
+SELECT person_id, absence_type, COUNT(*) AS leaves, SUM(end_date - start_date + 1) AS leave_days
+FROM leaves GROUP BY person_id, absence_type""", "leaves"))
+def leave_summary(t: Tables) -> DataFrame:
+    """R-AB5: leave count and days per person and type."""
+    lv = S.leaves(t)
+    return lv.groupBy("person_id", "absence_type").agg(
+        F.count(F.lit(1)).alias("leaves"),
+        F.sum(F.datediff("end_date", "start_date") + 1).alias("leave_days"))
+
+
+@register("r_ab1_leave_history", S.with_sql("""
+SELECT person_id, COUNT(*) AS prior_leaves,
+       string_agg(strftime(start_date, '%Y-%m-%d'), ', ' ORDER BY start_date, absence_id) AS leave_dates
+FROM leaves GROUP BY person_id""", "leaves"))
+def leave_history(t: Tables) -> DataFrame:
+    """R-AB1: prior leaves per person, listed in date order."""
+    lv = S.leaves(t).withColumn("d", F.date_format("start_date", "yyyy-MM-dd"))
+    lst = A.ordered_list(lv, ["person_id"], "d", ["start_date", "absence_id"], ", ", "leave_dates")
+    cnt = lv.groupBy("person_id").agg(F.count(F.lit(1)).alias("prior_leaves"))
+    return cnt.join(lst, "person_id")
+
+
+# Accrual entry types and their sign in the leave balance.
+BALANCE_COMPONENTS = [("COVR", "carry_over", 1), ("ACRL", "accrued", 1), ("ADJOTH", "adjustments", 1),
+                      ("CSH", "encashed", -1), ("ABS", "taken", -1)]
+
+
+def _component_sql() -> str:
+    parts = [f"CAST(SUM(CASE WHEN entry_type = '{c}' THEN entry_value ELSE 0 END) AS DECIMAL(38,2)) AS {n}"
+             for c, n, _ in BALANCE_COMPONENTS]
+    bal = " + ".join(f"{'' if s > 0 else '-'}SUM(CASE WHEN entry_type = '{c}' THEN entry_value ELSE 0 END)"
+                     for c, _, s in BALANCE_COMPONENTS)
+    return ", ".join(parts) + f", CAST({bal} AS DECIMAL(38,2)) AS balance"
+
+
+def _components() -> list:
+    cols = [F.sum(F.when(F.col("entry_type") == c, F.col("entry_value")).otherwise(0)).cast(TOTAL).alias(n)
+            for c, n, _ in BALANCE_COMPONENTS]
+    bal = None
+    for c, _, s in BALANCE_COMPONENTS:
+        term = F.sum(F.when(F.col("entry_type") == c, F.col("entry_value")).otherwise(0)) * s
+        bal = term if bal is None else bal + term
+    return cols + [bal.cast(TOTAL).alias("balance")]
+
+
+@register("r_ab6_annual_leave_balance", S.with_sql(f"""
+SELECT person_id, plan_name, {_component_sql()}
+FROM accrual_entries WHERE processed_date <= {D(EVENTS_TO)} GROUP BY person_id, plan_name""", "accrual_entries"))
+def annual_leave_balance(t: Tables) -> DataFrame:
+    """R-AB6/A14: carry + accrued + adjustments - encashed - taken, one pass."""
+    e = S.accrual_entries(t).filter(F.col("processed_date") <= F.lit(EVENTS_TO))
+    return e.groupBy("person_id", "plan_name").agg(*_components())
+
+
+@register("r_ab7_balance_by_plan_year", S.with_sql(f"""
+SELECT person_id, CAST(date_trunc('year', processed_date) AS DATE) AS plan_year_start, {_component_sql()}
+FROM accrual_entries GROUP BY 1, 2""", "accrual_entries"))
+def balance_by_plan_year(t: Tables) -> DataFrame:
+    """R-AB7: balance by movement type per calendar plan year."""
+    from tallyspark.functions.scalars import plan_year_start
+    e = S.accrual_entries(t)
+    return e.groupBy("person_id", plan_year_start("processed_date").alias("plan_year_start")).agg(*_components())
+
+
+_PEND_FROM = _dt.date(2024, 1, 21)
+
+
+@register("r_ab8_projected_balance", S.with_sql(f"""
+SELECT b.person_id, b.balance, COALESCE(p.pending_days, 0) AS pending_days,
+       CAST(b.balance - COALESCE(p.pending_days, 0) AS DECIMAL(38,2)) AS projected_balance
+FROM (SELECT person_id,
+             CAST({" + ".join(f"{'' if s > 0 else '-'}SUM(CASE WHEN entry_type = '{c}' THEN entry_value ELSE 0 END)" for c, _, s in BALANCE_COMPONENTS)} AS DECIMAL(38,2)) AS balance
+      FROM accrual_entries WHERE processed_date < {D(_PEND_FROM)} GROUP BY person_id) b
+LEFT JOIN (SELECT person_id, SUM(end_date - start_date + 1) AS pending_days FROM leaves
+           WHERE start_date >= {D(_PEND_FROM)} GROUP BY person_id) p ON p.person_id = b.person_id""",
+                                                  "accrual_entries", "leaves"))
+def projected_balance(t: Tables) -> DataFrame:
+    """R-AB8: balance before a date minus the days of leave pending after it."""
+    e = S.accrual_entries(t).filter(F.col("processed_date") < F.lit(_PEND_FROM))
+    b = e.groupBy("person_id").agg(_components()[-1])
+    pend = (S.leaves(t).filter(F.col("start_date") >= F.lit(_PEND_FROM)).groupBy("person_id")
+            .agg(F.sum(F.datediff("end_date", "start_date") + 1).alias("pending_days")))
+    j = b.join(pend, "person_id", "left")
+    pd_ = F.coalesce("pending_days", F.lit(0))
+    return j.select("person_id", "balance", pd_.alias("pending_days"), (F.col("balance") - pd_).cast(TOTAL).alias("projected_balance"))
+
+
+_FUNNEL = {"applied": "applied", "offered": "offered", "accepted": "accepted", "hired": "hired"}
+
+
+@register("r_rc6_source_funnel", S.with_sql(f"""
+SELECT source, COUNT(DISTINCT CASE WHEN applied = 1 THEN submission_id END) AS applied,
+       COUNT(DISTINCT CASE WHEN offered = 1 THEN submission_id END) AS offered,
+       COUNT(DISTINCT CASE WHEN accepted = 1 THEN submission_id END) AS accepted,
+       COUNT(DISTINCT CASE WHEN hired = 1 THEN submission_id END) AS hired,
+       {sql_percent('COUNT(DISTINCT CASE WHEN hired = 1 THEN submission_id END)', 'COUNT(DISTINCT CASE WHEN applied = 1 THEN submission_id END)')} AS hire_rate_pct
+FROM submissions GROUP BY source""", "submissions"))
+def source_funnel(t: Tables) -> DataFrame:
+    """R-RC6/A5: recruiting funnel per source -- conditional distinct counts
+    of submissions per stage and the hire rate (exact, zero-guarded)."""
+    s = S.submissions(t)
+    f = A.funnel(s, ["source"], "submission_id", {k: F.col(v) == 1 for k, v in _FUNNEL.items()})
+    return f.withColumn("hire_rate_pct", percent("hired", "applied"))
+
+
+@register("r_rc8_hiring_dashboard", S.with_sql("""
+SELECT submission_date AS requisition_date, COUNT(*) AS submissions, SUM(applied) AS applied, SUM(offered) AS offered,
+       SUM(accepted) AS accepted, SUM(hired) AS hired
+FROM submissions GROUP BY submission_date""", "submissions"))
+def hiring_dashboard(t: Tables) -> DataFrame:
+    """R-RC8: five counts per requisition (day) in one aggregation, not five
+    scalar subqueries."""
+    s = S.submissions(t)
+    return s.groupBy(F.col("submission_date").alias("requisition_date")).agg(
+        F.count(F.lit(1)).alias("submissions"), F.sum("applied").alias("applied"), F.sum("offered").alias("offered"),
+        F.sum("accepted").alias("accepted"), F.sum("hired").alias("hired"))
+
+
+@register("r_rc15_multiple_applications", S.with_sql("""
+SELECT person_id, COUNT(*) AS active_applications,
+       string_agg(CAST(submission_id AS VARCHAR), ', ' ORDER BY submission_date, submission_id) AS application_ids
+FROM submissions WHERE applied = 1 GROUP BY person_id HAVING COUNT(*) >= 15""", "submissions"))
+def multiple_applications(t: Tables) -> DataFrame:
+    """R-RC15: candidates with many active applications (A4) and their list."""
+    s = S.submissions(t).filter(F.col("applied") == 1).withColumn("sid", F.col("submission_id").cast("string"))
+    cnt = A.having(s.groupBy("person_id").agg(F.count(F.lit(1)).alias("active_applications")),
+                   F.col("active_applications") >= 15)
+    lst = A.ordered_list(s, ["person_id"], "sid", ["submission_date", "submission_id"], ", ", "application_ids")
+    return cnt.join(lst, "person_id")
+
+
+@register("r_rc12_time_to_hire", S.with_sql("""
+SELECT a.person_id, a.first_applied, h.first_hired, h.first_hired - a.first_applied AS days_to_hire,
+       CASE WHEN h.first_hired - a.first_applied <= 3 THEN 'Fast' WHEN h.first_hired - a.first_applied <= 10 THEN 'Normal'
+            ELSE 'Slow' END AS rating
+FROM (SELECT person_id, MIN(submission_date) AS first_applied FROM submissions WHERE applied = 1 GROUP BY person_id) a
+JOIN (SELECT person_id, MIN(submission_date) AS first_hired FROM submissions WHERE hired = 1 GROUP BY person_id) h
+  ON h.person_id = a.person_id""", "submissions"))
+def time_to_hire(t: Tables) -> DataFrame:
+    """R-RC12: days from first application to first hire, with a rating band."""
+    s = S.submissions(t)
+    a = s.filter(F.col("applied") == 1).groupBy("person_id").agg(F.min("submission_date").alias("first_applied"))
+    h = s.filter(F.col("hired") == 1).groupBy("person_id").agg(F.min("submission_date").alias("first_hired"))
+    j = a.join(h, "person_id")
+    d = F.datediff("first_hired", "first_applied")
+    rating = F.when(d <= 3, "Fast").when(d <= 10, "Normal").otherwise("Slow")
+    return j.select("person_id", "first_applied", "first_hired", d.alias("days_to_hire"), rating.alias("rating"))
+
+
+@register("r_rc11_stage_alerts", S.with_sql(f"""
+SELECT person_id, last_stage, last_date, {D(EVENTS_TO)} - last_date AS days_in_stage,
+       CASE WHEN {D(EVENTS_TO)} - last_date > 14 THEN 'HIGH' WHEN {D(EVENTS_TO)} - last_date > 7 THEN 'MEDIUM' ELSE 'LOW' END AS priority
+FROM (SELECT person_id,
+             arg_max(CASE WHEN hired = 1 THEN 'HIRED' WHEN accepted = 1 THEN 'ACCEPTED' WHEN offered = 1 THEN 'OFFERED' ELSE 'APPLIED' END,
+                     (submission_date, submission_id)) AS last_stage,
+             MAX(submission_date) AS last_date
+      FROM submissions GROUP BY person_id) x""", "submissions"))
+def stage_alerts(t: Tables) -> DataFrame:
+    """R-RC11: stage of the latest submission and an alert priority by
+    elapsed days (bands evaluated after the value exists, §8 #21)."""
+    s = S.submissions(t)
+    stage = (F.when(F.col("hired") == 1, "HIRED").when(F.col("accepted") == 1, "ACCEPTED")
+             .when(F.col("offered") == 1, "OFFERED").otherwise("APPLIED"))
+    g = s.groupBy("person_id").agg(F.max_by(stage, F.struct("submission_date", "submission_id")).alias("last_stage"),
+                                   F.max("submission_date").alias("last_date"))
+    g = g.withColumn("days_in_stage", F.datediff(F.lit(EVENTS_TO), F.col("last_date")))
+    pr = F.when(F.col("days_in_stage") > 14, "HIGH").when(F.col("days_in_stage") > 7, "MEDIUM").otherwise("LOW")
+    return g.withColumn("priority", pr)
+
+
+@register("r_rc18_internal_candidate_flag", S.with_sql("""
+SELECT s.person_id, COUNT(*) AS submissions,
+       CASE WHEN EXISTS (SELECT 1 FROM time_records r WHERE r.resource_id = s.person_id) THEN 'INTERNAL' ELSE 'EXTERNAL' END AS candidate_type
+FROM submissions s GROUP BY s.person_id""", "submissions", "time_records"))
+def internal_candidate_flag(t: Tables) -> DataFrame:
+    """R-RC18: internal/external flag -- EXISTS turned into a flag column
+    (left join on the distinct keys)."""
+    s = S.submissions(t).groupBy("person_id").agg(F.count(F.lit(1)).alias("submissions"))
+    emp = S.time_records(t).select(F.col("resource_id").alias("person_id")).distinct().withColumn("emp", F.lit(1))
+    j = s.join(emp, "person_id", "left")
+    return j.select("person_id", "submissions",
+                    F.when(F.col("emp").isNotNull(), "INTERNAL").otherwise("EXTERNAL").alias("candidate_type"))

@@ -580,9 +580,9 @@ def accrual_entries(t: Tables) -> DataFrame:
 
 
 _cte("accrual_entries", ("accrual_types",), """
-SELECT event_id AS entry_id, user_id AS person_id, 'Annual Leave' AS plan_name, at.entry_type,
+SELECT event_id AS entry_id, user_id AS person_id, 'Annual Leave' AS plan_name, aty.entry_type,
        CAST(value AS DECIMAL(18,2)) AS entry_value, CAST(ts AS DATE) AS processed_date
-FROM events JOIN accrual_types at ON events.event_type = at.event_type""")
+FROM events JOIN accrual_types aty ON events.event_type = aty.event_type""")
 
 
 def submissions(t: Tables) -> DataFrame:
