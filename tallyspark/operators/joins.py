@@ -44,17 +44,17 @@ def not_in(df: DataFrame, col: str, other: DataFrame, other_col: str) -> DataFra
     """Null-aware ``col NOT IN (subquery)``.
 
     SQL semantics: no row survives when the subquery holds a NULL, and a
-    NULL ``col`` never survives a non-empty subquery.  Written as an anti
-    join plus a one-row flag table (proven size) -- no null-aware
-    broadcast of the subquery.
+    NULL ``col`` never survives a non-empty subquery.  Written as an
+    ordinary (shuffled or AQE-broadcast) anti join plus two scalar
+    subqueries (has a NULL, row count) -- no null-aware broadcast of the
+    whole subquery, which Spark would otherwise need.
     """
     sub = other.select(F.col(other_col).alias("__k"))
-    flags = sub.agg(F.max(F.when(F.col("__k").isNull(), 1).otherwise(0)).alias("__has_null"),
-                    F.count(F.lit(1)).alias("__n")).withColumn("__j", F.lit(1))
+    has_null = sub.agg(F.max(F.when(F.col("__k").isNull(), 1).otherwise(0))).scalar()
+    n_sub = sub.agg(F.count(F.lit(1))).scalar()
     kept = df.join(sub.filter(F.col("__k").isNotNull()), df[col] == F.col("__k"), "left_anti")
-    kept = kept.withColumn("__j", F.lit(1)).join(F.broadcast(flags), "__j")
-    cond = (F.col("__n") == 0) | ((F.col("__has_null") == 0) & F.col(col).isNotNull())
-    return kept.filter(cond).drop("__j", "__has_null", "__n")
+    cond = (n_sub == 0) | ((F.coalesce(has_null, F.lit(0)) == 0) & F.col(col).isNotNull())
+    return kept.filter(cond)
 
 
 def semi_or(df: DataFrame, other: DataFrame, keys: Sequence[str], cond: Column) -> DataFrame:

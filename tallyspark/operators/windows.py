@@ -7,9 +7,10 @@ in one task.
   which comes from a small aggregated table (one row per key and chunk).  A
   customer with a third of all rows is spread over as many tasks as it has
   dates.
-* Partition totals (W3/W11) and grand totals (W4) are a grouped aggregate
-  joined back: the aggregate is partial on the map side, and the join back
-  is split by AQE's skew-join handling when one key is hot.
+* Partition totals (W3/W11) are a grouped aggregate joined back: the
+  aggregate is partial on the map side, and the join back is split by AQE's
+  skew-join handling when one key is hot.  Grand totals (W4) are a scalar
+  subquery, never a window over one partition.
 * Top-1 per key (W6/W7) is a ranking window filtered to rank 1; Catalyst's
   ``InferWindowGroupLimit`` inserts a partial group limit before the shuffle,
   so each map task sends at most the top rows per key.
@@ -90,13 +91,11 @@ def partition_count(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
 def grand_total(df: DataFrame, value, out: str) -> DataFrame:
     """``SUM(x) OVER ()`` without a single-partition window.
 
-    The global aggregate is one row (a proven size), joined by a constant
-    key, i.e. a broadcast hash join against one row.
+    The global aggregate (partial sums per task, one final row) runs as a
+    scalar subquery; its single value is attached to every row, no join.
     """
     v = F.col(value) if isinstance(value, str) else value
-    tot = df.agg(F.sum(v).alias(out)).withColumn("__gt_key", F.lit(1))
-    return (df.withColumn("__gt_key", F.lit(1))
-              .join(F.broadcast(tot), "__gt_key", "inner").drop("__gt_key"))
+    return df.withColumn(out, df.agg(F.sum(v)).scalar())
 
 
 def line_number(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "line_num") -> DataFrame:
