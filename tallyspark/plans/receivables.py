@@ -675,3 +675,112 @@ def aging_by_receipt(t: Tables) -> DataFrame:
     r = S.receipts(t).filter(F.col("receipt_date") <= F.lit(AS_OF)).withColumn(
         "days", F.datediff(F.lit(AS_OF), F.col("receipt_date")))
     return aging.bucket_totals(r, ["customer_id"], "days", "amount", aging.AR_FIVE, "received")
+
+
+# ---------------------------------------------------------------------------
+# R-AR6: customer statement summary; R-AR10: statement of account
+# ---------------------------------------------------------------------------
+
+_AR6_SQL = S.with_sql(f"""
+SELECT c.customer_id, c.party_name,
+       CAST(COALESCE(o.opening_balance, 0) AS DECIMAL(38,2)) AS opening_balance,
+       CAST(COALESCE(SUM(CASE WHEN d.doc_type = 'INVOICE' THEN d.amount END), 0) AS DECIMAL(38,2)) AS invoices,
+       CAST(COALESCE(SUM(CASE WHEN d.doc_type = 'CREDIT_MEMO' THEN d.amount END), 0) AS DECIMAL(38,2)) AS credit_memos,
+       CAST(COALESCE(SUM(CASE WHEN d.doc_type = 'RECEIPT' THEN d.amount END), 0) AS DECIMAL(38,2)) AS receipts,
+       CAST(COALESCE(o.opening_balance, 0) + COALESCE(SUM(d.amount), 0) AS DECIMAL(38,2)) AS closing_balance
+FROM (SELECT customer_id, CASE WHEN class = 'CM' THEN 'CREDIT_MEMO' ELSE 'INVOICE' END AS doc_type,
+             ROUND(amount * COALESCE(exchange_rate, 1), 2) AS amount
+      FROM invoices WHERE complete_flag = 'Y' AND trx_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}
+      UNION ALL
+      SELECT customer_id, 'RECEIPT', -ROUND(amount * COALESCE(exchange_rate, 1), 2) FROM receipts r
+      WHERE receipt_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}
+        AND NOT EXISTS (SELECT 1 FROM receipt_history h WHERE h.receipt_id = r.receipt_id AND h.status = 'REVERSED')) d
+JOIN customers c ON c.customer_id = d.customer_id
+LEFT JOIN (SELECT customer_id, SUM(amount) AS opening_balance FROM (
+             SELECT customer_id, ROUND(amount * COALESCE(exchange_rate, 1), 2) AS amount FROM invoices
+             WHERE trx_date < {D(PERIOD_FROM)} AND complete_flag = 'Y'
+             UNION ALL
+             SELECT customer_id, -ROUND(amount * COALESCE(exchange_rate, 1), 2) FROM receipts r
+             WHERE receipt_date < {D(PERIOD_FROM)}
+               AND NOT EXISTS (SELECT 1 FROM receipt_history h WHERE h.receipt_id = r.receipt_id AND h.status = 'REVERSED')) x
+           GROUP BY customer_id) o ON o.customer_id = d.customer_id
+GROUP BY c.customer_id, c.party_name, o.opening_balance""", "invoices", "receipts", "receipt_history", "customers")
+
+
+@register("r_ar6_customer_statement", _AR6_SQL)
+def customer_statement(t: Tables) -> DataFrame:
+    """R-AR6: opening balance plus three movement types (invoices, credit
+    memos, receipts) of the period and the closing balance per customer.
+    The opening filters the transaction date itself (§8 #6)."""
+    inv = S.invoices(t).filter(F.col("complete_flag") == "Y")
+    rc = S.receipts(t).join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"),
+                            "receipt_id", "left_anti")
+    in_period = lambda c: (F.col(c) >= F.lit(PERIOD_FROM)) & (F.col(c) <= F.lit(PERIOD_TO))
+    d = (inv.filter(in_period("trx_date")).select(
+            "customer_id", F.when(F.col("class") == "CM", "CREDIT_MEMO").otherwise("INVOICE").alias("doc_type"),
+            _func().alias("amount"))
+         .unionByName(rc.filter(in_period("receipt_date")).select(
+            "customer_id", F.lit("RECEIPT").alias("doc_type"), (-_func()).alias("amount"))))
+    kind = lambda k: F.coalesce(F.sum(F.when(F.col("doc_type") == k, F.col("amount"))), F.lit(0)).cast(TOTAL)
+    g = d.groupBy("customer_id").agg(kind("INVOICE").alias("invoices"), kind("CREDIT_MEMO").alias("credit_memos"),
+                                     kind("RECEIPT").alias("receipts"), F.sum("amount").alias("moves"))
+    g = g.join(_opening_per_customer(t), "customer_id", "left").join(
+        S.customers(t).select("customer_id", "party_name"), "customer_id")
+    op = F.coalesce("opening_balance", F.lit(0))
+    return g.select("customer_id", "party_name", op.cast(TOTAL).alias("opening_balance"), "invoices", "credit_memos",
+                    "receipts", (op + F.coalesce("moves", F.lit(0))).cast(TOTAL).alias("closing_balance"))
+
+
+_AR10_SQL = S.with_sql(f"""
+SELECT i.trx_id, i.customer_id, CAST(ROUND(i.amount * COALESCE(i.exchange_rate, 1), 2) AS DECIMAL(38,2)) AS rec_amount,
+       CAST(COALESCE(p.paid, 0) AS DECIMAL(38,2)) AS paid,
+       CAST(ROUND(i.amount * COALESCE(i.exchange_rate, 1), 2) - COALESCE(p.paid, 0) AS DECIMAL(38,2)) AS balance,
+       {", ".join(f"CAST(CASE WHEN ({aging.AR_FIVE.sql_label(f'({D(AS_OF)} - i.due_date)')}) = '{lab}' THEN ROUND(i.amount * COALESCE(i.exchange_rate, 1), 2) - COALESCE(p.paid, 0) ELSE 0 END AS DECIMAL(38,2)) AS {col}" for lab, col, _, _ in aging.AR_FIVE.buckets)}
+FROM invoices i
+LEFT JOIN (SELECT applied_trx_id, SUM(amount) AS paid FROM applications
+           WHERE app_type = 'CASH' AND apply_date <= {D(AS_OF)}
+             AND applied_trx_id NOT IN (SELECT receipt_id FROM receipt_history WHERE status = 'REVERSED')
+           GROUP BY applied_trx_id) p ON p.applied_trx_id = i.trx_id
+WHERE i.trx_date <= {D(AS_OF)} AND i.class = 'INV'
+  AND NOT (ROUND(i.amount * COALESCE(i.exchange_rate, 1), 2) - COALESCE(p.paid, 0) BETWEEN 0 AND 0.5)""",
+                       "invoices", "applications", "receipt_history")
+
+
+@register("r_ar10_statement_of_account", _AR10_SQL)
+def statement_of_account(t: Tables) -> DataFrame:
+    """R-AR10: receivable amount, paid (receipts not reversed, null-aware
+    NOT IN, J5), balance and its 5-bucket position per invoice; balances
+    within 0..0.5 suppressed (F10)."""
+    from tallyspark.operators.joins import not_in
+    cash = S.applications(t).filter((F.col("app_type") == "CASH") & (F.col("apply_date") <= F.lit(AS_OF)))
+    rev = S.receipt_history(t).filter(F.col("status") == "REVERSED")
+    paid = not_in(cash, "applied_trx_id", rev, "receipt_id").groupBy(F.col("applied_trx_id").alias("trx_id")) \
+        .agg(F.sum("amount").alias("paid"))
+    inv = S.invoices(t).filter((F.col("trx_date") <= F.lit(AS_OF)) & (F.col("class") == "INV"))
+    j = inv.join(paid, "trx_id", "left")
+    rec = _func()
+    bal = rec - F.coalesce("paid", F.lit(0))
+    j = j.filter(~bal.between(0, 0.5))
+    lab = aging.AR_FIVE.label(F.datediff(F.lit(AS_OF), F.col("due_date")))
+    buckets = [F.when(lab == F.lit(label), bal).otherwise(F.lit(0)).cast(TOTAL).alias(c)
+               for label, c, _, _ in aging.AR_FIVE.buckets]
+    return j.select("trx_id", "customer_id", rec.cast(TOTAL).alias("rec_amount"),
+                    F.coalesce("paid", F.lit(0)).cast(TOTAL).alias("paid"), bal.cast(TOTAL).alias("balance"), *buckets)
+
+
+_CM3_SQL = S.with_sql(f"""
+SELECT r.receipt_id, r.receipt_number, r.receipt_date, r.org_id AS bank_account_id, c.party_name, r.amount
+FROM receipts r JOIN customers c ON c.customer_id = r.customer_id
+WHERE r.receipt_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}
+  AND NOT EXISTS (SELECT 1 FROM receipt_history h WHERE h.receipt_id = r.receipt_id AND h.status = 'REVERSED')""",
+                      "receipts", "customers", "receipt_history")
+
+
+@register("r_cm3_receipt_vouchers", _CM3_SQL)
+def receipt_vouchers(t: Tables) -> DataFrame:
+    """R-CM3: receipt voucher list of the period (J2 + J4)."""
+    r = S.receipts(t).filter(F.col("receipt_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    r = r.join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"), "receipt_id", "left_anti")
+    c = S.customers(t).select("customer_id", "party_name")
+    return r.join(c, "customer_id").select("receipt_id", "receipt_number", "receipt_date",
+                                           F.col("org_id").alias("bank_account_id"), "party_name", "amount")
