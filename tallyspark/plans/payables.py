@@ -235,3 +235,77 @@ def latest_approver(t: Tables) -> DataFrame:
         F.max_by(F.concat(F.lit("APPROVER-"), F.col("part_id").cast("string")),
                  F.struct("apply_date", "line_number", "part_id")).alias("latest_approver"))
     return g.join(ap_invoices(t).select("order_id", "vendor_id"), ["order_id", "vendor_id"], "left_semi")
+
+
+# ---------------------------------------------------------------------------
+# R-AP5: complete supplier ledger -- opening block + period block
+# ---------------------------------------------------------------------------
+
+def _ap_movements(t: Tables) -> DataFrame:
+    """Signed supplier movements (credit positive = owed to the supplier):
+    invoice, debit memo (returned lines), payment, prepayment applied,
+    discount taken, tax on payments -- six types plus the opening."""
+    a = S.applications(t)
+    inv = ap_invoices(t).select("vendor_id", F.col("invoice_date").alias("mv_date"),
+                                F.lit("INVOICE").alias("movement_type"), F.col("invoice_amount").alias("amount"))
+    def br(cond, kind, amt):
+        return a.filter(cond).select(F.col("supplier_id").alias("vendor_id"), F.col("apply_date").alias("mv_date"),
+                                     F.lit(kind).alias("movement_type"), (-amt).cast(MONEY).alias("amount"))
+    return (inv.unionByName(br(F.col("return_flag") == "R", "DEBIT_MEMO", F.col("gross_amount")))
+               .unionByName(br(F.col("return_flag") == "A", "PAYMENT", F.col("amount")))
+               .unionByName(br(F.col("return_flag") == "N", "PREPAYMENT", F.col("amount")))
+               .unionByName(br(F.col("return_flag") == "A", "DISCOUNT", F.col("discount_taken")))
+               .unionByName(br(F.col("return_flag") == "A", "TAX", F.col("acctd_amount") - F.col("amount"))))
+
+
+def _ap_mv_sql() -> str:
+    def br(cond, kind, amt):
+        return (f"SELECT supplier_id AS vendor_id, apply_date AS mv_date, '{kind}' AS movement_type, "
+                f"CAST(-({amt}) AS DECIMAL(18,2)) AS amount FROM applications WHERE {cond}")
+    parts = [br("return_flag = 'R'", "DEBIT_MEMO", "gross_amount"),
+             br("return_flag = 'A'", "PAYMENT", "amount"),
+             br("return_flag = 'N'", "PREPAYMENT", "amount"),
+             br("return_flag = 'A'", "DISCOUNT", "discount_taken"),
+             br("return_flag = 'A'", "TAX", "acctd_amount - amount")]
+    head = "SELECT vendor_id, invoice_date AS mv_date, 'INVOICE' AS movement_type, invoice_amount AS amount FROM ap_invoices"
+    return "(" + " UNION ALL ".join([head, *parts]) + ")"
+
+
+_AP5_SQL = S.with_sql(f"""
+SELECT x.vendor_id, p.party_name, x.block, x.period, x.movement_type, x.amount,
+       CAST(SUM(x.amount) OVER (PARTITION BY x.vendor_id ORDER BY x.block, x.period, x.movement_type
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(38,2)) AS running_balance
+FROM (SELECT vendor_id, 1 AS block, 'OPENING' AS period, 'OPENING' AS movement_type, CAST(SUM(amount) AS DECIMAL(38,2)) AS amount
+      FROM {_ap_mv_sql()} m WHERE mv_date < {D(PERIOD_FROM)} GROUP BY vendor_id
+      UNION ALL
+      SELECT vendor_id, 2, strftime(mv_date, '%Y-%m'), movement_type, CAST(SUM(amount) AS DECIMAL(38,2))
+      FROM {_ap_mv_sql()} m WHERE mv_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)} GROUP BY 1, 2, 3, 4) x
+JOIN (SELECT s.supplier_id, COALESCE(CASE WHEN s.vendor_id < 0 THEN c.party_name END, s.vendor_name) AS party_name
+      FROM suppliers s LEFT JOIN customers c ON c.customer_id = -s.vendor_id) p ON p.supplier_id = x.vendor_id""",
+                      "ap_invoices", "applications", "suppliers", "customers")
+
+
+@register("r_ap5_complete_supplier_ledger", _AP5_SQL)
+def complete_supplier_ledger(t: Tables) -> DataFrame:
+    """R-AP5: opening block (O5) and the period's movements by month and
+    type (O4 of six signed types), a running balance per supplier (window
+    over the aggregated rows: bounded by months x types) and the party
+    name with the negative-vendor fallback (J15)."""
+    from tallyspark.operators import windows as W
+    mv = _ap_movements(t)
+    opening = (mv.filter(F.col("mv_date") < F.lit(PERIOD_FROM)).groupBy("vendor_id")
+               .agg(F.sum("amount").cast(TOTAL).alias("amount"))
+               .select("vendor_id", F.lit(1).alias("block"), F.lit("OPENING").alias("period"),
+                       F.lit("OPENING").alias("movement_type"), "amount"))
+    period = (mv.filter(F.col("mv_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+              .groupBy("vendor_id", F.lit(2).alias("block"), F.date_format("mv_date", "yyyy-MM").alias("period"),
+                       "movement_type").agg(F.sum("amount").cast(TOTAL).alias("amount")))
+    x = W.running_total(opening.unionByName(period), ["vendor_id"], ["block", "period", "movement_type"], "amount",
+                        "running_balance")
+    s = S.suppliers(t)
+    c = S.customers(t).select(F.col("customer_id").alias("party_id"), "party_name")
+    names = s.join(c, -s.vendor_id == c.party_id, "left").select(
+        F.col("supplier_id").alias("vendor_id"),
+        F.coalesce(F.when(F.col("vendor_id") < 0, F.col("party_name")), F.col("vendor_name")).alias("party_name"))
+    return x.join(names, "vendor_id").select("vendor_id", "party_name", "block", "period", "movement_type", "amount",
+                                             F.col("running_balance").cast(TOTAL).alias("running_balance"))
