@@ -823,3 +823,47 @@ def scalar_functions(t: Tables) -> DataFrame:
         X.band("acctbal", _BANDS, "None").alias("balance_band"),
         X.percent(F.col("person_id") % 97, F.col("person_id") % 13).alias("pct_value"),
     )
+
+
+@register("v5_three_level_versions", S.with_sql("""
+SELECT resource_id, week_start, record_id, version, start_time FROM (
+  SELECT t.resource_id, CAST(date_trunc('week', t.work_date) AS DATE) AS week_start, t.record_id, t.version, t.start_time,
+         ROW_NUMBER() OVER (PARTITION BY t.resource_id, date_trunc('week', t.work_date) ORDER BY t.start_time DESC, t.record_id DESC) AS rn
+  FROM time_records t
+  JOIN (SELECT resource_id, work_date, MAX(version) AS version, MAX(record_id) AS record_id
+        FROM time_records WHERE measure > 0 GROUP BY resource_id, work_date) m
+    ON m.resource_id = t.resource_id AND m.work_date = t.work_date AND m.version = t.version AND m.record_id = t.record_id
+  WHERE t.measure > 0) x WHERE rn = 1""", "time_records"))
+def three_level_versions(t: Tables) -> DataFrame:
+    """V5: three-level version control -- row filter (measure > 0), then the
+    tuple of two maxima per person and day (V4), then the latest creation
+    per person and week (V1)."""
+    tr = S.time_records(t).filter(F.col("measure") > 0).select("resource_id", "work_date", "record_id", "version", "start_time")
+    lvl2 = E.latest_pair(tr, ["resource_id", "work_date"], "version", "record_id")
+    lvl2 = lvl2.withColumn("week_start", F.trunc("work_date", "week"))
+    return E.latest(lvl2.select("resource_id", "week_start", "start_time", "record_id", "version"),
+                    ["resource_id", "week_start"], ["start_time", "record_id"])
+
+
+# Shift start (milliseconds of day) and duration per schedule.
+SHIFTS = [("STD", 32400000, 28800000), ("SHIFT", 79200000, 32400000)]
+
+
+@register("x8_shift_times", S.with_sql(f"""
+SELECT d.person_id, d.work_date, s.schedule_id, CAST(s.start_ms // 3600000 AS BIGINT) AS start_hour,
+       CAST((s.start_ms % 3600000) // 60000 AS BIGINT) AS start_minute,
+       CAST(d.work_date AS TIMESTAMP) + to_milliseconds(s.start_ms) AS shift_start,
+       CAST(d.work_date AS TIMESTAMP) + to_milliseconds(s.start_ms + s.duration_ms) AS shift_end
+FROM schedule_days d JOIN ({K.sql_values(SHIFTS, 'schedule_id string, start_ms bigint, duration_ms bigint')}) s
+  ON s.schedule_id = d.schedule_id""", "schedule_days"))
+def shift_times(t: Tables) -> DataFrame:
+    """Milliseconds of day to hours/minutes and shift timestamps; a
+    shift past midnight rolls into the next day."""
+    sh = K.frame(t.spark, SHIFTS, "schedule_id string, start_ms bigint, duration_ms bigint")
+    d = S.schedule_days(t).join(sh, "schedule_id")
+    day = F.col("work_date").cast("timestamp_ntz")
+    return d.select("person_id", "work_date", "schedule_id",
+                    F.floor(F.col("start_ms") / 3600000).cast("bigint").alias("start_hour"),
+                    F.floor((F.col("start_ms") % 3600000) / 60000).cast("bigint").alias("start_minute"),
+                    F.timestamp_add("MILLISECOND", F.col("start_ms"), day).alias("shift_start"),
+                    F.timestamp_add("MILLISECOND", F.col("start_ms") + F.col("duration_ms"), day).alias("shift_end"))
