@@ -247,3 +247,95 @@ def leave_entitlement(t: Tables) -> DataFrame:
     ent = band("service_years", ENTITLEMENT_BANDS).cast("int")
     return s.select("person_id", "service_years", ent.alias("entitlement_days"),
                     div_round(ent * 100, F.lit(1200), 2).alias("monthly_accrual"))
+
+
+def _managers(t: Tables) -> DataFrame:
+    """Task, project and line managers per person (J18 self joins through
+    aggregated group leads; the lead of a group has no manager in it)."""
+    p = S.people(t)
+    ps = S.person_schedules(t).select("person_id", "schedule_id")
+    proj_lead = p.groupBy((F.col("person_id") % 7).alias("project_id")).agg(F.max("person_id").alias("project_mgr"))
+    line_lead = ps.groupBy("schedule_id").agg(F.min("person_id").alias("line_mgr"))
+    task = p.select(F.col("person_id").alias("task_mgr"))
+    x = (p.withColumn("project_id", F.col("person_id") % 7).join(proj_lead, "project_id")
+          .join(ps, "person_id").join(line_lead, "schedule_id")
+          .join(task, (F.col("person_id") % 2 == 0) & (F.col("task_mgr") == F.col("person_id") - 2), "left"))
+    return x.select("person_id", "project_id", "task_mgr",
+                    F.when(F.col("project_mgr") != F.col("person_id"), F.col("project_mgr")).alias("project_mgr"),
+                    F.when(F.col("line_mgr") != F.col("person_id"), F.col("line_mgr")).alias("line_mgr"))
+
+
+_TL2_SQL = S.with_sql("""
+SELECT r.resource_id AS person_id, r.work_date, r.record_id, m.project_id,
+       COALESCE(m.task_mgr, m.project_mgr, m.line_mgr) AS approver_id,
+       CASE WHEN m.task_mgr IS NOT NULL THEN 'TASK' WHEN m.project_mgr IS NOT NULL THEN 'PROJECT'
+            WHEN m.line_mgr IS NOT NULL THEN 'LINE' ELSE 'NONE' END AS approver_level
+FROM (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY resource_id, work_date ORDER BY version DESC) AS rn
+                     FROM time_records) v WHERE rn = 1) r
+JOIN (SELECT p.person_id, p.person_id % 7 AS project_id, t.person_id AS task_mgr,
+             CASE WHEN pl.project_mgr <> p.person_id THEN pl.project_mgr END AS project_mgr,
+             CASE WHEN ll.line_mgr <> p.person_id THEN ll.line_mgr END AS line_mgr
+      FROM people p
+      JOIN (SELECT person_id % 7 AS project_id, MAX(person_id) AS project_mgr FROM people GROUP BY 1) pl
+        ON pl.project_id = p.person_id % 7
+      JOIN person_schedules ps ON ps.person_id = p.person_id
+      JOIN (SELECT schedule_id, MIN(person_id) AS line_mgr FROM person_schedules GROUP BY 1) ll ON ll.schedule_id = ps.schedule_id
+      LEFT JOIN people t ON p.person_id % 2 = 0 AND t.person_id = p.person_id - 2) m
+  ON m.person_id = r.resource_id""", "time_records", "people", "person_schedules")
+
+
+@register("r_tl2_timesheet_approver", _TL2_SQL)
+def timesheet_approver(t: Tables) -> DataFrame:
+    """R-TL2: latest timecard version per person and day (V3) with its
+    project and approver: task manager, else project manager, else line
+    manager (J17 fallback over J18 manager joins)."""
+    tr = S.time_records(t).select("resource_id", "work_date", "record_id", "version")
+    latest = E.latest(tr, ["resource_id", "work_date"], ["version"])
+    m = _managers(t).withColumnRenamed("person_id", "resource_id")
+    j = latest.join(m, "resource_id")
+    level = (F.when(F.col("task_mgr").isNotNull(), "TASK").when(F.col("project_mgr").isNotNull(), "PROJECT")
+             .when(F.col("line_mgr").isNotNull(), "LINE").otherwise("NONE"))
+    return j.select(F.col("resource_id").alias("person_id"), "work_date", "record_id", "project_id",
+                    F.coalesce("task_mgr", "project_mgr", "line_mgr").alias("approver_id"), level.alias("approver_level"))
+
+
+@register("r_tl5_absence_hours", S.with_sql("""
+SELECT l.person_id, l.absence_type, COUNT(DISTINCT d.work_date) AS absence_days, COUNT(DISTINCT d.work_date) * 8 AS absence_hours
+FROM (SELECT DISTINCT person_id, absence_type,
+             CAST(unnest(generate_series(start_date::TIMESTAMP, end_date::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS work_date
+      FROM leaves) l
+JOIN schedule_days d ON d.person_id = l.person_id AND d.work_date = l.work_date
+GROUP BY l.person_id, l.absence_type""", "leaves", "schedule_days"))
+def absence_hours(t: Tables) -> DataFrame:
+    """R-TL5: absence days and hours (8 per scheduled day) by type."""
+    lv = E.explode_interval(S.leaves(t).select("person_id", "absence_type", "start_date", "end_date"),
+                            "start_date", "end_date", "work_date").select("person_id", "absence_type", "work_date").distinct()
+    d = S.schedule_days(t).select("person_id", "work_date")
+    j = lv.join(d, ["person_id", "work_date"])
+    return j.groupBy("person_id", "absence_type").agg(F.count_distinct("work_date").alias("absence_days")) \
+        .withColumn("absence_hours", F.col("absence_days") * 8)
+
+
+@register("r_tl14_line_status", S.with_sql("""
+SELECT d.person_id, d.work_date,
+       CASE WHEN h.person_id IS NOT NULL THEN 'HOLIDAY' WHEN l.person_id IS NOT NULL THEN 'LEAVE'
+            WHEN p.person_id IS NOT NULL THEN 'WORKED' ELSE 'MISSING' END AS line_status
+FROM schedule_days d
+LEFT JOIN person_holidays h ON h.person_id = d.person_id AND h.holiday_date = d.work_date
+LEFT JOIN (SELECT DISTINCT person_id, CAST(unnest(generate_series(start_date::TIMESTAMP, end_date::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS work_date
+           FROM leaves) l ON l.person_id = d.person_id AND l.work_date = d.work_date
+LEFT JOIN (SELECT DISTINCT resource_id AS person_id, work_date FROM time_records) p
+  ON p.person_id = d.person_id AND p.work_date = d.work_date""", "schedule_days", "person_holidays", "leaves", "time_records"))
+def line_status(t: Tables) -> DataFrame:
+    """R-TL14: status of each scheduled day from holiday, absence and time
+    records (first match wins: holiday, leave, worked, missing)."""
+    d = S.schedule_days(t).select("person_id", "work_date")
+    hol = S.person_holidays(t).select("person_id", F.col("holiday_date").alias("work_date"), F.lit(1).alias("h"))
+    lv = E.explode_interval(S.leaves(t).select("person_id", "start_date", "end_date"), "start_date", "end_date", "work_date") \
+        .select("person_id", "work_date").distinct().withColumn("l", F.lit(1))
+    wk = S.time_records(t).select(F.col("resource_id").alias("person_id"), "work_date").distinct().withColumn("w", F.lit(1))
+    j = d.join(hol, ["person_id", "work_date"], "left").join(lv, ["person_id", "work_date"], "left") \
+        .join(wk, ["person_id", "work_date"], "left")
+    st = (F.when(F.col("h").isNotNull(), "HOLIDAY").when(F.col("l").isNotNull(), "LEAVE")
+          .when(F.col("w").isNotNull(), "WORKED").otherwise("MISSING"))
+    return j.select("person_id", "work_date", st.alias("line_status"))
