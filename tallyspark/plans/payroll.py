@@ -206,3 +206,70 @@ def new_joiners(t: Tables) -> DataFrame:
     s = S.service_periods(t).filter(F.col("date_start").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
     v = S.person_versions(t).select("person_id", F.col("eff_start").alias("date_start"), F.col("salary").alias("starting_salary"))
     return s.select("person_id", "date_start").join(v, ["person_id", "date_start"])
+
+
+# Gratuity days per service year, leave-provision days per year.
+GRATUITY_DAYS = 21
+LEAVE_DAYS = 30
+
+
+@register("r_py3_cost_to_company", S.with_sql(f"""
+SELECT person_id, pay_period, pay,
+       {sql_div_round(f'CAST(basic * 100 AS BIGINT) * {GRATUITY_DAYS}', '36500')} AS gratuity_provision,
+       {sql_div_round(f'CAST(basic * 100 AS BIGINT) * {LEAVE_DAYS}', '36500')} AS leave_provision,
+       CAST(pay + {sql_div_round(f'CAST(basic * 100 AS BIGINT) * {GRATUITY_DAYS}', '36500')}
+                + {sql_div_round(f'CAST(basic * 100 AS BIGINT) * {LEAVE_DAYS}', '36500')} AS DECIMAL(38,2)) AS total_cost
+FROM (SELECT person_id, strftime(effective_date, '%Y-%m') AS pay_period,
+             CAST(SUM(CASE WHEN classification = 'Earnings' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS pay,
+             SUM(CASE WHEN element = 'Basic' THEN {_VAL} ELSE 0 END) AS basic
+      FROM run_results GROUP BY 1, 2) x""", "run_results"))
+def cost_to_company(t: Tables) -> DataFrame:
+    """R-PY3: pay, gratuity and leave provisions (basic x days / 365, exact
+    cents) and the total cost per person and month."""
+    r = S.run_results(t)
+    v = _value()
+    g = r.groupBy("person_id", F.date_format("effective_date", "yyyy-MM").alias("pay_period")).agg(
+        F.sum(F.when(F.col("classification") == "Earnings", v).otherwise(0)).cast(TOTAL).alias("pay"),
+        F.sum(F.when(F.col("element") == "Basic", v).otherwise(0)).alias("basic"))
+    grat = div_round(cents("basic") * GRATUITY_DAYS, F.lit(36500), 2)
+    leave = div_round(cents("basic") * LEAVE_DAYS, F.lit(36500), 2)
+    return g.select("person_id", "pay_period", "pay", grat.alias("gratuity_provision"), leave.alias("leave_provision"),
+                    (F.col("pay") + grat + leave).cast(TOTAL).alias("total_cost"))
+
+
+@register("r_cp7_end_of_service", S.with_sql(f"""
+SELECT s.person_id, s.actual_termination_date, v.salary, y.years AS service_years,
+       {sql_div_round(f'CAST(v.salary * 100 AS BIGINT) * y.years * {GRATUITY_DAYS}', '3000')} AS gratuity,
+       {sql_div_round(f'CAST(v.salary * 100 AS BIGINT) * {LEAVE_DAYS}', '3000')} AS leave_encashment,
+       r.rate AS fare,
+       CAST({sql_div_round(f'CAST(v.salary * 100 AS BIGINT) * y.years * {GRATUITY_DAYS}', '3000')}
+            + {sql_div_round(f'CAST(v.salary * 100 AS BIGINT) * {LEAVE_DAYS}', '3000')} + r.rate AS DECIMAL(38,2)) AS total_settlement
+FROM service_periods s
+JOIN person_versions v ON v.person_id = s.person_id AND s.actual_termination_date BETWEEN v.eff_start AND v.eff_end
+JOIN (SELECT person_id, (CAST((year(actual_termination_date) - year(date_start)) * 12 + month(actual_termination_date) - month(date_start)
+             - CASE WHEN day(actual_termination_date) < day(date_start) THEN 1 ELSE 0 END AS BIGINT) // 12) AS years
+      FROM service_periods WHERE actual_termination_date IS NOT NULL) y ON y.person_id = s.person_id
+JOIN customers c ON c.customer_id = s.person_id
+JOIN rate_card r ON r.region_id = c.ledger_id AND r.segment = c.segment AND r.kind = 'ADULT'
+ AND s.actual_termination_date BETWEEN r.valid_from AND r.valid_to""",
+                                             "service_periods", "person_versions", "customers", "rate_card"))
+def end_of_service(t: Tables) -> DataFrame:
+    """R-CP7: end-of-service settlement = gratuity (salary x years x 21/30)
+    + leave encashment (salary x 30/30) + the adult fare from the rate card
+    valid at termination (J7 on both the salary and the rate card)."""
+    from tallyspark.sources import constants as K
+    s = S.service_periods(t).filter(F.col("actual_termination_date").isNotNull())
+    months = ((F.year("actual_termination_date") - F.year("date_start")) * 12 + F.month("actual_termination_date")
+              - F.month("date_start") - F.when(F.dayofmonth("actual_termination_date") < F.dayofmonth("date_start"), 1).otherwise(0))
+    s = s.select("person_id", "actual_termination_date", F.floor(months / 12).cast("bigint").alias("service_years"))
+    j = E.join_effective(s, S.person_versions(t), ["person_id"], "actual_termination_date", how="inner")
+    c = S.customers(t).select(F.col("customer_id").alias("person_id"), F.col("ledger_id").alias("region_id"), "segment")
+    rc = K.rate_card(t.spark).filter(F.col("kind") == "ADULT")
+    j = j.join(c, "person_id")
+    j = j.join(rc, (j.region_id == rc.region_id) & (j.segment == rc.segment)
+               & j.actual_termination_date.between(rc.valid_from, rc.valid_to))
+    grat = div_round(cents("salary") * F.col("service_years") * GRATUITY_DAYS, F.lit(3000), 2)
+    leave = div_round(cents("salary") * LEAVE_DAYS, F.lit(3000), 2)
+    return j.select("person_id", "actual_termination_date", "salary", "service_years", grat.alias("gratuity"),
+                    leave.alias("leave_encashment"), F.col("rate").alias("fare"),
+                    (grat + leave + F.col("rate")).cast(TOTAL).alias("total_settlement"))
