@@ -243,3 +243,89 @@ def internal_candidate_flag(t: Tables) -> DataFrame:
     j = s.join(emp, "person_id", "left")
     return j.select("person_id", "submissions",
                     F.when(F.col("emp").isNotNull(), "INTERNAL").otherwise("EXTERNAL").alias("candidate_type"))
+
+
+# Weekly hours per schedule and the full-time threshold.
+SCHEDULE_HOURS = [("STD", 40), ("SHIFT", 48)]
+FULL_TIME_HOURS = 40
+
+
+@register("r_hr3_fte_by_schedule", S.with_sql(f"""
+SELECT ps.schedule_id, CASE WHEN h.hours >= {FULL_TIME_HOURS} THEN 'FULL_TIME' ELSE 'PART_TIME' END AS time_class,
+       COUNT(*) AS headcount,
+       CAST(SUM(CAST(h.hours AS DECIMAL(18,2))) / {FULL_TIME_HOURS} AS DECIMAL(18,2)) AS fte
+FROM person_schedules ps JOIN (VALUES {", ".join(f"('{s}', {h})" for s, h in SCHEDULE_HOURS)}) h(schedule_id, hours)
+  ON h.schedule_id = ps.schedule_id
+GROUP BY 1, 2""", "person_schedules"))
+def fte_by_schedule(t: Tables) -> DataFrame:
+    """R-HR3: full/part-time class from scheduled hours and FTE per schedule."""
+    from tallyspark.sources import constants as K
+    h = K.frame(t.spark, SCHEDULE_HOURS, "schedule_id string, hours int")
+    j = S.person_schedules(t).join(h, "schedule_id")
+    cls = F.when(F.col("hours") >= FULL_TIME_HOURS, "FULL_TIME").otherwise("PART_TIME")
+    return j.groupBy("schedule_id", cls.alias("time_class")).agg(
+        F.count(F.lit(1)).alias("headcount"),
+        (F.sum(F.col("hours").cast("decimal(18,2)")) / FULL_TIME_HOURS).cast("decimal(18,2)").alias("fte"))
+
+
+_AB2_DATE = _dt.date(2024, 1, 15)
+
+
+@register("r_ab2_current_absences", S.with_sql(f"""
+SELECT l.absence_id, l.person_id, l.start_date, l.end_date,
+       CAST(COALESCE(b.balance, 0) AS DECIMAL(38,2)) AS balance_at_date
+FROM leaves l LEFT JOIN (SELECT person_id,
+       SUM(CASE WHEN entry_type IN ('COVR', 'ACRL', 'ADJOTH') THEN entry_value WHEN entry_type IN ('CSH', 'ABS') THEN -entry_value ELSE 0 END) AS balance
+       FROM accrual_entries WHERE processed_date <= {D(_AB2_DATE)} GROUP BY person_id) b ON b.person_id = l.person_id
+WHERE {D(_AB2_DATE)} BETWEEN l.start_date AND l.end_date""", "leaves", "accrual_entries"))
+def current_absences(t: Tables) -> DataFrame:
+    """R-AB2: absences in progress at the date (J7 on the leave interval)
+    with the person's leave balance at that date."""
+    lv = E.as_of(S.leaves(t), _AB2_DATE, "start_date", "end_date").select("absence_id", "person_id", "start_date", "end_date")
+    e = S.accrual_entries(t).filter(F.col("processed_date") <= F.lit(_AB2_DATE))
+    sign = (F.when(F.col("entry_type").isin("COVR", "ACRL", "ADJOTH"), F.col("entry_value"))
+            .when(F.col("entry_type").isin("CSH", "ABS"), -F.col("entry_value")).otherwise(0))
+    b = e.groupBy("person_id").agg(F.sum(sign).alias("balance"))
+    j = lv.join(b, "person_id", "left")
+    return j.select("absence_id", "person_id", "start_date", "end_date",
+                    F.coalesce("balance", F.lit(0)).cast(TOTAL).alias("balance_at_date"))
+
+
+@register("r_rc9_offer_package", S.with_sql(f"""
+SELECT c.customer_id AS person_id, v.salary,
+       CAST(MAX(CASE WHEN r.kind = 'ADULT' THEN r.rate END) + 2 * MAX(CASE WHEN r.kind = 'CHILD' THEN r.rate END)
+            + MAX(CASE WHEN r.kind = 'INFANT' THEN r.rate END) AS DECIMAL(18,2)) AS fares,
+       CAST(v.salary + MAX(CASE WHEN r.kind = 'ADULT' THEN r.rate END) + 2 * MAX(CASE WHEN r.kind = 'CHILD' THEN r.rate END)
+            + MAX(CASE WHEN r.kind = 'INFANT' THEN r.rate END) AS DECIMAL(18,2)) AS package_total
+FROM customers c
+JOIN person_versions v ON v.person_id = c.customer_id AND {D(AS_OF)} BETWEEN v.eff_start AND v.eff_end
+JOIN rate_card r ON r.region_id = c.ledger_id AND r.segment = c.segment AND {D(AS_OF)} BETWEEN r.valid_from AND r.valid_to
+GROUP BY c.customer_id, v.salary""", "customers", "person_versions", "rate_card"))
+def offer_package(t: Tables) -> DataFrame:
+    """R-RC9: salary at the date plus fares for one adult, two children and
+    one infant from the rate card (S7 + J20 pivot + A2)."""
+    from tallyspark.plans.generic import rate_card_lookup
+    rates = rate_card_lookup(t).withColumnRenamed("customer_id", "person_id")
+    sal = E.as_of(S.person_versions(t), AS_OF).select("person_id", "salary")
+    j = sal.join(rates, "person_id")
+    fares = F.col("adult_rate") + 2 * F.col("child_rate") + F.col("infant_rate")
+    return j.select("person_id", "salary", fares.cast("decimal(18,2)").alias("fares"),
+                    (F.col("salary") + fares).cast("decimal(18,2)").alias("package_total"))
+
+
+@register("r_rc17_internal_move_class", S.with_sql("""
+SELECT person_id, eff_start, previous_grade, grade_id,
+       CASE WHEN grade_id < previous_grade THEN 'PROMOTION' WHEN grade_id > previous_grade THEN 'DEMOTION'
+            ELSE 'LATERAL' END AS move_class
+FROM (SELECT person_id, eff_start, grade_id, LAG(grade_id) OVER (PARTITION BY person_id ORDER BY eff_start) AS previous_grade
+      FROM person_versions) x WHERE previous_grade IS NOT NULL""", "person_versions"))
+def internal_move_class(t: Tables) -> DataFrame:
+    """R-RC17: promotion / demotion / lateral move from the grade change
+    between consecutive versions (grade 1 is the highest)."""
+    from tallyspark.operators import windows as W
+    pv = S.person_versions(t).select("person_id", "eff_start", "grade_id")
+    h = W.lag_change(pv, ["person_id"], ["eff_start"], "grade_id", "previous_grade", "grade_change")
+    h = h.filter(F.col("previous_grade").isNotNull())
+    cls = (F.when(F.col("grade_id") < F.col("previous_grade"), "PROMOTION")
+           .when(F.col("grade_id") > F.col("previous_grade"), "DEMOTION").otherwise("LATERAL"))
+    return h.select("person_id", "eff_start", "previous_grade", "grade_id", cls.alias("move_class"))
