@@ -169,3 +169,22 @@ def unpaid_supplier_invoices(t: Tables) -> DataFrame:
     c = S.project_costs(t).filter(F.col("invoiced_flag") != "F")
     return c.groupBy("project_id").agg(F.count(F.lit(1)).alias("unpaid_items"),
                                        F.sum("raw_cost").cast(TOTAL).alias("unpaid_amount"))
+
+
+@register("r_co1_cost_detail", S.with_sql("""
+SELECT c.expenditure_item_id, c.project_id, c.task_id, c.expenditure_date, c.cost_category, c.raw_cost, c.burdened_cost,
+       o.o_custkey AS employee_id, v.grade_id AS employee_grade
+FROM project_costs c JOIN orders o ON o.o_orderkey = c.expenditure_item_id
+LEFT JOIN person_versions v ON v.person_id = o.o_custkey AND c.expenditure_date BETWEEN v.eff_start AND v.eff_end""",
+                                        "project_costs", "person_versions"))
+def cost_detail(t: Tables) -> DataFrame:
+    """R-CO1/R-CO8: cost items with the employee (the order's customer) and
+    the employee's grade valid at the expenditure date (J2 + J8)."""
+    c = S.project_costs(t).select("expenditure_item_id", "project_id", "task_id", "expenditure_date", "cost_category",
+                                  "raw_cost", "burdened_cost")
+    o = t.orders.select(F.col("o_orderkey").alias("expenditure_item_id"), F.col("o_custkey").alias("person_id"))
+    j = c.join(o, "expenditure_item_id")
+    j = E.join_effective(j, S.person_versions(t).select("person_id", "eff_start", "eff_end", "grade_id"),
+                         ["person_id"], "expenditure_date")
+    return j.select("expenditure_item_id", "project_id", "task_id", "expenditure_date", "cost_category", "raw_cost",
+                    "burdened_cost", F.col("person_id").alias("employee_id"), F.col("grade_id").alias("employee_grade"))

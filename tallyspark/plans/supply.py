@@ -193,3 +193,36 @@ def supplier_qualification(t: Tables) -> DataFrame:
     j = s.join(a, "supplier_id", "left")
     return j.select("supplier_id", "vendor_name", F.coalesce("orders_supplied", F.lit(0)).alias("orders_supplied"),
                     F.when(F.col("acctbal") >= 0, "QUALIFIED").otherwise("ON HOLD").alias("qualification"))
+
+
+@register("r_iv2_movement_detail", S.with_sql("""
+SELECT m.source_doc_id, m.item_id, p.p_name AS item_name, s.s_name AS org_name, m.trx_type, m.trx_date, m.quantity,
+       c.unit_cost_average, CAST(m.quantity * c.unit_cost_average AS DECIMAL(38,2)) AS movement_cost,
+       CASE WHEN m.trx_type = 'RETURN' THEN 'TRANSFER IN' ELSE 'ISSUE OUT' END AS transfer_direction
+FROM movements m
+JOIN part p ON p.p_partkey = m.item_id JOIN supplier s ON s.s_suppkey = m.org_id
+LEFT JOIN cost_periods c ON c.item_id = m.item_id AND m.trx_date >= c.cost_date AND m.trx_date <= c.cost_end_date
+ AND m.trx_date <> c.cost_end_date""", "movements", "cost_periods"))
+def movement_detail(t: Tables) -> DataFrame:
+    """R-IV2: movements with item and location names (J21), the cost of the
+    cost period (J10, left) and the transfer direction."""
+    m = S.movements(t)
+    c = S.cost_periods(t)
+    j = E.join_period(m, c, ["item_id"], "trx_date", "cost_date", "cost_end_date", exclude_end=True, how="left")
+    j = (j.join(t.part.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name")), "item_id")
+          .join(t.supplier.select(F.col("s_suppkey").alias("org_id"), F.col("s_name").alias("org_name")), "org_id"))
+    return j.select("source_doc_id", "item_id", "item_name", "org_name", "trx_type", "trx_date", "quantity",
+                    "unit_cost_average", (F.col("quantity") * F.col("unit_cost_average")).cast(TOTAL).alias("movement_cost"),
+                    F.when(F.col("trx_type") == "RETURN", "TRANSFER IN").otherwise("ISSUE OUT").alias("transfer_direction"))
+
+
+@register("r_iv4_receipt_value", S.with_sql("""
+SELECT applied_trx_id AS po_id, supplier_id, SUM(quantity) AS received_qty,
+       CAST(SUM(gross_amount) AS DECIMAL(38,2)) AS received_value
+FROM applications WHERE line_status = 'F' GROUP BY applied_trx_id, supplier_id""", "applications"))
+def receipt_value(t: Tables) -> DataFrame:
+    """R-IV4/R-PO6: received quantity and value (quantity x price) per order
+    distribution (order, supplier)."""
+    a = S.applications(t).filter(F.col("line_status") == "F")
+    return a.groupBy(F.col("applied_trx_id").alias("po_id"), "supplier_id").agg(
+        F.sum("quantity").alias("received_qty"), F.sum("gross_amount").cast(TOTAL).alias("received_value"))
