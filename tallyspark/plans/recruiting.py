@@ -255,6 +255,9 @@ LEFT JOIN (SELECT t.resource_id, MIN(t.work_date) AS first_work_date FROM time_r
            JOIN offers x ON x.person_id = t.resource_id AND t.work_date >= x.accepted_date GROUP BY t.resource_id) e
   ON e.resource_id = o.person_id
 WHERE o.accepted_date IS NOT NULL""", "offers", "time_records")
+
+
+@register("r_rc14_offer_transition", _RC14_SQL)
 def offer_transition(t: Tables) -> DataFrame:
     """R-RC14: accepted offers and whether the candidate has become an
     employee (first time record on or after acceptance), with a derived
