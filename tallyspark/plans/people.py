@@ -329,3 +329,87 @@ def internal_move_class(t: Tables) -> DataFrame:
     cls = (F.when(F.col("grade_id") < F.col("previous_grade"), "PROMOTION")
            .when(F.col("grade_id") > F.col("previous_grade"), "DEMOTION").otherwise("LATERAL"))
     return h.select("person_id", "eff_start", "previous_grade", "grade_id", cls.alias("move_class"))
+
+
+@register("r_ab4_leave_detail", S.with_sql("""
+SELECT l.absence_id, l.person_id, c.c_name AS person_name, l.absence_type, l.start_date, l.end_date,
+       l.end_date - l.start_date + 1 AS leave_days, l.approval_status, ps.schedule_id,
+       ll.line_mgr AS supervisor_id, sc.c_name AS supervisor_name
+FROM leaves l JOIN customer c ON c.c_custkey = l.person_id
+JOIN person_schedules ps ON ps.person_id = l.person_id
+JOIN (SELECT schedule_id, MIN(person_id) AS line_mgr FROM person_schedules GROUP BY schedule_id) ll
+  ON ll.schedule_id = ps.schedule_id AND ll.line_mgr <> l.person_id
+LEFT JOIN customer sc ON sc.c_custkey = ll.line_mgr""", "leaves", "person_schedules"))
+def leave_detail(t: Tables) -> DataFrame:
+    """R-AB4: leave detail with workflow status, schedule and supervisor
+    (line manager of the schedule group) stitched from masters (J21)."""
+    ps = S.person_schedules(t).select("person_id", "schedule_id")
+    lead = ps.groupBy("schedule_id").agg(F.min("person_id").alias("supervisor_id"))
+    names = t.customer.select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("person_name"))
+    sup = t.customer.select(F.col("c_custkey").alias("supervisor_id"), F.col("c_name").alias("supervisor_name"))
+    j = S.leaves(t).join(names, "person_id").join(ps, "person_id").join(lead, "schedule_id")
+    j = j.filter(F.col("supervisor_id") != F.col("person_id")).join(sup, "supervisor_id", "left")
+    return j.select("absence_id", "person_id", "person_name", "absence_type", "start_date", "end_date",
+                    (F.datediff("end_date", "start_date") + 1).alias("leave_days"), "approval_status", "schedule_id",
+                    "supervisor_id", "supervisor_name")
+
+
+def approvals(t: Tables) -> DataFrame:
+    """Approval actions keyed by a text transaction key (as in the source):
+    one per leave whose event value is above 5; REJECTED above 250."""
+    e = t.events.filter((F.col("event_type") == "signup") & (F.col("value") > 5))
+    return e.select(F.col("event_id").cast("string").alias("transaction_key"),
+                    F.when(F.col("value") > 250, "REJECTED").otherwise("APPROVED").alias("outcome"),
+                    F.concat(F.lit("APPROVER-"), (F.col("user_id") % 7).cast("string")).alias("approver"))
+
+
+S._cte("approvals", (), """
+SELECT CAST(event_id AS VARCHAR) AS transaction_key, CASE WHEN value > 250 THEN 'REJECTED' ELSE 'APPROVED' END AS outcome,
+       'APPROVER-' || CAST(user_id % 7 AS VARCHAR) AS approver
+FROM events WHERE event_type = 'signup' AND value > 5""")
+
+
+@register("r_ab9_approval_outcome", S.with_sql("""
+SELECT l.absence_id, l.person_id, COALESCE(a.outcome, 'PENDING') AS outcome, a.approver
+FROM leaves l LEFT JOIN approvals a ON a.transaction_key = CAST(l.absence_id AS VARCHAR)""", "leaves", "approvals"))
+def approval_outcome(t: Tables) -> DataFrame:
+    """R-AB9: approval outcome and approver per absence, joined on the text
+    key (the numeric id cast to text once, on the smaller side's key)."""
+    lv = S.leaves(t).select("absence_id", "person_id", F.col("absence_id").cast("string").alias("transaction_key"))
+    j = lv.join(approvals(t), "transaction_key", "left")
+    return j.select("absence_id", "person_id", F.coalesce("outcome", F.lit("PENDING")).alias("outcome"), "approver")
+
+
+@register("r_ab10_advance_recovery", S.with_sql("""
+SELECT l.absence_id, l.person_id, l.start_date, CAST(COALESCE(d.recovered, 0) AS DECIMAL(38,2)) AS advance_recovered
+FROM leaves l LEFT JOIN (SELECT person_id, date_trunc('month', effective_date) AS m,
+                                SUM(TRY_CAST(result_value AS DECIMAL(18,2))) AS recovered
+                         FROM run_results WHERE element = 'Deduction' GROUP BY 1, 2) d
+  ON d.person_id = l.person_id AND d.m = date_trunc('month', l.start_date)""", "leaves", "run_results"))
+def advance_recovery(t: Tables) -> DataFrame:
+    """R-AB10: salary advance recovered in the month of each absence
+    (deductions pre-aggregated per person and month, J2)."""
+    d = (S.run_results(t).filter(F.col("element") == "Deduction")
+         .groupBy("person_id", F.trunc("effective_date", "month").alias("m"))
+         .agg(F.sum(F.col("result_value").try_cast("decimal(18,2)")).alias("recovered")))
+    lv = S.leaves(t).select("absence_id", "person_id", "start_date", F.trunc("start_date", "month").alias("m"))
+    j = lv.join(d, ["person_id", "m"], "left")
+    return j.select("absence_id", "person_id", "start_date",
+                    F.coalesce("recovered", F.lit(0)).cast(TOTAL).alias("advance_recovered"))
+
+
+@register("r_hr5_pending_approvers", S.with_sql("""
+SELECT i.order_id, i.vendor_id, COUNT(DISTINCT a.part_id) AS approvers,
+       string_agg(DISTINCT 'APPROVER-' || CAST(a.part_id AS VARCHAR), ', ' ORDER BY 'APPROVER-' || CAST(a.part_id AS VARCHAR)) AS approver_list
+FROM ap_invoices i JOIN applications a ON a.applied_trx_id = i.order_id AND a.supplier_id = i.vendor_id
+WHERE i.approval_status = 'PENDING' GROUP BY i.order_id, i.vendor_id""", "ap_invoices", "applications"))
+def pending_approvers(t: Tables) -> DataFrame:
+    """R-HR5: pending approvers of each unapproved invoice as an ordered list."""
+    from tallyspark.plans.payables import ap_invoices
+    inv = ap_invoices(t).filter(F.col("approval_status") == "PENDING").select("order_id", "vendor_id")
+    a = S.applications(t).select(F.col("applied_trx_id").alias("order_id"), F.col("supplier_id").alias("vendor_id"),
+                                 F.concat(F.lit("APPROVER-"), F.col("part_id").cast("string")).alias("approver"))
+    j = inv.join(a, ["order_id", "vendor_id"]).select("order_id", "vendor_id", "approver").distinct()
+    lst = A.ordered_list(j, ["order_id", "vendor_id"], "approver", ["approver"], ", ", "approver_list")
+    cnt = j.groupBy("order_id", "vendor_id").agg(F.count(F.lit(1)).alias("approvers"))
+    return cnt.join(lst, ["order_id", "vendor_id"])
