@@ -7,6 +7,8 @@ the job under ANSI mode.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,3 +275,180 @@ def end_of_service(t: Tables) -> DataFrame:
     return j.select("person_id", "actual_termination_date", "salary", "service_years", grat.alias("gratuity"),
                     leave.alias("leave_encashment"), F.col("rate").alias("fare"),
                     (grat + leave + F.col("rate")).cast(TOTAL).alias("total_settlement"))
+
+
+@register("r_py4_accrual_detail", S.with_sql("""
+SELECT person_id, CAST(date_trunc('week', processed_date) AS DATE) AS week_start,
+       CAST(SUM(CASE WHEN entry_type = 'ACRL' THEN entry_value ELSE 0 END) AS DECIMAL(38,2)) AS accrued,
+       CAST(SUM(CASE WHEN entry_type = 'ABS' THEN entry_value ELSE 0 END) AS DECIMAL(38,2)) AS taken,
+       CAST(SUM(CASE WHEN entry_type = 'CSH' THEN entry_value ELSE 0 END) AS DECIMAL(38,2)) AS encashed,
+       CAST(SUM(CASE WHEN entry_type = 'COVR' THEN entry_value ELSE 0 END) AS DECIMAL(38,2)) AS carried_over,
+       CAST(SUM(CASE WHEN entry_type = 'ADJOTH' THEN entry_value ELSE 0 END) AS DECIMAL(38,2)) AS adjusted
+FROM accrual_entries GROUP BY 1, 2""", "accrual_entries"))
+def accrual_detail(t: Tables) -> DataFrame:
+    """R-PY4: accrual entries per person and week pivoted by entry type (A2)."""
+    e = S.accrual_entries(t).withColumn("week_start", F.trunc("processed_date", "week"))
+    return A.pivot_sum(e, ["person_id", "week_start"], "entry_type", "entry_value",
+                       ["ACRL", "ABS", "CSH", "COVR", "ADJOTH"],
+                       {"ACRL": "accrued", "ABS": "taken", "CSH": "encashed", "COVR": "carried_over", "ADJOTH": "adjusted"})
+
+
+@register("r_py7_accruals_with_reversals", S.with_sql(f"""
+SELECT person_id, pay_period,
+       {sql_div_round(f'CAST(basic * 100 AS BIGINT) * {GRATUITY_DAYS}', '36500')} AS gratuity_accrued,
+       {sql_div_round(f'CAST(reversed * 100 AS BIGINT) * {GRATUITY_DAYS}', '36500')} AS gratuity_reversed,
+       {sql_div_round(f'CAST(basic * 100 AS BIGINT) * {LEAVE_DAYS}', '36500')} AS leave_accrued,
+       {sql_div_round(f'CAST(reversed * 100 AS BIGINT) * {LEAVE_DAYS}', '36500')} AS leave_reversed
+FROM (SELECT person_id, strftime(effective_date, '%Y-%m') AS pay_period,
+             SUM(CASE WHEN element = 'Basic' THEN {_VAL} ELSE 0 END) AS basic,
+             SUM(CASE WHEN element = 'Deduction' THEN {_VAL} ELSE 0 END) AS reversed
+      FROM run_results GROUP BY 1, 2) x""", "run_results"))
+def accruals_with_reversals(t: Tables) -> DataFrame:
+    """R-PY7: gratuity and leave accruals on basic pay and their reversals
+    (deduction runs), per person and month (A2, exact cents)."""
+    r = S.run_results(t)
+    v = _value()
+    g = r.groupBy("person_id", F.date_format("effective_date", "yyyy-MM").alias("pay_period")).agg(
+        F.sum(F.when(F.col("element") == "Basic", v).otherwise(0)).alias("basic"),
+        F.sum(F.when(F.col("element") == "Deduction", v).otherwise(0)).alias("reversed"))
+    acc = lambda c, days: div_round(cents(c) * days, F.lit(36500), 2)
+    return g.select("person_id", "pay_period", acc("basic", GRATUITY_DAYS).alias("gratuity_accrued"),
+                    acc("reversed", GRATUITY_DAYS).alias("gratuity_reversed"),
+                    acc("basic", LEAVE_DAYS).alias("leave_accrued"), acc("reversed", LEAVE_DAYS).alias("leave_reversed"))
+
+
+def bank_accounts(t: Tables) -> DataFrame:
+    """Dated salary bank accounts: a purchase event opens a new account
+    version for the person (end = next start - 1, open end 4712-12-31)."""
+    from pyspark.sql import Window
+    e = t.events.filter(F.col("event_type") == "purchase").groupBy(
+        F.col("user_id").alias("person_id"), F.to_date("ts").alias("eff_start")).agg(
+        F.max("event_id").alias("account_event"))
+    w = Window.partitionBy("person_id").orderBy("eff_start")
+    return e.select("person_id", "eff_start",
+                    F.concat(F.lit("ACC-"), F.col("account_event").cast("string")).alias("account_number"),
+                    F.coalesce(F.date_sub(F.lead("eff_start").over(w), 1), F.lit(END_OF_TIME)).alias("eff_end"))
+
+
+S._cte("bank_accounts", (), f"""
+SELECT person_id, eff_start, 'ACC-' || CAST(account_event AS VARCHAR) AS account_number,
+       COALESCE(CAST(LEAD(eff_start) OVER (PARTITION BY person_id ORDER BY eff_start) - 1 AS DATE), {D(END_OF_TIME)}) AS eff_end
+FROM (SELECT user_id AS person_id, CAST(ts AS DATE) AS eff_start, MAX(event_id) AS account_event
+      FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) e""")
+
+_BANK_DATE = _dt.date(2024, 1, 20)
+
+
+@register("r_py10_bank_account_at_date", S.with_sql(f"""
+SELECT p.person_id, b.account_number, b.eff_start AS account_since
+FROM people p LEFT JOIN bank_accounts b ON b.person_id = p.person_id
+ AND {D(_BANK_DATE)} BETWEEN b.eff_start AND b.eff_end""", "people", "bank_accounts"))
+def bank_account_at_date(t: Tables) -> DataFrame:
+    """R-PY10: the salary bank account valid at a date (J7), NULL when none."""
+    acc = E.as_of(bank_accounts(t), _BANK_DATE).select("person_id", "account_number",
+                                                       F.col("eff_start").alias("account_since"))
+    return S.people(t).join(acc, "person_id", "left")
+
+
+@register("r_py11_payroll_flows", S.with_sql(f"""
+SELECT 'PAYROLL-' || strftime(effective_date, '%Y%m%d') AS flow_instance, classification AS consolidation_set,
+       COUNT(*) AS results, CAST(SUM({_VAL}) AS DECIMAL(38,2)) AS total
+FROM run_results WHERE result_value IS NOT NULL GROUP BY 1, 2""", "run_results"))
+def payroll_flows(t: Tables) -> DataFrame:
+    """R-PY11: run results per flow instance (pay date) and consolidation
+    set; the flow filter is the NVL form (F4): with no parameter, rows with
+    a NULL value are dropped, not kept."""
+    from tallyspark.functions.params import filter_nvl
+    r = filter_nvl(S.run_results(t), "result_value", None)
+    return r.groupBy(F.concat(F.lit("PAYROLL-"), F.date_format("effective_date", "yyyyMMdd")).alias("flow_instance"),
+                     F.col("classification").alias("consolidation_set")).agg(
+        F.count(F.lit(1)).alias("results"), F.sum(_value()).cast(TOTAL).alias("total"))
+
+
+# Allowance percentages of salary in the compensation listing.
+HOUSING_PCT = 25
+TRANSPORT_PCT = 10
+
+
+@register("r_cp1_compensation_listing", S.with_sql(f"""
+SELECT s.person_id, s.person_number, s.department, v.grade_id, v.salary,
+       {sql_div_round(f'CAST(v.salary * 100 AS BIGINT) * {HOUSING_PCT}', '10000')} AS housing_allowance,
+       {sql_div_round(f'CAST(v.salary * 100 AS BIGINT) * {TRANSPORT_PCT}', '10000')} AS transport_allowance,
+       CAST(v.salary + {sql_div_round(f'CAST(v.salary * 100 AS BIGINT) * {HOUSING_PCT}', '10000')}
+                     + {sql_div_round(f'CAST(v.salary * 100 AS BIGINT) * {TRANSPORT_PCT}', '10000')} AS DECIMAL(38,2)) AS gross
+FROM service_periods s JOIN person_versions v ON v.person_id = s.person_id
+ AND {D(AS_OF)} BETWEEN v.eff_start AND v.eff_end""", "service_periods", "person_versions"))
+def compensation_listing(t: Tables) -> DataFrame:
+    """R-CP1: salary at the date (J7) with percentage allowances and gross."""
+    sp = S.service_periods(t).select("person_id", "person_number", "department")
+    v = E.as_of(S.person_versions(t), AS_OF).select("person_id", "grade_id", "salary")
+    j = sp.join(v, "person_id")
+    h = div_round(cents("salary") * HOUSING_PCT, F.lit(10000), 2)
+    tr = div_round(cents("salary") * TRANSPORT_PCT, F.lit(10000), 2)
+    return j.select("person_id", "person_number", "department", "grade_id", "salary", h.alias("housing_allowance"),
+                    tr.alias("transport_allowance"), (F.col("salary") + h + tr).cast(TOTAL).alias("gross"))
+
+
+# Department -> cost centre.
+COST_CENTRES = [("AUTOMOBILE", "CC-100"), ("BUILDING", "CC-200"), ("FURNITURE", "CC-300"),
+                ("HOUSEHOLD", "CC-400"), ("MACHINERY", "CC-500")]
+
+
+@register("r_cp9_cost_centre_map", S.with_sql(f"""
+SELECT s.person_id, s.department, COALESCE(m.cost_centre, 'CC-999') AS cost_centre
+FROM service_periods s LEFT JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in COST_CENTRES)}) m(department, cost_centre)
+  ON m.department = s.department""", "service_periods"))
+def cost_centre_map(t: Tables) -> DataFrame:
+    """R-CP9: department -> cost centre from a constant map (S4), default CC-999."""
+    from tallyspark.sources import constants as K
+    m = K.frame(t.spark, COST_CENTRES, "department string, cost_centre string")
+    j = S.service_periods(t).select("person_id", "department").join(m, "department", "left")
+    return j.select("person_id", "department", F.coalesce("cost_centre", F.lit("CC-999")).alias("cost_centre"))
+
+
+def enrolments(t: Tables) -> DataFrame:
+    """Medical plan enrolment per person: plan by department, coverage
+    level by grade, valid over the period of service."""
+    s = S.service_periods(t)
+    return s.select("person_id", F.concat(F.lit("MEDICAL-"), F.col("department")).alias("plan_name"),
+                    F.col("date_start").alias("eff_start"), F.col("actual_termination_date").alias("eff_end"))
+
+
+S._cte("enrolments", ("service_periods",), """
+SELECT person_id, 'MEDICAL-' || department AS plan_name, date_start AS eff_start, actual_termination_date AS eff_end
+FROM service_periods""")
+
+
+@register("r_bn1_medical_enrolments", S.with_sql(f"""
+SELECT e.person_id, e.plan_name, e.eff_start, CASE WHEN v.grade_id <= 2 THEN 'FAMILY' ELSE 'EMPLOYEE' END AS coverage_level
+FROM enrolments e JOIN person_versions v ON v.person_id = e.person_id AND {D(AS_OF)} BETWEEN v.eff_start AND v.eff_end
+WHERE {D(AS_OF)} >= e.eff_start AND {D(AS_OF)} <= COALESCE(e.eff_end, {D(END_OF_TIME)})""", "enrolments", "person_versions"))
+def medical_enrolments(t: Tables) -> DataFrame:
+    """R-BN1: medical enrolments valid at the date with the coverage level
+    from the grade valid at the same date (J7 on both)."""
+    e = E.as_of(enrolments(t), AS_OF)
+    v = E.as_of(S.person_versions(t), AS_OF).select("person_id", "grade_id")
+    j = e.join(v, "person_id")
+    return j.select("person_id", "plan_name", "eff_start",
+                    F.when(F.col("grade_id") <= 2, "FAMILY").otherwise("EMPLOYEE").alias("coverage_level"))
+
+
+@register("r_bn2_enrolment_coverage_check", S.with_sql(f"""
+SELECT e.person_id, e.plan_name, CAST(r.rate * 10 AS DECIMAL(18,2)) AS coverage_amount,
+       CASE WHEN r.rate IS NULL THEN 'NO COVERAGE' ELSE 'COVERED' END AS coverage_check
+FROM enrolments e JOIN customers c ON c.customer_id = e.person_id
+LEFT JOIN rate_card r ON r.region_id = c.ledger_id AND r.segment = c.segment AND r.kind = 'ADULT'
+ AND {D(AS_OF)} BETWEEN r.valid_from AND r.valid_to
+WHERE {D(AS_OF)} >= e.eff_start AND {D(AS_OF)} <= COALESCE(e.eff_end, {D(END_OF_TIME)})""",
+                                                        "enrolments", "customers", "rate_card"))
+def enrolment_coverage_check(t: Tables) -> DataFrame:
+    """R-BN2: enrolments valid at the date (row validity) checked against a
+    coverage rate valid at the same date (second J7)."""
+    from tallyspark.sources import constants as K
+    e = E.as_of(enrolments(t), AS_OF)
+    c = S.customers(t).select(F.col("customer_id").alias("person_id"), F.col("ledger_id").alias("region_id"), "segment")
+    rc = E.as_of(K.rate_card(t.spark).filter(F.col("kind") == "ADULT"), AS_OF, "valid_from", "valid_to") \
+        .select("region_id", "segment", "rate")
+    j = e.join(c, "person_id").join(rc, ["region_id", "segment"], "left")
+    return j.select("person_id", "plan_name", (F.col("rate") * 10).cast("decimal(18,2)").alias("coverage_amount"),
+                    F.when(F.col("rate").isNull(), "NO COVERAGE").otherwise("COVERED").alias("coverage_check"))
