@@ -339,3 +339,47 @@ def line_status(t: Tables) -> DataFrame:
     st = (F.when(F.col("h").isNotNull(), "HOLIDAY").when(F.col("l").isNotNull(), "LEAVE")
           .when(F.col("w").isNotNull(), "WORKED").otherwise("MISSING"))
     return j.select("person_id", "work_date", st.alias("line_status"))
+
+
+@register("r_tl15_timecard_attributes", S.with_sql("""
+SELECT v.resource_id AS person_id, v.work_date, v.record_id,
+       MAX(CASE WHEN a.attribute = 'LEAVE_REF' THEN a.value END) AS leave_reference,
+       MAX(CASE WHEN a.attribute = 'PAY_TIME_TYPE' THEN a.value END) AS payroll_time_type,
+       MAX(CASE WHEN a.attribute = 'STAT_HOLIDAY' THEN a.value END) AS statutory_holiday
+FROM (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY resource_id, work_date ORDER BY version DESC) AS rn
+                     FROM time_records) x WHERE rn = 1) v
+LEFT JOIN (SELECT r.record_id, 'LEAVE_REF' AS attribute, CAST(MIN(l.absence_id) AS VARCHAR) AS value
+           FROM time_records r JOIN leaves l ON l.person_id = r.resource_id AND r.work_date BETWEEN l.start_date AND l.end_date
+           GROUP BY r.record_id
+           UNION ALL
+           SELECT record_id, 'PAY_TIME_TYPE', CASE WHEN isodow(work_date) >= 6 THEN 'OVERTIME' ELSE 'REGULAR' END FROM time_records
+           UNION ALL
+           SELECT r.record_id, 'STAT_HOLIDAY', 'Y' FROM time_records r
+           JOIN person_holidays h ON h.person_id = r.resource_id AND h.holiday_date = r.work_date) a
+  ON a.record_id = v.record_id
+GROUP BY v.resource_id, v.work_date, v.record_id""", "time_records", "leaves", "person_holidays"))
+def timecard_attributes(t: Tables) -> DataFrame:
+    """R-TL15: latest timecard line per day (V3) with its attribute rows
+    (leave reference, payroll time type, statutory holiday) pivoted to
+    columns with MAX(CASE ...) (A3)."""
+    from tallyspark.operators import rollup as A
+    tr = S.time_records(t).select("record_id", "resource_id", "work_date", "version")
+    latest = E.latest(tr, ["resource_id", "work_date"], ["version"])
+    days = tr.select("record_id", "resource_id", "work_date")
+    lv = E.explode_interval(S.leaves(t).select("person_id", "absence_id", "start_date", "end_date"),
+                            "start_date", "end_date", "work_date").withColumnRenamed("person_id", "resource_id")
+    leave_ref = (days.join(lv.select("resource_id", "work_date", "absence_id"), ["resource_id", "work_date"])
+                 .groupBy("record_id").agg(F.min("absence_id").cast("string").alias("value"))
+                 .withColumn("attribute", F.lit("LEAVE_REF")))
+    ptype = days.select("record_id", F.lit("PAY_TIME_TYPE").alias("attribute"),
+                        F.when(F.weekday("work_date") >= 5, "OVERTIME").otherwise("REGULAR").alias("value"))
+    hol = S.person_holidays(t).select(F.col("person_id").alias("resource_id"), F.col("holiday_date").alias("work_date"))
+    stat = days.join(hol, ["resource_id", "work_date"]).select("record_id", F.lit("STAT_HOLIDAY").alias("attribute"),
+                                                               F.lit("Y").alias("value"))
+    attrs = leave_ref.unionByName(ptype).unionByName(stat)
+    piv = A.attribute_pivot(attrs, ["record_id"], "attribute", "value", ["LEAVE_REF", "PAY_TIME_TYPE", "STAT_HOLIDAY"],
+                            {"LEAVE_REF": "leave_reference", "PAY_TIME_TYPE": "payroll_time_type",
+                             "STAT_HOLIDAY": "statutory_holiday"})
+    j = latest.join(piv, "record_id", "left")
+    return j.select(F.col("resource_id").alias("person_id"), "work_date", "record_id", "leave_reference",
+                    "payroll_time_type", "statutory_holiday")
