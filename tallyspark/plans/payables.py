@@ -309,3 +309,49 @@ def complete_supplier_ledger(t: Tables) -> DataFrame:
         F.coalesce(F.when(F.col("vendor_id") < 0, F.col("party_name")), F.col("vendor_name")).alias("party_name"))
     return x.join(names, "vendor_id").select("vendor_id", "party_name", "block", "period", "movement_type", "amount",
                                              F.col("running_balance").cast(TOTAL).alias("running_balance"))
+
+
+@register("r_ap4_payment_voucher_header", S.with_sql("""
+SELECT p.order_id, p.vendor_id, s.vendor_name, MAX(p.pay_date) AS payment_date,
+       CAST(SUM(p.amount) AS DECIMAL(38,2)) AS payment_amount, CAST(SUM(p.discount_taken) AS DECIMAL(38,2)) AS discount
+FROM ap_payments p JOIN suppliers s ON s.supplier_id = p.vendor_id
+WHERE p.pay_type = 'PAYMENT' GROUP BY p.order_id, p.vendor_id, s.vendor_name""", "ap_payments", "suppliers"))
+def payment_voucher_header(t: Tables) -> DataFrame:
+    """R-AP4 (header set): one voucher per payment with vendor and totals."""
+    p = ap_payments(t).filter(F.col("pay_type") == "PAYMENT")
+    s = S.suppliers(t).select(F.col("supplier_id").alias("vendor_id"), "vendor_name")
+    g = p.groupBy("order_id", "vendor_id").agg(F.max("pay_date").alias("payment_date"),
+                                               F.sum("amount").cast(TOTAL).alias("payment_amount"),
+                                               F.sum("discount_taken").cast(TOTAL).alias("discount"))
+    return g.join(s, "vendor_id")
+
+
+@register("r_ap4_payment_voucher_lines", S.with_sql("""
+SELECT j.je_header_id AS order_id, j.supplier_id AS vendor_id, j.account,
+       CAST(SUM(COALESCE(j.accounted_dr, 0) - COALESCE(j.accounted_cr, 0)) AS DECIMAL(38,2)) AS net_debit
+FROM journal_lines j
+WHERE EXISTS (SELECT 1 FROM ap_payments p WHERE p.pay_type = 'PAYMENT' AND p.order_id = j.je_header_id AND p.vendor_id = j.supplier_id)
+GROUP BY 1, 2, 3 HAVING SUM(COALESCE(j.accounted_dr, 0) - COALESCE(j.accounted_cr, 0)) <> 0""", "journal_lines", "ap_payments"))
+def payment_voucher_lines(t: Tables) -> DataFrame:
+    """R-AP4 (distribution set): accounting lines of paid invoices (J13
+    link through the journal), net debit per account, non-zero (A4)."""
+    pay = ap_payments(t).filter(F.col("pay_type") == "PAYMENT").select(
+        F.col("order_id").alias("je_header_id"), F.col("vendor_id").alias("supplier_id")).distinct()
+    jl = S.journal_lines(t).join(pay, ["je_header_id", "supplier_id"], "left_semi")
+    g = jl.groupBy(F.col("je_header_id").alias("order_id"), F.col("supplier_id").alias("vendor_id"), "account").agg(
+        F.sum(F.coalesce("accounted_dr", F.lit(0)) - F.coalesce("accounted_cr", F.lit(0))).cast(TOTAL).alias("net_debit"))
+    return g.filter(F.col("net_debit") != 0)
+
+
+@register("r_cm2_payment_vouchers", S.with_sql(f"""
+SELECT p.order_id, p.vendor_id, s.vendor_name, n.n_name AS bank_country, p.pay_date, p.amount
+FROM ap_payments p JOIN suppliers s ON s.supplier_id = p.vendor_id JOIN nation n ON n.n_nationkey = s.country_id
+WHERE p.pay_type = 'PAYMENT' AND p.pay_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}""", "ap_payments", "suppliers"))
+def payment_vouchers(t: Tables) -> DataFrame:
+    """R-CM2: payment voucher list of the period (amount in words is a
+    print formatter and is not built)."""
+    p = ap_payments(t).filter((F.col("pay_type") == "PAYMENT") & F.col("pay_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    s = S.suppliers(t).select(F.col("supplier_id").alias("vendor_id"), "vendor_name", "country_id")
+    n = F.broadcast(t.nation.select(F.col("n_nationkey").alias("country_id"), F.col("n_name").alias("bank_country")))
+    j = p.join(s, "vendor_id").join(n, "country_id")
+    return j.select("order_id", "vendor_id", "vendor_name", "bank_country", "pay_date", "amount")

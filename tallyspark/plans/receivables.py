@@ -784,3 +784,24 @@ def receipt_vouchers(t: Tables) -> DataFrame:
     c = S.customers(t).select("customer_id", "party_name")
     return r.join(c, "customer_id").select("receipt_id", "receipt_number", "receipt_date",
                                            F.col("org_id").alias("bank_account_id"), "party_name", "amount")
+
+
+# Tax codes by rate (percent) used on the lines.
+TAX_CODES = list(range(0, 9))
+
+
+@register("r_ar16_tax_by_type", S.with_sql(", ".join(
+    ["SELECT applied_trx_id AS trx_id"]
+    + [f"CAST(SUM(CASE WHEN tax_rate = {p / 100:.2f} THEN acctd_amount - amount ELSE 0 END) AS DECIMAL(38,2)) AS tax_{p}pct"
+       for p in TAX_CODES]
+    + ["CAST(SUM(acctd_amount - amount) AS DECIMAL(38,2)) AS total_tax"]) + " FROM applications GROUP BY applied_trx_id",
+    "applications"))
+def tax_by_type(t: Tables) -> DataFrame:
+    """R-AR16: tax per transaction split by tax type (rate code), one
+    conditional-sum column per code (A2)."""
+    from decimal import Decimal
+    a = S.applications(t)
+    tax = F.col("acctd_amount") - F.col("amount")
+    cols = [F.sum(F.when(F.col("tax_rate") == F.lit(Decimal(p) / 100).cast("decimal(4,2)"), tax).otherwise(0))
+            .cast(TOTAL).alias(f"tax_{p}pct") for p in TAX_CODES]
+    return a.groupBy(F.col("applied_trx_id").alias("trx_id")).agg(*cols, F.sum(tax).cast(TOTAL).alias("total_tax"))

@@ -171,6 +171,7 @@ def applications(t: Tables) -> DataFrame:
         round_money(amount * (F.lit(1) + tax)).alias("acctd_amount"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
         money("l_extendedprice").alias("gross_amount"),
+        tax.alias("tax_rate"),
         F.col("l_returnflag").alias("return_flag"),
         F.col("l_linestatus").alias("line_status"),
         F.lit("APP").alias("status"),
@@ -186,7 +187,7 @@ SELECT l_orderkey AS applied_trx_id, l_linenumber AS line_number, l_partkey AS p
        CAST(ROUND(CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))), 2) AS DECIMAL(18,2))
             * (1 + CAST(l_tax AS DECIMAL(4,2))), 2) AS DECIMAL(18,2)) AS acctd_amount,
        CAST(l_quantity AS BIGINT) AS quantity,
-       CAST(l_extendedprice AS DECIMAL(18,2)) AS gross_amount,
+       CAST(l_extendedprice AS DECIMAL(18,2)) AS gross_amount, CAST(l_tax AS DECIMAL(4,2)) AS tax_rate,
        l_returnflag AS return_flag, l_linestatus AS line_status, 'APP' AS status
 FROM lineitem""")
 
