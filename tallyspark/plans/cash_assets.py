@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.params import AS_OF, PERIOD_FROM, PERIOD_TO
-from tallyspark.functions.scalars import MONEY, TOTAL, cents, money, sql_div_round, div_round
+from tallyspark.functions.scalars import MONEY, TOTAL, cents, div_round, money, sql_div_round, sql_percent
 from tallyspark.operators import windows as W
 from tallyspark.plans.registry import register
 from tallyspark.sources import standins as S
@@ -191,3 +191,77 @@ def depreciation_schedule(t: Tables) -> DataFrame:
     a = a.withColumn("m", m).filter(F.col("m") > 0)
     return a.select("asset_id", F.col("y").alias("fiscal_year"),
                     div_round(cents("cost") * F.col("m"), F.col("life_in_months") * 100, 2).cast(MONEY).alias("depreciation"))
+
+
+# Retirement rule of the asset stand-in (parts of size 48+
+# retire at their last shipment) and the proceeds share of cost, percent.
+RETIRE_MIN_SIZE = 48
+PROCEEDS_PCT = 40
+
+
+def _retirements(t: Tables) -> DataFrame:
+    last = t.lineitem.groupBy(F.col("l_partkey").alias("asset_id")).agg(F.max(F.to_date("l_shipdate")).alias("retire_date"))
+    big = t.part.filter(F.col("p_size") >= RETIRE_MIN_SIZE).select(F.col("p_partkey").alias("asset_id"))
+    return assets(t).join(big, "asset_id", "left_semi").join(last, "asset_id")
+
+
+@register("r_fa4_retirements", S.with_sql(f"""
+SELECT asset_id, retire_date, cost, nbv, proceeds, CAST(proceeds - nbv AS DECIMAL(18,2)) AS gain_loss,
+       CASE WHEN proceeds - nbv > 0 THEN 'GAIN' WHEN proceeds - nbv < 0 THEN 'LOSS' ELSE 'NONE' END AS gain_loss_class
+FROM (SELECT a.asset_id, r.retire_date, a.cost,
+             CAST(a.cost - {sql_div_round('CAST(a.cost * 100 AS BIGINT) * LEAST((year(r.retire_date) - year(a.date_placed_in_service)) * 12 + month(r.retire_date) - month(a.date_placed_in_service) + 1, a.life_in_months)', 'a.life_in_months * 100')} AS DECIMAL(18,2)) AS nbv,
+             {sql_div_round(f'CAST(a.cost * 100 AS BIGINT) * {PROCEEDS_PCT}', '10000')} AS proceeds
+      FROM assets a JOIN part p ON p.p_partkey = a.asset_id AND p.p_size >= {RETIRE_MIN_SIZE}
+      JOIN (SELECT l_partkey, MAX(CAST(l_shipdate AS DATE)) AS retire_date FROM lineitem GROUP BY l_partkey) r
+        ON r.l_partkey = a.asset_id) x""", "assets"))
+def retirements(t: Tables) -> DataFrame:
+    """R-FA4: retirements with net book value at retirement, proceeds, and
+    the gain/loss class (DECODE of the sign, X2)."""
+    r = _retirements(t)
+    used = F.least((F.year("retire_date") - F.year("date_placed_in_service")) * 12 + F.month("retire_date")
+                   - F.month("date_placed_in_service") + 1, F.col("life_in_months"))
+    nbv = (F.col("cost") - div_round(cents("cost") * used, F.col("life_in_months") * 100, 2)).cast(MONEY)
+    proceeds = div_round(cents("cost") * PROCEEDS_PCT, F.lit(10000), 2)
+    gl = (proceeds - nbv).cast(MONEY)
+    cls = F.when(gl > 0, "GAIN").when(gl < 0, "LOSS").otherwise("NONE")
+    return r.select("asset_id", "retire_date", "cost", nbv.alias("nbv"), proceeds.alias("proceeds"),
+                    gl.alias("gain_loss"), cls.alias("gain_loss_class"))
+
+
+@register("r_fa5_adjustment_history", S.with_sql("""
+SELECT l_partkey AS asset_id, CAST(l_shipdate AS DATE) AS adjustment_date,
+       CASE WHEN l_linestatus = 'F' THEN 'DR' ELSE 'CR' END AS debit_credit_flag,
+       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CASE WHEN l_linestatus = 'F' THEN 1 ELSE -1 END AS DECIMAL(18,2)) AS signed_amount
+FROM lineitem WHERE l_returnflag = 'R'"""))
+def adjustment_history(t: Tables) -> DataFrame:
+    """R-FA5: cost adjustments per asset (returned lines), signed by the
+    debit/credit flag."""
+    from tallyspark.functions.scalars import decode
+    li = t.lineitem.filter(F.col("l_returnflag") == "R")
+    flag = F.when(F.col("l_linestatus") == "F", "DR").otherwise("CR")
+    sign = decode(flag, [("DR", 1), ("CR", -1)], 0)
+    return li.select(F.col("l_partkey").alias("asset_id"), F.to_date("l_shipdate").alias("adjustment_date"),
+                     flag.alias("debit_credit_flag"), (money("l_extendedprice") * sign).cast(MONEY).alias("signed_amount"))
+
+
+@register("r_fa6_asset_distribution", S.with_sql(f"""
+SELECT d.asset_id, d.location_id, n.n_name AS location, s.s_name AS assignee, d.units,
+       {sql_percent('d.units', 't.total_units')} AS unit_share_pct
+FROM (SELECT l_partkey AS asset_id, l_suppkey AS location_id, SUM(CAST(l_quantity AS BIGINT)) AS units
+      FROM lineitem WHERE CAST(l_shipdate AS DATE) <= {D(AS_OF)} GROUP BY 1, 2) d
+JOIN (SELECT l_partkey AS asset_id, SUM(CAST(l_quantity AS BIGINT)) AS total_units FROM lineitem
+      WHERE CAST(l_shipdate AS DATE) <= {D(AS_OF)} GROUP BY 1) t ON t.asset_id = d.asset_id
+JOIN supplier s ON s.s_suppkey = d.location_id JOIN nation n ON n.n_nationkey = s.s_nationkey"""))
+def asset_distribution(t: Tables) -> DataFrame:
+    """R-FA6: units of each asset per location at the date, with its share
+    of the asset's units (W3 as aggregate + join back), location and assignee."""
+    from tallyspark.functions.scalars import percent
+    li = t.lineitem.filter(F.to_date("l_shipdate") <= F.lit(AS_OF))
+    d = li.groupBy(F.col("l_partkey").alias("asset_id"), F.col("l_suppkey").alias("location_id")).agg(
+        F.sum(F.col("l_quantity").cast("bigint")).alias("units"))
+    d = W.partition_total(d, ["asset_id"], "units", "total_units")
+    s = t.supplier.select(F.col("s_suppkey").alias("location_id"), F.col("s_name").alias("assignee"), "s_nationkey")
+    n = F.broadcast(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("location")))
+    j = d.join(s, "location_id").join(n, "s_nationkey")
+    return j.select("asset_id", "location_id", "location", "assignee", "units",
+                    percent("units", "total_units").alias("unit_share_pct"))
