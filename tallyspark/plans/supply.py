@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.params import AS_OF
-from tallyspark.functions.scalars import MONEY, TOTAL, money, round_money
+from tallyspark.functions.scalars import MONEY, TOTAL, cents, div_round, money, round_money, sql_div_round
 from tallyspark.operators import effective as E
 from tallyspark.plans.registry import register
 from tallyspark.sources import standins as S
@@ -226,3 +226,111 @@ def receipt_value(t: Tables) -> DataFrame:
     a = S.applications(t).filter(F.col("line_status") == "F")
     return a.groupBy(F.col("applied_trx_id").alias("po_id"), "supplier_id").agg(
         F.sum("quantity").alias("received_qty"), F.sum("gross_amount").cast(TOTAL).alias("received_value"))
+
+
+@register("r_po3_requisition_detail", f"""
+SELECT l.l_orderkey AS requisition_id, l.l_linenumber AS line_num, l.l_partkey AS item_id,
+       CAST(l.l_quantity AS BIGINT) AS quantity,
+       CAST(COALESCE(CAST(l.l_quantity AS BIGINT) * {sql_div_round('CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)', 'CAST(l.l_quantity AS BIGINT) * 100')},
+                     CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS line_amount,
+       '01-' || lpad(CAST(s.s_nationkey AS VARCHAR), 2, '0') || '-' || CAST(1000 + (l.l_partkey * 37) % 9000 AS VARCHAR) AS charge_account
+FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey""")
+def requisition_detail(t: Tables) -> DataFrame:
+    """R-PO3: requisition lines with the amount falling back to the line
+    amount when quantity x unit price is missing (X1) and the charge
+    account built from segments (X11)."""
+    li = t.lineitem.join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    qty = F.col("l_quantity").cast("bigint")
+    unit = div_round(cents(money("l_extendedprice")), qty * 100, 2)  # exact; NULL when quantity is 0
+    amt = F.coalesce(qty * unit, money("l_extendedprice")).cast(TOTAL)
+    acct = F.concat(F.lit("01-"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"), F.lit("-"),
+                    (F.lit(1000) + (F.col("l_partkey") * 37) % 9000).cast("string"))
+    return li.select(F.col("l_orderkey").alias("requisition_id"), F.col("l_linenumber").alias("line_num"),
+                     F.col("l_partkey").alias("item_id"), qty.alias("quantity"), amt.alias("line_amount"),
+                     acct.alias("charge_account"))
+
+
+# Vendor type lookup (type, code -> meaning).
+VENDOR_TYPES = [("VENDOR_TYPE", "SUPPLIER", "Supplier"), ("VENDOR_TYPE", "PARTY", "Party supplier")]
+
+
+@register("r_po4_supplier_master", S.with_sql(f"""
+SELECT s.supplier_id, s.vendor_name, n.n_name AS site_country, r.r_name AS site_region,
+       'BANK-' || CAST(n.n_regionkey AS VARCHAR) AS bank_name, 'TRN-' || CAST(s.supplier_id AS VARCHAR) AS tax_registration,
+       CASE WHEN s.acctbal > 5000 THEN 'LICENSED' ELSE 'NONE' END AS licence,
+       vt.meaning AS vendor_type, b.economy, b.promo, b.standard
+FROM suppliers s JOIN nation n ON n.n_nationkey = s.country_id JOIN region r ON r.r_regionkey = n.n_regionkey
+LEFT JOIN (VALUES {", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in VENDOR_TYPES)}) vt(lookup_type, code, meaning)
+  ON vt.lookup_type = 'VENDOR_TYPE' AND vt.code = CASE WHEN s.vendor_id < 0 THEN 'PARTY' ELSE 'SUPPLIER' END
+LEFT JOIN (SELECT l.l_suppkey AS supplier_id,
+                  MAX(CASE WHEN split_part(p.p_type, ' ', 1) = 'ECONOMY' THEN 'Y' END) AS economy,
+                  MAX(CASE WHEN split_part(p.p_type, ' ', 1) = 'PROMO' THEN 'Y' END) AS promo,
+                  MAX(CASE WHEN split_part(p.p_type, ' ', 1) = 'STANDARD' THEN 'Y' END) AS standard
+           FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY l.l_suppkey) b ON b.supplier_id = s.supplier_id""",
+                                          "suppliers"))
+def supplier_master(t: Tables) -> DataFrame:
+    """R-PO4: supplier master stitched with site country/region, bank, tax
+    registration and licence (J21), the vendor-type meaning from a code
+    lookup (J19) and business classifications pivoted with MAX(CASE) (A3)."""
+    from tallyspark.operators import rollup as A
+    from tallyspark.sources import constants as K
+    s = S.suppliers(t)
+    n = F.broadcast(t.nation.select(F.col("n_nationkey").alias("country_id"), F.col("n_name").alias("site_country"),
+                                    "n_regionkey"))
+    r = F.broadcast(t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("site_region")))
+    vt = K.frame(t.spark, VENDOR_TYPES, "lookup_type string, code string, meaning string").filter(
+        F.col("lookup_type") == "VENDOR_TYPE").select(F.col("code").alias("vt_code"), F.col("meaning").alias("vendor_type"))
+    lines = t.lineitem.select("l_suppkey", "l_partkey").join(t.part.select("p_partkey", "p_type"),
+                                                             F.col("l_partkey") == F.col("p_partkey"))
+    cls = lines.select(F.col("l_suppkey").alias("supplier_id"), F.split("p_type", " ").getItem(0).alias("kind"),
+                       F.lit("Y").alias("flag"))
+    piv = A.attribute_pivot(cls, ["supplier_id"], "kind", "flag", ["ECONOMY", "PROMO", "STANDARD"],
+                            {"ECONOMY": "economy", "PROMO": "promo", "STANDARD": "standard"})
+    j = (s.join(n, "country_id").join(r, "n_regionkey")
+          .withColumn("vt_code", F.when(F.col("vendor_id") < 0, "PARTY").otherwise("SUPPLIER"))
+          .join(vt, "vt_code", "left").join(piv, "supplier_id", "left"))
+    return j.select("supplier_id", "vendor_name", "site_country", "site_region",
+                    F.concat(F.lit("BANK-"), F.col("n_regionkey").cast("string")).alias("bank_name"),
+                    F.concat(F.lit("TRN-"), F.col("supplier_id").cast("string")).alias("tax_registration"),
+                    F.when(F.col("acctbal") > 5000, "LICENSED").otherwise("NONE").alias("licence"),
+                    "vendor_type", "economy", "promo", "standard")
+
+
+@register("r_so1_negotiation_detail", """
+SELECT o.o_orderkey AS negotiation_id, CAST(o.o_orderdate AS DATE) AS open_date, c.c_name AS buyer_name,
+       l.l_linenumber AS line_num, l.l_partkey AS item_id, s.s_name AS bidder, CAST(l.l_extendedprice AS DECIMAL(18,2)) AS bid_amount
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
+WHERE o.o_orderpriority = '1-URGENT'""")
+def negotiation_detail(t: Tables) -> DataFrame:
+    """R-SO1: negotiation lines (urgent orders as auctions) with buyer and
+    bidders; the optional buyer filter (F3) is left empty."""
+    from tallyspark.functions.params import filter_optional
+    o = t.orders.filter(F.col("o_orderpriority") == "1-URGENT")
+    o = filter_optional(o, "o_custkey", None)
+    j = (o.join(t.customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+          .join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
+          .join(t.supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")))
+    return j.select(F.col("o_orderkey").alias("negotiation_id"), F.to_date("o_orderdate").alias("open_date"),
+                    F.col("c_name").alias("buyer_name"), F.col("l_linenumber").alias("line_num"),
+                    F.col("l_partkey").alias("item_id"), F.col("s_name").alias("bidder"),
+                    money("l_extendedprice").alias("bid_amount"))
+
+
+@register("r_p2p4_work_confirmation", S.with_sql("""
+SELECT w.req_id, w.confirmed_amount, p.rcv_amount, p.rcv_date,
+       CASE WHEN p.rcv_amount IS NULL THEN 'NO RECEIPT' ELSE 'LINKED' END AS receipt_link
+FROM (SELECT a.applied_trx_id AS req_id, CAST(SUM(a.gross_amount) AS DECIMAL(38,2)) AS confirmed_amount
+      FROM applications a JOIN part pt ON pt.p_partkey = a.part_id
+      WHERE a.line_status = 'F' AND split_part(pt.p_type, ' ', 1) = 'STANDARD' GROUP BY a.applied_trx_id) w
+LEFT JOIN p2p_stages p ON p.req_id = w.req_id""", "applications", "p2p_stages"))
+def work_confirmation(t: Tables) -> DataFrame:
+    """R-P2P4: work-confirmation amount (finished service lines) per order
+    and its link to the receipt stage (A1 + J2)."""
+    svc = t.part.filter(F.split("p_type", " ").getItem(0) == "STANDARD").select(F.col("p_partkey").alias("part_id"))
+    w = (S.applications(t).filter(F.col("line_status") == "F").join(svc, "part_id", "left_semi")
+         .groupBy(F.col("applied_trx_id").alias("req_id")).agg(F.sum("gross_amount").cast(TOTAL).alias("confirmed_amount")))
+    p = S.p2p_stages(t).select("req_id", "rcv_amount", "rcv_date")
+    j = w.join(p, "req_id", "left")
+    return j.select("req_id", "confirmed_amount", "rcv_amount", "rcv_date",
+                    F.when(F.col("rcv_amount").isNull(), "NO RECEIPT").otherwise("LINKED").alias("receipt_link"))
