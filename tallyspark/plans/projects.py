@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.params import AS_OF
-from tallyspark.functions.scalars import TOTAL, decode
+from tallyspark.functions.scalars import TOTAL, decode, sql_div_round
 from tallyspark.operators import effective as E
 from tallyspark.operators import rollup as A
 from tallyspark.plans.registry import register
@@ -188,3 +188,151 @@ def cost_detail(t: Tables) -> DataFrame:
                          ["person_id"], "expenditure_date")
     return j.select("expenditure_item_id", "project_id", "task_id", "expenditure_date", "cost_category", "raw_cost",
                     "burdened_cost", F.col("person_id").alias("employee_id"), F.col("grade_id").alias("employee_grade"))
+
+
+def _project_buyers(t: Tables) -> DataFrame:
+    """Per project (supplier): first buyer, largest-order buyer, distinct customers."""
+    li = t.lineitem.select("l_orderkey", "l_suppkey")
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.groupBy(F.col("l_suppkey").alias("project_id")).agg(
+        F.min_by("o_custkey", F.struct("o_orderdate", "o_orderkey")).alias("manager_id"),
+        F.max_by("o_custkey", F.struct("o_totalprice", "o_orderkey")).alias("director_id"),
+        F.count_distinct("o_custkey").alias("customer_count"))
+
+
+_BUYERS_SQL = """(SELECT l_suppkey AS project_id, arg_min(o_custkey, (o_orderdate, o_orderkey)) AS manager_id,
+   arg_max(o_custkey, (o_totalprice, o_orderkey)) AS director_id, COUNT(DISTINCT o_custkey) AS customer_count
+ FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_suppkey)"""
+
+
+@register("r_pj1_project_master", f"""
+SELECT b.project_id, s.s_name AS project_name, n.n_name AS country, r.r_name AS region,
+       CASE WHEN s.s_acctbal > 5000 THEN 'STRATEGIC' WHEN s.s_acctbal >= 0 THEN 'STANDARD' ELSE 'AT RISK' END AS project_class,
+       m.c_name AS manager_name, d.c_name AS director_name, b.customer_count
+FROM {_BUYERS_SQL} b JOIN supplier s ON s.s_suppkey = b.project_id JOIN nation n ON n.n_nationkey = s.s_nationkey
+JOIN region r ON r.r_regionkey = n.n_regionkey
+LEFT JOIN customer m ON m.c_custkey = b.manager_id LEFT JOIN customer d ON d.c_custkey = b.director_id""")
+def project_master(t: Tables) -> DataFrame:
+    """R-PJ1: project master with country, region, class, manager, director
+    and number of distinct customers (J21 + A7; buyers by min_by/max_by)."""
+    b = _project_buyers(t)
+    s = t.supplier.select(F.col("s_suppkey").alias("project_id"), F.col("s_name").alias("project_name"), "s_nationkey", "s_acctbal")
+    n = F.broadcast(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("country"), "n_regionkey"))
+    r = F.broadcast(t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region")))
+    names = lambda k, n_: t.customer.select(F.col("c_custkey").alias(k), F.col("c_name").alias(n_))
+    j = (b.join(s, "project_id").join(n, "s_nationkey").join(r, "n_regionkey")
+          .join(names("manager_id", "manager_name"), "manager_id", "left")
+          .join(names("director_id", "director_name"), "director_id", "left"))
+    cls = (F.when(F.col("s_acctbal") > 5000, "STRATEGIC").when(F.col("s_acctbal") >= 0, "STANDARD").otherwise("AT RISK"))
+    return j.select("project_id", "project_name", "country", "region", cls.alias("project_class"), "manager_name",
+                    "director_name", "customer_count")
+
+
+@register("r_pj5_project_purchase_orders", S.with_sql("""
+SELECT c.project_id, c.po_id, CAST(o.o_orderdate AS DATE) AS po_date, CAST(o.o_totalprice AS DECIMAL(18,2)) AS po_amount
+FROM (SELECT DISTINCT project_id, expenditure_item_id AS po_id FROM project_costs) c
+JOIN orders o ON o.o_orderkey = c.po_id""", "project_costs"))
+def project_purchase_orders(t: Tables) -> DataFrame:
+    """R-PJ5: distinct purchase orders behind each project's cost (A7 + J21)."""
+    c = S.project_costs(t).select("project_id", F.col("expenditure_item_id").alias("po_id")).distinct()
+    o = t.orders.select(F.col("o_orderkey").alias("po_id"), F.to_date("o_orderdate").alias("po_date"),
+                        F.col("o_totalprice").cast("decimal(18,2)").alias("po_amount"))
+    return c.join(o, "po_id").select("project_id", "po_id", "po_date", "po_amount")
+
+
+_PJ6_SQL = f"""
+WITH direct AS (SELECT project_id, manager_id AS customer_id, 'DIRECT' AS route FROM {_BUYERS_SQL} b),
+contract AS (SELECT l.l_suppkey AS project_id, MIN(o.o_custkey) AS customer_id, 'CONTRACT' AS route
+             FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+             WHERE CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) <= 2 AND o.o_orderstatus = 'F'
+             GROUP BY l.l_suppkey)
+SELECT * FROM contract
+UNION ALL
+SELECT * FROM direct d WHERE NOT EXISTS (SELECT 1 FROM contract c WHERE c.project_id = d.project_id)"""
+
+
+@register("r_pj6_project_customer", _PJ6_SQL)
+def project_customer(t: Tables) -> DataFrame:
+    """R-PJ6: project customer by two routes -- the contract route (the
+    lowest customer of a baselined budget contract) wins, the direct route
+    (first buyer) is kept only where no contract exists (J16)."""
+    from tallyspark.operators.joins import override_union
+    direct = _project_buyers(t).select("project_id", F.col("manager_id").alias("customer_id"), F.lit("DIRECT").alias("route"))
+    o = t.orders.filter((F.substring("o_orderpriority", 1, 1).cast("int") <= 2) & (F.col("o_orderstatus") == "F"))
+    contract = (t.lineitem.select("l_orderkey", "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+                .groupBy(F.col("l_suppkey").alias("project_id")).agg(F.min("o_custkey").alias("customer_id"))
+                .withColumn("route", F.lit("CONTRACT")))
+    return override_union(contract, direct, ["project_id"])
+
+
+# Contingency share of a budget, percent.
+CONTINGENCY_PCT = 5
+
+
+@register("r_pj7_contingency", S.with_sql(f"""
+SELECT p.project_id, c.party_name, CAST(SUM(p.plan_amount) AS DECIMAL(38,2)) AS budget,
+       CAST(SUM({sql_div_round(f'CAST(p.plan_amount * 100 AS BIGINT) * {CONTINGENCY_PCT}', '10000')}) AS DECIMAL(38,2)) AS contingency
+FROM plan_versions p JOIN customers c ON c.customer_id = p.project_id
+WHERE p.plan_class = 'BUDGET' GROUP BY p.project_id, c.party_name""", "plan_versions", "customers"))
+def contingency(t: Tables) -> DataFrame:
+    """R-PJ7: contingency (5 % of each budget line, exact cents) per project."""
+    from tallyspark.functions.scalars import cents, div_round
+    p = S.plan_versions(t).filter(F.col("plan_class") == "BUDGET")
+    p = p.withColumn("cont", div_round(cents("plan_amount") * CONTINGENCY_PCT, F.lit(10000), 2))
+    c = S.customers(t).select(F.col("customer_id").alias("project_id"), "party_name")
+    g = p.groupBy("project_id").agg(F.sum("plan_amount").cast(TOTAL).alias("budget"),
+                                    F.sum("cont").cast(TOTAL).alias("contingency"))
+    return g.join(c, "project_id")
+
+
+@register("r_pj8_project_contract_link", S.with_sql("""
+SELECT project_id, plan_version_id AS contract_id, 'PROJECT_LEVEL' AS link_style, 1 AS branch_rank
+FROM plan_versions WHERE plan_class = 'BUDGET'
+UNION ALL
+SELECT project_id, plan_version_id, 'TASK_LEVEL', 2 FROM plan_versions WHERE plan_class = 'FORECAST'""", "plan_versions"))
+def project_contract_link(t: Tables) -> DataFrame:
+    """R-PJ8: project-contract links of two project styles as one UNION ALL
+    with a branch rank (O4)."""
+    from tallyspark.operators.movements import union_branches
+    p = S.plan_versions(t).select("project_id", F.col("plan_version_id").alias("contract_id"), "plan_class")
+    u = union_branches([("PROJECT_LEVEL", 1, p.filter(F.col("plan_class") == "BUDGET").drop("plan_class")),
+                        ("TASK_LEVEL", 2, p.filter(F.col("plan_class") == "FORECAST").drop("plan_class"))],
+                       kind_col="link_style")
+    return u
+
+
+@register("r_pj9_contract_lines", S.with_sql("""
+SELECT p.plan_version_id AS contract_line_id, p.project_id, c.party_name AS customer_name, c.unit_name AS customer_country,
+       r.r_name AS customer_region, p.plan_class, p.plan_status, p.plan_amount
+FROM plan_versions p JOIN customers c ON c.customer_id = p.project_id JOIN region r ON r.r_regionkey = c.ledger_id""",
+                                        "plan_versions", "customers"))
+def contract_lines(t: Tables) -> DataFrame:
+    """R-PJ9: contract lines with customer, country and region."""
+    p = S.plan_versions(t)
+    c = S.customers(t).select(F.col("customer_id").alias("project_id"), F.col("party_name").alias("customer_name"),
+                              F.col("unit_name").alias("customer_country"), F.col("ledger_id").alias("r_regionkey"))
+    r = F.broadcast(t.region.select("r_regionkey", F.col("r_name").alias("customer_region")))
+    j = p.join(c, "project_id").join(r, "r_regionkey")
+    return j.select(F.col("plan_version_id").alias("contract_line_id"), "project_id", "customer_name", "customer_country",
+                    "customer_region", "plan_class", "plan_status", "plan_amount")
+
+
+@register("r_pj11_project_manager_director", S.with_sql(f"""
+SELECT p.project_id, v.grade_id AS manager_grade, v.salary AS manager_salary, d.director_id
+FROM (SELECT DISTINCT project_id FROM plan_versions) p
+JOIN customers c ON c.customer_id = p.project_id
+LEFT JOIN person_versions v ON v.person_id = p.project_id AND {D(AS_OF)} BETWEEN v.eff_start AND v.eff_end
+LEFT JOIN (SELECT org_id, MIN(customer_id) AS director_id FROM customers GROUP BY org_id) d ON d.org_id = c.org_id""",
+                                                    "plan_versions", "customers", "person_versions"))
+def project_manager_director(t: Tables) -> DataFrame:
+    """R-PJ11: the project manager's version valid at the date (J7) and a
+    director picked as one deterministic row per country (V8)."""
+    p = S.plan_versions(t).select("project_id").distinct()
+    c = S.customers(t).select(F.col("customer_id").alias("project_id"), "org_id")
+    v = E.as_of(S.person_versions(t), AS_OF).select(F.col("person_id").alias("project_id"),
+                                                    F.col("grade_id").alias("manager_grade"),
+                                                    F.col("salary").alias("manager_salary"))
+    d = E.earliest(S.customers(t).select("org_id", F.col("customer_id").alias("director_id")), ["org_id"], ["director_id"])
+    j = p.join(c, "project_id").join(v, "project_id", "left").join(d, "org_id", "left")
+    return j.select("project_id", "manager_grade", "manager_salary", "director_id")
