@@ -74,10 +74,19 @@ def running_total_range(df: DataFrame, keys: Sequence[str], order: str, value, o
     return df.join(per, [*keys, order], "inner")
 
 
-def partition_total(df: DataFrame, keys: Sequence[str], value, out: str) -> DataFrame:
-    """Group total beside each detail row (aggregate + join back)."""
+def partition_total(df: DataFrame, keys: Sequence[str], value, out: str, bounded: bool = False) -> DataFrame:
+    """Group total beside each detail row.
+
+    For a fact (``bounded=False``) the total is a partial aggregate joined
+    back, so a hot key is never sorted whole in one task (AQE splits the
+    skewed join partition).  For an input whose size does not grow with the
+    data -- an aggregate per account, region or month (``bounded=True``) --
+    a window is used instead, so the input is computed once, not twice.
+    """
     keys = _cols(keys)
     v = F.col(value) if isinstance(value, str) else value
+    if bounded:
+        return df.withColumn(out, F.sum(v).over(Window.partitionBy(*keys)))
     tot = df.groupBy(*keys).agg(F.sum(v).alias(out))
     return df.join(tot, keys, "inner")
 
@@ -88,13 +97,18 @@ def partition_count(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     return df.join(cnt, keys, "inner")
 
 
-def grand_total(df: DataFrame, value, out: str) -> DataFrame:
-    """``SUM(x) OVER ()`` without a single-partition window.
+def grand_total(df: DataFrame, value, out: str, bounded: bool = False) -> DataFrame:
+    """``SUM(x) OVER ()``.
 
-    The global aggregate (partial sums per task, one final row) runs as a
-    scalar subquery; its single value is attached to every row, no join.
+    For a fact, the global aggregate (partial sums per task, one final row)
+    runs as a scalar subquery whose single value is attached to every row
+    -- no single-partition window over the data.  For a bounded input (an
+    aggregate per account or region) the plain ``OVER ()`` window is used
+    so the input is not computed twice.
     """
     v = F.col(value) if isinstance(value, str) else value
+    if bounded:
+        return df.withColumn(out, F.sum(v).over(Window.partitionBy()))
     return df.withColumn(out, df.agg(F.sum(v)).scalar())
 
 

@@ -109,5 +109,5 @@ def tax_register(t: Tables) -> DataFrame:
                 .agg(F.sum(tax).cast(TOTAL).alias("tax_amount")))
 
     u = branch("COLLECTED", "CASH").unionByName(branch("PAID", "CM"))
-    out = W.partition_total(u, ["tax_type"], "tax_amount", "type_total")
+    out = W.partition_total(u, ["tax_type"], "tax_amount", "type_total", bounded=True)  # type x month rows
     return out.withColumn("type_total", F.col("type_total").cast(TOTAL))

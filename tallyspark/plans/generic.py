@@ -617,7 +617,7 @@ def partition_and_grand_total(t: Tables) -> DataFrame:
     one-row broadcast join, no single-partition window)."""
     inv = S.invoices(t).join(F.broadcast(t.nation.select(F.col("n_nationkey").alias("org_id"), "n_regionkey")), "org_id")
     g = inv.groupBy("n_regionkey").agg(F.sum("amount").cast(TOTAL).alias("revenue"))
-    g = W.grand_total(g, "revenue", "grand_total")
+    g = W.grand_total(g, "revenue", "grand_total", bounded=True)  # one row per region
     r = F.broadcast(t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region")))
     return g.join(r, "n_regionkey").select("region", "revenue", F.col("grand_total").cast(TOTAL).alias("grand_total"))
 

@@ -88,14 +88,16 @@ FROM (SELECT {_account_class_sql('account')} AS account_type, account,
 @register("r_gl4_enhanced_trial_balance", _GL4_SQL)
 def enhanced_trial_balance(t: Tables) -> DataFrame:
     """R-GL4: account type, begin, activity, end, type total (W3) and grand
-    total (W4) -- both as aggregates joined back."""
+    total (W4) -- windows over the per-account aggregate (bounded by the
+    chart of accounts), so the journal is aggregated once."""
     b = S.gl_balances(t).filter(F.col("period_num") == PERIOD)
     g = b.groupBy(account_class("account").alias("account_type"), "account").agg(
         F.sum("begin_balance").cast(TOTAL).alias("begin_balance"),
         F.sum(F.col("period_net_dr") - F.col("period_net_cr")).cast(TOTAL).alias("activity"),
         F.sum(F.col("begin_balance") + F.col("period_net_dr") - F.col("period_net_cr")).cast(TOTAL).alias("end_balance"))
-    g = W.partition_total(g, ["account_type"], "end_balance", "type_total")
-    g = W.grand_total(g, "end_balance", "grand_total")
+    # one row per account: bounded by the chart of accounts, not the data
+    g = W.partition_total(g, ["account_type"], "end_balance", "type_total", bounded=True)
+    g = W.grand_total(g, "end_balance", "grand_total", bounded=True)
     return g.withColumn("type_total", F.col("type_total").cast(TOTAL)).withColumn("grand_total", F.col("grand_total").cast(TOTAL))
 
 
