@@ -78,12 +78,18 @@ def ordered_list(df: DataFrame, keys: Sequence[str], value: str, order: Sequence
                  sep: str = ", ", out: str = "value_list") -> DataFrame:
     """LISTAGG(value, sep) WITHIN GROUP (ORDER BY order).
 
-    For document-level groups (approvers of one transaction, orders of one
-    candidate): the output string holds the whole group by definition.
+    Two levels: partial strings are built per (key, first order column) in
+    parallel, then the partial strings of a key are joined in order.  The
+    final row holds the key's whole list -- that is the result -- but no
+    task sorts the key's raw rows as one group.
     """
-    s = F.struct(*[F.col(c) for c in order], F.col(value).alias("__v"))
-    return df.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(s)), lambda x: x["__v"]), sep).alias(out))
+    lead, rest = order[0], list(order[1:])
+    inner = F.struct(*[F.col(c) for c in rest], F.col(value).alias("__v"))
+    part = df.groupBy(*keys, lead).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(inner)), lambda x: x["__v"]), sep).alias("__part"))
+    outer = F.struct(F.col(lead), F.col("__part"))
+    return part.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(outer)), lambda x: x["__part"]), sep).alias(out))
 
 
 def preaggregate_join(df: DataFrame, fact: DataFrame, keys: Sequence[str], aggs: Sequence[Column],

@@ -112,10 +112,19 @@ def grand_total(df: DataFrame, value, out: str, bounded: bool = False) -> DataFr
     return df.withColumn(out, df.agg(F.sum(v)).scalar())
 
 
-def line_number(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "line_num") -> DataFrame:
-    """Row number within a document (document-level keys only)."""
-    w = Window.partitionBy(*_cols(keys)).orderBy(*_cols(order))
-    return df.withColumn(out, F.row_number().over(w))
+def line_number(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "line_num",
+                chunk: str | None = None) -> DataFrame:
+    """Row number within a group.
+
+    With ``chunk`` (the leading order column) the ordinal is a running count
+    computed in two levels like :func:`running_total`, so a hot group is
+    numbered by many tasks; without it, a plain ``row_number`` window.
+    """
+    if chunk is None:
+        w = Window.partitionBy(*_cols(keys)).orderBy(*_cols(order))
+        return df.withColumn(out, F.row_number().over(w))
+    out_df = running_total(df, keys, order, F.lit(1), out, chunk=chunk)
+    return out_df.withColumn(out, F.col(out).cast("int"))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:

@@ -45,11 +45,15 @@ WINDOW w AS (PARTITION BY je_header_id ORDER BY je_line_num ROWS BETWEEN UNBOUND
 @register("r_gl2_journal_voucher", _GL2_SQL)
 def journal_voucher(t: Tables) -> DataFrame:
     """R-GL2: journal voucher lines with running debit/credit and the line
-    count (windows over one journal -- a document-level group)."""
+    count; running sums in two levels (blocks of lines, then block offsets)."""
     jl = S.journal_lines(t).select("je_header_id", "je_line_num", "account", "accounted_dr", "accounted_cr")
-    jl = W.running_total(jl, ["je_header_id"], ["je_line_num"], F.coalesce("accounted_dr", F.lit(0)), "running_dr")
-    jl = W.running_total(jl, ["je_header_id"], ["je_line_num"], F.coalesce("accounted_cr", F.lit(0)), "running_cr")
-    jl = W.partition_count(jl, ["je_header_id"], "line_count")
+    # chunks of 1024 lines: a huge journal is summed by many tasks
+    jl = jl.withColumn("line_block", F.floor(F.col("je_line_num") / 1024))
+    jl = W.running_total(jl, ["je_header_id"], ["line_block", "je_line_num"], F.coalesce("accounted_dr", F.lit(0)),
+                         "running_dr", chunk="line_block")
+    jl = W.running_total(jl, ["je_header_id"], ["line_block", "je_line_num"], F.coalesce("accounted_cr", F.lit(0)),
+                         "running_cr", chunk="line_block")
+    jl = W.partition_count(jl.drop("line_block"), ["je_header_id"], "line_count")
     return jl.withColumn("running_dr", F.col("running_dr").cast(TOTAL)).withColumn("running_cr", F.col("running_cr").cast(TOTAL))
 
 

@@ -305,21 +305,24 @@ FROM invoices WHERE trx_id % 3 <> 2""")
 def journal_lines(t: Tables) -> DataFrame:
     """One journal line per line item; header = order; ledger = the
     supplier's region.  Line number is an ordinal over all columns within
-    the header (documents have few lines, so the window group is bounded).
+    the header, computed in (header, source line) chunks so that even a
+    very large journal is numbered by many tasks.
     """
     li = t.lineitem
     s = t.supplier.select("s_suppkey", "s_nationkey")
     n = F.broadcast(t.nation.select("n_nationkey", "n_regionkey"))
+    from tallyspark.operators.windows import line_number
     order_cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    w = Window.partitionBy("l_orderkey").orderBy(*order_cols)
     disc = F.col("l_discount").cast("decimal(4,2)")
     amount = round_money(money("l_extendedprice") * (F.lit(1) - disc))
     is_cr = F.col("l_returnflag") == "R"
     base = li.join(s, li.l_suppkey == s.s_suppkey).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    # ordinal within the journal, numbered per (journal, source line) chunk
+    base = line_number(base, ["l_orderkey"], order_cols, "je_line_num", chunk="l_linenumber")
     return base.select(
         F.col("l_orderkey").alias("je_header_id"),
-        F.row_number().over(w).alias("je_line_num"),
+        F.col("je_line_num"),
         F.col("n_regionkey").alias("ledger_id"),
         F.to_date("l_shipdate").alias("gl_date"),
         F.date_format("l_shipdate", "yyyy-MM").alias("period_name"),

@@ -171,3 +171,22 @@ def test_quality_operators(spark):
     a = spark.createDataFrame([(1, Decimal("1.00"))], "k int, x decimal(18,2)")
     b = spark.createDataFrame([(1, Decimal("1.00")), (2, Decimal("5.00"))], "k int, y decimal(18,2)")
     assert rows(Q.tie_out(a, b, ["k"], "x", "y"), "k") == [(2,)]
+
+
+def test_line_number_chunked_on_a_hot_document(spark):
+    data = [(1 if i % 5 else i, i % 9, i) for i in range(2000)]   # document 1 holds 80 % of the rows
+    df = spark.createDataFrame(data, "doc int, line int, id int")
+    chunked = W.line_number(df, ["doc"], ["line", "id"], "n", chunk="line")
+    w = Window.partitionBy("doc").orderBy("line", "id")
+    plain = df.withColumn("n", F.row_number().over(w))
+    assert rows(chunked, "doc", "id", "n") == rows(plain, "doc", "id", "n")
+
+
+def test_ordered_list_two_level_equals_single_sort(spark):
+    from tallyspark.operators.rollup import ordered_list
+    data = [(1 if i % 4 else 2, dt.date(2024, 1, 1 + i % 20), i, f"v{i}") for i in range(400)]
+    df = spark.createDataFrame(data, "k int, d date, id int, v string")
+    out = {r["k"]: r["lst"] for r in ordered_list(df, ["k"], "v", ["d", "id"], ",", "lst").collect()}
+    for k in (1, 2):
+        expect = ",".join(v for kk, d, i, v in sorted((x for x in data if x[0] == k), key=lambda x: (x[1], x[2])))
+        assert out[k] == expect
