@@ -11,6 +11,7 @@ from tallyspark.functions.params import AS_OF, END_OF_TIME, EVENTS_FROM, EVENTS_
 from tallyspark.functions.scalars import TOTAL, percent, sql_percent
 from tallyspark.operators import effective as E
 from tallyspark.operators import rollup as A
+from tallyspark.plans.generic import ATTRIBUTE_MAP
 from tallyspark.plans.registry import register
 from tallyspark.sources import standins as S
 from tallyspark.sources.tables import Tables
@@ -413,3 +414,21 @@ def pending_approvers(t: Tables) -> DataFrame:
     lst = A.ordered_list(j, ["order_id", "vendor_id"], "approver", ["approver"], ", ", "approver_list")
     cnt = j.groupBy("order_id", "vendor_id").agg(F.count(F.lit(1)).alias("approvers"))
     return cnt.join(lst, ["order_id", "vendor_id"])
+
+
+@register("r_hr6_attribute_discovery", S.with_sql(" UNION ALL ".join(
+    f"SELECT '{phys}' AS physical_column, '{biz}' AS business_name, COUNT({phys}) AS populated_rows, "
+    f"COUNT(DISTINCT CAST({phys} AS VARCHAR)) AS distinct_values FROM customers"
+    for phys, biz in ATTRIBUTE_MAP.items()),
+    "customers"))
+def attribute_discovery(t: Tables) -> DataFrame:
+    """R-HR6 (feeds S11): which generic attribute columns hold data and
+    under which business name -- the columns are unpivoted to rows and
+    counted, then named from the metadata map."""
+    from tallyspark.sources import constants as K
+    c = S.customers(t).select("customer_id", *[F.col(p).cast("string").alias(p) for p in ATTRIBUTE_MAP])
+    long = c.unpivot(["customer_id"], list(ATTRIBUTE_MAP), "physical_column", "value")
+    g = long.groupBy("physical_column").agg(F.count("value").alias("populated_rows"),
+                                            F.count_distinct("value").alias("distinct_values"))
+    meta = K.frame(t.spark, list(ATTRIBUTE_MAP.items()), "physical_column string, business_name string")
+    return g.join(meta, "physical_column")
