@@ -60,11 +60,18 @@ SELECT applied_trx_id AS order_id, supplier_id AS vendor_id,
 FROM applications WHERE return_flag IN ('A', 'N')""")
 
 
-def _paid_at(t: Tables, as_of=AS_OF) -> DataFrame:
-    p = ap_payments(t).filter(F.col("pay_date") <= F.lit(as_of))
-    return p.groupBy("order_id", "vendor_id").agg(
-        F.sum(F.when(F.col("pay_type") == "PAYMENT", F.col("amount")).otherwise(0)).alias("paid"),
-        F.sum(F.when(F.col("pay_type") == "PREPAY", F.col("amount")).otherwise(0)).alias("prepaid"))
+def invoice_balances(t: Tables, as_of=AS_OF) -> DataFrame:
+    """Invoice amount and what was paid / prepaid on it by the date, in ONE
+    aggregation pass over the lines (invoice and payments share the key
+    (order, supplier)), instead of two scans joined back together."""
+    a = S.applications(t)
+    upto = F.col("apply_date") <= F.lit(as_of)
+    g = a.groupBy(F.col("applied_trx_id").alias("order_id"), F.col("supplier_id").alias("vendor_id")).agg(
+        F.min("apply_date").alias("invoice_date"),
+        F.sum("gross_amount").cast(MONEY).alias("invoice_amount"),
+        F.sum(F.when(upto & (F.col("return_flag") == "A"), F.col("amount")).otherwise(0)).alias("paid"),
+        F.sum(F.when(upto & (F.col("return_flag") == "N"), F.col("amount")).otherwise(0)).alias("prepaid"))
+    return g.withColumn("due_date", F.date_add("invoice_date", 30))
 
 
 _PAID_SQL = f"""(SELECT order_id, vendor_id,
@@ -87,10 +94,10 @@ GROUP BY x.vendor_id, s.vendor_name""", "ap_invoices", "ap_payments", "suppliers
 
 @register("r_ap1_supplier_aging_14", _AP1_SQL)
 def supplier_aging(t: Tables) -> DataFrame:
-    """R-AP1: supplier aging at a date, 14 buckets, prepayments netted."""
-    inv = ap_invoices(t).filter(F.col("invoice_date") <= F.lit(AS_OF))
-    x = inv.join(_paid_at(t), ["order_id", "vendor_id"], "left")
-    x = x.withColumn("outstanding", F.col("invoice_amount") - F.coalesce("paid", F.lit(0)) - F.coalesce("prepaid", F.lit(0)))
+    """R-AP1: supplier aging at a date, 14 buckets, prepayments netted.
+    Invoice and payment amounts come from one aggregation pass."""
+    x = invoice_balances(t).filter(F.col("invoice_date") <= F.lit(AS_OF))
+    x = x.withColumn("outstanding", F.col("invoice_amount") - F.col("paid") - F.col("prepaid"))
     x = x.filter(F.col("outstanding") != 0).withColumn("days", F.datediff(F.lit(AS_OF), F.col("due_date")))
     per = aging.bucket_totals(x, ["vendor_id"], "days", "outstanding", aging.AP_FOURTEEN, "total_outstanding")
     s = S.suppliers(t).select(F.col("supplier_id").alias("vendor_id"), "vendor_name")
@@ -161,11 +168,11 @@ WHERE i.invoice_date <= {D(AS_OF)} AND i.invoice_amount - COALESCE(p.paid, 0) <>
 @register("r_ap6_outstanding_at_date", _AP6_SQL)
 def outstanding_at_date(t: Tables) -> DataFrame:
     """R-AP6: invoice total less paid at the date (A12), days past due, non-zero (A4)."""
-    inv = ap_invoices(t).filter(F.col("invoice_date") <= F.lit(AS_OF))
-    x = inv.join(_paid_at(t), ["order_id", "vendor_id"], "left")
-    out = (F.col("invoice_amount") - F.coalesce("paid", F.lit(0)))
+    x = invoice_balances(t).filter(F.col("invoice_date") <= F.lit(AS_OF))
+    x = x.withColumn("invoice_num", F.concat(F.col("order_id").cast("string"), F.lit("-"), F.col("vendor_id").cast("string")))
+    out = F.col("invoice_amount") - F.col("paid")
     return x.filter(out != 0).select(
-        "invoice_num", "vendor_id", "invoice_amount", F.coalesce("paid", F.lit(0)).cast(TOTAL).alias("paid_at_date"),
+        "invoice_num", "vendor_id", "invoice_amount", F.col("paid").cast(TOTAL).alias("paid_at_date"),
         out.cast(TOTAL).alias("outstanding"), F.datediff(F.lit(AS_OF), F.col("due_date")).alias("days_past_due"))
 
 
