@@ -42,22 +42,56 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence, value,
     computed in two levels so that the window groups are (key, chunk) and
     never a whole key.
     """
+    return running_totals(df, keys, order, {out: value}, chunk=chunk)
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence, values: dict,
+                   chunk: str | None = None, totals: dict | None = None) -> DataFrame:
+    """Several running sums (``values``: output -> column) in one pass, and
+    optionally group totals (``totals``: output -> column) beside each row.
+
+    Two-level form (``chunk`` given): one window over (keys, chunk) gives the
+    running sums inside each chunk; a small table of chunk totals (one row
+    per key and chunk) gives, by a window over its rows, each chunk's offset
+    and the key's grand totals; one join brings both back.  The input is
+    read twice (the chunk totals read only keys, chunk and the values) and
+    no task ever holds a whole key.
+    """
     keys, order = _cols(keys), _cols(order)
-    v = F.col(value) if isinstance(value, str) else value
+    totals = totals or {}
+    vals = {o: (F.col(v) if isinstance(v, str) else v) for o, v in values.items()}
+    tots = {o: (F.col(v) if isinstance(v, str) else v) for o, v in totals.items()}
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(v).over(w))
-    tmp = f"__{out}_v"
-    base = df.withColumn(tmp, v)
+        out = df
+        for o, v in vals.items():
+            out = out.withColumn(o, F.sum(v).over(w))
+        if tots:
+            wk = Window.partitionBy(*keys)
+            for o, v in tots.items():
+                out = out.withColumn(o, F.sum(v).over(wk))
+        return out
+    tmp = {o: f"__{o}_v" for o in [*vals, *tots]}
+    base = df
+    for o, v in {**vals, **tots}.items():
+        base = base.withColumn(tmp[o], v)
     within = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    base = base.withColumn(f"__{out}_in", F.sum(tmp).over(within))
-    chunk_tot = base.groupBy(*keys, chunk).agg(F.sum(tmp).alias(f"__{out}_ct"))
+    for o in vals:
+        base = base.withColumn(f"__{o}_in", F.sum(tmp[o]).over(within))
+    chunk_tot = base.groupBy(*keys, chunk).agg(*[F.sum(tmp[o]).alias(f"__{o}_ct") for o in tmp])
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunk_tot.withColumn(f"__{out}_off", F.coalesce(F.sum(f"__{out}_ct").over(before), F.lit(0)))
-    offsets = offsets.drop(f"__{out}_ct")
-    joined = base.join(offsets, [*keys, chunk], "inner")
-    return (joined.withColumn(out, F.col(f"__{out}_off") + F.col(f"__{out}_in"))
-                  .drop(tmp, f"__{out}_in", f"__{out}_off"))
+    whole = Window.partitionBy(*keys)
+    offs = chunk_tot
+    for o in vals:
+        offs = offs.withColumn(f"__{o}_off", F.coalesce(F.sum(f"__{o}_ct").over(before), F.lit(0)))
+    for o in tots:
+        offs = offs.withColumn(o, F.sum(f"__{o}_ct").over(whole))
+    offs = offs.drop(*[f"__{o}_ct" for o in tmp])
+    joined = base.join(offs, [*keys, chunk], "inner")
+    for o in vals:
+        joined = joined.withColumn(o, F.col(f"__{o}_off") + F.col(f"__{o}_in"))
+    drop = [*tmp.values(), *[f"__{o}_in" for o in vals], *[f"__{o}_off" for o in vals]]
+    return joined.drop(*drop)
 
 
 def running_total_range(df: DataFrame, keys: Sequence[str], order: str, value, out: str) -> DataFrame:
@@ -113,18 +147,26 @@ def grand_total(df: DataFrame, value, out: str, bounded: bool = False) -> DataFr
 
 
 def line_number(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "line_num",
-                chunk: str | None = None) -> DataFrame:
-    """Row number within a group.
+                chunk: str | None = None, count_out: str | None = None) -> DataFrame:
+    """Row number within a group (and, with ``count_out``, the group's
+    row count beside it).
 
     With ``chunk`` (the leading order column) the ordinal is a running count
-    computed in two levels like :func:`running_total`, so a hot group is
-    numbered by many tasks; without it, a plain ``row_number`` window.
+    computed in two levels like :func:`running_totals`, so a hot group is
+    numbered by many tasks, and the count comes from the same pass.
     """
     if chunk is None:
         w = Window.partitionBy(*_cols(keys)).orderBy(*_cols(order))
-        return df.withColumn(out, F.row_number().over(w))
-    out_df = running_total(df, keys, order, F.lit(1), out, chunk=chunk)
-    return out_df.withColumn(out, F.col(out).cast("int"))
+        out_df = df.withColumn(out, F.row_number().over(w))
+        if count_out:
+            out_df = out_df.withColumn(count_out, F.count(F.lit(1)).over(Window.partitionBy(*_cols(keys))))
+        return out_df
+    out_df = running_totals(df, keys, order, {out: F.lit(1)}, chunk=chunk,
+                            totals={count_out: F.lit(1)} if count_out else None)
+    out_df = out_df.withColumn(out, F.col(out).cast("int"))
+    if count_out:
+        out_df = out_df.withColumn(count_out, F.col(count_out).cast("bigint"))
+    return out_df
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:

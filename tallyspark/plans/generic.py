@@ -626,9 +626,9 @@ def partition_and_grand_total(t: Tables) -> DataFrame:
 SELECT je_header_id, je_line_num, COUNT(*) OVER (PARTITION BY je_header_id) AS line_count
 FROM journal_lines""", "journal_lines"))
 def line_number_count(t: Tables) -> DataFrame:
-    """Row number in the document and the document's line count."""
-    jl = S.journal_lines(t).select("je_header_id", "je_line_num")
-    return W.partition_count(jl, ["je_header_id"], "line_count")
+    """Row number in the document and the document's line count (both
+    from the journal builder's single two-level numbering pass)."""
+    return S.journal_lines(t).select("je_header_id", "je_line_num", F.col("je_line_count").alias("line_count"))
 
 
 @register("w6_keep_first", """

@@ -46,15 +46,16 @@ WINDOW w AS (PARTITION BY je_header_id ORDER BY je_line_num ROWS BETWEEN UNBOUND
 def journal_voucher(t: Tables) -> DataFrame:
     """R-GL2: journal voucher lines with running debit/credit and the line
     count; running sums in two levels (blocks of lines, then block offsets)."""
-    jl = S.journal_lines(t).select("je_header_id", "je_line_num", "account", "accounted_dr", "accounted_cr")
-    # chunks of 1024 lines: a huge journal is summed by many tasks
+    jl = S.journal_lines(t).select("je_header_id", "je_line_num", F.col("je_line_count").alias("line_count"),
+                                   "account", "accounted_dr", "accounted_cr")
+    # chunks of 1024 lines: a huge journal is summed by many tasks; both
+    # running sums come from the same two-level pass
     jl = jl.withColumn("line_block", F.floor(F.col("je_line_num") / 1024))
-    jl = W.running_total(jl, ["je_header_id"], ["line_block", "je_line_num"], F.coalesce("accounted_dr", F.lit(0)),
-                         "running_dr", chunk="line_block")
-    jl = W.running_total(jl, ["je_header_id"], ["line_block", "je_line_num"], F.coalesce("accounted_cr", F.lit(0)),
-                         "running_cr", chunk="line_block")
-    jl = W.partition_count(jl.drop("line_block"), ["je_header_id"], "line_count")
-    return jl.withColumn("running_dr", F.col("running_dr").cast(TOTAL)).withColumn("running_cr", F.col("running_cr").cast(TOTAL))
+    jl = W.running_totals(jl, ["je_header_id"], ["line_block", "je_line_num"],
+                          {"running_dr": F.coalesce("accounted_dr", F.lit(0)),
+                           "running_cr": F.coalesce("accounted_cr", F.lit(0))}, chunk="line_block")
+    return (jl.drop("line_block").withColumn("running_dr", F.col("running_dr").cast(TOTAL))
+              .withColumn("running_cr", F.col("running_cr").cast(TOTAL)))
 
 
 _GL3_SQL = S.with_sql("""

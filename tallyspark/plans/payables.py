@@ -251,18 +251,26 @@ def latest_approver(t: Tables) -> DataFrame:
 def _ap_movements(t: Tables) -> DataFrame:
     """Signed supplier movements (credit positive = owed to the supplier):
     invoice, debit memo (returned lines), payment, prepayment applied,
-    discount taken, tax on payments -- six types plus the opening."""
+    discount taken, tax on payments.  The invoice rows come from the
+    invoice aggregate; the five line-level movement types from ONE pass over
+    the lines (each line emits its movements with ``explode``)."""
     a = S.applications(t)
     inv = ap_invoices(t).select("vendor_id", F.col("invoice_date").alias("mv_date"),
                                 F.lit("INVOICE").alias("movement_type"), F.col("invoice_amount").alias("amount"))
-    def br(cond, kind, amt):
-        return a.filter(cond).select(F.col("supplier_id").alias("vendor_id"), F.col("apply_date").alias("mv_date"),
-                                     F.lit(kind).alias("movement_type"), (-amt).cast(MONEY).alias("amount"))
-    return (inv.unionByName(br(F.col("return_flag") == "R", "DEBIT_MEMO", F.col("gross_amount")))
-               .unionByName(br(F.col("return_flag") == "A", "PAYMENT", F.col("amount")))
-               .unionByName(br(F.col("return_flag") == "N", "PREPAYMENT", F.col("amount")))
-               .unionByName(br(F.col("return_flag") == "A", "DISCOUNT", F.col("discount_taken")))
-               .unionByName(br(F.col("return_flag") == "A", "TAX", F.col("acctd_amount") - F.col("amount"))))
+    flag = F.col("return_flag")
+
+    def mv(cond, kind, amt):
+        return F.when(cond, F.struct(F.lit(kind).alias("movement_type"), (-amt).cast(MONEY).alias("amount")))
+
+    moves = F.array(mv(flag == "R", "DEBIT_MEMO", F.col("gross_amount")),
+                    mv(flag == "A", "PAYMENT", F.col("amount")),
+                    mv(flag == "N", "PREPAYMENT", F.col("amount")),
+                    mv(flag == "A", "DISCOUNT", F.col("discount_taken")),
+                    mv(flag == "A", "TAX", F.col("acctd_amount") - F.col("amount")))
+    lines = (a.select(F.col("supplier_id").alias("vendor_id"), F.col("apply_date").alias("mv_date"),
+                      F.explode(moves).alias("m"))
+             .filter(F.col("m").isNotNull()).select("vendor_id", "mv_date", "m.movement_type", "m.amount"))
+    return inv.unionByName(lines)
 
 
 def _ap_mv_sql() -> str:
@@ -299,16 +307,15 @@ def complete_supplier_ledger(t: Tables) -> DataFrame:
     over the aggregated rows: bounded by months x types) and the party
     name with the negative-vendor fallback (J15)."""
     from tallyspark.operators import windows as W
-    mv = _ap_movements(t)
-    opening = (mv.filter(F.col("mv_date") < F.lit(PERIOD_FROM)).groupBy("vendor_id")
-               .agg(F.sum("amount").cast(TOTAL).alias("amount"))
-               .select("vendor_id", F.lit(1).alias("block"), F.lit("OPENING").alias("period"),
-                       F.lit("OPENING").alias("movement_type"), "amount"))
-    period = (mv.filter(F.col("mv_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
-              .groupBy("vendor_id", F.lit(2).alias("block"), F.date_format("mv_date", "yyyy-MM").alias("period"),
-                       "movement_type").agg(F.sum("amount").cast(TOTAL).alias("amount")))
-    x = W.running_total(opening.unionByName(period), ["vendor_id"], ["block", "period", "movement_type"], "amount",
-                        "running_balance")
+    mv = _ap_movements(t).filter(F.col("mv_date") <= F.lit(PERIOD_TO))
+    before = F.col("mv_date") < F.lit(PERIOD_FROM)
+    # opening and period blocks from ONE aggregation: rows before the period
+    # collapse into the opening key
+    blocks = mv.select("vendor_id", F.when(before, 1).otherwise(2).alias("block"),
+                       F.when(before, "OPENING").otherwise(F.date_format("mv_date", "yyyy-MM")).alias("period"),
+                       F.when(before, "OPENING").otherwise(F.col("movement_type")).alias("movement_type"), "amount")
+    agg = blocks.groupBy("vendor_id", "block", "period", "movement_type").agg(F.sum("amount").cast(TOTAL).alias("amount"))
+    x = W.running_total(agg, ["vendor_id"], ["block", "period", "movement_type"], "amount", "running_balance")
     s = S.suppliers(t)
     c = S.customers(t).select(F.col("customer_id").alias("party_id"), "party_name")
     names = s.join(c, -s.vendor_id == c.party_id, "left").select(

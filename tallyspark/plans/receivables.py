@@ -56,6 +56,52 @@ OPEN_BAL_SQL = f"""(SELECT b.trx_id, b.trx_number, b.customer_id, b.org_id, b.cl
  WHERE b.trx_date <= {D(AS_OF)} AND b.amount <> 0)"""
 
 
+def customer_movements(t: Tables, include_reversed: bool = False) -> DataFrame:
+    """Every customer movement -- complete invoices/credit memos and applied,
+    non-reversed receipts -- from ONE scan of the orders and ONE
+    aggregation of the lines.
+
+    The line aggregation per order yields the receipt (cash total and first
+    cash date) and the reversal flag in the same pass; joined to the order's
+    invoice facts, each order emits up to two movement rows (``explode``).
+    Reports that need an opening balance and detail derive both from this
+    one stream instead of re-reading invoices and receipts per block.
+    Columns: customer_id, org_id, gl_date, doc_number, doc_type, source,
+    type_name, raw_amount (debit positive), func_amount (functional),
+    is_reversed (only reversed receipts, kept when ``include_reversed``).
+    """
+    inv = S.invoices(t).select("trx_id", "trx_number", "customer_id", "org_id", "trx_date", "class", "amount",
+                               "exchange_rate", "complete_flag")
+    a = S.applications(t)
+    cash = F.col("app_type") == "CASH"
+    per_order = a.groupBy(F.col("applied_trx_id").alias("trx_id")).agg(
+        F.sum(F.when(cash, F.col("amount"))).cast(MONEY).alias("cash_amount"),
+        F.min(F.when(cash, F.col("apply_date"))).alias("receipt_date"),
+        F.max(F.when((F.col("return_flag") == "R") & (F.col("line_status") == "F"), 1).otherwise(0)).alias("reversed"))
+    j = inv.join(per_order, "trx_id", "left")
+    rate = F.coalesce(F.col("exchange_rate"), F.lit(1))
+    is_cm = F.col("class") == "CM"
+    inv_mv = F.when(F.col("complete_flag") == "Y", F.struct(
+        F.col("trx_date").alias("gl_date"), F.col("trx_number").alias("doc_number"),
+        F.when(is_cm, "CREDIT_MEMO").otherwise("INVOICE").alias("doc_type"), F.lit("INVOICE").alias("source"),
+        F.when(is_cm, "Credit Memo").otherwise("Invoice").alias("type_name"),
+        F.col("amount").cast("decimal(38,2)").alias("raw_amount"),
+        F.round(F.col("amount") * rate, 2).cast("decimal(38,2)").alias("func_amount"),
+        F.lit(False).alias("is_reversed")))
+    keep_rc = F.col("cash_amount").isNotNull()
+    if not include_reversed:
+        keep_rc = keep_rc & (F.col("reversed") == 0)
+    rc_mv = F.when(keep_rc, F.struct(
+        F.col("receipt_date").alias("gl_date"),
+        F.concat(F.lit("RCPT-"), F.col("trx_id").cast("string")).alias("doc_number"),
+        F.lit("RECEIPT").alias("doc_type"), F.lit("RECEIPT").alias("source"), F.lit("Payment").alias("type_name"),
+        (-F.col("cash_amount")).cast("decimal(38,2)").alias("raw_amount"),
+        (-F.round(F.col("cash_amount") * rate, 2)).cast("decimal(38,2)").alias("func_amount"),
+        (F.col("reversed") == 1).alias("is_reversed")))
+    mv = j.select("customer_id", "org_id", F.explode(F.array(inv_mv, rc_mv)).alias("m"))
+    return mv.filter(F.col("m").isNotNull()).select("customer_id", "org_id", "m.*")
+
+
 # ---------------------------------------------------------------------------
 # R-AR1: point-in-time customer aging, 5 buckets (flagship)
 # ---------------------------------------------------------------------------
@@ -91,20 +137,12 @@ def customer_aging_5(t: Tables, as_of=AS_OF) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _ledger_rows(t: Tables) -> DataFrame:
-    inv = (S.invoices(t).filter(F.col("complete_flag") == "Y")
-           .select("org_id", "customer_id", F.col("trx_date").alias("gl_date"), "trx_number",
-                   F.lit("INVOICE").alias("source"),
-                   F.when(F.col("class") == "CM", "Credit Memo").otherwise("Invoice").alias("type"),
-                   F.col("amount").alias("debit_amt"), F.lit(0).cast(MONEY).alias("credit_amt")))
-    rc = S.receipts(t)
-    rev = S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id")
-    rc = rc.filter(F.col("status") == "APP").join(rev, "receipt_id", "left_anti")
-    rc = rc.select("org_id", "customer_id", F.col("receipt_date").alias("gl_date"),
-                   F.col("receipt_number").alias("trx_number"), F.lit("RECEIPT").alias("source"),
-                   F.lit("Payment").alias("type"), F.lit(0).cast(MONEY).alias("debit_amt"),
-                   F.col("amount").alias("credit_amt"))
-    rows = inv.unionByName(rc)
-    return rows.filter((F.col("gl_date") >= F.lit(PERIOD_FROM)) & (F.col("gl_date") <= F.lit(PERIOD_TO)))
+    mv = customer_movements(t).filter(F.col("gl_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    is_rc = F.col("source") == "RECEIPT"
+    return mv.select("org_id", "customer_id", "gl_date", F.col("doc_number").alias("trx_number"), "source",
+                     F.col("type_name").alias("type"),
+                     F.when(is_rc, F.lit(0)).otherwise(F.col("raw_amount")).cast(MONEY).alias("debit_amt"),
+                     F.when(is_rc, -F.col("raw_amount")).otherwise(F.lit(0)).cast(MONEY).alias("credit_amt"))
 
 
 _LEDGER_ROWS_SQL = f"""
@@ -156,26 +194,35 @@ def movement_fact(t: Tables, as_of=AS_OF) -> DataFrame:
 
     Components: invoice (original x rate), cash and credit-memo
     applications, adjustments, earned discount and exchange difference --
-    six typed UNION ALL branches (O4).  Amounts are signed so that the
-    balance is their plain sum (§8 #1: amounts are already signed).
+    the six typed branches of O4.  The application branches come from ONE
+    join of the lines to their invoice: each line emits its movements with
+    ``explode`` instead of one scan and join per branch.  Amounts are signed
+    so that the balance is their plain sum (§8 #1: amounts are already
+    signed).  Every row carries the invoice's customer and due date.
     """
     inv = S.invoices(t).filter((F.col("trx_date") <= F.lit(as_of)) & (F.col("amount") != 0))
-    inv_b = inv.select("trx_id", "customer_id", F.col("trx_date").alias("mv_date"),
-                       round_money(F.col("amount") * F.coalesce(F.col("exchange_rate"), F.lit(1))).alias("amount"))
+    inv_b = inv.select("trx_id", "customer_id", "due_date", F.col("trx_date").alias("mv_date"),
+                       round_money(F.col("amount") * F.coalesce(F.col("exchange_rate"), F.lit(1))).alias("amount"),
+                       F.lit("INVOICE").alias("movement_type"), F.lit(1).alias("branch_rank"))
     app = S.applications(t).filter(F.col("apply_date") <= F.lit(as_of))
-    app = app.join(inv.select(F.col("trx_id").alias("applied_trx_id"), "customer_id"), "applied_trx_id")
-    base = lambda cond, amt: app.filter(cond).select(
-        F.col("applied_trx_id").alias("trx_id"), "customer_id", F.col("apply_date").alias("mv_date"),
-        (-amt).cast(MONEY).alias("amount"))
-    cash = F.col("app_type") == "CASH"
-    return union_branches([
-        ("INVOICE", 1, inv_b),
-        ("CASH", 2, base(cash, F.col("amount"))),
-        ("CREDIT_MEMO", 3, base(F.col("app_type") == "CM", F.col("amount"))),
-        ("ADJUSTMENT", 4, base(F.col("app_type") == "ADJ", F.col("amount"))),
-        ("DISCOUNT", 5, base(cash, F.col("discount_taken"))),
-        ("EXCHANGE", 6, base(cash, F.col("acctd_amount") - F.col("amount"))),
-    ])
+    app = app.join(inv.select(F.col("trx_id").alias("applied_trx_id"), "customer_id", "due_date"), "applied_trx_id")
+    typ = F.col("app_type")
+
+    def mv(cond, kind, rank, amt):
+        return F.when(cond, F.struct(F.lit(kind).alias("movement_type"), F.lit(rank).alias("branch_rank"),
+                                     (-amt).cast(MONEY).alias("amount")))
+
+    moves = F.array(
+        mv(typ == "CASH", "CASH", 2, F.col("amount")),
+        mv(typ == "CM", "CREDIT_MEMO", 3, F.col("amount")),
+        mv(typ == "ADJ", "ADJUSTMENT", 4, F.col("amount")),
+        mv(typ == "CASH", "DISCOUNT", 5, F.col("discount_taken")),
+        mv(typ == "CASH", "EXCHANGE", 6, F.col("acctd_amount") - F.col("amount")))
+    app_b = (app.select(F.col("applied_trx_id").alias("trx_id"), "customer_id", "due_date",
+                        F.col("apply_date").alias("mv_date"), F.explode(moves).alias("m"))
+             .filter(F.col("m").isNotNull())
+             .select("trx_id", "customer_id", "due_date", "mv_date", "m.amount", "m.movement_type", "m.branch_rank"))
+    return inv_b.unionByName(app_b)
 
 
 def _mv_branch_sql(cond: str, amt: str, kind: str, rank: int) -> str:
@@ -232,9 +279,9 @@ GROUP BY s.trx_id, s.balance""", "invoices", "applications")
 def transaction_buckets(t: Tables) -> DataFrame:
     """R-AR9: aging buckets per transaction from the movement fact, with a
     not-due column so that the buckets add up to the balance (§8 #5)."""
-    per_trx = movement_fact(t).groupBy("trx_id").agg(F.sum("amount").alias("balance"))
-    inv = S.invoices(t).select("trx_id", "due_date")
-    x = per_trx.join(inv, "trx_id").withColumn("days_due", F.datediff(F.lit(AS_OF), F.col("due_date")))
+    per_trx = movement_fact(t).groupBy("trx_id").agg(F.sum("amount").alias("balance"),
+                                                     F.max("due_date").alias("due_date"))
+    x = per_trx.withColumn("days_due", F.datediff(F.lit(AS_OF), F.col("due_date")))
     return x.groupBy("trx_id", "balance").agg(*aging.AR_SIX_NOT_DUE.sums("days_due", "balance"))
 
 
@@ -264,28 +311,25 @@ GROUP BY a.customer_id, c.party_name""", "invoices", "receipts", "receipt_histor
 
 
 def _opening_per_customer(t: Tables) -> DataFrame:
-    inv = S.invoices(t).filter(F.col("complete_flag") == "Y")
-    rc = S.receipts(t).join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"),
-                            "receipt_id", "left_anti")
-    before = (inv.filter(F.col("trx_date") < F.lit(PERIOD_FROM)).select("customer_id", _func().alias("amount"))
-              .unionByName(rc.filter(F.col("receipt_date") < F.lit(PERIOD_FROM))
-                           .select("customer_id", (-_func()).alias("amount"))))
-    return before.groupBy("customer_id").agg(F.sum("amount").alias("opening_balance"))
+    mv = customer_movements(t).filter(F.col("gl_date") < F.lit(PERIOD_FROM))
+    return mv.groupBy("customer_id").agg(F.sum("func_amount").alias("opening_balance"))
 
 
 @register("r_ar11_opening_balance", _AR11_SQL)
 def opening_balance(t: Tables) -> DataFrame:
     """R-AR11: opening balance (functional currency) of the customers active
-    in the period.  Pre-aggregated per customer before the join (A8), the
-    active set is a distinct union of the period's invoices and receipts."""
-    inv = S.invoices(t).filter(F.col("complete_flag") == "Y")
-    in_period = lambda c: (F.col(c) >= F.lit(PERIOD_FROM)) & (F.col(c) <= F.lit(PERIOD_TO))
-    active = (inv.filter(in_period("trx_date")).select("customer_id")
-              .union(S.receipts(t).filter(in_period("receipt_date")).select("customer_id")).distinct())
+    in the period.  One aggregation over the movement stream gives both the
+    opening (movements before the period) and the activity flag."""
+    # reversed receipts still make a customer active, but carry no balance
+    mv = customer_movements(t, include_reversed=True).filter(F.col("gl_date") <= F.lit(PERIOD_TO))
+    before = F.col("gl_date") < F.lit(PERIOD_FROM)
+    g = mv.groupBy("customer_id").agg(
+        F.sum(F.when(before & ~F.col("is_reversed"), F.col("func_amount"))).alias("opening_balance"),
+        F.max(F.when(~before, F.lit(1))).alias("active"))
+    g = g.filter(F.col("active") == 1)
     cust = S.customers(t).select("customer_id", "party_name")
-    out = active.join(cust, "customer_id").join(_opening_per_customer(t), "customer_id", "left")
-    return out.select("customer_id", "party_name",
-                      F.coalesce(F.col("opening_balance"), F.lit(0)).cast(TOTAL).alias("opening_balance"))
+    return g.join(cust, "customer_id").select(
+        "customer_id", "party_name", F.coalesce(F.col("opening_balance"), F.lit(0)).cast(TOTAL).alias("opening_balance"))
 
 
 # ---------------------------------------------------------------------------
@@ -332,34 +376,25 @@ def production_ledger(t: Tables) -> DataFrame:
     """R-AR12: opening row (block 1) and period detail (block 2) per active
     customer; running balance = opening + running sum of the detail.
 
-    Running sum is the skew-safe two-level W1 (chunk = date)."""
-    inv = S.invoices(t).filter(F.col("complete_flag") == "Y")
-    rc = S.receipts(t).join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"),
-                            "receipt_id", "left_anti")
-    in_period = lambda c: (F.col(c) >= F.lit(PERIOD_FROM)) & (F.col(c) <= F.lit(PERIOD_TO))
-    detail = (inv.filter(in_period("trx_date")).select(
-                  "customer_id", F.col("trx_date").alias("gl_date"), F.col("trx_number").alias("doc_number"),
-                  F.when(F.col("class") == "CM", "CREDIT_MEMO").otherwise("INVOICE").alias("doc_type"),
-                  _func().alias("amount"))
-              .unionByName(rc.filter(in_period("receipt_date")).select(
-                  "customer_id", F.col("receipt_date").alias("gl_date"),
-                  F.col("receipt_number").alias("doc_number"), F.lit("RECEIPT").alias("doc_type"),
-                  (-_func()).alias("amount"))))
-    opening = _opening_per_customer(t)
+    The running total runs over every movement up to the period end, so the
+    opening is simply the part of it before the period -- no separate
+    opening join.  Skew-safe two-level W1 (chunk = date); the opening rows
+    come from one aggregation over the same movement stream."""
+    mv = customer_movements(t).filter(F.col("gl_date") <= F.lit(PERIOD_TO)).select(
+        "customer_id", "gl_date", "doc_number", "doc_type", F.col("func_amount").alias("amount"))
+    run = windows.running_total(mv, ["customer_id"], ["gl_date", "doc_type", "doc_number"], "amount",
+                                "running_balance", chunk="gl_date")
     cust = S.customers(t).select("customer_id", "party_name")
-    run = windows.running_total(detail, ["customer_id"], ["gl_date", "doc_type", "doc_number"], "amount",
-                                "run", chunk="gl_date")
-    run = run.join(opening, "customer_id", "left").join(cust, "customer_id")
-    det_out = run.select(
+    det_out = run.filter(F.col("gl_date") >= F.lit(PERIOD_FROM)).join(cust, "customer_id").select(
         "customer_id", "party_name", F.lit(2).alias("block"), "gl_date", "doc_number", "doc_type",
-        F.col("amount").cast(TOTAL).alias("amount"),
-        (F.coalesce(F.col("opening_balance"), F.lit(0)) + F.col("run")).cast(TOTAL).alias("running_balance"))
-    active = detail.select("customer_id").distinct()
-    open_out = opening.join(active, "customer_id", "left_semi").join(cust, "customer_id").select(
+        F.col("amount").cast(TOTAL).alias("amount"), F.col("running_balance").cast(TOTAL).alias("running_balance"))
+    before = F.col("gl_date") < F.lit(PERIOD_FROM)
+    g = mv.groupBy("customer_id").agg(F.sum(F.when(before, F.col("amount"))).alias("opening"),
+                                      F.max(F.when(~before, F.lit(1))).alias("active"))
+    open_out = g.filter((F.col("active") == 1) & F.col("opening").isNotNull()).join(cust, "customer_id").select(
         "customer_id", "party_name", F.lit(1).alias("block"), F.lit(PERIOD_FROM).alias("gl_date"),
         F.lit("OPENING").alias("doc_number"), F.lit("OPENING").alias("doc_type"),
-        F.col("opening_balance").cast(TOTAL).alias("amount"),
-        F.col("opening_balance").cast(TOTAL).alias("running_balance"))
+        F.col("opening").cast(TOTAL).alias("amount"), F.col("opening").cast(TOTAL).alias("running_balance"))
     return det_out.unionByName(open_out)
 
 
@@ -426,11 +461,11 @@ def aging_with_unapplied(t: Tables) -> DataFrame:
     """R-AR14: per open transaction (six movement components) and per
     unapplied receipt (the seventh), the balance, its not-due/overdue
     bucket and a days-left text; zero balances dropped."""
-    per_trx = movement_fact(t).groupBy("trx_id").agg(F.sum("amount").alias("balance"))
-    inv = S.invoices(t).select("trx_id", "customer_id", "due_date")
-    trx = per_trx.join(inv, "trx_id").select(
-        F.col("trx_id").alias("doc_id"), F.lit("TRX").alias("doc_kind"), "customer_id",
-        F.col("due_date").alias("ref_date"), "balance")
+    per_trx = movement_fact(t).groupBy("trx_id").agg(F.sum("amount").alias("balance"),
+                                                     F.max("customer_id").alias("customer_id"),
+                                                     F.max("due_date").alias("ref_date"))
+    trx = per_trx.select(F.col("trx_id").alias("doc_id"), F.lit("TRX").alias("doc_kind"), "customer_id",
+                         "ref_date", "balance")
     u = S.unapplied_receipts(t).filter(F.col("receipt_date") <= F.lit(AS_OF))
     u = u.join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"),
                "receipt_id", "left_anti")
@@ -711,24 +746,20 @@ GROUP BY c.customer_id, c.party_name, o.opening_balance""", "invoices", "receipt
 def customer_statement(t: Tables) -> DataFrame:
     """R-AR6: opening balance plus three movement types (invoices, credit
     memos, receipts) of the period and the closing balance per customer.
-    The opening filters the transaction date itself (§8 #6)."""
-    inv = S.invoices(t).filter(F.col("complete_flag") == "Y")
-    rc = S.receipts(t).join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"),
-                            "receipt_id", "left_anti")
-    in_period = lambda c: (F.col(c) >= F.lit(PERIOD_FROM)) & (F.col(c) <= F.lit(PERIOD_TO))
-    d = (inv.filter(in_period("trx_date")).select(
-            "customer_id", F.when(F.col("class") == "CM", "CREDIT_MEMO").otherwise("INVOICE").alias("doc_type"),
-            _func().alias("amount"))
-         .unionByName(rc.filter(in_period("receipt_date")).select(
-            "customer_id", F.lit("RECEIPT").alias("doc_type"), (-_func()).alias("amount"))))
-    kind = lambda k: F.coalesce(F.sum(F.when(F.col("doc_type") == k, F.col("amount"))), F.lit(0)).cast(TOTAL)
-    g = d.groupBy("customer_id").agg(kind("INVOICE").alias("invoices"), kind("CREDIT_MEMO").alias("credit_memos"),
-                                     kind("RECEIPT").alias("receipts"), F.sum("amount").alias("moves"))
-    g = g.join(_opening_per_customer(t), "customer_id", "left").join(
-        S.customers(t).select("customer_id", "party_name"), "customer_id")
-    op = F.coalesce("opening_balance", F.lit(0))
+    The opening filters the transaction date itself (§8 #6).  One
+    conditional-sum pass over the movement stream."""
+    mv = customer_movements(t).filter(F.col("gl_date") <= F.lit(PERIOD_TO))
+    in_p = F.col("gl_date") >= F.lit(PERIOD_FROM)
+    kind = lambda k: F.coalesce(F.sum(F.when(in_p & (F.col("doc_type") == k), F.col("func_amount"))),
+                                F.lit(0)).cast(TOTAL)
+    g = mv.groupBy("customer_id").agg(
+        F.sum(F.when(~in_p, F.col("func_amount"))).alias("opening_raw"),
+        kind("INVOICE").alias("invoices"), kind("CREDIT_MEMO").alias("credit_memos"), kind("RECEIPT").alias("receipts"),
+        F.sum(F.when(in_p, F.col("func_amount"))).alias("moves"), F.max(F.when(in_p, F.lit(1))).alias("active"))
+    g = g.filter(F.col("active") == 1).join(S.customers(t).select("customer_id", "party_name"), "customer_id")
+    op = F.coalesce("opening_raw", F.lit(0))
     return g.select("customer_id", "party_name", op.cast(TOTAL).alias("opening_balance"), "invoices", "credit_memos",
-                    "receipts", (op + F.coalesce("moves", F.lit(0))).cast(TOTAL).alias("closing_balance"))
+                    "receipts", (op + F.col("moves")).cast(TOTAL).alias("closing_balance"))
 
 
 _AR10_SQL = S.with_sql(f"""

@@ -319,10 +319,12 @@ def journal_lines(t: Tables) -> DataFrame:
     is_cr = F.col("l_returnflag") == "R"
     base = li.join(s, li.l_suppkey == s.s_suppkey).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     # ordinal within the journal, numbered per (journal, source line) chunk
-    base = line_number(base, ["l_orderkey"], order_cols, "je_line_num", chunk="l_linenumber")
+    base = line_number(base, ["l_orderkey"], order_cols, "je_line_num", chunk="l_linenumber",
+                       count_out="je_line_count")
     return base.select(
         F.col("l_orderkey").alias("je_header_id"),
         F.col("je_line_num"),
+        F.col("je_line_count"),
         F.col("n_regionkey").alias("ledger_id"),
         F.to_date("l_shipdate").alias("gl_date"),
         F.date_format("l_shipdate", "yyyy-MM").alias("period_name"),
@@ -342,6 +344,7 @@ _cte("journal_lines", (), """
 SELECT l_orderkey AS je_header_id,
        ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
                           l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS je_line_num,
+       COUNT(*) OVER (PARTITION BY l_orderkey) AS je_line_count,
        n_regionkey AS ledger_id, CAST(l_shipdate AS DATE) AS gl_date,
        strftime(l_shipdate, '%Y-%m') AS period_name,
        year(l_shipdate) * 100 + month(l_shipdate) AS period_num,
