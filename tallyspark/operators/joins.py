@@ -45,15 +45,15 @@ def not_in(df: DataFrame, col: str, other: DataFrame, other_col: str) -> DataFra
 
     SQL semantics: no row survives when the subquery holds a NULL, and a
     NULL ``col`` never survives a non-empty subquery.  Written as an
-    ordinary (shuffled or AQE-broadcast) anti join plus two scalar
-    subqueries (has a NULL, row count) -- no null-aware broadcast of the
-    whole subquery, which Spark would otherwise need.
+    ordinary (shuffled or AQE-broadcast) anti join plus one scalar
+    subquery returning (has a NULL, row count) -- no null-aware broadcast of
+    the whole subquery, which Spark would otherwise need.
     """
     sub = other.select(F.col(other_col).alias("__k"))
-    has_null = sub.agg(F.max(F.when(F.col("__k").isNull(), 1).otherwise(0))).scalar()
-    n_sub = sub.agg(F.count(F.lit(1))).scalar()
+    flags = sub.agg(F.struct(F.max(F.when(F.col("__k").isNull(), 1).otherwise(0)).alias("has_null"),
+                             F.count(F.lit(1)).alias("n"))).scalar()
     kept = df.join(sub.filter(F.col("__k").isNotNull()), df[col] == F.col("__k"), "left_anti")
-    cond = (n_sub == 0) | ((F.coalesce(has_null, F.lit(0)) == 0) & F.col(col).isNotNull())
+    cond = (flags["n"] == 0) | ((F.coalesce(flags["has_null"], F.lit(0)) == 0) & F.col(col).isNotNull())
     return kept.filter(cond)
 
 

@@ -136,16 +136,20 @@ WHERE period_num = {PERIOD}""", "gl_balances")
 @register("r_gl6_period_ytd_balances", _GL6_SQL)
 def period_ytd_balances(t: Tables) -> DataFrame:
     """R-GL6: period, beginning, year-to-date and ending balance per account
-    (YTD as one conditional sum, not a window)."""
+    -- one aggregation over the year's balance rows (YTD as a sum, the
+    period's own figures picked with conditional aggregates)."""
     b = S.gl_balances(t).filter(F.col("period_num").between(YEAR_START, PERIOD))
-    ytd = b.groupBy("ledger_id", "account").agg(
-        F.sum(F.col("period_net_dr") - F.col("period_net_cr")).alias("ytd_activity"))
-    cur = b.filter(F.col("period_num") == PERIOD)
-    return cur.join(ytd, ["ledger_id", "account"]).select(
-        "ledger_id", "account", "begin_balance",
-        (F.col("period_net_dr") - F.col("period_net_cr")).cast(TOTAL).alias("period_balance"),
-        F.col("ytd_activity").cast(TOTAL).alias("ytd_activity"),
-        (F.col("begin_balance") + F.col("period_net_dr") - F.col("period_net_cr")).cast(TOTAL).alias("end_balance"))
+    cur = F.col("period_num") == PERIOD
+    net = F.col("period_net_dr") - F.col("period_net_cr")
+    g = b.groupBy("ledger_id", "account").agg(
+        F.max(F.when(cur, F.col("begin_balance"))).alias("begin_balance"),
+        F.max(F.when(cur, net)).alias("period_balance"),
+        F.sum(net).alias("ytd_activity"), F.max(F.when(cur, F.lit(1))).alias("has_period"))
+    g = g.filter(F.col("has_period") == 1)
+    return g.select("ledger_id", "account", F.col("begin_balance").cast(TOTAL).alias("begin_balance"),
+                    F.col("period_balance").cast(TOTAL).alias("period_balance"),
+                    F.col("ytd_activity").cast(TOTAL).alias("ytd_activity"),
+                    (F.col("begin_balance") + F.col("period_balance")).cast(TOTAL).alias("end_balance"))
 
 
 _GL7_SQL = S.with_sql(f"""

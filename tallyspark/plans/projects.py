@@ -256,14 +256,18 @@ SELECT * FROM direct d WHERE NOT EXISTS (SELECT 1 FROM contract c WHERE c.projec
 def project_customer(t: Tables) -> DataFrame:
     """R-PJ6: project customer by two routes -- the contract route (the
     lowest customer of a baselined budget contract) wins, the direct route
-    (first buyer) is kept only where no contract exists (J16)."""
-    from tallyspark.operators.joins import override_union
-    direct = _project_buyers(t).select("project_id", F.col("manager_id").alias("customer_id"), F.lit("DIRECT").alias("route"))
-    o = t.orders.filter((F.substring("o_orderpriority", 1, 1).cast("int") <= 2) & (F.col("o_orderstatus") == "F"))
-    contract = (t.lineitem.select("l_orderkey", "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-                .groupBy(F.col("l_suppkey").alias("project_id")).agg(F.min("o_custkey").alias("customer_id"))
-                .withColumn("route", F.lit("CONTRACT")))
-    return override_union(contract, direct, ["project_id"])
+    (first buyer) is used only where no contract exists.  Both routes come
+    from ONE aggregation of the project's order lines; the override (J16,
+    see ``j16_override_union``) becomes a coalesce over the two columns."""
+    li = t.lineitem.select("l_orderkey", "l_suppkey")
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    contract_cond = (F.substring("o_orderpriority", 1, 1).cast("int") <= 2) & (F.col("o_orderstatus") == "F")
+    g = j.groupBy(F.col("l_suppkey").alias("project_id")).agg(
+        F.min(F.when(contract_cond, F.col("o_custkey"))).alias("contract_customer"),
+        F.min_by("o_custkey", F.struct("o_orderdate", "o_orderkey")).alias("direct_customer"))
+    return g.select("project_id", F.coalesce("contract_customer", "direct_customer").alias("customer_id"),
+                    F.when(F.col("contract_customer").isNotNull(), "CONTRACT").otherwise("DIRECT").alias("route"))
 
 
 # Contingency share of a budget, percent.

@@ -667,27 +667,27 @@ FROM (SELECT l_partkey AS item_id, CAST(date_trunc('month', l_shipdate) AS DATE)
 def p2p_stages(t: Tables) -> DataFrame:
     """Requisition -> order -> receipt -> invoice -> payment, per order.
 
-    Each stage is aggregated per order *before* the left-join chain, so a
-    stage with several lines cannot multiply another stage's sum.
+    Each stage is aggregated per order *before* the join, so a stage with
+    several lines cannot multiply another stage's sum (§8 #15); the three
+    line stages come from ONE conditional aggregation of the lines and the
+    requisition and order stages from one read of the orders.
     """
     o = t.orders
+    placed = F.col("o_orderstatus") != "P"
     req = o.select(F.col("o_orderkey").alias("req_id"), F.col("o_custkey").alias("requester_id"),
-                   F.to_date("o_orderdate").alias("req_date"), money("o_totalprice").alias("req_amount"))
-    po = o.filter(F.col("o_orderstatus") != "P").select(
-        F.col("o_orderkey").alias("req_id"), F.to_date("o_orderdate").alias("po_date"),
-        money("o_totalprice").alias("po_amount"))
+                   F.to_date("o_orderdate").alias("req_date"), money("o_totalprice").alias("req_amount"),
+                   F.when(placed, F.to_date("o_orderdate")).alias("po_date"),
+                   F.when(placed, money("o_totalprice")).alias("po_amount"))
     app = applications(t)
 
     def stage(cond, prefix):
-        return (app.filter(cond).groupBy(F.col("applied_trx_id").alias("req_id"))
-                .agg(F.sum("amount").cast("decimal(38,2)").alias(f"{prefix}_amount"),
-                     F.max("apply_date").alias(f"{prefix}_date")))
-
-    rcv = stage(F.col("line_status") == "F", "rcv")
-    inv = stage(F.col("return_flag").isin("A", "R"), "inv")
-    pay = stage(F.col("return_flag") == "A", "pay")
-    return (req.join(po, "req_id", "left").join(rcv, "req_id", "left")
-               .join(inv, "req_id", "left").join(pay, "req_id", "left"))
+        return [F.sum(F.when(cond, F.col("amount"))).cast("decimal(38,2)").alias(f"{prefix}_amount"),
+                F.max(F.when(cond, F.col("apply_date"))).alias(f"{prefix}_date")]
+
+    lines = app.groupBy(F.col("applied_trx_id").alias("req_id")).agg(
+        *stage(F.col("line_status") == "F", "rcv"), *stage(F.col("return_flag").isin("A", "R"), "inv"),
+        *stage(F.col("return_flag") == "A", "pay"))
+    return req.join(lines, "req_id", "left")
 
 
 def _stage_sql(cond: str, prefix: str) -> str:
