@@ -166,11 +166,11 @@ def asset_register(t: Tables) -> DataFrame:
     """R-FA2: cost, reserve at the period (straight line, exact cents),
     net book value and remaining life."""
     a = assets(t).filter(F.col("date_placed_in_service") <= F.lit(AS_OF))
-    a = a.withColumn("months_used", _months_used(F.lit(AS_OF)))
+    a = a.withColumn("months_used", _months_used(F.lit(AS_OF)).cast("bigint"))
     reserve = div_round(cents("cost") * F.col("months_used"), F.col("life_in_months") * 100, 2).cast(MONEY)
     return a.select("asset_id", "cost", "date_placed_in_service", "months_used", reserve.alias("reserve"),
                     (F.col("cost") - reserve).cast(MONEY).alias("net_book_value"),
-                    (F.col("life_in_months") - F.col("months_used")).alias("remaining_life"))
+                    (F.col("life_in_months") - F.col("months_used")).cast("bigint").alias("remaining_life"))
 
 
 @register("r_fa3_depreciation_schedule", S.with_sql(f"""
@@ -189,7 +189,7 @@ def depreciation_schedule(t: Tables) -> DataFrame:
     a = a.withColumn("y", F.explode(F.sequence(F.year("date_placed_in_service"), F.year("date_placed_in_service") + 5)))
     m = F.greatest(F.least(F.col("y") * 12 + 12, start + F.col("life_in_months")) - F.greatest(F.col("y") * 12, start), F.lit(0))
     a = a.withColumn("m", m).filter(F.col("m") > 0)
-    return a.select("asset_id", F.col("y").alias("fiscal_year"),
+    return a.select("asset_id", F.col("y").cast("bigint").alias("fiscal_year"),
                     div_round(cents("cost") * F.col("m"), F.col("life_in_months") * 100, 2).cast(MONEY).alias("depreciation"))
 
 
@@ -247,7 +247,7 @@ def adjustment_history(t: Tables) -> DataFrame:
 @register("r_fa6_asset_distribution", S.with_sql(f"""
 SELECT d.asset_id, d.location_id, n.n_name AS location, s.s_name AS assignee, d.units,
        {sql_percent('d.units', 't.total_units')} AS unit_share_pct
-FROM (SELECT l_partkey AS asset_id, l_suppkey AS location_id, SUM(CAST(l_quantity AS BIGINT)) AS units
+FROM (SELECT l_partkey AS asset_id, l_suppkey AS location_id, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units
       FROM lineitem WHERE CAST(l_shipdate AS DATE) <= {D(AS_OF)} GROUP BY 1, 2) d
 JOIN (SELECT l_partkey AS asset_id, SUM(CAST(l_quantity AS BIGINT)) AS total_units FROM lineitem
       WHERE CAST(l_shipdate AS DATE) <= {D(AS_OF)} GROUP BY 1) t ON t.asset_id = d.asset_id

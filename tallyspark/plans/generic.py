@@ -298,7 +298,7 @@ def inner_chain(t: Tables) -> DataFrame:
     rev = F.round(X.money("l_extendedprice") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")), 2)
     j = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
            .join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey))
-    return j.groupBy(F.col("r_name").alias("region"), F.year("l_shipdate").alias("ship_year")).agg(
+    return j.groupBy(F.col("r_name").alias("region"), F.year("l_shipdate").cast("bigint").alias("ship_year")).agg(
         F.sum(rev).cast(TOTAL).alias("revenue"))
 
 
@@ -810,10 +810,10 @@ def scalar_functions(t: Tables) -> DataFrame:
         F.round("acctbal", 0).cast("decimal(18,0)").alias("round_bal"),
         X.month_start("date_start").alias("month_start"), F.last_day("date_start").alias("month_end"),
         F.add_months("date_start", 3).alias("plus_3_months"),
-        X.days_between(F.lit(AS_OF), "date_start").alias("service_days"),
+        X.days_between(F.lit(AS_OF), "date_start").cast("bigint").alias("service_days"),
         F.floor(F.months_between(F.lit(AS_OF), F.col("date_start"), False)).cast("bigint").alias("service_months"),
         F.date_format("date_start", "dd-MM-yyyy").alias("start_text"),
-        X.iso_weekday("date_start").alias("start_weekday"),
+        X.iso_weekday("date_start").cast("bigint").alias("start_weekday"),
         X.greatest_strict("date_start", "actual_termination_date").alias("greatest_strict"),
         X.concat_oracle("person_number", F.lit("-"), term).alias("concat_text"),
         F.upper("full_name").alias("upper_name"), F.lpad(F.col("person_id").cast("string"), 8, "0").alias("padded_id"),

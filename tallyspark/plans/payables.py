@@ -173,7 +173,7 @@ def outstanding_at_date(t: Tables) -> DataFrame:
     out = F.col("invoice_amount") - F.col("paid")
     return x.filter(out != 0).select(
         "invoice_num", "vendor_id", "invoice_amount", F.col("paid").cast(TOTAL).alias("paid_at_date"),
-        out.cast(TOTAL).alias("outstanding"), F.datediff(F.lit(AS_OF), F.col("due_date")).alias("days_past_due"))
+        out.cast(TOTAL).alias("outstanding"), F.datediff(F.lit(AS_OF), F.col("due_date")).cast("bigint").alias("days_past_due"))
 
 
 _AP7_SQL = S.with_sql("""

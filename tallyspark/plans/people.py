@@ -42,7 +42,7 @@ def worker_master(t: Tables) -> DataFrame:
     status = F.when(F.col("actual_termination_date").isNull() | (F.col("actual_termination_date") >= F.lit(AS_OF)),
                     "ACTIVE").otherwise("TERMINATED")
     return s.select("person_id", "person_number", "full_name", "department", "date_start", end.alias("service_end"),
-                    F.datediff(end, F.col("date_start")).alias("service_days"), status.alias("assignment_status"))
+                    F.datediff(end, F.col("date_start")).cast("bigint").alias("service_days"), status.alias("assignment_status"))
 
 
 @register("r_hr4_leaving_state", S.with_sql("""
@@ -62,7 +62,7 @@ def leaving_state(t: Tables) -> DataFrame:
 
 
 @register("r_ab5_leave_summary", S.with_sql("""
-SELECT person_id, absence_type, COUNT(*) AS leaves, SUM(end_date - start_date + 1) AS leave_days
+SELECT person_id, absence_type, COUNT(*) AS leaves, CAST(SUM(end_date - start_date + 1) AS BIGINT) AS leave_days
 FROM leaves GROUP BY person_id, absence_type""", "leaves"))
 def leave_summary(t: Tables) -> DataFrame:
     """R-AB5: leave count and days per person and type."""
@@ -135,7 +135,7 @@ SELECT b.person_id, b.balance, COALESCE(p.pending_days, 0) AS pending_days,
 FROM (SELECT person_id,
              CAST({" + ".join(f"{'' if s > 0 else '-'}SUM(CASE WHEN entry_type = '{c}' THEN entry_value ELSE 0 END)" for c, _, s in BALANCE_COMPONENTS)} AS DECIMAL(38,2)) AS balance
       FROM accrual_entries WHERE processed_date < {D(_PEND_FROM)} GROUP BY person_id) b
-LEFT JOIN (SELECT person_id, SUM(end_date - start_date + 1) AS pending_days FROM leaves
+LEFT JOIN (SELECT person_id, CAST(SUM(end_date - start_date + 1) AS BIGINT) AS pending_days FROM leaves
            WHERE start_date >= {D(_PEND_FROM)} GROUP BY person_id) p ON p.person_id = b.person_id""",
                                                   "accrual_entries", "leaves"))
 def projected_balance(t: Tables) -> DataFrame:
@@ -168,8 +168,8 @@ def source_funnel(t: Tables) -> DataFrame:
 
 
 @register("r_rc8_hiring_dashboard", S.with_sql("""
-SELECT submission_date AS requisition_date, COUNT(*) AS submissions, SUM(applied) AS applied, SUM(offered) AS offered,
-       SUM(accepted) AS accepted, SUM(hired) AS hired
+SELECT submission_date AS requisition_date, COUNT(*) AS submissions, CAST(SUM(applied) AS BIGINT) AS applied, CAST(SUM(offered) AS BIGINT) AS offered,
+       CAST(SUM(accepted) AS BIGINT) AS accepted, CAST(SUM(hired) AS BIGINT) AS hired
 FROM submissions GROUP BY submission_date""", "submissions"))
 def hiring_dashboard(t: Tables) -> DataFrame:
     """R-RC8: five counts per requisition (day) in one aggregation, not five
@@ -206,7 +206,7 @@ def time_to_hire(t: Tables) -> DataFrame:
     a = s.filter(F.col("applied") == 1).groupBy("person_id").agg(F.min("submission_date").alias("first_applied"))
     h = s.filter(F.col("hired") == 1).groupBy("person_id").agg(F.min("submission_date").alias("first_hired"))
     j = a.join(h, "person_id")
-    d = F.datediff("first_hired", "first_applied")
+    d = F.datediff("first_hired", "first_applied").cast("bigint")
     rating = F.when(d <= 3, "Fast").when(d <= 10, "Normal").otherwise("Slow")
     return j.select("person_id", "first_applied", "first_hired", d.alias("days_to_hire"), rating.alias("rating"))
 
@@ -227,7 +227,7 @@ def stage_alerts(t: Tables) -> DataFrame:
              .when(F.col("offered") == 1, "OFFERED").otherwise("APPLIED"))
     g = s.groupBy("person_id").agg(F.max_by(stage, F.struct("submission_date", "submission_id")).alias("last_stage"),
                                    F.max("submission_date").alias("last_date"))
-    g = g.withColumn("days_in_stage", F.datediff(F.lit(EVENTS_TO), F.col("last_date")))
+    g = g.withColumn("days_in_stage", F.datediff(F.lit(EVENTS_TO), F.col("last_date")).cast("bigint"))
     pr = F.when(F.col("days_in_stage") > 14, "HIGH").when(F.col("days_in_stage") > 7, "MEDIUM").otherwise("LOW")
     return g.withColumn("priority", pr)
 
@@ -351,7 +351,7 @@ def leave_detail(t: Tables) -> DataFrame:
     j = S.leaves(t).join(names, "person_id").join(ps, "person_id").join(lead, "schedule_id")
     j = j.filter(F.col("supervisor_id") != F.col("person_id")).join(sup, "supervisor_id", "left")
     return j.select("absence_id", "person_id", "person_name", "absence_type", "start_date", "end_date",
-                    (F.datediff("end_date", "start_date") + 1).alias("leave_days"), "approval_status", "schedule_id",
+                    (F.datediff("end_date", "start_date") + 1).cast("bigint").alias("leave_days"), "approval_status", "schedule_id",
                     "supervisor_id", "supervisor_name")
 
 

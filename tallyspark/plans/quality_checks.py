@@ -67,7 +67,7 @@ def bucket_identity(t: Tables) -> DataFrame:
 
 @register("q5_order_totals_vs_lines", """
 SELECT o.o_orderstatus, COUNT(*) AS orders_checked,
-       SUM(CASE WHEN abs(CAST(o.o_totalprice AS DECIMAL(18,2)) - COALESCE(l.line_total, 0)) > 0.01 THEN 1 ELSE 0 END) AS mismatches
+       CAST(SUM(CASE WHEN abs(CAST(o.o_totalprice AS DECIMAL(18,2)) - COALESCE(l.line_total, 0)) > 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS mismatches
 FROM orders o LEFT JOIN (SELECT l_orderkey, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS line_total
                          FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey
 GROUP BY o.o_orderstatus""")

@@ -282,6 +282,7 @@ def transaction_buckets(t: Tables) -> DataFrame:
     per_trx = movement_fact(t).groupBy("trx_id").agg(F.sum("amount").alias("balance"),
                                                      F.max("due_date").alias("due_date"))
     x = per_trx.withColumn("days_due", F.datediff(F.lit(AS_OF), F.col("due_date")))
+    x = x.withColumn("balance", F.col("balance").cast(TOTAL))
     return x.groupBy("trx_id", "balance").agg(*aging.AR_SIX_NOT_DUE.sums("days_due", "balance"))
 
 

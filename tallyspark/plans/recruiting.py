@@ -236,7 +236,7 @@ def pending_offer_priority(t: Tables) -> DataFrame:
     """R-RC16: extended, not accepted offers with days since extended and a
     follow-up priority band (X5 + X14)."""
     o = offers(t).filter(F.col("extended_date").isNotNull() & F.col("accepted_date").isNull())
-    days = F.datediff(F.lit(EVENTS_TO), F.col("extended_date"))
+    days = F.datediff(F.lit(EVENTS_TO), F.col("extended_date")).cast("bigint")
     pr = None
     for d, lab in FOLLOW_UP:
         pr = F.when(days > d, lab) if pr is None else pr.when(days > d, lab)
@@ -389,5 +389,5 @@ def recruiting_lifecycle(t: Tables) -> DataFrame:
     stage = (F.when(F.col("hire_date").isNotNull(), "HIRED").when(F.col("accepted_date").isNotNull(), "ACCEPTED")
              .when(F.col("extended_date").isNotNull(), "OFFERED").otherwise("APPLIED"))
     return j.select("person_id", "candidate_name", "requisition_number", "source", "first_applied", "extended_date",
-                    "accepted_date", "hire_date", F.datediff("hire_date", "first_applied").alias("days_to_hire"),
+                    "accepted_date", "hire_date", F.datediff("hire_date", "first_applied").cast("bigint").alias("days_to_hire"),
                     stage.alias("lifecycle_stage"))

@@ -19,8 +19,8 @@ D = S._d
 @register("r_po1_open_purchase_orders", """
 SELECT o.o_orderkey AS po_id, o.o_custkey AS buyer_id, q.ordered_qty, q.received_qty,
        q.ordered_qty - q.received_qty AS open_qty
-FROM orders o JOIN (SELECT l_orderkey, SUM(CAST(l_quantity AS BIGINT)) AS ordered_qty,
-                           SUM(CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS received_qty
+FROM orders o JOIN (SELECT l_orderkey, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS ordered_qty,
+                           CAST(SUM(CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS received_qty
                     FROM lineitem GROUP BY l_orderkey) q ON q.l_orderkey = o.o_orderkey
 WHERE o.o_orderstatus = 'O' AND q.ordered_qty - q.received_qty > 0""")
 def open_purchase_orders(t: Tables) -> DataFrame:
@@ -98,7 +98,7 @@ def sales_order_lines(t: Tables) -> DataFrame:
 
 
 @register("r_iv1_onhand", S.with_sql("""
-SELECT item_id, org_id, SUM(quantity) AS onhand_qty, CAST(SUM(CASE WHEN quantity < 0 THEN -value ELSE value END) AS DECIMAL(38,2)) AS onhand_value
+SELECT item_id, org_id, CAST(SUM(quantity) AS BIGINT) AS onhand_qty, CAST(SUM(CASE WHEN quantity < 0 THEN -value ELSE value END) AS DECIMAL(38,2)) AS onhand_value
 FROM movements GROUP BY item_id, org_id""", "movements"))
 def onhand(t: Tables) -> DataFrame:
     """R-IV1: on-hand quantity and value by item and location."""
@@ -154,7 +154,7 @@ FROM p2p_stages WHERE po_amount IS NOT NULL""", "p2p_stages"))
 def lead_time_savings(t: Tables) -> DataFrame:
     """R-P2P2: lead time in days, savings, receipt-not-invoiced flag."""
     s = S.p2p_stages(t).filter(F.col("po_amount").isNotNull())
-    return s.select("req_id", F.datediff("rcv_date", "po_date").alias("lead_time_days"),
+    return s.select("req_id", F.datediff("rcv_date", "po_date").cast("bigint").alias("lead_time_days"),
                     (F.col("req_amount") - F.col("po_amount")).cast(TOTAL).alias("savings"),
                     F.when(F.col("rcv_amount").isNotNull() & F.col("inv_amount").isNull(), "Y").otherwise("N")
                     .alias("received_not_invoiced"))
@@ -217,7 +217,7 @@ def movement_detail(t: Tables) -> DataFrame:
 
 
 @register("r_iv4_receipt_value", S.with_sql("""
-SELECT applied_trx_id AS po_id, supplier_id, SUM(quantity) AS received_qty,
+SELECT applied_trx_id AS po_id, supplier_id, CAST(SUM(quantity) AS BIGINT) AS received_qty,
        CAST(SUM(gross_amount) AS DECIMAL(38,2)) AS received_value
 FROM applications WHERE line_status = 'F' GROUP BY applied_trx_id, supplier_id""", "applications"))
 def receipt_value(t: Tables) -> DataFrame:

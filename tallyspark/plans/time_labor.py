@@ -30,7 +30,7 @@ def punch_days(t: Tables) -> DataFrame:
     mod = F.hour("start_time") * 60 + F.minute("start_time")
     return tr.groupBy(F.col("resource_id").alias("person_id"), "work_date").agg(
         F.count(F.lit(1)).alias("punches"), F.min("start_time").alias("first_in"), F.max("start_time").alias("last_out"),
-        (F.max(mod) - F.min(mod)).alias("worked_minutes"), F.sum("measure").alias("measure"))
+        (F.max(mod) - F.min(mod)).cast("bigint").alias("worked_minutes"), F.sum("measure").alias("measure"))
 
 
 S._cte("punch_days", ("time_records",), """
@@ -108,10 +108,10 @@ def daily_attendance(t: Tables) -> DataFrame:
 
 _TL7_SQL = S.with_sql(f"""
 SELECT d.person_id, COUNT(*) AS scheduled_days,
-       SUM(CASE WHEN p.person_id IS NOT NULL THEN 1 ELSE 0 END) AS worked_days,
+       CAST(SUM(CASE WHEN p.person_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS worked_days,
        30 - COUNT(*) AS week_off_days,
-       SUM(CASE WHEN l.person_id IS NOT NULL THEN 1 ELSE 0 END) AS leave_days,
-       SUM(CASE WHEN p.person_id IS NULL AND l.person_id IS NULL AND h.person_id IS NULL THEN 1 ELSE 0 END) AS absent_days,
+       CAST(SUM(CASE WHEN l.person_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS leave_days,
+       CAST(SUM(CASE WHEN p.person_id IS NULL AND l.person_id IS NULL AND h.person_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS absent_days,
        {sql_percent('SUM(CASE WHEN p.person_id IS NOT NULL THEN 1 ELSE 0 END)', 'COUNT(*)')} AS attendance_pct
 FROM schedule_days d
 LEFT JOIN (SELECT DISTINCT person_id, work_date FROM punch_days) p ON p.person_id = d.person_id AND p.work_date = d.work_date
@@ -179,8 +179,8 @@ _OT_SQL = f"""(SELECT p.person_id, p.work_date, p.worked_minutes,
 
 
 @register("r_tl10_overtime", S.with_sql(f"""
-SELECT person_id, CAST(date_trunc('week', work_date) AS DATE) AS week_start, SUM(worked_minutes) AS worked_minutes,
-       SUM(overtime_minutes) AS capped_overtime_minutes,
+SELECT person_id, CAST(date_trunc('week', work_date) AS DATE) AS week_start, CAST(SUM(worked_minutes) AS BIGINT) AS worked_minutes,
+       CAST(SUM(overtime_minutes) AS BIGINT) AS capped_overtime_minutes,
        CASE WHEN SUM(worked_minutes) > 45 * 60 THEN 'Y' ELSE 'N' END AS over_weekly_threshold
 FROM {_OT_SQL} o GROUP BY 1, 2""", "punch_days", "person_holidays"))
 def overtime(t: Tables) -> DataFrame:
@@ -197,8 +197,8 @@ def overtime(t: Tables) -> DataFrame:
 
 
 @register("r_tl11_monthly_deficit_alert", S.with_sql(f"""
-SELECT d.person_id, COUNT(*) * {FULL_DAY_MIN} AS scheduled_minutes, COALESCE(SUM(p.worked_minutes), 0) AS worked_minutes,
-       COUNT(*) * {FULL_DAY_MIN} - COALESCE(SUM(p.worked_minutes), 0) AS deficit_minutes
+SELECT d.person_id, COUNT(*) * {FULL_DAY_MIN} AS scheduled_minutes, CAST(COALESCE(SUM(p.worked_minutes), 0) AS BIGINT) AS worked_minutes,
+       CAST(COUNT(*) * {FULL_DAY_MIN} - COALESCE(SUM(p.worked_minutes), 0) AS BIGINT) AS deficit_minutes
 FROM schedule_days d LEFT JOIN punch_days p ON p.person_id = d.person_id AND p.work_date = d.work_date
 GROUP BY d.person_id HAVING COUNT(*) * {FULL_DAY_MIN} - COALESCE(SUM(p.worked_minutes), 0) >= 360""",
                                                     "schedule_days", "punch_days"))

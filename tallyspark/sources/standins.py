@@ -323,7 +323,7 @@ def journal_lines(t: Tables) -> DataFrame:
                        count_out="je_line_count")
     return base.select(
         F.col("l_orderkey").alias("je_header_id"),
-        F.col("je_line_num"),
+        F.col("je_line_num").cast("bigint").alias("je_line_num"),
         F.col("je_line_count"),
         F.col("n_regionkey").alias("ledger_id"),
         F.to_date("l_shipdate").alias("gl_date"),
@@ -528,7 +528,7 @@ def schedule_days(t: Tables, date_from=EVENTS_FROM, date_to=EVENTS_TO) -> DataFr
 
 
 _cte("schedule_days", ("person_schedules", "schedule_weekdays"), f"""
-SELECT ps.person_id, ps.schedule_id, CAST(d.work_date AS DATE) AS work_date, isodow(d.work_date) AS weekday
+SELECT ps.person_id, ps.schedule_id, CAST(d.work_date AS DATE) AS work_date, CAST(isodow(d.work_date) AS INTEGER) AS weekday
 FROM person_schedules ps
 CROSS JOIN LATERAL (SELECT unnest(generate_series({_d(EVENTS_FROM)}::TIMESTAMP, {_d(EVENTS_TO)}::TIMESTAMP, INTERVAL 1 DAY)) AS work_date) d
 JOIN schedule_weekdays sw ON sw.schedule_id = ps.schedule_id AND sw.weekday = isodow(d.work_date)""")
