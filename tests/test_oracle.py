@@ -35,11 +35,14 @@ def test_entry_runs(spark):
 
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, con, key):
-    df = E.queries()[key](spark, SMALL)
-    rows = [tuple(r) for r in df.collect()]
-    res = con.execute(E.oracle_sql()[key])
-    dcols = [d[0] for d in res.description]
-    drows = res.fetchall()
-    assert sorted(df.columns) == sorted(dcols)
+    """Same column names, same Arrow types, same rows (order-insensitive)."""
+    tbl = E.queries()[key](spark, SMALL).toArrow()
+    dtbl = con.sql(E.oracle_sql()[key]).to_arrow_table()
+    assert sorted(tbl.column_names) == sorted(dtbl.column_names)
+    dtypes = {f.name: f.type for f in dtbl.schema}
+    for f in tbl.schema:
+        assert f.type == dtypes[f.name], f"{f.name}: spark {f.type} vs oracle {dtypes[f.name]}"
+    rows = [tuple(r.values()) for r in tbl.to_pylist()]
+    drows = [tuple(r.values()) for r in dtbl.to_pylist()]
     assert len(rows) == len(drows)
-    assert digest(df.columns, rows)[0] == digest(dcols, drows)[0]
+    assert digest(tbl.column_names, rows)[0] == digest(dtbl.column_names, drows)[0]
