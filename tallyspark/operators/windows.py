@@ -11,6 +11,8 @@ in one task.
   aggregate is partial on the map side, and the join back is split by AQE's
   skew-join handling when one key is hot.  Grand totals (W4) are a scalar
   subquery, never a window over one partition.
+* Serial numbers (W10) are a two-level running count as well (per leading
+  order value, then offsets from one row per value).
 * Top-1 per key (W6/W7) is a ranking window filtered to rank 1; Catalyst's
   ``InferWindowGroupLimit`` inserts a partial group limit before the shuffle,
   so each map task sends at most the top rows per key.
@@ -201,21 +203,19 @@ def rows_at_max(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def serial_number(df: DataFrame, order: Sequence, out: str = "serial_no") -> DataFrame:
-    """1..n over the whole result in ``order`` without a single-task
-    window.
-
-    The result is range-partitioned and sorted; ``monotonically_increasing_id``
-    encodes (partition, position); the row count of each partition comes
-    from a tiny aggregate (one row per partition) whose running sum is the
-    partition's offset.
+    """1..n over the whole result in ``order`` (a total order) without
+    a single-task window over the rows.
+
+    A two-level running count: the ordinal inside each value of the leading
+    order column (e.g. the date) plus the count of all earlier values, taken
+    from a table with one row per leading value -- bounded by the number of
+    distinct values (the calendar), not by the data.  Deterministic: no
+    sampled range boundaries are involved, so a re-executed stage yields
+    the same numbers.
     """
     order = _cols(order)
-    s = df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id())
-    s = s.withColumn("__pid", F.shiftright("__mid", 33)).withColumn(
-        "__pos", F.col("__mid") - F.shiftleft(F.col("__pid"), 33))
-    counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
-    return (s.join(F.broadcast(offsets), "__pid")
-             .withColumn(out, F.col("__off") + F.col("__pos") + 1)
-             .drop("__mid", "__pid", "__pos", "__off"))
+    lead = order[0] if isinstance(order[0], str) else None
+    if lead is None:
+        raise ValueError("serial_number needs the leading order column by name")
+    out_df = running_totals(df, [], order, {out: F.lit(1)}, chunk=lead)
+    return out_df.withColumn(out, F.col(out).cast("bigint"))
