@@ -64,13 +64,20 @@ def capped_as_of(term, date) -> Column:
 
 
 def join_period(fact: DataFrame, periods: DataFrame, keys: Sequence[str], fact_date: str,
-                start: str, end: str, exclude_end: bool = True, how: str = "inner") -> DataFrame:
+                start: str, end: str, exclude_end: bool = True, how: str = "inner",
+                calendar_month: bool = False) -> DataFrame:
     """Range join of a fact date into a period, equi keys first.
 
     ``exclude_end`` keeps the reference's rule that a date equal to the
-    period end does not belong to the period.
+    period end does not belong to the period.  With ``calendar_month``
+    (periods are calendar months) the period start is computed from the
+    fact date and joined by equality too -- the range test then only
+    confirms the match, instead of comparing each fact row with every
+    period of its key.
     """
     cond = [fact[k] == periods[k] for k in keys]
+    if calendar_month:
+        cond.append(F.trunc(fact[fact_date], "month") == periods[start])
     cond.append(fact[fact_date] >= periods[start])
     cond.append(fact[fact_date] <= periods[end])
     if exclude_end:

@@ -39,7 +39,7 @@ def account_analysis(t: Tables) -> DataFrame:
     to the payables invoice, the receivables transaction or the asset; the
     first source that resolves wins, else 'Manual Journal'.  Each source is
     one row per key, so the left joins cannot fan out."""
-    jl = S.journal_lines(t)
+    jl = S.journal_lines(t, numbered=True)
     ap = ap_invoices(t).select(F.col("order_id").alias("je_header_id"), F.col("vendor_id").alias("supplier_id"), "invoice_num")
     ar = S.invoices(t).select(F.col("trx_id").alias("je_header_id"), "trx_number")
     fa = assets(t).select(F.col("asset_id").alias("part_id"), "description")

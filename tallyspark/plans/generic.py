@@ -403,7 +403,7 @@ FROM journal_lines l JOIN journal_lines f ON f.je_header_id = l.je_header_id AND
 WHERE l.je_line_num > 1""", "journal_lines"))
 def self_join(t: Tables) -> DataFrame:
     """Aliased self join -- each later line to the first line of its journal."""
-    jl = S.journal_lines(t).select("je_header_id", "je_line_num", "account")
+    jl = S.journal_lines(t, numbered=True).select("je_header_id", "je_line_num", "account")
     first = jl.filter(F.col("je_line_num") == 1).select("je_header_id", F.col("account").alias("first_line_account"))
     return jl.filter(F.col("je_line_num") > 1).join(first, "je_header_id")
 
@@ -628,7 +628,7 @@ FROM journal_lines""", "journal_lines"))
 def line_number_count(t: Tables) -> DataFrame:
     """Row number in the document and the document's line count (both
     from the journal builder's single two-level numbering pass)."""
-    return S.journal_lines(t).select("je_header_id", "je_line_num", F.col("je_line_count").alias("line_count"))
+    return S.journal_lines(t, numbered=True).select("je_header_id", "je_line_num", F.col("je_line_count").alias("line_count"))
 
 
 @register("w6_keep_first", """

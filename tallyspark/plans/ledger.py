@@ -46,7 +46,7 @@ WINDOW w AS (PARTITION BY je_header_id ORDER BY je_line_num ROWS BETWEEN UNBOUND
 def journal_voucher(t: Tables) -> DataFrame:
     """R-GL2: journal voucher lines with running debit/credit and the line
     count; running sums in two levels (blocks of lines, then block offsets)."""
-    jl = S.journal_lines(t).select("je_header_id", "je_line_num", F.col("je_line_count").alias("line_count"),
+    jl = S.journal_lines(t, numbered=True).select("je_header_id", "je_line_num", F.col("je_line_count").alias("line_count"),
                                    "account", "accounted_dr", "accounted_cr")
     # chunks of 1024 lines: a huge journal is summed by many tasks; both
     # running sums come from the same two-level pass
@@ -71,7 +71,7 @@ WHERE l.status = 'P'""", "journal_lines")
 def journal_register(t: Tables) -> DataFrame:
     """R-GL3: posted journal lines with their header totals beside them
     (pre-aggregated per header, then joined: A8 + J1)."""
-    jl = S.journal_lines(t)
+    jl = S.journal_lines(t, numbered=True)
     hdr = jl.groupBy("je_header_id").agg(
         F.sum(F.coalesce("accounted_dr", F.lit(0))).cast(TOTAL).alias("header_dr"),
         F.sum(F.coalesce("accounted_cr", F.lit(0))).cast(TOTAL).alias("header_cr"))

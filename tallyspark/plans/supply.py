@@ -119,7 +119,8 @@ def movement_cost(t: Tables) -> DataFrame:
     (equi key item + date range, the period end excluded as in the source)."""
     m = S.movements(t)
     c = S.cost_periods(t)
-    j = E.join_period(m, c, ["item_id"], "trx_date", "cost_date", "cost_end_date", exclude_end=True)
+    j = E.join_period(m, c, ["item_id"], "trx_date", "cost_date", "cost_end_date", exclude_end=True,
+                      calendar_month=True)
     return j.select("source_doc_id", "item_id", "org_id", "trx_date", "quantity", "unit_cost_average",
                     (F.col("quantity") * F.col("unit_cost_average")).cast(TOTAL).alias("movement_cost"))
 
@@ -208,7 +209,8 @@ def movement_detail(t: Tables) -> DataFrame:
     cost period (J10, left) and the transfer direction."""
     m = S.movements(t)
     c = S.cost_periods(t)
-    j = E.join_period(m, c, ["item_id"], "trx_date", "cost_date", "cost_end_date", exclude_end=True, how="left")
+    j = E.join_period(m, c, ["item_id"], "trx_date", "cost_date", "cost_end_date", exclude_end=True, how="left",
+                      calendar_month=True)
     j = (j.join(t.part.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name")), "item_id")
           .join(t.supplier.select(F.col("s_suppkey").alias("org_id"), F.col("s_name").alias("org_name")), "org_id"))
     return j.select("source_doc_id", "item_id", "item_name", "org_name", "trx_type", "trx_date", "quantity",
