@@ -2,8 +2,8 @@
 
 Each table is tiny and its size is fixed by this file, not by the data, so
 it is the one kind of relation that is broadcast unconditionally.  Every
-table is written twice: as rows for ``createDataFrame`` and as a ``VALUES``
-clause for the SQL oracle, generated from the same Python list.
+table is rendered twice from the same Python list: as a Spark SQL inline
+table (``VALUES``) and as a DuckDB ``VALUES`` clause for the SQL oracle.
 """
 
 from __future__ import annotations
@@ -102,8 +102,15 @@ def rate_card_rows() -> list[tuple]:
 
 
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A constant table, marked for broadcast (its size is fixed above)."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A constant table, marked for broadcast (its size is fixed above).
+
+    Built as a SQL inline table (``VALUES``), so the rows live in the plan
+    as literals: no Python-side data conversion, nothing to ship."""
+    cols = [c.strip().split(" ", 1) for c in _split_schema(schema)]
+    body = ", ".join("(" + ", ".join(_sql_value(v) for v in r) + ")" for r in rows)
+    names = ", ".join(n for n, _ in cols)
+    casts = ", ".join(f"CAST({n} AS {t.strip()}) AS {n}" for n, t in cols)
+    return F.broadcast(spark.sql(f"SELECT {casts} FROM VALUES {body} AS v({names})"))
 
 
 def _sql_value(v) -> str:
