@@ -39,22 +39,36 @@ def join_as_of(fact: DataFrame, dim: DataFrame, keys: Sequence[str], date,
 
 
 def join_effective(fact: DataFrame, dim: DataFrame, keys: Sequence[str], fact_date: str,
-                   how: str = "left", start: str = "eff_start", end: str = "eff_end") -> DataFrame:
+                   how: str = "left", start: str = "eff_start", end: str = "eff_end",
+                   month_buckets: bool = True) -> DataFrame:
     """Join each fact row to the version valid at the fact's own date.
 
-    Equality on ``keys`` plus a range residual; versions do not overlap, so
-    at most one row matches.  The residual is evaluated only against the
-    versions of the same key (bounded by that key's history); AQE splits a
-    hot key's fact rows over several tasks.
+    Versions do not overlap, so at most one matches.  With
+    ``month_buckets`` (default) each version is expanded to the calendar
+    months it covers -- open ends capped at the latest fact date, starts at
+    the earliest -- and the join is an equi-join on (keys, month) with the
+    range test only confirming the match.  A fact row then meets the few
+    versions of its own month instead of the key's whole history, and a hot
+    key's facts spread over as many join partitions as it has months.
     """
     d = dim.withColumnRenamed(start, "__es").withColumnRenamed(end, "__ee")
+    es, ee = F.col("__es"), F.coalesce(F.col("__ee"), F.lit(END_OF_TIME))
+    if month_buckets:
+        lo_fact = fact.agg(F.min(fact_date)).scalar()
+        hi_fact = fact.agg(F.max(fact_date)).scalar()
+        lo = F.trunc(F.greatest(es, lo_fact), "month")
+        hi = F.trunc(F.least(ee, hi_fact), "month")
+        d = (d.filter(lo <= hi)
+              .withColumn("__m", F.explode(F.sequence(lo, hi, F.expr("interval 1 month")))))
     cond = [fact[k] == d[k] for k in keys]
+    if month_buckets:
+        cond.append(F.trunc(fact[fact_date], "month") == d["__m"])
     cond.append(fact[fact_date] >= d["__es"])
     cond.append(fact[fact_date] <= F.coalesce(d["__ee"], F.lit(END_OF_TIME)))
     out = fact.join(d, cond, how)
     for k in keys:
         out = out.drop(d[k])
-    return out.drop("__es", "__ee")
+    return out.drop("__es", "__ee", "__m")
 
 
 def capped_as_of(term, date) -> Column:

@@ -432,3 +432,49 @@ def attribute_discovery(t: Tables) -> DataFrame:
                                             F.count_distinct("value").alias("distinct_values"))
     meta = K.frame(t.spark, list(ATTRIBUTE_MAP.items()), "physical_column string, business_name string")
     return g.join(meta, "physical_column")
+
+
+@register("r_ab3_leave_record", S.with_sql("""
+SELECT l.absence_id, l.person_id, c.c_name AS person_name, l.absence_type, l.start_date, l.end_date,
+       l.end_date - l.start_date + 1 AS leave_days, COALESCE(a.outcome, 'PENDING') AS approval_outcome, a.approver,
+       ps.schedule_id, CAST(COALESCE(b.balance, 0) AS DECIMAL(38,2)) AS balance_before_leave
+FROM leaves l JOIN customer c ON c.c_custkey = l.person_id
+JOIN person_schedules ps ON ps.person_id = l.person_id
+LEFT JOIN approvals a ON a.transaction_key = CAST(l.absence_id AS VARCHAR)
+LEFT JOIN (SELECT l2.absence_id,
+                  SUM(CASE WHEN e.entry_type IN ('COVR', 'ACRL', 'ADJOTH') THEN e.entry_value
+                           WHEN e.entry_type IN ('CSH', 'ABS') THEN -e.entry_value ELSE 0 END) AS balance
+           FROM leaves l2 JOIN accrual_entries e ON e.person_id = l2.person_id AND e.processed_date < l2.start_date
+           GROUP BY l2.absence_id) b ON b.absence_id = l.absence_id""",
+                                           "leaves", "person_schedules", "approvals", "accrual_entries"))
+def leave_record(t: Tables) -> DataFrame:
+    """R-AB3: the single-leave record layout (person, dates, days, approval
+    outcome and approver, schedule, balance before the leave) produced for
+    every leave -- the print form picks one row of it.
+
+    The balance before each leave is an as-of lookup done without pairing
+    leaves with entries: leave markers (value 0, ordered before the entries
+    of the same day) are merged into the entry stream and a skew-safe
+    running total (chunk = day) is read at each marker -- the sum of the
+    person's entries strictly before the leave starts."""
+    from tallyspark.operators import windows as W
+    lv = S.leaves(t)
+    e = S.accrual_entries(t)
+    sign = (F.when(F.col("entry_type").isin("COVR", "ACRL", "ADJOTH"), F.col("entry_value"))
+            .when(F.col("entry_type").isin("CSH", "ABS"), -F.col("entry_value")).otherwise(0))
+    entries = e.select("person_id", F.col("processed_date").alias("d"), F.lit(1).alias("ord"),
+                       F.col("entry_id").alias("seq"), sign.alias("v"), F.lit(None).cast("bigint").alias("absence_id"))
+    markers = lv.select("person_id", F.col("start_date").alias("d"), F.lit(0).alias("ord"),
+                        F.col("absence_id").alias("seq"), F.lit(0).cast("decimal(18,2)").alias("v"), "absence_id")
+    run = W.running_total(entries.unionByName(markers), ["person_id"], ["d", "ord", "seq"], "v", "balance", chunk="d")
+    bal = run.filter(F.col("ord") == 0).select("absence_id", "balance")
+    names = t.customer.select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("person_name"))
+    ps = S.person_schedules(t).select("person_id", "schedule_id")
+    ap = approvals(t)
+    j = (lv.join(names, "person_id").join(ps, "person_id")
+           .withColumn("transaction_key", F.col("absence_id").cast("string")).join(ap, "transaction_key", "left")
+           .join(bal, "absence_id", "left"))
+    return j.select("absence_id", "person_id", "person_name", "absence_type", "start_date", "end_date",
+                    (F.datediff("end_date", "start_date") + 1).cast("bigint").alias("leave_days"),
+                    F.coalesce("outcome", F.lit("PENDING")).alias("approval_outcome"), "approver", "schedule_id",
+                    F.coalesce("balance", F.lit(0)).cast(TOTAL).alias("balance_before_leave"))
