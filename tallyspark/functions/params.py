@@ -131,15 +131,3 @@ def apply_filters(df: DataFrame, filters: dict, mode: str = "in") -> DataFrame:
     for col, value in filters.items():
         df = fn(df, col, value)
     return df
-
-
-def sql_in(col: str, values: Sequence | None) -> str:
-    """The SQL twin of F1 for oracle queries ("TRUE" for All)."""
-    if values is None or _is_all(values):
-        return "TRUE"
-    vals = ", ".join(repr(v) if isinstance(v, str) else str(v) for v in values)
-    return f"{col} IN ({vals})"
-
-
-def as_list(values: Iterable) -> list:
-    return list(values)

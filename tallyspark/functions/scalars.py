@@ -144,8 +144,6 @@ def month_start(c) -> Column:
     return F.trunc(col(c), "month")
 
 
-def year_start(c) -> Column:
-    return F.trunc(col(c), "year")
 
 
 # -- X7 weekday -----------------------------------------------------------------
@@ -158,16 +156,18 @@ def iso_weekday(c) -> Column:
 # -- X8 milliseconds of day ------------------------------------------------------
 
 def ms_to_hours(c) -> Column:
-    return F.floor(col(c) / 3600000)
+    """Whole hours of a milliseconds-of-day value."""
+    return F.floor(col(c) / 3600000).cast("bigint")
 
 
 def ms_to_minutes(c) -> Column:
-    return F.floor(F.pmod(col(c), F.lit(3600000)) / 60000)
+    """Minutes past the hour of a milliseconds-of-day value."""
+    return F.floor(F.pmod(col(c), F.lit(3600000)) / 60000).cast("bigint")
 
 
 def shift_timestamp(day, ms) -> Column:
-    """Day + milliseconds; 24h and more roll to the next day."""
-    return F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(col(day))) + F.floor(col(ms) / 1000))
+    """Day + milliseconds of day; 24 h and more roll into the next day."""
+    return F.timestamp_add("MILLISECOND", col(ms), col(day).cast("timestamp_ntz"))
 
 
 # -- X9 anniversary ---------------------------------------------------------------
@@ -197,12 +197,6 @@ def greatest_strict(*cols) -> Column:
     return F.when(any_null, F.lit(None)).otherwise(F.greatest(*cs))
 
 
-def least_strict(*cols) -> Column:
-    cs = [col(c) for c in cols]
-    any_null = F.lit(False)
-    for c in cs:
-        any_null = any_null | c.isNull()
-    return F.when(any_null, F.lit(None)).otherwise(F.least(*cs))
 
 
 # -- X11/X12 text --------------------------------------------------------------------
@@ -212,21 +206,12 @@ def concat_oracle(*cols) -> Column:
     return F.concat(*[F.coalesce(col(c).cast("string"), F.lit("")) for c in cols])
 
 
-def clean_text(c) -> Column:
-    """Replace control characters by a space and trim."""
-    return F.trim(F.regexp_replace(col(c), r"[\x00-\x1F\x7F]", " "))
 
 
 # -- X13 safe number ----------------------------------------------------------------
 
-def to_number(c, type_: str = "decimal(18,2)") -> Column:
-    """Text to number, NULL on bad text (ANSI mode would raise on cast)."""
-    return F.expr(f"try_cast({c} as {type_})") if isinstance(c, str) else col(c).try_cast(type_)
 
 
-def numeric_sort_key(c) -> Column:
-    """O3: numeric sort of a text number, bad text last."""
-    return F.coalesce(col(c).try_cast("bigint"), F.lit(9999999999))
 
 
 # -- X14 bands --------------------------------------------------------------------------
@@ -258,7 +243,3 @@ def sql_band(c: str, bands: Iterable[tuple], default=None) -> str:
         parts.append(f"WHEN {cond} THEN '{label}'")
     dflt = "NULL" if default is None else f"'{default}'"
     return "CASE " + " ".join(parts) + f" ELSE {dflt} END"
-
-
-def date_lit(d: _dt.date) -> str:
-    return f"DATE '{d.isoformat()}'"

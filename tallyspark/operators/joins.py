@@ -96,15 +96,3 @@ def override_union(level2: DataFrame, level1: DataFrame, keys: Sequence[str]) ->
 def fallback_chain(cols: Sequence[Column]) -> Column:
     """Hierarchy fallback (task -> project -> line manager)."""
     return F.coalesce(*cols)
-
-
-def alias_lookups(df: DataFrame, table: DataFrame, key_map: dict[str, str], table_key: str,
-                  value: str, fixed_size: bool = True) -> DataFrame:
-    """The same lookup joined under several aliases.
-
-    The lookup is pivoted once so that each alias is one column of a single
-    join instead of one join per alias."""
-    right = F.broadcast(table) if fixed_size else table
-    for alias, col in key_map.items():
-        df = df.join(right.select(F.col(table_key).alias(col), F.col(value).alias(alias)), col, "left")
-    return df

@@ -27,8 +27,3 @@ def opening_and_detail(opening: DataFrame, detail: DataFrame, block_col: str = "
     """Opening row(s) and detail rows as one result with a block number."""
     return (opening.withColumn(block_col, F.lit(1))
             .unionByName(detail.withColumn(block_col, F.lit(2)), allowMissingColumns=True))
-
-
-def signed(amount: str, sign_col) -> F.Column:
-    """Apply a +1/-1 sign column."""
-    return F.col(amount) * (F.col(sign_col) if isinstance(sign_col, str) else sign_col)

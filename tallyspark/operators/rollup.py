@@ -92,10 +92,6 @@ def ordered_list(df: DataFrame, keys: Sequence[str], value: str, order: Sequence
         F.array_join(F.transform(F.array_sort(F.collect_list(outer)), lambda x: x["__part"]), sep).alias(out))
 
 
-def preaggregate_join(df: DataFrame, fact: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
-                      how: str = "left") -> DataFrame:
-    """Aggregate the detail first, then join (instead of a scalar subquery)."""
-    return df.join(fact.groupBy(*keys).agg(*aggs), list(keys), how)
 
 
 def debit_credit(sum_col) -> tuple[Column, Column]:
@@ -104,9 +100,6 @@ def debit_credit(sum_col) -> tuple[Column, Column]:
     return (F.when(s > 0, s).otherwise(F.lit(0)), F.when(s < 0, -s).otherwise(F.lit(0)))
 
 
-def prorate(amount, part, whole) -> Column:
-    """Amount x part / whole, zero-guarded."""
-    return _c(amount) * F.try_divide(_c(part), _c(whole))
 
 
 def as_of_sum(value, date_col, as_of: _dt.date) -> Column:

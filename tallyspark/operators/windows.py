@@ -127,10 +127,6 @@ def partition_total(df: DataFrame, keys: Sequence[str], value, out: str, bounded
     return df.join(tot, keys, "inner")
 
 
-def partition_count(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    keys = _cols(keys)
-    cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    return df.join(cnt, keys, "inner")
 
 
 def grand_total(df: DataFrame, value, out: str, bounded: bool = False) -> DataFrame:

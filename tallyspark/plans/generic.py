@@ -308,9 +308,9 @@ FROM invoices i LEFT JOIN applications a ON a.applied_trx_id = i.trx_id AND a.ap
 GROUP BY i.trx_id""", "invoices", "applications"))
 def left_join_filtered(t: Tables) -> DataFrame:
     """Left join keeping the optional side's predicate before the join."""
-    a = S.applications(t).filter(F.col("app_type") == "CASH").groupBy(F.col("applied_trx_id").alias("trx_id")) \
+    a = S.applications(t).groupBy(F.col("applied_trx_id").alias("trx_id"), "app_type") \
         .agg(F.count(F.lit(1)).alias("cash_lines"), F.sum("amount").alias("cash_amount"))
-    out = S.invoices(t).select("trx_id").join(a, "trx_id", "left")
+    out = J.left_with_filter(S.invoices(t).select("trx_id"), a, ["trx_id"], F.col("app_type") == "CASH")
     return out.select("trx_id", F.coalesce("cash_lines", F.lit(0)).alias("cash_lines"),
                       F.coalesce("cash_amount", F.lit(0)).cast(TOTAL).alias("cash_amount"))
 
@@ -861,9 +861,7 @@ def shift_times(t: Tables) -> DataFrame:
     shift past midnight rolls into the next day."""
     sh = K.frame(t.spark, SHIFTS, "schedule_id string, start_ms bigint, duration_ms bigint")
     d = S.schedule_days(t).join(sh, "schedule_id")
-    day = F.col("work_date").cast("timestamp_ntz")
     return d.select("person_id", "work_date", "schedule_id",
-                    F.floor(F.col("start_ms") / 3600000).cast("bigint").alias("start_hour"),
-                    F.floor((F.col("start_ms") % 3600000) / 60000).cast("bigint").alias("start_minute"),
-                    F.timestamp_add("MILLISECOND", F.col("start_ms"), day).alias("shift_start"),
-                    F.timestamp_add("MILLISECOND", F.col("start_ms") + F.col("duration_ms"), day).alias("shift_end"))
+                    X.ms_to_hours("start_ms").alias("start_hour"), X.ms_to_minutes("start_ms").alias("start_minute"),
+                    X.shift_timestamp("work_date", "start_ms").alias("shift_start"),
+                    X.shift_timestamp("work_date", F.col("start_ms") + F.col("duration_ms")).alias("shift_end"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.params import AS_OF, PERIOD_FROM, PERIOD_TO
 from tallyspark.functions.scalars import MONEY, TOTAL, round_money
 from tallyspark.operators import aging, windows
-from tallyspark.operators.movements import union_branches
+from tallyspark.operators.movements import opening_and_detail, union_branches
 from tallyspark.plans.registry import register
 from tallyspark.sources import standins as S
 from tallyspark.sources.tables import Tables
@@ -311,9 +311,6 @@ LEFT JOIN (SELECT customer_id, ROUND(amount * COALESCE(exchange_rate, 1), 2) AS
 GROUP BY a.customer_id, c.party_name""", "invoices", "receipts", "receipt_history", "customers")
 
 
-def _opening_per_customer(t: Tables) -> DataFrame:
-    mv = customer_movements(t).filter(F.col("gl_date") < F.lit(PERIOD_FROM))
-    return mv.groupBy("customer_id").agg(F.sum("func_amount").alias("opening_balance"))
 
 
 @register("r_ar11_opening_balance", _AR11_SQL)
@@ -387,16 +384,16 @@ def production_ledger(t: Tables) -> DataFrame:
                                 "running_balance", chunk="gl_date")
     cust = S.customers(t).select("customer_id", "party_name")
     det_out = run.filter(F.col("gl_date") >= F.lit(PERIOD_FROM)).join(cust, "customer_id").select(
-        "customer_id", "party_name", F.lit(2).alias("block"), "gl_date", "doc_number", "doc_type",
+        "customer_id", "party_name", "gl_date", "doc_number", "doc_type",
         F.col("amount").cast(TOTAL).alias("amount"), F.col("running_balance").cast(TOTAL).alias("running_balance"))
     before = F.col("gl_date") < F.lit(PERIOD_FROM)
     g = mv.groupBy("customer_id").agg(F.sum(F.when(before, F.col("amount"))).alias("opening"),
                                       F.max(F.when(~before, F.lit(1))).alias("active"))
     open_out = g.filter((F.col("active") == 1) & F.col("opening").isNotNull()).join(cust, "customer_id").select(
-        "customer_id", "party_name", F.lit(1).alias("block"), F.lit(PERIOD_FROM).alias("gl_date"),
+        "customer_id", "party_name", F.lit(PERIOD_FROM).alias("gl_date"),
         F.lit("OPENING").alias("doc_number"), F.lit("OPENING").alias("doc_type"),
         F.col("opening").cast(TOTAL).alias("amount"), F.col("opening").cast(TOTAL).alias("running_balance"))
-    return det_out.unionByName(open_out)
+    return opening_and_detail(open_out, det_out)
 
 
 # ---------------------------------------------------------------------------

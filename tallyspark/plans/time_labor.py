@@ -289,6 +289,7 @@ def timesheet_approver(t: Tables) -> DataFrame:
     """R-TL2: latest timecard version per person and day (V3) with its
     project and approver: task manager, else project manager, else line
     manager (J17 fallback over J18 manager joins)."""
+    from tallyspark.operators.joins import fallback_chain
     tr = S.time_records(t).select("resource_id", "work_date", "record_id", "version")
     latest = E.latest(tr, ["resource_id", "work_date"], ["version"])
     m = _managers(t).withColumnRenamed("person_id", "resource_id")
@@ -296,7 +297,8 @@ def timesheet_approver(t: Tables) -> DataFrame:
     level = (F.when(F.col("task_mgr").isNotNull(), "TASK").when(F.col("project_mgr").isNotNull(), "PROJECT")
              .when(F.col("line_mgr").isNotNull(), "LINE").otherwise("NONE"))
     return j.select(F.col("resource_id").alias("person_id"), "work_date", "record_id", "project_id",
-                    F.coalesce("task_mgr", "project_mgr", "line_mgr").alias("approver_id"), level.alias("approver_level"))
+                    fallback_chain([F.col("task_mgr"), F.col("project_mgr"), F.col("line_mgr")]).alias("approver_id"),
+                    level.alias("approver_level"))
 
 
 @register("r_tl5_absence_hours", S.with_sql("""

@@ -190,3 +190,33 @@ def test_ordered_list_two_level_equals_single_sort(spark):
     for k in (1, 2):
         expect = ",".join(v for kk, d, i, v in sorted((x for x in data if x[0] == k), key=lambda x: (x[1], x[2])))
         assert out[k] == expect
+
+
+def test_parameter_block_and_default_windows(spark):
+    from tallyspark.functions.params import Params, apply_filters, as_date, previous_month, year_to_date
+    assert as_date("2024/01/15 10:00".replace("/", "-")) == dt.date(2024, 1, 15)
+    assert as_date(dt.datetime(2024, 2, 29, 23, 59)) == dt.date(2024, 2, 29)
+    assert year_to_date(dt.date(2024, 5, 7)) == (dt.date(2024, 1, 1), dt.date(2024, 5, 7))
+    assert previous_month(dt.date(2024, 3, 10)) == (dt.date(2024, 2, 1), dt.date(2024, 2, 29))
+    assert Params(as_of=None).as_of_or_today() == dt.date.today()
+    df = spark.createDataFrame([(1, "a", "X"), (2, "b", None)], "id int, k string, c string")
+    assert apply_filters(df, {"k": ["a", "b"], "c": "All"}).count() == 2
+    assert apply_filters(df, {"c": None}, mode="nvl").count() == 1
+
+
+def test_resolve_first_non_null(spark):
+    base = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    s1 = spark.createDataFrame([(1, "from-1")], "k int, v string")
+    s2 = spark.createDataFrame([(1, "ignored"), (2, "from-2")], "k int, v string")
+    out = J.resolve_first(base, [(s1, "k", "v"), (s2, "k", "v")], "source", default="Manual Journal")
+    assert rows(out, "k", "source") == [(1, "from-1"), (2, "from-2"), (3, "Manual Journal")]
+
+
+def test_sinks_write_and_burst(spark, tmp_path):
+    from tallyspark.sources.sinks import burst, write_report
+    df = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3)], "burst_key string, v int")
+    write_report(df, str(tmp_path / "rep"), fmt="csv")
+    assert spark.read.option("header", "true").csv(str(tmp_path / "rep")).count() == 3
+    burst(df, str(tmp_path / "burst"), fmt="parquet")
+    parts = sorted(p.name for p in (tmp_path / "burst").iterdir() if p.name.startswith("burst_key="))
+    assert parts == ["burst_key=A", "burst_key=B"]
