@@ -22,6 +22,21 @@ ORACLE: dict[str, str] = {}
 DESCRIPTIONS: dict[str, str] = {}
 
 
+_TABLES: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
+
+
+def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
+    """One ``Tables`` per (session, folder): the source DataFrames (file
+    listing, Parquet footers) are resolved once and shared by every query
+    run against the same folder in the same session."""
+    key = (id(spark), sf_dir)
+    hit = _TABLES.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, Tables(spark, sf_dir))
+        _TABLES[key] = hit
+    return hit[1]
+
+
 def register(name: str, sql: str | None = None):
     """Decorator: ``fn(t: Tables) -> DataFrame`` becomes query ``name``."""
 
@@ -31,7 +46,7 @@ def register(name: str, sql: str | None = None):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             tune_session(spark)
-            return fn(Tables(spark, sf_dir))
+            return fn(tables_for(spark, sf_dir))
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
