@@ -26,6 +26,11 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # The two-level (key, chunk) windows and aggregates only spread a hot key
+    # if the exchange hashes on every clustering column; by default Spark may
+    # reuse an existing partitioning on the key alone (measured: one task
+    # read 36 % of the journal lines instead of 7 %).
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
     # Parquet files are several times smaller than the rows they hold; the
     # static size estimate behind broadcast decisions uses file size times
     # this factor, so a side is broadcast only when its in-memory size is
