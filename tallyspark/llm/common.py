@@ -4,6 +4,7 @@ slices of Arrow batches, and vectorised 64-bit hashes of words and shingles.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,13 +29,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+class Scratch:
+    """Intermediate tables in the shared folder.
+
+    ``table`` writes a frame and reads it back: later steps, and retries
+    after a lost executor, start from the files.  ``drop`` deletes the tables
+    that no later step reads.  ``release`` lets Spark delete the shuffle
+    files of finished steps now; it would do so when the driver's JVM next
+    collects its garbage.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, keep: tuple[DataFrame, ...] = ()) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in [k for k in self.paths if k not in map(id, keep)]:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name)[0])
+            path.getFileSystem(conf).delete(path, True)
+
+    def release(self) -> None:
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def table(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps, and
-    retries after a lost executor, start from the files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table that stays for the rest of the run."""
+    return Scratch(df.sparkSession).table(df, tag)
 
 
 # --- slices of Arrow string columns -----------------------------------------

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(c, label) for every node of ``edges`` (columns a, b: long): label is
-    one node of the component, the same for all its nodes.  Nulls and loops
+    one node of the component, the same for all its nodes; read from tables of
+    ``scratch``.  Nulls and loops
     are ignored; an empty edge table gives an empty result."""
+    table = scratch.table
     edges = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     live = table(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     label = None

@@ -10,14 +10,17 @@ distinct five-word shingles (64-bit hashes).  The steps, all over whole texts:
    prefixes.
 2. *Prefixes.*  In that order two linked sets share a token among the first
    ``q - ceil(0.75 q) + 1`` of each.  Tokens that one class alone has go.
-3. *Groups.*  A class joins the class with which it shares most of its
-   prefix; the join is verified exactly.  What is linked in this way is a
+3. *Groups.*  Each token names two leads among its classes, those with the
+   fewest tokens that are not common, so the likely centres of near copies.
+   A class is compared exactly with the leads that it shares most with, if
+   the prefixes allow a link.  What is linked in this way is a
    group, kept in blocks of about 32 classes so that no group is ever whole
    in one row.  Pairs inside a group are never listed: it is connected.
 4. *Matrix.*  Rows (token, block) of the blocks' prefix tokens.  A query
-   class meets the blocks of other groups that hold its prefix tokens; the
-   block's complete knowledge up to its smallest prefix end bounds how many
-   of the query's tokens it can still share.  Blocks over the bound get their
+   class meets the blocks of other groups with which it shares a token that
+   comes early in both.  Its prefix tokens that the block has are counted;
+   the block's complete knowledge up to its smallest prefix end bounds how
+   many of the query's tokens it can still share.  Blocks over the bound get their
    whole token union, the exact query-union overlap is bounded again, and
    only qualifying blocks are opened: their members are compared exactly.
 5. *Components* over the verified links.
@@ -37,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Shingler, table, text_slices
+from .common import Scratch, Shingler, text_slices
 from .components import components
 
 FLUSH = 4_000_000   # tokens that a task holds before it counts them
@@ -104,13 +107,13 @@ def _keys(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(k: int, common):
-    schema = "token long, c long, pos int, size int, prof array<long>"
+    schema = "token long, c long, pos int, size int, odd int, prof array<long>"
 
     def run(batches):
         shingles, seen, last = Shingler(k), set(), common.value
         for batch in batches:
             for _, _, data, offs in text_slices(batch.column(0)):
-                cols = ([], [], [], [], [])
+                cols = ([], [], [], [], [], [])
                 for tokens in shingles(data, offs):
                     if not len(tokens) or (c := _class_id(tokens)) in seen:
                         continue
@@ -122,11 +125,12 @@ def _prefixes(k: int, common):
                     cols[1].append(np.full(p, c, np.int64))
                     cols[2].append(np.arange(p, dtype=np.int32))
                     cols[3].append(np.full(p, n, np.int32))
-                    cols[4].append([keys[np.arange(GRID + 1) * (p - 1) // GRID]] + [None] * (p - 1))
+                    cols[4].append(np.full(p, np.searchsorted(keys, 0), np.int32))
+                    cols[5].append([keys[np.arange(GRID + 1) * (p - 1) // GRID]] + [None] * (p - 1))
                 if cols[0]:
-                    flat = [pa.array(np.concatenate(x)) for x in cols[:4]]
-                    prof = pa.array([x for y in cols[4] for x in y], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*flat, prof], ["token", "c", "pos", "size", "prof"])
+                    flat = [pa.array(np.concatenate(x)) for x in cols[:5]]
+                    prof = pa.array([x for y in cols[5] for x in y], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*flat, prof], ["token", "c", "pos", "size", "odd", "prof"])
 
     return run, schema
 
@@ -153,7 +157,7 @@ def _arrays(k: int, bits):
     return run, schema
 
 
-def _common_tokens(sets: DataFrame) -> np.ndarray:
+def _common_tokens(sets: DataFrame, table) -> np.ndarray:
     """The most shared tokens: the lowest power of two (from 4 up) as count
     threshold whose tokens number at most COMMON, by a measured histogram."""
     counts = table(sets.where("kind = 1").groupBy("c").agg(F.sum("cnt").alias("cnt")), "ngj-counts")
@@ -165,11 +169,11 @@ def _common_tokens(sets: DataFrame) -> np.ndarray:
     return np.sort(rows.column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
 
-def _sets_of(texts: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def _sets_of(texts: DataFrame, classes: DataFrame, k: int, table) -> DataFrame:
     """(c, arr) of the given classes.  A filter of 2**26 bits, whatever their
     number, spares most other sets the shuffle; the join then is exact."""
     low = F.col("c").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    byte = classes.select(F.shiftright(low, 3).cast("int").alias("i"), F.expr(f"shiftleft(1, cast(c & 7 as int))").alias("b"))
+    byte = classes.select(F.shiftright(low, 3).cast("int").alias("i"), F.expr("shiftleft(1, cast(c & 7 as int))").alias("b"))
     rows = byte.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     bits[rows.column("i").to_numpy()] = rows.column("b").to_numpy()
@@ -186,34 +190,52 @@ def _linked(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(100 * both >= 75 * (F.size("xs") + F.size("ys") - both)).select("a", "b")
 
 
+def _until(prof: str, n: str, end: str) -> str:
+    """SQL: at least how many tokens of a set of ``n`` have keys up to ``end``, by its prefix profile."""
+    below = f"size(filter({prof}, v -> v <= {end}))"
+    return f"if({below} = 0, 0, floor(({below} - 1) * ({n} - ceil({n} * 75 / 100)) / {GRID}) + 1)"
+
+
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
+    table = scratch.table
     texts = docs.select(F.col(text_col).alias("text"))
     run, schema = _sets(k)
     sets = table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "ngj-sets")
     members = sets.where("kind = 0").select("doc_id", "n", "c")
 
     # prefixes of the classes, without tokens that one class alone has
-    run, schema = _prefixes(k, spark.sparkContext.broadcast(_common_tokens(sets)))
+    run, schema = _prefixes(k, spark.sparkContext.broadcast(_common_tokens(sets, table)))
     by = Window.partitionBy("token")
     pre = texts.mapInArrow(run, schema)
     pre = (pre.withColumn("before", F.lag("c").over(by.orderBy("c")))
-              .withColumn("lead", F.min("c").over(by)).withColumn("top", F.max("c").over(by))
-              .where("(lead <> top or pos = 0) and (before is null or before <> c)")
-              .select("token", "c", "pos", "size", "prof", "lead", (F.col("lead") != F.col("top")).alias("met")))
+              .withColumn("lead", F.min(F.struct("odd", "c")).over(by).getField("c"))
+              .withColumn("other", F.min(F.struct("odd", (-F.col("c")).alias("d"), "c")).over(by).getField("c"))
+              .withColumn("met", F.min("c").over(by) != F.max("c").over(by))
+              .where("(met or pos = 0) and (before is null or before <> c)")
+              .select("token", "c", "pos", "size", "prof", "lead", "other", "met"))
     pre = table(pre, "ngj-prefixes")
-    met = pre.where("met").select("token", "c", "pos", "size", "lead")
-
-    # groups: the class with which most of the prefix is shared, verified
+    scratch.release()
+    met = pre.where("met").select("token", "c", "pos", "size", "lead", "other")
+
+    # groups: a token's leads are the classes with the fewest odd tokens, the
+    # likely centres; of its leads a class tries those it shares most with
+    own = pre.where("pos = 0").select("c", "size", "prof", F.element_at("prof", -1).alias("own"))
+    star = met.select("c", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("lead").alias("o")), F.struct(F.lit(1).alias("end"), F.col("other").alias("o")))).alias("e"))
+    star = star.select("c", "e.end", "e.o").where("c <> o").groupBy("c", "end", "o").agg(F.count("*").alias("x"))
     p = "(size - ceil(size * 75 / 100) + 1)"
-    star = (met.where("c <> lead").groupBy("c", "lead", "size").agg(F.count("*").alias("x"))
-               .where(F.expr(f"x >= 0.35 * {p}")))
-    star = star.groupBy("c").agg(F.max(F.struct("x", "lead")).alias("best"))
-    star = table(star.select(F.col("c").alias("a"), F.col("best.lead").alias("b")), "ngj-star")
+    star = star.groupBy("c", "end").agg(F.max(F.struct("x", "o")).alias("best")).select("c", "best.x", "best.o").distinct()
+    star = star.join(own, "c").where(F.expr(f"x >= 0.15 * {p}"))
+    star = (star.join(own.select(F.col("c").alias("o"), F.col("size").alias("most"), F.col("prof").alias("prof2"), F.col("own").alias("own2")), "o")
+                .withColumn("need", F.expr("greatest(ceil(greatest(size, most) * 75 / 100), ceil((size + most) * 3 / 7))"))
+                .where(F.expr(f"{_until('prof', 'size', 'own2')} - x <= size - need and {_until('prof2', 'most', 'own')} - x <= most - need")))
+    star = table(star.select(F.col("c").alias("a"), F.col("o").alias("b")).distinct(), "ngj-star")
     ends = star.select(F.col("a").alias("c")).union(star.select(F.col("b").alias("c"))).distinct()
-    first = table(_linked(star, _sets_of(texts, ends, k)), "ngj-links")
-    group = components(first)
+    first = table(_linked(star, _sets_of(texts, ends, k, table)), "ngj-links")
+    scratch.release()
+    group = components(first, scratch)
     many = group.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     group = group.join(many, "label").select("c", "label", F.xxhash64("label", F.pmod(F.xxhash64("c"), "parts")).alias("block"))
     group = table(group, "ngj-groups")
@@ -226,35 +248,37 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                                       F.min(F.element_at("prof", -1)).alias("known"), F.max(F.struct("c", "prof")).alias("one"))
     placed = (met.join(group, "c", "left")
                  .select("token", "c", "size", "pos", F.coalesce("label", "c").alias("label"), F.coalesce("block", "c").alias("block")))
-    matrix = placed.groupBy("token", "block").agg(F.max("label").alias("other"), F.min("size").alias("least"), F.max("size").alias("most"),
-                                                  F.max(F.expr("pos < size - ceil(size * 6 / 7) + 1")).alias("early"))
-    query = placed.select("token", "c", "size", "label")
-    hits = (query.join(matrix, "token").where("label <> other and 100 * most >= 75 * size and least <= size")
-                 .groupBy("c", "block").agg(F.count("*").alias("x"), F.max("early").alias("early")).where("early"))
-    hits = table(hits.select("c", "block", "x"), "ngj-hits")
-    until = lambda prof, n, end: (  # tokens of a prefix up to a key, at least
-        f"if(size(filter({prof}, v -> v <= {end})) = 0, 0, floor((size(filter({prof}, v -> v <= {end})) - 1) * ({n} - ceil({n} * 75 / 100)) / {GRID}) + 1)")
     need = "greatest(ceil(size * 75 / 100), ceil((size + least) * 3 / 7))"
+    early = (placed.where(F.expr("pos < size - ceil(size * 6 / 7) + 1")).groupBy("token", "block")
+                   .agg(F.max("label").alias("other"), F.min("size").alias("least"), F.max("size").alias("most")))
+    hits = (placed.select("token", "c", "size", "pos", "label").join(early, "token")
+                  .where("label <> other and 100 * most >= 75 * size and least <= size").where(F.expr(f"pos <= size - {need}")))
+    hits = table(hits.select("c", "block").distinct(), "ngj-hits")
+    matrix = placed.join(hits.select("block").distinct(), "block", "left_semi").select("token", "block").distinct()
+    hits = (hits.join(met.select("c", "token"), "c").join(matrix, ["token", "block"])
+                .groupBy("c", "block").agg(F.count("*").alias("x")))
     cand = (hits.join(cls.select("c", "size", "prof", F.element_at("prof", -1).alias("own")), "c").join(blocks, "block")
-                .where(F.expr(f"{until('prof', 'size', 'known')} - x <= size - {need}"))
-                .where(F.expr(f"members > 1 or {until('one.prof', 'most', 'own')} - x <= most - {need}"))
+                .where(F.expr(f"{_until('prof', 'size', 'known')} - x <= size - {need}"))
+                .where(F.expr(f"members > 1 or {_until('one.prof', 'most', 'own')} - x <= most - {need}"))
                 .select("c", "block", F.expr(need).alias("need")))
     cand = table(cand, "ngj-candidates")
 
     # open the qualifying blocks
     inside = cls.join(cand.select("block").distinct(), "block", "left_semi").select("block", F.col("c").alias("b"))
     ends = inside.select(F.col("b").alias("c")).union(cand.select("c")).distinct()
-    arrays = _sets_of(texts, ends, k)
+    arrays = _sets_of(texts, ends, k, table)
     union = (inside.join(arrays.withColumnRenamed("c", "b"), "b").groupBy("block")
                    .agg(F.array_distinct(F.flatten(F.collect_list("arr"))).alias("all")))
     opened = cand.join(arrays, "c").join(union, "block").where(F.size(F.array_intersect("arr", "all")) >= F.col("need"))
     pairs = table(opened.select(F.col("c").alias("a"), "block").join(inside, "block").select("a", "b"), "ngj-pairs")
     second = table(_linked(pairs, arrays), "ngj-links")
 
-    label = components(first.union(second))
+    label = components(first.union(second), scratch)
     rows = members.join(label, "c", "left").select("doc_id", "n", F.coalesce("label", "c").alias("label"))
     rows = table(rows, "ngj-rows")
     least = table(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "ngj-least")
+    scratch.drop(keep=(rows, least))
+    scratch.release()
     return rows.join(least, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -268,7 +292,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = linked_components(docs, id_col, text_col)
     keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    keep = table(keep.select(F.col("doc_id").alias("_keep_id"), "_copies"), "ngj-keep")
+    keep = Scratch(docs.sparkSession).table(keep.select(F.col("doc_id").alias("_keep_id"), "_copies"), "ngj-keep")
     kept = docs.join(keep, F.col(id_col) == F.col("_keep_id")).drop("_keep_id")
     one = kept.where("_copies = 1").drop("_copies")
     more = kept.where("_copies > 1").drop("_copies").dropDuplicates([id_col, text_col])
