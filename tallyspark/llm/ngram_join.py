@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import Scratch, Shingler, text_slices
 from .components import components
 
-FLUSH = 4_000_000   # tokens that a task holds before it counts them
+FLUSH = 2_000_000   # tokens that a task holds before it counts them
 COMMON = 1 << 21    # most tokens that are ordered last (16 MB)
 MAP_BITS = 26       # size of the class filter: 2**26 bits, 8 MB
 BLOCK = 32          # classes in a block, about

@@ -164,7 +164,7 @@ def select(found: list[tuple[tuple[str, ...], str, int]]) -> list[str]:
         return []
     under = defaultdict(lambda: [0, 0, 0])
     for p, s in sums.items():
-        for d in range(len(p)):  # proper prefixes: a root holds blocks or elements
+        for d in range(max(1, len(p))):  # proper prefixes: a root holds blocks or elements
             for i in range(3):
                 under[p[:d]][i] += s[i]
     root = max((p for p, u in under.items() if u[0] >= ROOT_SHARE * total), key=len, default=())

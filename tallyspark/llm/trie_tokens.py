@@ -146,7 +146,7 @@ def _counter(pieces: dict[str, float], byte: float):
         known, tokens = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             words, total = [], []
-            for _, _, data, offs in text_slices(batch.column(1), 1 << 23):
+            for _, _, data, offs in text_slices(batch.column(1), 1 << 21):
                 h, at = hasher(data, offs)
                 each, first, back = np.unique(h, return_index=True, return_inverse=True)
                 if len(each):
@@ -157,9 +157,8 @@ def _counter(pieces: dict[str, float], byte: float):
                         got = _fresh(trie, hasher, pieces, byte, data, start, offs)
                         if len(known) > KNOWN:
                             known, tokens = each[~fresh], tokens[place[~fresh]]
-                        known, tokens = np.concatenate([known, each[fresh]]), np.concatenate([tokens, got])
-                        order = np.argsort(known)
-                        known, tokens = known[order], tokens[order]
+                        place = np.searchsorted(known, each[fresh])
+                        known, tokens = np.insert(known, place, each[fresh]), np.insert(tokens, place, got)
                     sums = np.concatenate([[0], np.cumsum(tokens[np.searchsorted(known, each)][back])])
                 else:
                     sums = np.zeros(1, np.int64)
