@@ -83,11 +83,11 @@ def div_round(num, den, scale: int = 2) -> Column:
     Integer ``div`` keeps it exact (a double quotient would round differently
     from engine to engine).
     """
-    n, d = col(num).cast("bigint"), col(den).cast("bigint")
+    n, d = col(num).cast("decimal(38,0)"), col(den).cast("decimal(38,0)")  # wide: totals times 200 pass BIGINT
     k = 10 ** scale
     sign = (F.signum(n) * F.signum(d)).cast("bigint")
     mag = F.abs(n) * F.lit(2 * k) + F.abs(d)
-    safe_d = F.when(d == 0, F.lit(1).cast("bigint")).otherwise(F.abs(d) * 2)
+    safe_d = F.when(d == 0, F.lit(1).cast("decimal(38,0)")).otherwise(F.abs(d) * 2)
     units = (sign * F.call_function("div", mag, safe_d)).cast("decimal(18,0)")
     scaled = (units * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(18,{scale})")
     return F.when(d == 0, F.lit(None).cast(f"decimal(18,{scale})")).otherwise(scaled)
@@ -95,7 +95,7 @@ def div_round(num, den, scale: int = 2) -> Column:
 
 def percent(num, den, scale: int = 2) -> Column:
     """100 * num / den rounded, NULL when den = 0 (integral inputs)."""
-    return div_round(col(num).cast("bigint") * 100, den, scale)
+    return div_round(col(num).cast("decimal(38,0)") * 100, den, scale)
 
 
 def sql_div_round(num: str, den: str, scale: int = 2) -> str:

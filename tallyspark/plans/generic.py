@@ -240,7 +240,7 @@ def interval_windows(t: Tables) -> DataFrame:
 
 
 def _account_class_sql(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN {c} BETWEEN {lo} AND {hi} THEN '{n}'" for n, lo, hi in K.ACCOUNT_CLASSES) + " END"
+    return "CASE " + " ".join(f"WHEN {c} BETWEEN {lo} AND {hi} THEN '{n}'" for n, lo, hi in K.ACCOUNT_CLASSES) + " ELSE 'Other' END"
 
 
 def account_class(c) -> F.Column:
@@ -249,7 +249,7 @@ def account_class(c) -> F.Column:
     for n, lo, hi in K.ACCOUNT_CLASSES:
         cond = F.col(c).between(lo, hi)
         expr = F.when(cond, n) if expr is None else expr.when(cond, n)
-    return expr
+    return expr.otherwise("Other")
 
 
 @register("f15_account_class", S.with_sql(f"""
@@ -666,11 +666,11 @@ def rows_at_group_max(t: Tables) -> DataFrame:
 
 @register("w10_serial_number", S.with_sql("""
 SELECT ROW_NUMBER() OVER (ORDER BY trx_date, trx_id) AS serial_no, trx_id, trx_date
-FROM invoices WHERE complete_flag = 'N'""", "invoices"))
+FROM invoices""", "invoices"))
 def serial_numbers(t: Tables) -> DataFrame:
     """Report serial number over the whole (sorted) result, computed
     with per-partition offsets instead of a single-task window."""
-    inv = S.invoices(t).filter(F.col("complete_flag") == "N").select("trx_id", "trx_date")
+    inv = S.invoices(t).select("trx_id", "trx_date")
     return W.serial_number(inv, ["trx_date", "trx_id"])
 
 

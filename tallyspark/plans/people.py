@@ -183,19 +183,19 @@ def hiring_dashboard(t: Tables) -> DataFrame:
 @register("r_rc15_multiple_applications", S.with_sql("""
 SELECT person_id, COUNT(*) AS active_applications,
        string_agg(CAST(submission_id AS VARCHAR), ', ' ORDER BY submission_date, submission_id) AS application_ids
-FROM submissions WHERE applied = 1 GROUP BY person_id HAVING COUNT(*) >= 15""", "submissions"))
+FROM submissions WHERE applied = 1 GROUP BY person_id HAVING COUNT(*) > 1""", "submissions"))
 def multiple_applications(t: Tables) -> DataFrame:
     """R-RC15: candidates with many active applications (A4) and their list."""
     s = S.submissions(t).filter(F.col("applied") == 1).withColumn("sid", F.col("submission_id").cast("string"))
     cnt = A.having(s.groupBy("person_id").agg(F.count(F.lit(1)).alias("active_applications")),
-                   F.col("active_applications") >= 15)
+                   F.col("active_applications") > 1)
     lst = A.ordered_list(s, ["person_id"], "sid", ["submission_date", "submission_id"], ", ", "application_ids")
     return cnt.join(lst, "person_id")
 
 
 @register("r_rc12_time_to_hire", S.with_sql("""
 SELECT a.person_id, a.first_applied, h.first_hired, h.first_hired - a.first_applied AS days_to_hire,
-       CASE WHEN h.first_hired - a.first_applied <= 3 THEN 'Fast' WHEN h.first_hired - a.first_applied <= 10 THEN 'Normal'
+       CASE WHEN h.first_hired - a.first_applied <= 30 THEN 'Fast' WHEN h.first_hired - a.first_applied <= 60 THEN 'Normal'
             ELSE 'Slow' END AS rating
 FROM (SELECT person_id, MIN(submission_date) AS first_applied FROM submissions WHERE applied = 1 GROUP BY person_id) a
 JOIN (SELECT person_id, MIN(submission_date) AS first_hired FROM submissions WHERE hired = 1 GROUP BY person_id) h
@@ -207,7 +207,7 @@ def time_to_hire(t: Tables) -> DataFrame:
     h = s.filter(F.col("hired") == 1).groupBy("person_id").agg(F.min("submission_date").alias("first_hired"))
     j = a.join(h, "person_id")
     d = F.datediff("first_hired", "first_applied").cast("bigint")
-    rating = F.when(d <= 3, "Fast").when(d <= 10, "Normal").otherwise("Slow")
+    rating = F.when(d <= 30, "Fast").when(d <= 60, "Normal").otherwise("Slow")
     return j.select("person_id", "first_applied", "first_hired", d.alias("days_to_hire"), rating.alias("rating"))
 
 

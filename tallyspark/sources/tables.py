@@ -38,12 +38,9 @@ class Tables:
 
     def exists(self, name: str) -> bool:
         """S10 helper: is the optional source present?"""
-        if os.path.exists(self.path(name)):
-            return True
-        try:
-            return self.spark.catalog.tableExists(name)
-        except Exception:
-            return False
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path.getFileSystem(conf).exists(path) or self.spark.catalog.tableExists(name)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:

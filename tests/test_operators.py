@@ -220,3 +220,20 @@ def test_sinks_write_and_burst(spark, tmp_path):
     burst(df, str(tmp_path / "burst"), fmt="parquet")
     parts = sorted(p.name for p in (tmp_path / "burst").iterdir() if p.name.startswith("burst_key="))
     assert parts == ["burst_key=A", "burst_key=B"]
+
+
+def test_optional_source_by_uri(spark, small_dir):
+    from tallyspark.sources.tables import Tables
+
+    assert Tables(spark, f"file:{small_dir}").exists("customer")
+    assert Tables(spark, small_dir).exists("customer")
+    assert not Tables(spark, f"file:{small_dir}").exists("no_such_table")
+
+
+def test_div_round_beyond_bigint(spark):
+    from tallyspark.functions.scalars import div_round
+
+    row = spark.range(1).select(
+        div_round(F.lit(500000000 * 200000000), F.lit(700)).alias("a"),
+        div_round(F.lit(-60000000000000000), F.lit(7)).alias("b"), div_round(F.lit(1), F.lit(0)).alias("c")).first()
+    assert (str(row.a), str(row.b), row.c) == ("142857142857142.86", "-8571428571428571.43", None)
