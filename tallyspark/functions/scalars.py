@@ -121,8 +121,23 @@ def days_between(later, earlier) -> Column:
 
 
 def service_years(as_of, start) -> Column:
-    """Service in years to 2 dp: MONTHS_BETWEEN / 12."""
-    return F.round(F.months_between(col(as_of), col(start), False) / 12, 2)
+    """Service in years to 2 dp: MONTHS_BETWEEN / 12.
+
+    Counted in 31sts of a month, so it is exact: equal days of the month, or
+    two month ends, are whole months.
+    """
+    a, b = col(as_of), col(start)
+    months = (F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b)
+    whole = (F.dayofmonth(a) == F.dayofmonth(b)) | ((a == F.last_day(a)) & (b == F.last_day(b)))
+    days = F.when(whole, 0).otherwise(F.dayofmonth(a) - F.dayofmonth(b))
+    return div_round(months * 31 + days, F.lit(372), 2)
+
+
+def sql_service_years(as_of: str, start: str) -> str:
+    """DuckDB twin of :func:`service_years`."""
+    days = (f"CASE WHEN day({as_of}) = day({start}) OR ({as_of} = last_day({as_of}) AND {start} = last_day({start})) "
+            f"THEN 0 ELSE day({as_of}) - day({start}) END")
+    return sql_div_round(f"(((year({as_of}) - year({start})) * 12 + month({as_of}) - month({start})) * 31 + {days})", "372")
 
 
 def months_between_sql(later: str, earlier: str) -> str:

@@ -1,9 +1,9 @@
 """Aging buckets as data (§8 #4: edges differ between reports).
 
 A ``BucketSet`` is an ordered list of (label, output column, low, high)
-with inclusive bounds in days past due; the first match wins.  The same
-definition yields the Spark CASE, the per-bucket conditional sums and their
-SQL twins.
+with inclusive bounds in days past due; the first match wins.  The oracle
+SQL of the reports spells its edges out by hand (``sql_buckets``) and shares
+nothing with the definition here.
 """
 
 from __future__ import annotations
@@ -41,23 +41,6 @@ class BucketSet:
         return [F.sum(F.when(lab == F.lit(label), a).otherwise(F.lit(0))).cast(TOTAL).alias(col)
                 for label, col, _, _ in self.buckets]
 
-    def sql_label(self, days: str) -> str:
-        parts = []
-        for label, _, lo, hi in self.buckets:
-            conds = []
-            if lo is not None:
-                conds.append(f"{days} >= {lo}")
-            if hi is not None:
-                conds.append(f"{days} <= {hi}")
-            parts.append(f"WHEN {' AND '.join(conds) or 'TRUE'} THEN '{label}'")
-        return "CASE " + " ".join(parts) + " END"
-
-    def sql_sums(self, days: str, amount: str) -> str:
-        lab = self.sql_label(days)
-        return ", ".join(
-            f"CAST(SUM(CASE WHEN {lab} = '{label}' THEN {amount} ELSE 0 END) AS DECIMAL(38,2)) AS {col}"
-            for label, col, _, _ in self.buckets)
-
     @property
     def columns(self) -> list[str]:
         return [c for _, c, _, _ in self.buckets]
@@ -73,13 +56,24 @@ AR_FIVE = BucketSet("ar_five", (
 ))
 
 AR_SEVEN = BucketSet("ar_seven", (
-    ("0-30", "b0_30", None, 30),
+    ("Current", "current_amt", None, 0),
+    ("1-30", "b1_30", 1, 30),
     ("31-60", "b31_60", 31, 60),
     ("61-90", "b61_90", 61, 90),
-    ("91-120", "b91_120", 91, 120),
-    ("121-180", "b121_180", 121, 180),
-    ("181-365", "b181_365", 181, 365),
-    ("365+", "b365_plus", 366, None),
+    ("91-180", "b91_180", 91, 180),
+    ("181-360", "b181_360", 181, 360),
+    ("360+", "b360_plus", 361, None),
+))
+
+AR_EIGHT = BucketSet("ar_eight", (
+    ("Not Yet Due", "not_yet_due", None, -1),
+    ("Bucket 0-30", "b0_30", 0, 30),
+    ("Bucket 31-60", "b31_60", 31, 60),
+    ("Bucket 61-90", "b61_90", 61, 90),
+    ("Bucket 91-120", "b91_120", 91, 120),
+    ("Bucket 121-180", "b121_180", 121, 180),
+    ("Bucket 181-360", "b181_360", 181, 360),
+    ("Above 360", "above_360", 361, None),
 ))
 
 AR_SIX_NOT_DUE = BucketSet("ar_six", (
@@ -87,26 +81,49 @@ AR_SIX_NOT_DUE = BucketSet("ar_six", (
     ("0-30", "b0_30", 0, 30),
     ("31-60", "b31_60", 31, 60),
     ("61-90", "b61_90", 61, 90),
-    ("91-180", "b91_180", 91, 180),
-    ("180+", "b180_plus", 181, None),
+    ("91-120", "b91_120", 91, 120),
+    (">120", "b120_plus", 121, None),
 ))
 
 UNAPPLIED_EIGHT = BucketSet("unapplied_eight", (
-    ("0-30", "b0_30", None, 30),
+    ("Current", "current_amt", None, 0),
+    ("1-30", "b1_30", 1, 30),
     ("31-60", "b31_60", 31, 60),
     ("61-90", "b61_90", 61, 90),
     ("91-120", "b91_120", 91, 120),
     ("121-180", "b121_180", 121, 180),
-    ("181-270", "b181_270", 181, 270),
-    ("271-365", "b271_365", 271, 365),
-    ("365+", "b365_plus", 366, None),
+    ("181-365", "b181_365", 181, 365),
+    (">365", "b365_plus", 366, None),
+))
+
+AP_FOURTEEN = BucketSet("ap_fourteen", (
+    ("Not Yet Due", "not_due", None, -1),
+    ("0-7", "b0_7", 0, 7),
+    ("8-15", "b8_15", 8, 15),
+    ("16-30", "b16_30", 16, 30),
+    ("31-45", "b31_45", 31, 45),
+    ("46-60", "b46_60", 46, 60),
+    ("61-75", "b61_75", 61, 75),
+    ("76-90", "b76_90", 76, 90),
+    ("91-120", "b91_120", 91, 120),
+    ("121-150", "b121_150", 121, 150),
+    ("151-180", "b151_180", 151, 180),
+    ("181-360", "b181_360", 181, 360),
+    ("361-720", "b361_720", 361, 720),
+    ("Above 720", "above_720", 721, None),
 ))
 
-AP_FOURTEEN = BucketSet("ap_fourteen", tuple(
-    [("Not Due", "not_due", None, -1), ("0-30", "b0_30", 0, 30)]
-    + [(f"{lo}-{lo + 29}", f"b{lo}_{lo + 29}", lo, lo + 29) for lo in range(31, 361, 30)
-       if lo + 29 <= 360][:11]
-    + [("360+", "b360_plus", 361, None)]))
+
+def ar_widened(widen: int) -> BucketSet:
+    """Five buckets whose first one begins ``widen`` days before the date;
+    earlier documents fall in no bucket."""
+    return BucketSet("ar_widened", (
+        ("0-30", "b0_30", -widen, 30),
+        ("31-60", "b31_60", 31, 60),
+        ("61-90", "b61_90", 61, 90),
+        ("91-120", "b91_120", 91, 120),
+        (">120", "b120_plus", 121, None),
+    ))
 
 
 def bucket_totals(df: DataFrame, keys: Sequence[str], days, amount, bset: BucketSet,
@@ -114,3 +131,11 @@ def bucket_totals(df: DataFrame, keys: Sequence[str], days, amount, bset: Bucket
     """Sum of the amount and the per-bucket sums per group (A2 pivot)."""
     a = F.col(amount) if isinstance(amount, str) else amount
     return df.groupBy(*keys).agg(F.sum(a).cast(TOTAL).alias(total_name), *bset.sums(days, a))
+
+
+def sql_buckets(days: str, amount: str, conditions: dict[str, str], total: bool = True) -> str:
+    """Oracle columns from hand-written conditions on the days, e.g.
+    ``{"b0_7": "BETWEEN 0 AND 7"}``; without ``total`` they are row amounts."""
+    open_, close = ("SUM(", ")") if total else ("", "")
+    return ", ".join(f"CAST({open_}CASE WHEN {days} {cond} THEN {amount} ELSE 0 END{close} AS DECIMAL(38,2)) AS {col}"
+                     for col, cond in conditions.items())

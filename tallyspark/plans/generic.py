@@ -267,7 +267,8 @@ def account_classes(t: Tables) -> DataFrame:
 
 @register("f10_near_zero_suppression", S.with_sql(f"""
 SELECT customer_id, CAST(SUM(remaining) AS DECIMAL(38,2)) AS balance
-FROM (SELECT b.customer_id, ROUND(b.amount * COALESCE(b.exchange_rate, 1), 2) - COALESCE(a.applied_amt, 0) AS remaining
+FROM (SELECT b.customer_id, ROUND(b.amount * COALESCE(b.exchange_rate, 1), 2)
+             - ROUND(CAST(COALESCE(a.applied_amt, 0) AS DECIMAL(18,2)) * COALESCE(b.exchange_rate, 1), 2) AS remaining
       FROM invoices b LEFT JOIN (SELECT applied_trx_id, SUM(amount) AS applied_amt FROM applications
                                  WHERE apply_date <= {D(AS_OF)} AND app_type IN ('CASH', 'CM') AND status = 'APP'
                                  GROUP BY applied_trx_id) a ON b.trx_id = a.applied_trx_id

@@ -80,9 +80,16 @@ _PAID_SQL = f"""(SELECT order_id, vendor_id,
  FROM ap_payments WHERE pay_date <= {D(AS_OF)} GROUP BY order_id, vendor_id)"""
 
 
+# Oracle conditions on days past due, written out by hand.
+_SQL_FOURTEEN = {"not_due": "< 0", "b0_7": "BETWEEN 0 AND 7", "b8_15": "BETWEEN 8 AND 15",
+                 "b16_30": "BETWEEN 16 AND 30", "b31_45": "BETWEEN 31 AND 45", "b46_60": "BETWEEN 46 AND 60",
+                 "b61_75": "BETWEEN 61 AND 75", "b76_90": "BETWEEN 76 AND 90", "b91_120": "BETWEEN 91 AND 120",
+                 "b121_150": "BETWEEN 121 AND 150", "b151_180": "BETWEEN 151 AND 180",
+                 "b181_360": "BETWEEN 181 AND 360", "b361_720": "BETWEEN 361 AND 720", "above_720": "> 720"}
+
 _AP1_SQL = S.with_sql(f"""
 SELECT x.vendor_id, s.vendor_name, CAST(SUM(x.outstanding) AS DECIMAL(38,2)) AS total_outstanding,
-       {aging.AP_FOURTEEN.sql_sums(f"({D(AS_OF)} - x.due_date)", "x.outstanding")}
+       {aging.sql_buckets(f"({D(AS_OF)} - x.due_date)", "x.outstanding", _SQL_FOURTEEN)}
 FROM (SELECT i.vendor_id, i.due_date,
              i.invoice_amount - COALESCE(p.paid, 0) - COALESCE(p.prepaid, 0) AS outstanding
       FROM ap_invoices i LEFT JOIN {_PAID_SQL} p ON i.order_id = p.order_id AND i.vendor_id = p.vendor_id

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.params import AS_OF, END_OF_TIME, EVENTS_TO, PERIOD_FROM, PERIOD_TO
-from tallyspark.functions.scalars import TOTAL, band, cents, div_round, percent, sql_band, sql_div_round, sql_percent
+from tallyspark.functions.scalars import (
+    TOTAL, cents, div_round, percent, service_years, sql_div_round, sql_percent, sql_service_years,
+)
 from tallyspark.operators import effective as E
 from tallyspark.operators import rollup as A
 from tallyspark.operators import windows as W
@@ -153,38 +155,37 @@ def salary_at_date(t: Tables) -> DataFrame:
     return sp.join(pv, "person_id")
 
 
-# Salary and experience bands (first match wins, §8 #20).
-SALARY_BANDS = [("Band A", None, 99999.99), ("Band B", 100000, 249999.99), ("Band C", 250000, 399999.99), ("Band D", 400000, None)]
-EXPERIENCE_BANDS = [("0-2 years", None, 2), ("3-5 years", 3, 5), ("6-10 years", 6, 10), ("10+ years", 11, None)]
-
-
 def _current_salary(t: Tables) -> DataFrame:
     return S.person_versions(t).filter(F.col("eff_end") == F.lit(END_OF_TIME)).select("person_id", "salary")
 
 
 _CUR_SAL_SQL = f"(SELECT person_id, salary FROM person_versions WHERE eff_end = {D(END_OF_TIME)})"
-_YEARS_SQL = ("(CAST((year(DATE '2000-12-31') - year(date_start)) * 12 + month(DATE '2000-12-31') - month(date_start) "
-              "- CASE WHEN day(DATE '2000-12-31') < day(date_start) THEN 1 ELSE 0 END AS BIGINT) // 12)")
-
 
 @register("r_cp6_salary_experience_bands", S.with_sql(f"""
-SELECT s.person_id, c.salary, {sql_band('c.salary', SALARY_BANDS)} AS salary_band, y.years AS service_years,
-       {sql_band('y.years', EXPERIENCE_BANDS)} AS experience_band,
-       {sql_div_round('CAST(c.salary * 100 AS BIGINT)', 'y.years * 100')} AS pay_per_service_year
-FROM service_periods s JOIN {_CUR_SAL_SQL} c ON c.person_id = s.person_id
-JOIN (SELECT person_id, {_YEARS_SQL} AS years FROM service_periods) y ON y.person_id = s.person_id
-WHERE s.date_start <= {D(AS_OF)}""",
-                                                       "service_periods", "person_versions"))
+SELECT s.person_id, c.salary,
+       CASE WHEN c.salary < 5000 THEN 'Band 1 (< 5K)' WHEN c.salary <= 10000 THEN 'Band 2 (5K-10K)'
+            WHEN c.salary <= 20000 THEN 'Band 3 (10K-20K)' ELSE 'Band 4 (> 20K)' END AS salary_band,
+       s.service_years,
+       CASE WHEN s.service_years < 2 THEN 'Entry Level' WHEN s.service_years <= 5 THEN 'Mid Level'
+            WHEN s.service_years <= 10 THEN 'Senior Level' ELSE 'Expert Level' END AS experience_band,
+       {sql_div_round('CAST(c.salary * 100 AS BIGINT)', 'greatest(CAST(s.service_years * 100 AS BIGINT), 100)')} AS pay_per_service_year
+FROM (SELECT person_id, {sql_service_years("DATE '2000-12-31'", "date_start")} AS service_years
+      FROM service_periods WHERE date_start <= {D(AS_OF)}) s
+JOIN {_CUR_SAL_SQL} c ON c.person_id = s.person_id""", "service_periods", "person_versions"))
 def salary_experience_bands(t: Tables) -> DataFrame:
-    """R-CP6/X14: salary band, experience band and pay per service year."""
+    """R-CP6/X14: salary band (edges 5, 10, 20 thousand), experience band (2,
+    5, 10 years) and pay per service year, a year at least."""
     s = S.service_periods(t).filter(F.col("date_start") <= F.lit(AS_OF))
-    months = ((F.year(F.lit(AS_OF)) - F.year("date_start")) * 12 + F.month(F.lit(AS_OF)) - F.month("date_start")
-              - F.when(F.dayofmonth(F.lit(AS_OF)) < F.dayofmonth("date_start"), 1).otherwise(0))
-    s = s.select("person_id", F.floor(months / 12).cast("bigint").alias("service_years"))
+    s = s.select("person_id", service_years(F.lit(AS_OF), "date_start").alias("service_years"))
     j = s.join(_current_salary(t), "person_id")
-    return j.select("person_id", "salary", band("salary", SALARY_BANDS).alias("salary_band"), "service_years",
-                    band("service_years", EXPERIENCE_BANDS).alias("experience_band"),
-                    div_round(cents("salary"), F.col("service_years") * 100, 2).alias("pay_per_service_year"))
+    pay, y = F.col("salary"), F.col("service_years")
+    return j.select("person_id", "salary",
+                    F.when(pay < 5000, "Band 1 (< 5K)").when(pay <= 10000, "Band 2 (5K-10K)")
+                     .when(pay <= 20000, "Band 3 (10K-20K)").otherwise("Band 4 (> 20K)").alias("salary_band"),
+                    "service_years",
+                    F.when(y < 2, "Entry Level").when(y <= 5, "Mid Level").when(y <= 10, "Senior Level")
+                     .otherwise("Expert Level").alias("experience_band"),
+                    div_round(cents("salary"), F.greatest((y * 100).cast("bigint"), F.lit(100)), 2).alias("pay_per_service_year"))
 
 
 @register("r_cp3_compensation_by_department", S.with_sql(f"""

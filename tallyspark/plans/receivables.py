@@ -22,6 +22,22 @@ from tallyspark.sources.tables import Tables
 D = S._d  # SQL date literal
 
 
+# Oracle conditions on days past due, written out by hand per report.
+_SQL_FIVE = {"current_amt": "<= 0", "b1_30": "BETWEEN 1 AND 30", "b31_60": "BETWEEN 31 AND 60",
+             "b61_90": "BETWEEN 61 AND 90", "b90_plus": "> 90"}
+_SQL_SEVEN = {"current_amt": "<= 0", "b1_30": "BETWEEN 1 AND 30", "b31_60": "BETWEEN 31 AND 60",
+              "b61_90": "BETWEEN 61 AND 90", "b91_180": "BETWEEN 91 AND 180", "b181_360": "BETWEEN 181 AND 360",
+              "b360_plus": "> 360"}
+_SQL_SIX = {"not_due": "< 0", "b0_30": "BETWEEN 0 AND 30", "b31_60": "BETWEEN 31 AND 60",
+            "b61_90": "BETWEEN 61 AND 90", "b91_120": "BETWEEN 91 AND 120", "b120_plus": "> 120"}
+_SQL_UNAPPLIED = {"current_amt": "<= 0", "b1_30": "BETWEEN 1 AND 30", "b31_60": "BETWEEN 31 AND 60",
+                  "b61_90": "BETWEEN 61 AND 90", "b91_120": "BETWEEN 91 AND 120", "b121_180": "BETWEEN 121 AND 180",
+                  "b181_365": "BETWEEN 181 AND 365", "b365_plus": "> 365"}
+_SQL_EIGHT = {"not_yet_due": "< 0", "b0_30": "BETWEEN 0 AND 30", "b31_60": "BETWEEN 31 AND 60",
+              "b61_90": "BETWEEN 61 AND 90", "b91_120": "BETWEEN 91 AND 120", "b121_180": "BETWEEN 121 AND 180",
+              "b181_360": "BETWEEN 181 AND 360", "above_360": "> 360"}
+
+
 # ---------------------------------------------------------------------------
 # Shared blocks
 # ---------------------------------------------------------------------------
@@ -40,18 +56,21 @@ APPLIED_SQL = f"""(SELECT applied_trx_id, SUM(amount) AS applied_amt FROM applic
 
 
 def open_balances(t: Tables, as_of=AS_OF) -> DataFrame:
-    """Remaining functional balance per transaction at the date."""
+    """Remaining functional balance per transaction at the date: original and
+    applications, both at the document's rate (default 1)."""
     inv = S.invoices(t).filter((F.col("trx_date") <= F.lit(as_of)) & (F.col("amount") != 0))
     app = applied_to_date(t, as_of)
     bal = inv.join(app, inv.trx_id == app.applied_trx_id, "left")
-    remaining = (F.round(F.col("amount") * F.coalesce(F.col("exchange_rate"), F.lit(1)), 2)
-                 - F.coalesce(F.col("applied_amt"), F.lit(0)))
+    rate = F.coalesce(F.col("exchange_rate"), F.lit(1))
+    remaining = (F.round(F.col("amount") * rate, 2)
+                 - F.round(F.coalesce(F.col("applied_amt"), F.lit(0)).cast(MONEY) * rate, 2))
     return bal.select("trx_id", "trx_number", "customer_id", "org_id", "class", "trx_date", "due_date",
-                      remaining.alias("remaining"))
+                      "complete_flag", remaining.alias("remaining"))
 
 
 OPEN_BAL_SQL = f"""(SELECT b.trx_id, b.trx_number, b.customer_id, b.org_id, b.class, b.trx_date, b.due_date,
-        ROUND(b.amount * COALESCE(b.exchange_rate, 1), 2) - COALESCE(a.applied_amt, 0) AS remaining
+        ROUND(b.amount * COALESCE(b.exchange_rate, 1), 2)
+          - ROUND(CAST(COALESCE(a.applied_amt, 0) AS DECIMAL(18,2)) * COALESCE(b.exchange_rate, 1), 2) AS remaining
  FROM invoices b LEFT JOIN {APPLIED_SQL} a ON b.trx_id = a.applied_trx_id
  WHERE b.trx_date <= {D(AS_OF)} AND b.amount <> 0)"""
 
@@ -108,7 +127,7 @@ def customer_movements(t: Tables, include_reversed: bool = False) -> DataFrame:
 
 _AR1_SQL = S.with_sql(f"""
 SELECT c.party_name, CAST(SUM(x.remaining) AS DECIMAL(38,2)) AS total_due,
-       {aging.AR_FIVE.sql_sums("x.days_due", "x.remaining")}
+       {aging.sql_buckets("x.days_due", "x.remaining", _SQL_FIVE)}
 FROM (SELECT customer_id, remaining, {D(AS_OF)} - due_date AS days_due
       FROM {OPEN_BAL_SQL} ob WHERE remaining <> 0) x
 JOIN customers c ON x.customer_id = c.customer_id AND c.status = 'A'
@@ -269,7 +288,7 @@ def component_balance(t: Tables) -> DataFrame:
 
 
 _AR9_SQL = S.with_sql(f"""
-SELECT s.trx_id, s.balance, {aging.AR_SIX_NOT_DUE.sql_sums(f"({D(AS_OF)} - i.due_date)", "s.balance")}
+SELECT s.trx_id, s.balance, {aging.sql_buckets(f"({D(AS_OF)} - i.due_date)", "s.balance", _SQL_SIX)}
 FROM (SELECT trx_id, SUM(amount) AS balance FROM {MOVEMENTS_SQL} m GROUP BY trx_id) s
 JOIN invoices i ON s.trx_id = i.trx_id
 GROUP BY s.trx_id, s.balance""", "invoices", "applications")
@@ -402,7 +421,7 @@ def production_ledger(t: Tables) -> DataFrame:
 
 _AR13_SQL = S.with_sql(f"""
 SELECT u.customer_id, c.party_name, CAST(SUM(u.amount) AS DECIMAL(38,2)) AS unapplied_total,
-       {aging.UNAPPLIED_EIGHT.sql_sums(f"({D(AS_OF)} - u.receipt_date)", "u.amount")}
+       {aging.sql_buckets(f"({D(AS_OF)} - u.receipt_date)", "u.amount", _SQL_UNAPPLIED)}
 FROM unapplied_receipts u JOIN customers c ON u.customer_id = c.customer_id
 WHERE u.receipt_date <= {D(AS_OF)}
   AND NOT EXISTS (SELECT 1 FROM receipt_history h WHERE h.receipt_id = u.receipt_id AND h.status = 'REVERSED')
@@ -428,21 +447,15 @@ def unapplied_aging(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _days_text(days) -> F.Column:
-    return (F.when(days < 0, F.concat(F.lit("Due in "), (-days).cast("string"), F.lit(" days")))
-             .when(days == 0, F.lit("Due today"))
-             .otherwise(F.concat(F.lit("Overdue by "), days.cast("string"), F.lit(" days"))))
-
-
-def _days_text_sql(d: str) -> str:
-    return (f"CASE WHEN {d} < 0 THEN 'Due in ' || CAST(-({d}) AS VARCHAR) || ' days' WHEN {d} = 0 THEN 'Due today' "
-            f"ELSE 'Overdue by ' || CAST({d} AS VARCHAR) || ' days' END")
+    """Text for documents that are not due yet, else NULL."""
+    return F.when(days < 0, F.concat(F.lit("No Due Yet ("), (-days).cast("string"), F.lit(" days left)")))
 
 
 _AR14_SQL = S.with_sql(f"""
 SELECT x.doc_id, x.doc_kind, x.customer_id, c.party_name, x.ref_date,
        CAST(x.balance AS DECIMAL(38,2)) AS balance,
-       {_days_text_sql(f"({D(AS_OF)} - x.ref_date)")} AS days_text,
-       {", ".join(f"CAST(CASE WHEN ({aging.AR_SIX_NOT_DUE.sql_label(f'({D(AS_OF)} - x.ref_date)')}) = '{lab}' THEN x.balance ELSE 0 END AS DECIMAL(38,2)) AS {col}" for lab, col, _, _ in aging.AR_SIX_NOT_DUE.buckets)}
+       CASE WHEN x.ref_date > {D(AS_OF)} THEN 'No Due Yet (' || CAST(x.ref_date - {D(AS_OF)} AS VARCHAR) || ' days left)' END AS days_text,
+       {aging.sql_buckets(f"({D(AS_OF)} - x.ref_date)", "x.balance", _SQL_SIX, total=False)}
 FROM (SELECT s.trx_id AS doc_id, 'TRX' AS doc_kind, i.customer_id, i.due_date AS ref_date, s.balance
       FROM (SELECT trx_id, SUM(amount) AS balance FROM {MOVEMENTS_SQL} m GROUP BY trx_id) s
       JOIN invoices i ON s.trx_id = i.trx_id
@@ -485,7 +498,7 @@ def aging_with_unapplied(t: Tables) -> DataFrame:
 
 _AR3_SQL = S.with_sql(f"""
 SELECT ob.customer_id, c.party_name, CAST(SUM(ob.remaining) AS DECIMAL(38,2)) AS total_due,
-       {aging.AR_SEVEN.sql_sums(f"({D(AS_OF)} - ob.due_date)", "ob.remaining")}
+       {aging.sql_buckets(f"({D(AS_OF)} - ob.due_date)", "ob.remaining", _SQL_SEVEN)}
 FROM {OPEN_BAL_SQL} ob JOIN customers c ON ob.customer_id = c.customer_id
 WHERE ob.remaining <> 0 GROUP BY ob.customer_id, c.party_name""", "invoices", "applications", "customers")
 
@@ -657,27 +670,69 @@ def project_attribution(t: Tables) -> DataFrame:
                     route.alias("project_route"))
 
 
-def _ar22_sql(basis: str, widen: int) -> str:
-    col = "ob.due_date" if basis == "due" else "ob.trx_date"
+def _ar22_sql(col: str) -> str:
+    days = f"({D(AS_OF)} - ob.{col})"
+    conditions = {"b0_30": "BETWEEN -60 AND 30", "b31_60": "BETWEEN 31 AND 60", "b61_90": "BETWEEN 61 AND 90",
+                  "b91_120": "BETWEEN 91 AND 120", "b120_plus": "> 120"}
     return S.with_sql(f"""
 SELECT ob.customer_id, CAST(SUM(ob.remaining) AS DECIMAL(38,2)) AS total_due,
-       {aging.AR_SEVEN.sql_sums(f"({D(AS_OF)} - {col} - {widen})", "ob.remaining")}
+       {aging.sql_buckets(days, "ob.remaining", conditions)}
 FROM {OPEN_BAL_SQL} ob WHERE ob.remaining <> 0 GROUP BY ob.customer_id""", "invoices", "applications")
 
 
 def _aging_basis(t: Tables, basis: str, widen: int) -> DataFrame:
+    """Five buckets by due or invoice date; ``widen`` moves only the lower
+    edge of the first bucket, earlier documents count in the total alone."""
     bal = open_balances(t).filter(F.col("remaining") != 0)
-    ref = F.col("due_date") if basis == "due" else F.col("trx_date")
-    bal = bal.withColumn("days", F.datediff(F.lit(AS_OF), ref) - F.lit(widen))
-    return aging.bucket_totals(bal, ["customer_id"], "days", "remaining", aging.AR_SEVEN)
+    bal = bal.withColumn("days", F.datediff(F.lit(AS_OF), F.col("due_date" if basis == "due" else "trx_date")))
+    return aging.bucket_totals(bal, ["customer_id"], "days", "remaining", aging.ar_widened(widen))
 
 
-@register("r_ar22_aging_invoice_date_widened", _ar22_sql("invoice", 60))
+@register("r_ar22_aging_invoice_date_widened", _ar22_sql("trx_date"))
 def aging_invoice_basis(t: Tables) -> DataFrame:
     """R-AR22: aging by invoice date with the optional -60 day widening."""
     return _aging_basis(t, "invoice", 60)
 
 
+@register("r_ar22_aging_due_date_widened", _ar22_sql("due_date"))
+def aging_due_basis(t: Tables) -> DataFrame:
+    """R-AR22: aging by due date with the optional -60 day widening."""
+    return _aging_basis(t, "due", 60)
+
+
+_AR7_SQL = S.with_sql(f"""
+SELECT c.unit_name, c.account_number, c.party_name, ob.trx_number, ob.trx_date, ob.due_date, ob.class,
+       CAST({D(AS_OF)} - ob.due_date AS INTEGER) AS days_overdue,
+       CASE WHEN {D(AS_OF)} - ob.due_date < 0 THEN 'Not Yet Due'
+            WHEN {D(AS_OF)} - ob.due_date <= 30 THEN 'Bucket 0-30'
+            WHEN {D(AS_OF)} - ob.due_date <= 60 THEN 'Bucket 31-60'
+            WHEN {D(AS_OF)} - ob.due_date <= 90 THEN 'Bucket 61-90'
+            WHEN {D(AS_OF)} - ob.due_date <= 120 THEN 'Bucket 91-120'
+            WHEN {D(AS_OF)} - ob.due_date <= 180 THEN 'Bucket 121-180'
+            WHEN {D(AS_OF)} - ob.due_date <= 360 THEN 'Bucket 181-360'
+            WHEN {D(AS_OF)} - ob.due_date > 360 THEN 'Above 360' ELSE 'Unknown' END AS aging_bucket,
+       CAST(ob.remaining AS DECIMAL(38,2)) AS func_remaining,
+       {aging.sql_buckets(f"({D(AS_OF)} - ob.due_date)", "ob.remaining", _SQL_EIGHT, total=False)}
+FROM {OPEN_BAL_SQL} ob JOIN customers c ON ob.customer_id = c.customer_id
+JOIN invoices i ON i.trx_id = ob.trx_id AND i.complete_flag = 'Y'
+WHERE ob.remaining <> 0""", "invoices", "applications", "customers")
+
+
+@register("r_ar7_transaction_aging_8", _AR7_SQL)
+def transaction_aging_8(t: Tables) -> DataFrame:
+    """R-AR7: one row per open complete transaction with its 8-bucket
+    position; the test tables hold no sites, so the unit stands for the place."""
+    bal = open_balances(t).filter((F.col("remaining") != 0) & (F.col("complete_flag") == "Y"))
+    days = F.datediff(F.lit(AS_OF), F.col("due_date"))
+    label = F.coalesce(aging.AR_EIGHT.label(days), F.lit("Unknown"))
+    cols = [F.when(label == F.lit(name), F.col("remaining")).otherwise(F.lit(0)).cast(TOTAL).alias(col)
+            for name, col, _, _ in aging.AR_EIGHT.buckets]
+    j = bal.join(S.customers(t).select("customer_id", "unit_name", "account_number", "party_name"), "customer_id")
+    return j.select("unit_name", "account_number", "party_name", "trx_number", "trx_date", "due_date", "class",
+                    days.alias("days_overdue"), label.alias("aging_bucket"),
+                    F.col("remaining").cast(TOTAL).alias("func_remaining"), *cols)
+
+
 _AR23_SQL = S.with_sql("""
 SELECT applied_trx_id, line_number, app_type,
        CASE WHEN acctd_amount <> amount THEN 'Y' ELSE 'N' END AS gain_loss_flag,
@@ -698,7 +753,7 @@ def application_typing(t: Tables) -> DataFrame:
 
 _AR24_SQL = S.with_sql(f"""
 SELECT r.customer_id, CAST(SUM(r.amount) AS DECIMAL(38,2)) AS received,
-       {aging.AR_FIVE.sql_sums(f"({D(AS_OF)} - r.receipt_date)", "r.amount")}
+       {aging.sql_buckets(f"({D(AS_OF)} - r.receipt_date)", "r.amount", _SQL_FIVE)}
 FROM receipts r WHERE r.receipt_date <= {D(AS_OF)} GROUP BY r.customer_id""", "receipts")
 
 
@@ -764,7 +819,7 @@ _AR10_SQL = S.with_sql(f"""
 SELECT i.trx_id, i.customer_id, CAST(ROUND(i.amount * COALESCE(i.exchange_rate, 1), 2) AS DECIMAL(38,2)) AS rec_amount,
        CAST(COALESCE(p.paid, 0) AS DECIMAL(38,2)) AS paid,
        CAST(ROUND(i.amount * COALESCE(i.exchange_rate, 1), 2) - COALESCE(p.paid, 0) AS DECIMAL(38,2)) AS balance,
-       {", ".join(f"CAST(CASE WHEN ({aging.AR_FIVE.sql_label(f'({D(AS_OF)} - i.due_date)')}) = '{lab}' THEN ROUND(i.amount * COALESCE(i.exchange_rate, 1), 2) - COALESCE(p.paid, 0) ELSE 0 END AS DECIMAL(38,2)) AS {col}" for lab, col, _, _ in aging.AR_FIVE.buckets)}
+       {aging.sql_buckets(f"({D(AS_OF)} - i.due_date)", "ROUND(i.amount * COALESCE(i.exchange_rate, 1), 2) - COALESCE(p.paid, 0)", _SQL_FIVE, total=False)}
 FROM invoices i
 LEFT JOIN (SELECT applied_trx_id, SUM(amount) AS paid FROM applications
            WHERE app_type = 'CASH' AND apply_date <= {D(AS_OF)}

@@ -13,8 +13,10 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.params import EVENTS_FROM, EVENTS_TO
-from tallyspark.functions.scalars import percent, sql_percent, div_round, sql_div_round
+from tallyspark.functions.params import AS_OF, EVENTS_FROM, EVENTS_TO
+from tallyspark.functions.scalars import (
+    div_round, percent, service_years, sql_div_round, sql_percent, sql_service_years,
+)
 from tallyspark.operators import effective as E
 from tallyspark.plans.registry import register
 from tallyspark.sources import standins as S
@@ -221,30 +223,25 @@ def holidays_per_person(t: Tables) -> DataFrame:
     return S.person_holidays(t).groupBy("person_id").agg(F.count_distinct("holiday_date").alias("holiday_days"))
 
 
-# Leave entitlement (days per year) by completed years of service.
-ENTITLEMENT_BANDS = [("21", None, 4), ("25", 5, 9), ("30", 10, None)]
-
-
 @register("r_tl13_leave_entitlement", S.with_sql(f"""
-SELECT person_id, service_years, CAST(entitlement AS INTEGER) AS entitlement_days,
-       {sql_div_round('CAST(entitlement AS INTEGER) * 100', '1200')} AS monthly_accrual
+SELECT person_id, service_years, entitlement_days, {sql_div_round('entitlement_days * 100', '1200')} AS monthly_accrual
 FROM (SELECT person_id, service_years,
-             CASE WHEN service_years <= 4 THEN '21' WHEN service_years >= 5 AND service_years <= 9 THEN '25' ELSE '30' END AS entitlement
-      FROM (SELECT person_id, CAST(floor((CASE WHEN day(DATE '2000-12-31') = day(date_start) OR
-            (DATE '2000-12-31' = last_day(DATE '2000-12-31') AND date_start = last_day(date_start))
-            THEN CAST((year(DATE '2000-12-31') - year(date_start)) * 12 + month(DATE '2000-12-31') - month(date_start) AS DOUBLE)
-            ELSE (year(DATE '2000-12-31') - year(date_start)) * 12 + month(DATE '2000-12-31') - month(date_start)
-                 + (day(DATE '2000-12-31') - day(date_start)) / 31.0 END) / 12) AS BIGINT) AS service_years
-            FROM service_periods) s) b""", "service_periods"))
+             CAST(CASE WHEN service_years < 1 THEN 10 WHEN service_years <= 5 THEN 15
+                       WHEN service_years <= 10 THEN 20 ELSE 25 END AS INTEGER) AS entitlement_days
+      FROM (SELECT person_id, {sql_service_years("DATE '2000-12-31'", "date_start")} AS service_years
+            FROM service_periods
+            WHERE date_start <= DATE '2000-12-31'
+              AND (actual_termination_date IS NULL OR actual_termination_date >= DATE '2000-12-31')) s) b""",
+                                                 "service_periods"))
 def leave_entitlement(t: Tables) -> DataFrame:
-    """R-TL13: entitlement by completed years of service (bands, first
-    match wins) and the monthly accrual (entitlement / 12, exact)."""
-    from tallyspark.functions.scalars import band
-    from tallyspark.functions.params import AS_OF
-    s = S.service_periods(t)
-    yrs = F.floor(F.months_between(F.lit(AS_OF), F.col("date_start"), False) / 12).cast("bigint")
-    s = s.select("person_id", yrs.alias("service_years"))
-    ent = band("service_years", ENTITLEMENT_BANDS).cast("int")
+    """R-TL13: entitlement of the people in service at the date by years of
+    service (2 decimals) and the monthly accrual (entitlement / 12, exact).
+    Fixed values: 10 days below 1 year, 15 up to 5, 20 up to 10, then 25."""
+    s = S.service_periods(t).filter((F.col("date_start") <= F.lit(AS_OF))
+                                    & F.coalesce(F.col("actual_termination_date") >= F.lit(AS_OF), F.lit(True)))
+    s = s.select("person_id", service_years(F.lit(AS_OF), "date_start").alias("service_years"))
+    y = F.col("service_years")
+    ent = F.when(y < 1, 10).when(y <= 5, 15).when(y <= 10, 20).otherwise(25).cast("int")
     return s.select("person_id", "service_years", ent.alias("entitlement_days"),
                     div_round(ent * 100, F.lit(1200), 2).alias("monthly_accrual"))
 

@@ -4,6 +4,7 @@ skewed keys, zero divisors, 29 February, and the worked numbers."""
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tallyspark.operators import effective as E
 from tallyspark.operators import joins as J
 from tallyspark.operators import quality as Q
 from tallyspark.operators import windows as W
+from tallyspark.operators import aging
 from tallyspark.operators.aging import AR_FIVE, bucket_totals
 from tallyspark.operators.movements import union_branches
 
@@ -162,6 +164,39 @@ def test_aging_buckets_sum_to_total(spark):
     assert out["current_amt"] == Decimal(20) and out["b90_plus"] == Decimal(20)
 
 
+@pytest.mark.parametrize("bset,last_days", [
+    (aging.AR_FIVE, (0, 30, 60, 90)),
+    (aging.AR_SEVEN, (0, 30, 60, 90, 180, 360)),
+    (aging.AR_EIGHT, (-1, 30, 60, 90, 120, 180, 360)),
+    (aging.AR_SIX_NOT_DUE, (-1, 30, 60, 90, 120)),
+    (aging.UNAPPLIED_EIGHT, (0, 30, 60, 90, 120, 180, 365)),
+    (aging.AP_FOURTEEN, (-1, 7, 15, 30, 45, 60, 75, 90, 120, 150, 180, 360, 720)),
+])
+def test_bucket_edges(spark, bset, last_days):
+    """The last day of each bucket and the day after it."""
+    days = sorted({x for d in last_days for x in (d, d + 1)})
+    df = spark.createDataFrame([(d,) for d in days], "days int")
+    got = {r.days: r.label for r in df.select("days", bset.label("days").alias("label")).collect()}
+    names = [b[0] for b in bset.buckets]
+    assert got == {d: names[sum(d > last for last in last_days)] for d in days}
+
+
+def test_widened_first_bucket(spark):
+    """Only the lower edge of the first bucket moves; earlier days have none."""
+    df = spark.createDataFrame([(d,) for d in (-61, -60, -1, 0, 30, 31, 120, 121)], "days int")
+    for widen, first in ((60, ["0-30"] * 4), (0, [None, None, "0-30", "0-30"])):
+        got = [r.label for r in df.select(aging.ar_widened(widen).label("days").alias("label")).collect()]
+        assert got == [None, *first[:3], "0-30", "31-60", "91-120", ">120"]
+
+
+def test_service_years_to_two_decimals(spark):
+    from datetime import date
+    from tallyspark.functions.scalars import service_years
+    df = spark.createDataFrame([(date(1999, 12, 31),), (date(2000, 1, 1),), (date(1995, 12, 31),), (date(2000, 6, 30),), (None,)], "d date")
+    got = [r.y for r in df.select(service_years(F.lit(date(2000, 12, 31)), "d").alias("y")).collect()]
+    assert got == [Decimal("1.00"), Decimal("1.00"), Decimal("5.00"), Decimal("0.50"), None]
+
+
 def test_quality_operators(spark):
     child = spark.createDataFrame([(1, 10), (2, 99)], "id int, parent int")
     parent = spark.createDataFrame([(10,)], "pid int")
