@@ -110,12 +110,28 @@ def running_total_range(df: DataFrame, keys: Sequence[str], order: str, value, o
     return df.join(per, [*keys, order], "inner")
 
 
+SALTS = 8
+
+
+def join_back(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of detail rows with one row per key, salted.
+
+    An aggregate is no bare shuffle, so AQE would not split a hot key here.
+    Each detail row takes a salt from a hash of its own columns (the same
+    after a retry), each per-key row appears once per salt, and the join
+    hashes on key and salt: a hot key lands in up to ``SALTS`` tasks.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)).cast("int")
+    copies = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("__salt", salt).join(copies, [*keys, "__salt"], "inner").drop("__salt")
+
+
 def partition_total(df: DataFrame, keys: Sequence[str], value, out: str, bounded: bool = False) -> DataFrame:
     """Group total beside each detail row.
 
     For a fact (``bounded=False``) the total is a partial aggregate joined
-    back, so a hot key is never sorted whole in one task (AQE splits the
-    skewed join partition).  For an input whose size does not grow with the
+    back with salt (:func:`join_back`), so a hot key is never whole in one
+    task.  For an input whose size does not grow with the
     data -- an aggregate per account, region or month (``bounded=True``) --
     a window is used instead, so the input is computed once, not twice.
     """
@@ -123,8 +139,7 @@ def partition_total(df: DataFrame, keys: Sequence[str], value, out: str, bounded
     v = F.col(value) if isinstance(value, str) else value
     if bounded:
         return df.withColumn(out, F.sum(v).over(Window.partitionBy(*keys)))
-    tot = df.groupBy(*keys).agg(F.sum(v).alias(out))
-    return df.join(tot, keys, "inner")
+    return join_back(df, df.groupBy(*keys).agg(F.sum(v).alias(out)), keys)
 
 
 

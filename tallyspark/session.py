@@ -55,10 +55,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (single-machine tests) a private folder is created and registered.
+    and the master is local (tests) a private folder is created; on a
+    cluster that is an error, as executors would not share the folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

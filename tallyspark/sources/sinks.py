@@ -21,11 +21,10 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
 def burst(df: DataFrame, path: str, key: str = "burst_key", fmt: str = "csv") -> None:
     """Split one report into one folder per key value.
 
-    Rows are clustered by the key first so each key is written by as few
-    tasks as possible (one file per key and task), without collecting any
-    key group in one task.
+    The rebalance hint clusters rows by the key for few files per key; AQE
+    splits a key that is larger than a partition should be over several tasks.
     """
-    w = df.repartition(key).write.mode("overwrite").partitionBy(key)
+    w = df.hint("rebalance", key).write.mode("overwrite").partitionBy(key)
     if fmt == "csv":
         w.option("header", "true").csv(path)
     else:

@@ -18,7 +18,7 @@ import duckdb
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SRC = "/root/testdata/sf0.01"
-QUERIES = ["r_ar2_customer_ledger", "r_ar12_production_ledger", "r_gl2_journal_voucher", "a6_ordered_listagg",
+QUERIES = ["w11_net_per_document", "a11_proration", "r_ar2_customer_ledger", "r_ar12_production_ledger", "r_gl2_journal_voucher", "a6_ordered_listagg",
            "v1_latest_at_or_before", "j8_effective_at_row_date", "w10_serial_number"]
 
 
