@@ -211,25 +211,60 @@ def time_to_hire(t: Tables) -> DataFrame:
     return j.select("person_id", "first_applied", "first_hired", d.alias("days_to_hire"), rating.alias("rating"))
 
 
-@register("r_rc11_stage_alerts", S.with_sql(f"""
-SELECT person_id, last_stage, last_date, {D(EVENTS_TO)} - last_date AS days_in_stage,
-       CASE WHEN {D(EVENTS_TO)} - last_date > 14 THEN 'HIGH' WHEN {D(EVENTS_TO)} - last_date > 7 THEN 'MEDIUM' ELSE 'LOW' END AS priority
-FROM (SELECT person_id,
-             arg_max(CASE WHEN hired = 1 THEN 'HIRED' WHEN accepted = 1 THEN 'ACCEPTED' WHEN offered = 1 THEN 'OFFERED' ELSE 'APPLIED' END,
-                     (submission_date, submission_id)) AS last_stage,
-             MAX(submission_date) AS last_date
-      FROM submissions GROUP BY person_id) x""", "submissions"))
+@register("r_rc11_stage_alerts", S.with_sql("""
+SELECT person_id, submission_id, current_status, days_since_submission, days_to_start, alert_message,
+       CASE WHEN days_to_start < 7 AND current_status = 'Accepted' THEN 'HIGH'
+            WHEN days_to_start < 14 AND current_status = 'Accepted' THEN 'MEDIUM'
+            WHEN days_since_submission > 30 THEN 'HIGH'
+            WHEN days_since_submission > 14 THEN 'MEDIUM' ELSE 'LOW' END AS alert_priority
+FROM (SELECT *, CASE WHEN current_status IN ('To be Reviewed', 'Shared with Hiring Manager') AND days_since_submission > 7
+                     THEN 'Alert: Pending review > 7 days'
+                     WHEN current_status = 'Approved' AND days_since_submission > 3
+                     THEN 'Alert: Approved offer not extended > 3 days'
+                     WHEN current_status = 'Extended' AND days_since_submission > 14
+                     THEN 'Alert: Offer extended > 14 days, not accepted'
+                     WHEN current_status = 'Accepted' AND days_to_start < 14
+                     THEN 'Alert: Pre-employment activities must complete in < 14 days'
+                     ELSE 'No Alert' END AS alert_message
+      FROM (SELECT person_id, submission_id, DATE '2024-01-30' - submission_date AS days_since_submission,
+                   CASE WHEN accepted = 1 OR offered = 1 THEN (submission_date + 30) - DATE '2024-01-30' END AS days_to_start,
+                   CASE WHEN accepted = 1 THEN 'Accepted' WHEN offered = 1 AND person_id % 2 = 0 THEN 'Extended'
+                        WHEN offered = 1 THEN 'Approved' WHEN submission_id % 2 = 0 THEN 'To be Reviewed'
+                        ELSE 'Shared with Hiring Manager' END AS current_status
+            FROM submissions WHERE hired = 0 AND (applied = 1 OR offered = 1 OR accepted = 1)) s) a
+WHERE alert_message <> 'No Alert'""", "submissions"))
 def stage_alerts(t: Tables) -> DataFrame:
-    """R-RC11: stage of the latest submission and an alert priority by
-    elapsed days (bands evaluated after the value exists, §8 #21)."""
-    s = S.submissions(t)
-    stage = (F.when(F.col("hired") == 1, "HIRED").when(F.col("accepted") == 1, "ACCEPTED")
-             .when(F.col("offered") == 1, "OFFERED").otherwise("APPLIED"))
-    g = s.groupBy("person_id").agg(F.max_by(stage, F.struct("submission_date", "submission_id")).alias("last_stage"),
-                                   F.max("submission_date").alias("last_date"))
-    g = g.withColumn("days_in_stage", F.datediff(F.lit(EVENTS_TO), F.col("last_date")).cast("bigint"))
-    pr = F.when(F.col("days_in_stage") > 14, "HIGH").when(F.col("days_in_stage") > 7, "MEDIUM").otherwise("LOW")
-    return g.withColumn("priority", pr)
+    """R-RC11: active submissions with an alert, by status, days since the
+    submission and days to the projected start, and the alert's priority
+    (X5; both are worked out before the bands, §8 #21).
+
+    Stand-ins: a submission is active unless hired or withdrawn; an offer is
+    extended for even persons, else approved only; its projected start is 30
+    days after the submission."""
+    s = S.submissions(t).filter("hired = 0 and (applied = 1 or offered = 1 or accepted = 1)")
+    offer = (F.col("accepted") == 1) | (F.col("offered") == 1)
+    status = (F.when(F.col("accepted") == 1, "Accepted")
+               .when((F.col("offered") == 1) & (F.col("person_id") % 2 == 0), "Extended").when(F.col("offered") == 1, "Approved")
+               .when(F.col("submission_id") % 2 == 0, "To be Reviewed").otherwise("Shared with Hiring Manager"))
+    s = s.select("person_id", "submission_id", status.alias("current_status"),
+                 F.datediff(F.lit(EVENTS_TO), "submission_date").cast("bigint").alias("days_since_submission"),
+                 F.when(offer, F.datediff(F.date_add("submission_date", 30), F.lit(EVENTS_TO)).cast("bigint")).alias("days_to_start"))
+    return stage_alert_columns(s).filter(F.col("alert_message") != "No Alert")
+
+
+def stage_alert_columns(s: DataFrame) -> DataFrame:
+    """``s`` with alert_message and alert_priority from current_status,
+    days_since_submission and days_to_start (null without an offer)."""
+    st, since, to = F.col("current_status"), F.col("days_since_submission"), F.col("days_to_start")
+    message = (F.when(st.isin("To be Reviewed", "Shared with Hiring Manager") & (since > 7), "Alert: Pending review > 7 days")
+                .when((st == "Approved") & (since > 3), "Alert: Approved offer not extended > 3 days")
+                .when((st == "Extended") & (since > 14), "Alert: Offer extended > 14 days, not accepted")
+                .when((st == "Accepted") & (to < 14), "Alert: Pre-employment activities must complete in < 14 days")
+                .otherwise("No Alert"))
+    accepted = st == "Accepted"
+    priority = (F.when(accepted & (to < 7), "HIGH").when(accepted & (to < 14), "MEDIUM")
+                 .when(since > 30, "HIGH").when(since > 14, "MEDIUM").otherwise("LOW"))
+    return s.withColumn("alert_message", message).withColumn("alert_priority", priority)
 
 
 @register("r_rc18_internal_candidate_flag", S.with_sql("""

@@ -146,19 +146,38 @@ def project_summary(t: Tables) -> DataFrame:
 
 
 @register("r_pj10_plan_status_map", S.with_sql("""
-SELECT plan_class, plan_status,
-       CASE plan_class WHEN 'BUDGET' THEN CASE plan_status WHEN 'BASELINED' THEN 'Current Baseline'
-                                                           WHEN 'SUBMITTED' THEN 'Submitted' ELSE 'Working' END
-                       ELSE CASE plan_status WHEN 'BASELINED' THEN 'Approved Forecast' ELSE 'Draft Forecast' END END AS status_label,
-       COUNT(*) AS versions
-FROM plan_versions GROUP BY 1, 2, 3""", "plan_versions"))
+SELECT plan_class, plan_status, current_plan_status_flag, original_flag,
+       CASE plan_class
+         WHEN 'BUDGET' THEN CASE code
+           WHEN 'W' THEN CASE current_plan_status_flag WHEN 'Y' THEN 'CW' ELSE code END
+           WHEN 'B' THEN CASE current_plan_status_flag || original_flag WHEN 'YY' THEN 'COB' WHEN 'YN' THEN 'CB'
+                                                                        WHEN 'NY' THEN 'OB' ELSE code END END
+         WHEN 'FORECAST' THEN CASE code
+           WHEN 'W' THEN CASE current_plan_status_flag WHEN 'Y' THEN 'CW' ELSE code END
+           WHEN 'B' THEN CASE current_plan_status_flag || original_flag WHEN 'YY' THEN 'COA' WHEN 'YN' THEN 'CA'
+                WHEN 'NY' THEN 'OA' WHEN 'PY' THEN 'POA' WHEN 'PN' THEN 'PA' ELSE 'A' END
+           WHEN 'S' THEN code END
+       END AS status_code, COUNT(*) AS versions
+FROM (SELECT *, substr(plan_status, 1, 1) AS code FROM plan_versions) v GROUP BY 1, 2, 3, 4, 5""", "plan_versions"))
 def plan_status_map(t: Tables) -> DataFrame:
-    """R-PJ10: nested status code map (DECODE within DECODE)."""
+    """R-PJ10: nested status code map (DECODE within DECODE) by class, status
+    code (W, B, S) and the current and original flags; no match is null."""
     pv = S.plan_versions(t)
-    inner_b = decode("plan_status", [("BASELINED", "Current Baseline"), ("SUBMITTED", "Submitted")], "Working")
-    inner_f = decode("plan_status", [("BASELINED", "Approved Forecast")], "Draft Forecast")
-    lab = decode("plan_class", [("BUDGET", inner_b)], inner_f)
-    return pv.groupBy("plan_class", "plan_status", lab.alias("status_label")).agg(F.count(F.lit(1)).alias("versions"))
+    return (pv.groupBy("plan_class", "plan_status", "current_plan_status_flag", "original_flag",
+                       plan_status_code(F.substring("plan_status", 1, 1)).alias("status_code"))
+              .agg(F.count(F.lit(1)).alias("versions")))
+
+
+def plan_status_code(code: F.Column) -> F.Column:
+    """The plan status codes by class and flags."""
+    flags = F.concat("current_plan_status_flag", "original_flag")
+    working = F.when(F.col("current_plan_status_flag") == "Y", "CW").otherwise(code)
+    budget = (F.when(code == "W", working)
+               .when(code == "B", decode(flags, [("YY", "COB"), ("YN", "CB"), ("NY", "OB")], code)))
+    forecast = (F.when(code == "W", working)
+                 .when(code == "B", decode(flags, [("YY", "COA"), ("YN", "CA"), ("NY", "OA"), ("PY", "POA"), ("PN", "PA")], "A"))
+                 .when(code == "S", code))
+    return F.when(F.col("plan_class") == "BUDGET", budget).when(F.col("plan_class") == "FORECAST", forecast)
 
 
 @register("r_co7_unpaid_supplier_invoices", S.with_sql("""

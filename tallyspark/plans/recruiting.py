@@ -245,34 +245,57 @@ def pending_offer_priority(t: Tables) -> DataFrame:
                     pr.otherwise(FOLLOW_UP_DEFAULT).alias("follow_up_priority"))
 
 
+# Transition states of an offer.
+RC14_ACTIVE = "Hired - Active Employee"
+RC14_PENDING = "Hired - Pending Worker (Not Yet Active)"
+RC14_AWAITING_HIRE = "Offer Accepted - Awaiting Hire"
+RC14_AWAITING_ACCEPTANCE = "Offer Extended - Awaiting Acceptance"
+RC14_IN_PROGRESS = "Offer in Progress"
+
 _RC14_SQL = S.with_sql("""
-SELECT o.offer_id, o.accepted_date, e.first_work_date,
-       CASE WHEN e.first_work_date IS NOT NULL THEN 'EMPLOYEE CREATED' WHEN o.hire_date IS NOT NULL THEN 'PENDING START'
-            ELSE 'AWAITING HIRE' END AS transition_status,
-       CASE WHEN e.first_work_date IS NOT NULL THEN 3 WHEN o.hire_date IS NOT NULL THEN 1 ELSE 2 END AS sort_rank
-FROM offers o
-LEFT JOIN (SELECT t.resource_id, MIN(t.work_date) AS first_work_date FROM time_records t
-           JOIN offers x ON x.person_id = t.resource_id AND t.work_date >= x.accepted_date GROUP BY t.resource_id) e
-  ON e.resource_id = o.person_id
-WHERE o.accepted_date IS NOT NULL""", "offers", "time_records")
+SELECT offer_id, extended_date, accepted_date, projected_start_date, actual_start_date, transition_status,
+       actual_start_date - projected_start_date AS start_date_variance_days,
+       CAST(CASE transition_status WHEN 'Offer Accepted - Awaiting Hire' THEN 1
+                                   WHEN 'Hired - Pending Worker (Not Yet Active)' THEN 2 ELSE 3 END AS INTEGER) AS sort_rank
+FROM (SELECT o.offer_id, o.extended_date, o.accepted_date, o.extended_date + 14 AS projected_start_date,
+             o.hire_date AS actual_start_date,
+             CASE WHEN o.hire_date IS NOT NULL AND w.last_work_date >= o.hire_date THEN 'Hired - Active Employee'
+                  WHEN o.hire_date IS NOT NULL THEN 'Hired - Pending Worker (Not Yet Active)'
+                  WHEN o.accepted_date IS NOT NULL THEN 'Offer Accepted - Awaiting Hire'
+                  WHEN o.extended_date IS NOT NULL THEN 'Offer Extended - Awaiting Acceptance'
+                  ELSE 'Offer in Progress' END AS transition_status
+      FROM offers o
+      LEFT JOIN (SELECT resource_id, MAX(work_date) AS last_work_date FROM time_records GROUP BY resource_id) w
+        ON w.resource_id = o.person_id
+      WHERE o.extended_date >= DATE '2024-01-01') x""", "offers", "time_records")
+
+
+def transition_status(hired, active, accepted, extended) -> F.Column:
+    """Transition state from four booleans, the first that holds."""
+    return (F.when(hired & active, RC14_ACTIVE).when(hired, RC14_PENDING).when(accepted, RC14_AWAITING_HIRE)
+             .when(extended, RC14_AWAITING_ACCEPTANCE).otherwise(RC14_IN_PROGRESS))
 
 
 @register("r_rc14_offer_transition", _RC14_SQL)
 def offer_transition(t: Tables) -> DataFrame:
-    """R-RC14: accepted offers and whether the candidate has become an
-    employee (first time record on or after acceptance), with a derived
-    sort rank (O2: pending first)."""
-    o = offers(t).filter(F.col("accepted_date").isNotNull())
-    tr = S.time_records(t).select(F.col("resource_id").alias("person_id"), "work_date")
-    first = (tr.join(o.select("person_id", "accepted_date"), "person_id")
-               .filter(F.col("work_date") >= F.col("accepted_date"))
-               .groupBy("person_id").agg(F.min("work_date").alias("first_work_date")))
-    j = o.join(first, "person_id", "left")
-    st = (F.when(F.col("first_work_date").isNotNull(), "EMPLOYEE CREATED")
-          .when(F.col("hire_date").isNotNull(), "PENDING START").otherwise("AWAITING HIRE"))
-    rank = F.when(F.col("first_work_date").isNotNull(), 3).when(F.col("hire_date").isNotNull(), 1).otherwise(2)
-    return j.select("offer_id", "accepted_date", "first_work_date", st.alias("transition_status"),
-                    rank.alias("sort_rank")).orderBy("sort_rank", "offer_id")
+    """R-RC14: every offer extended from the period's start, its transition
+    state, the days from projected to actual start and a derived sort rank
+    (O2: accepted and awaiting hire first, pending workers next).
+
+    Stand-ins: a hired candidate has an employee assignment, active once a
+    time record lies on or after the hire date; an offer's projected start is
+    14 days after it was extended."""
+    o = offers(t).filter(F.col("extended_date") >= F.lit(EVENTS_FROM))
+    worked = S.time_records(t).groupBy(F.col("resource_id").alias("person_id")).agg(F.max("work_date").alias("last_work_date"))
+    j = o.join(worked, "person_id", "left")
+    active = F.coalesce(F.col("last_work_date") >= F.col("hire_date"), F.lit(False))
+    st = transition_status(F.col("hire_date").isNotNull(), active, F.col("accepted_date").isNotNull(), F.col("extended_date").isNotNull())
+    j = j.withColumn("projected_start_date", F.date_add("extended_date", 14)).withColumn("transition_status", st)
+    rank = (F.when(F.col("transition_status") == RC14_AWAITING_HIRE, 1)
+             .when(F.col("transition_status") == RC14_PENDING, 2).otherwise(3))
+    return j.select("offer_id", "extended_date", "accepted_date", "projected_start_date", F.col("hire_date").alias("actual_start_date"),
+                    "transition_status", F.datediff("hire_date", "projected_start_date").cast("bigint").alias("start_date_variance_days"),
+                    rank.alias("sort_rank")).orderBy("sort_rank", "projected_start_date", "offer_id")
 
 
 # Pre-employment checklist items keyed by the event type that completes them.

@@ -148,37 +148,49 @@ def procure_to_pay(t: Tables) -> DataFrame:
 
 
 @register("r_p2p2_lead_time_savings", S.with_sql("""
-SELECT req_id, rcv_date - po_date AS lead_time_days,
+SELECT req_id, po_approved_date - req_date AS lead_time_days,
        CAST(req_amount - po_amount AS DECIMAL(38,2)) AS savings,
-       CASE WHEN rcv_amount IS NOT NULL AND inv_amount IS NULL THEN 'Y' ELSE 'N' END AS received_not_invoiced
+       CAST(COALESCE(rcv_amount, 0) - COALESCE(inv_amount, 0) AS DECIMAL(38,2)) AS grn_pending_invoice
 FROM p2p_stages WHERE po_amount IS NOT NULL""", "p2p_stages"))
 def lead_time_savings(t: Tables) -> DataFrame:
-    """R-P2P2: lead time in days, savings, receipt-not-invoiced flag."""
+    """R-P2P2: days from requisition approval to order approval, savings, and
+    the received value that is not invoiced."""
     s = S.p2p_stages(t).filter(F.col("po_amount").isNotNull())
-    return s.select("req_id", F.datediff("rcv_date", "po_date").cast("bigint").alias("lead_time_days"),
+    pending = F.coalesce("rcv_amount", F.lit(0)) - F.coalesce("inv_amount", F.lit(0))
+    return s.select("req_id", F.datediff("po_approved_date", "req_date").cast("bigint").alias("lead_time_days"),
                     (F.col("req_amount") - F.col("po_amount")).cast(TOTAL).alias("savings"),
-                    F.when(F.col("rcv_amount").isNotNull() & F.col("inv_amount").isNull(), "Y").otherwise("N")
-                    .alias("received_not_invoiced"))
+                    pending.cast(TOTAL).alias("grn_pending_invoice"))
+
+
+def grn_open(s: DataFrame) -> F.Column:
+    """Y while a receipt waits for its invoice: an approved, validated invoice
+    below the receipt's value, or none yet; else N."""
+    rcv, inv = F.col("rcv_amount"), F.col("inv_amount")
+    invoiced = (inv.isNotNull() & (F.col("validation_status") == "VALIDATED")
+                & F.col("approval_status").isin(*S.APPROVALS[:-1]) & (rcv - inv > 0))
+    return F.when(rcv.isNotNull() & (invoiced | (inv.isNull() & (rcv > 0))), "Y").otherwise("N")
 
 
 @register("r_p2p3_p2p6_match_status", S.with_sql("""
 SELECT CASE WHEN po_amount IS NULL THEN 'NO PO'
-            WHEN rcv_amount IS NOT NULL AND inv_amount IS NOT NULL AND pay_amount IS NOT NULL THEN '4-WAY'
+            WHEN rcv_amount IS NOT NULL AND inspected = 'Y' AND inv_amount IS NOT NULL THEN '4-WAY'
             WHEN rcv_amount IS NOT NULL AND inv_amount IS NOT NULL THEN '3-WAY'
             WHEN inv_amount IS NOT NULL THEN '2-WAY' ELSE 'UNMATCHED' END AS match_class,
-       CASE WHEN rcv_amount IS NOT NULL AND (inv_amount IS NULL OR inv_amount < rcv_amount) THEN 'OPEN' ELSE 'CLOSED' END AS grn_status,
+       CASE WHEN rcv_amount IS NOT NULL AND inv_amount IS NOT NULL AND validation_status = 'VALIDATED'
+             AND approval_status IN ('Manually approved', 'Workflow approved', 'Approved', 'Not required')
+             AND rcv_amount - inv_amount > 0 THEN 'Y'
+            WHEN rcv_amount IS NOT NULL AND inv_amount IS NULL AND rcv_amount > 0 THEN 'Y'
+            ELSE 'N' END AS grn_open_status,
        COUNT(*) AS documents
 FROM p2p_stages GROUP BY 1, 2""", "p2p_stages"))
 def match_status(t: Tables) -> DataFrame:
-    """R-P2P3/R-P2P6: 2/3/4-way match class and goods-received open status."""
+    """R-P2P3/R-P2P6: 2-way (order, invoice), 3-way (with receipt) and 4-way
+    (with inspection) match class, and whether the receipt is open."""
     s = S.p2p_stages(t)
-    cls = (F.when(F.col("po_amount").isNull(), "NO PO")
-           .when(F.col("rcv_amount").isNotNull() & F.col("inv_amount").isNotNull() & F.col("pay_amount").isNotNull(), "4-WAY")
-           .when(F.col("rcv_amount").isNotNull() & F.col("inv_amount").isNotNull(), "3-WAY")
-           .when(F.col("inv_amount").isNotNull(), "2-WAY").otherwise("UNMATCHED"))
-    grn = F.when(F.col("rcv_amount").isNotNull() & (F.col("inv_amount").isNull() | (F.col("inv_amount") < F.col("rcv_amount"))),
-                 "OPEN").otherwise("CLOSED")
-    return s.groupBy(cls.alias("match_class"), grn.alias("grn_status")).agg(F.count(F.lit(1)).alias("documents"))
+    rcv, inv = F.col("rcv_amount").isNotNull(), F.col("inv_amount").isNotNull()
+    cls = (F.when(F.col("po_amount").isNull(), "NO PO").when(rcv & (F.col("inspected") == "Y") & inv, "4-WAY")
+           .when(rcv & inv, "3-WAY").when(inv, "2-WAY").otherwise("UNMATCHED"))
+    return s.groupBy(cls.alias("match_class"), grn_open(s).alias("grn_open_status")).agg(F.count(F.lit(1)).alias("documents"))
 
 
 @register("r_p2p5_supplier_qualification", S.with_sql(f"""

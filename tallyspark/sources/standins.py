@@ -668,20 +668,33 @@ FROM (SELECT l_partkey AS item_id, CAST(date_trunc('month', l_shipdate) AS DATE)
       FROM lineitem GROUP BY l_partkey, CAST(date_trunc('month', l_shipdate) AS DATE)) g""")
 
 
+# Invoice approval states; all but the last count as approved.
+APPROVALS = ("Manually approved", "Workflow approved", "Approved", "Not required", "Required")
+
+
 def p2p_stages(t: Tables) -> DataFrame:
     """Requisition -> order -> receipt -> invoice -> payment, per order.
 
     Each stage is aggregated per order *before* the join, so a stage with
     several lines cannot multiply another stage's sum (§8 #15); the three
     line stages come from ONE conditional aggregation of the lines and the
-    requisition and order stages from one read of the orders.
+    requisition and order stages from one read of the orders.  Stand-ins: the
+    requisition is approved on its date and the order as many days later as
+    the priority's digit; urgent and high orders are inspected on receipt;
+    invoices of every tenth requisition are not validated, and those whose
+    id leaves 4 when divided by 5 await approval.
     """
     o = t.orders
     placed = F.col("o_orderstatus") != "P"
     req = o.select(F.col("o_orderkey").alias("req_id"), F.col("o_custkey").alias("requester_id"),
                    F.to_date("o_orderdate").alias("req_date"), money("o_totalprice").alias("req_amount"),
                    F.when(placed, F.to_date("o_orderdate")).alias("po_date"),
-                   F.when(placed, money("o_totalprice")).alias("po_amount"))
+                   F.when(placed, money("o_totalprice")).alias("po_amount"),
+                   F.when(placed, F.date_add(F.to_date("o_orderdate"), F.substring("o_orderpriority", 1, 1).cast("int")))
+                   .alias("po_approved_date"),
+                   F.when(placed & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Y").otherwise("N").alias("inspected"),
+                   F.when(F.col("o_orderkey") % 10 == 0, "NEEDS REVALIDATION").otherwise("VALIDATED").alias("validation_status"),
+                   F.element_at(F.array(*[F.lit(x) for x in APPROVALS]), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("approval_status"))
     app = applications(t)
 
     def stage(cond, prefix):
@@ -701,11 +714,17 @@ def _stage_sql(cond: str, prefix: str) -> str:
 
 _cte("p2p_stages", ("applications",), f"""
 SELECT r.req_id, r.requester_id, r.req_date, r.req_amount, po.po_date, po.po_amount,
-       rc.rcv_amount, rc.rcv_date, iv.inv_amount, iv.inv_date, py.pay_amount, py.pay_date
+       rc.rcv_amount, rc.rcv_date, iv.inv_amount, iv.inv_date, py.pay_amount, py.pay_date, po.po_approved_date,
+       CASE WHEN po.priority IN ('1-URGENT', '2-HIGH') THEN 'Y' ELSE 'N' END AS inspected,
+       CASE WHEN r.req_id % 10 = 0 THEN 'NEEDS REVALIDATION' ELSE 'VALIDATED' END AS validation_status,
+       CASE r.req_id % 5 WHEN 0 THEN 'Manually approved' WHEN 1 THEN 'Workflow approved' WHEN 2 THEN 'Approved'
+                         WHEN 3 THEN 'Not required' ELSE 'Required' END AS approval_status
 FROM (SELECT o_orderkey AS req_id, o_custkey AS requester_id, CAST(o_orderdate AS DATE) AS req_date,
              CAST(o_totalprice AS DECIMAL(18,2)) AS req_amount FROM orders) r
 LEFT JOIN (SELECT o_orderkey AS req_id, CAST(o_orderdate AS DATE) AS po_date,
-                  CAST(o_totalprice AS DECIMAL(18,2)) AS po_amount FROM orders WHERE o_orderstatus <> 'P') po
+                  CAST(o_totalprice AS DECIMAL(18,2)) AS po_amount, o_orderpriority AS priority,
+                  CAST(o_orderdate AS DATE) + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS po_approved_date
+           FROM orders WHERE o_orderstatus <> 'P') po
        ON r.req_id = po.req_id
 LEFT JOIN {_stage_sql("line_status = 'F'", "rcv")} rc ON r.req_id = rc.req_id
 LEFT JOIN {_stage_sql("return_flag IN ('A', 'R')", "inv")} iv ON r.req_id = iv.req_id
@@ -757,7 +776,8 @@ FROM lineitem JOIN part ON l_partkey = p_partkey""")
 
 
 def plan_versions(t: Tables) -> DataFrame:
-    """Budget/forecast versions: project = customer; BUDGET for priority 1-2."""
+    """Budget/forecast versions: project = customer; BUDGET for priority 1-2;
+    the current (Y, N, P) and original (Y, N) flags go by the order's key."""
     o = t.orders
     pr = F.substring("o_orderpriority", 1, 1).cast("int")
     return o.select(
@@ -768,6 +788,8 @@ def plan_versions(t: Tables) -> DataFrame:
          .otherwise("WORKING").alias("plan_status"),
         F.to_date("o_orderdate").alias("submitted_date"),
         money("o_totalprice").alias("plan_amount"),
+        F.element_at(F.array(F.lit("Y"), F.lit("N"), F.lit("P")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("current_plan_status_flag"),
+        F.when(F.col("o_orderkey") % 2 == 0, "Y").otherwise("N").alias("original_flag"),
     )
 
 
@@ -775,7 +797,9 @@ _cte("plan_versions", (), """
 SELECT o_orderkey AS plan_version_id, o_custkey AS project_id,
        CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) <= 2 THEN 'BUDGET' ELSE 'FORECAST' END AS plan_class,
        CASE o_orderstatus WHEN 'F' THEN 'BASELINED' WHEN 'O' THEN 'SUBMITTED' ELSE 'WORKING' END AS plan_status,
-       CAST(o_orderdate AS DATE) AS submitted_date, CAST(o_totalprice AS DECIMAL(18,2)) AS plan_amount
+       CAST(o_orderdate AS DATE) AS submitted_date, CAST(o_totalprice AS DECIMAL(18,2)) AS plan_amount,
+       CASE o_orderkey % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' ELSE 'P' END AS current_plan_status_flag,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'Y' ELSE 'N' END AS original_flag
 FROM orders""")
 
 
