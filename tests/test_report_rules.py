@@ -2,11 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from tallyspark.plans.people import stage_alert_columns
-from tallyspark.plans.projects import plan_status_code
-from tallyspark.plans.recruiting import transition_status
-from tallyspark.plans.supply import grn_open
-from tallyspark.plans.time_labor import weekly_overtime
+from tallyspark.plans.registry import load_all
+
+load_all()
+
+from tallyspark.plans.people import stage_alert_columns  # noqa: E402
+from tallyspark.plans.projects import plan_status_code  # noqa: E402
+from tallyspark.plans.recruiting import transition_status  # noqa: E402
+from tallyspark.plans.supply import grn_open  # noqa: E402
+from tallyspark.plans.time_labor import weekly_overtime  # noqa: E402
 
 
 def test_stage_alerts_at_their_limits(spark):
