@@ -217,27 +217,49 @@ LEAVE_DAYS = 30
 
 
 @register("r_py3_cost_to_company", S.with_sql(f"""
-SELECT person_id, pay_period, pay,
-       {sql_div_round(f'CAST(basic * 100 AS BIGINT) * {GRATUITY_DAYS}', '36500')} AS gratuity_provision,
-       {sql_div_round(f'CAST(basic * 100 AS BIGINT) * {LEAVE_DAYS}', '36500')} AS leave_provision,
-       CAST(pay + {sql_div_round(f'CAST(basic * 100 AS BIGINT) * {GRATUITY_DAYS}', '36500')}
-                + {sql_div_round(f'CAST(basic * 100 AS BIGINT) * {LEAVE_DAYS}', '36500')} AS DECIMAL(38,2)) AS total_cost
-FROM (SELECT person_id, strftime(effective_date, '%Y-%m') AS pay_period,
-             CAST(SUM(CASE WHEN classification = 'Earnings' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS pay,
-             SUM(CASE WHEN element = 'Basic' THEN {_VAL} ELSE 0 END) AS basic
-      FROM run_results GROUP BY 1, 2) x""", "run_results"))
+SELECT person_id, pay_period, net_pay, air_ticket_provision, gratuity_provision, leave_provision,
+       CAST(net_pay + air_ticket_provision + gratuity_provision + leave_provision AS DECIMAL(38,2)) AS total_cost
+FROM (SELECT x.person_id, x.pay_period, x.net_pay,
+             COALESCE({sql_div_round("CAST((a.rate * CASE WHEN x.person_id % 2 = 0 THEN 2 ELSE 1 END + CASE WHEN x.person_id % 3 = 0 THEN k.rate ELSE 0 END) * 100 AS BIGINT)", '1200')}, 0) AS air_ticket_provision,
+             {sql_div_round('CAST(basic * 100 AS BIGINT) * 21', '36500')} AS gratuity_provision,
+             {sql_div_round('CAST(basic * 100 AS BIGINT) * 30', '36500')} AS leave_provision
+      FROM (SELECT person_id, strftime(effective_date, '%Y-%m') AS pay_period, MAX(effective_date) AS paid_to,
+                   CAST(SUM(CASE classification WHEN 'Earnings' THEN {_VAL} WHEN 'Deductions' THEN -{_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS net_pay,
+                   SUM(CASE WHEN element = 'Basic' THEN {_VAL} ELSE 0 END) AS basic
+            FROM run_results GROUP BY 1, 2) x
+      LEFT JOIN customers c ON c.customer_id = x.person_id
+      LEFT JOIN rate_card a ON a.region_id = c.ledger_id AND a.segment = c.segment AND a.kind = 'ADULT'
+       AND x.paid_to BETWEEN a.valid_from AND a.valid_to
+      LEFT JOIN rate_card k ON k.region_id = c.ledger_id AND k.segment = c.segment AND k.kind = 'CHILD'
+       AND x.paid_to BETWEEN k.valid_from AND k.valid_to) y""", "run_results", "customers", "rate_card"))
 def cost_to_company(t: Tables) -> DataFrame:
-    """R-PY3: pay, gratuity and leave provisions (basic x days / 365, exact
-    cents) and the total cost per person and month."""
-    r = S.run_results(t)
+    """R-PY3: net pay (earnings less deductions), the provisions of the month
+    and their total per person and month.
+
+    Provisions: air tickets, a twelfth of the year's fares of person, spouse
+    and child; gratuity and leave, basic x days / 365, exact cents.
+    Stand-ins: even persons have a spouse, every third a child; fares are the
+    rate card's at the last pay date, none without a rate."""
+    from tallyspark.sources import constants as K
     v = _value()
-    g = r.groupBy("person_id", F.date_format("effective_date", "yyyy-MM").alias("pay_period")).agg(
-        F.sum(F.when(F.col("classification") == "Earnings", v).otherwise(0)).cast(TOTAL).alias("pay"),
+    signed = F.when(F.col("classification") == "Earnings", v).when(F.col("classification") == "Deductions", -v).otherwise(0)
+    g = S.run_results(t).groupBy("person_id", F.date_format("effective_date", "yyyy-MM").alias("pay_period")).agg(
+        F.max("effective_date").alias("paid_to"), F.sum(signed).cast(TOTAL).alias("net_pay"),
         F.sum(F.when(F.col("element") == "Basic", v).otherwise(0)).alias("basic"))
+    c = S.customers(t).select(F.col("customer_id").alias("person_id"), F.col("ledger_id").alias("region_id"), "segment")
+    fares = K.rate_card(t.spark).groupBy("region_id", "segment", "valid_from", "valid_to").agg(
+        F.max(F.when(F.col("kind") == "ADULT", F.col("rate"))).alias("adult"),
+        F.max(F.when(F.col("kind") == "CHILD", F.col("rate"))).alias("child"))
+    j = g.join(c, "person_id", "left").alias("g").join(
+        fares.alias("f"), (F.col("g.region_id") == F.col("f.region_id")) & (F.col("g.segment") == F.col("f.segment"))
+        & F.col("paid_to").between(F.col("valid_from"), F.col("valid_to")), "left")
+    fare = (F.col("adult") * F.when(F.col("person_id") % 2 == 0, 2).otherwise(1)
+            + F.when(F.col("person_id") % 3 == 0, F.col("child")).otherwise(0))
+    air = F.coalesce(div_round(cents(fare), F.lit(1200), 2), F.lit(0).cast("decimal(18,2)"))
     grat = div_round(cents("basic") * GRATUITY_DAYS, F.lit(36500), 2)
     leave = div_round(cents("basic") * LEAVE_DAYS, F.lit(36500), 2)
-    return g.select("person_id", "pay_period", "pay", grat.alias("gratuity_provision"), leave.alias("leave_provision"),
-                    (F.col("pay") + grat + leave).cast(TOTAL).alias("total_cost"))
+    return j.select("person_id", "pay_period", "net_pay", air.alias("air_ticket_provision"), grat.alias("gratuity_provision"),
+                    leave.alias("leave_provision"), (F.col("net_pay") + air + grat + leave).cast(TOTAL).alias("total_cost"))
 
 
 @register("r_cp7_end_of_service", S.with_sql(f"""
