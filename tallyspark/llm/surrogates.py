@@ -68,7 +68,8 @@ _PATTERNS = [
     ("name", rf"\b(?P<title>{_titles})\b\.?[ \u00a0]+(?P<who>{_name}(?:[ \u00a0]{_name}){{0,2}})"),
 ]
 _ALL = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in _PATTERNS))
-_HINT = re.compile(rf"[@\d]|\b(?:{_titles})\b")
+# Every pattern needs one of these: @, a digit, a sign of assignment, a key prefix or a title.
+_HINT = re.compile(rf"[@\d=:_]|\b(?=[^\W\d_a-zа-яё])(?:AKIA|ASIA|(?:{_titles})\b)")
 
 
 class Stream:

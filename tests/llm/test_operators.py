@@ -236,3 +236,11 @@ def test_surrogates(spark, odd, none):
     got = surrogates.pseudonymise(odd)
     assert got.columns == [*odd.columns, "_entities"] and {r.text for r in got.collect()} == {r[1] for r in ODD}
     assert surrogates.pseudonymise(none).count() == 0
+
+
+def test_surrogates_of_secrets_without_digits():
+    secrets = ("password = hunterhunter", "api_key: abcdefghij", "Token=correcthorse", "sk_live_" + "abcdefgh" * 2, "AKIA" + "ABCDEFGH" * 2, "ghp_" + "abcdefghi" * 4)
+    for secret in secrets:
+        alone, n = surrogates.rewrite(f"use {secret} here", b"k", {})
+        other, m = surrogates.rewrite(f"use {secret} here 7", b"k", {})
+        assert n == m == 1 and re.split("[ =_]+", secret)[-1] not in alone and other == alone + " 7"
