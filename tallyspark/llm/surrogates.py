@@ -2,14 +2,19 @@
 
 *Detection* (whole texts): e-mail addresses, phone numbers, IPv4 addresses,
 payment cards, IBANs, US social security numbers, access keys and values
-assigned to words such as password or token, and person names after a title.
+assigned to words such as password or token, and person names: up to three
+words after a title, a listed given name and the words after it, and in the
+same text every capitalised mention of a word of such a name.  Not detected
+are names without a title whose given name is not listed, and a lone surname
+in a text that does not name the person so.
 
 *Surrogates.*  An entity is one or more units (an address's mailbox and its
 domain, a name's words, a number's digits); a unit's surrogate is drawn from
 a stream keyed by the secret, its kind, its canonical form and an attempt
 number.  Format stays: separators, lengths, letter case, country codes, card
 issuer digit and check digits, private address ranges, key prefixes.  Names
-keep script and gender: title and given-name lists decide it.  The canonical
+keep script and gender: the title decides it, where that is neutral or absent
+the given-name lists, then another mention in the text.  The canonical
 form ignores case and separators, so one entity has one surrogate wherever
 and however it is written.
 
@@ -48,13 +53,30 @@ GIVEN = {("latin", "m"): "James Peter Thomas Lucas Daniel Anton Felix Hugo Marti
          ("cyrillic", "f"): "Анна Мария Елена Ольга Ирина Наталья Татьяна Светлана Юлия Вера".split(),
          ("greek", "m"): "Γιώργος Νίκος Κώστας Δημήτρης Πέτρος Αλέξης".split(),
          ("greek", "f"): "Μαρία Ελένη Άννα Σοφία Κατερίνα Ιωάννα".split()}
+# Further given names that are detected, not drawn.
+KNOWN = {("latin", "m"): """John William Michael David Richard Joseph Charles Christopher Matthew Mark Andrew Steven Kenneth George Edward Brian
+         Kevin Ronald Timothy Jason Jeffrey Ryan Jacob Nicholas Eric Jonathan Stephen Benjamin Samuel Gregory Patrick Frank Alexander Jack Henry
+         Peter Hans Klaus Jürgen Wolfgang Pierre Jean Jacques François Juan José Carlos Luis Pedro Giovanni Giuseppe Marco Ahmed Mohammed Ali""".split(),
+         ("latin", "f"): """Mary Maria Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Margaret Sandra Ashley Emily
+         Kimberly Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Catherine Katherine Jane Ann Anne
+         Monika Ursula Petra Claire Camille Isabelle Carmen Ana Lucía Giulia Francesca Fatima Aisha""".split()}
+GENDER = {(script, x.lower()): g for names in (KNOWN, GIVEN) for (script, g), v in names.items() for x in v}
+# Words that end a name though they are capitalised.
+STOPS = """The A An And Or But Of In On At To For From By With As Is Was Were Are Has Had Have Said Says He She It They We You I His Her Its Their Our
+Your This That These Those Then When Where Who What Why How Not No Yes If So
+Monday Tuesday Wednesday Thursday Friday Saturday Sunday""".split()
 SYLLABLES = {"latin": "ba be bo da del dor fa fen gar hal har ka kel lan lor ma mer mon na nor pa per ra ren ros sa sel ta tor van vel win".split(),
              "cyrillic": "ба бе во го да де зо ка ко ла ло ма ми на не по ра ре се со та то".split(),
              "greek": "βα γε δα κα κο λα λο μα με νι πα πο ρα ρο σα τα το φι χα".split()}
 SURNAME_END = {"latin": "er man son ley ton berg".split(), "cyrillic": "ов ин ев".split(), "greek": "ος ης ας".split()}
 
-_name = r"[^\W\d_a-zа-яё][\w'’-]*"
-_titles = "|".join(sorted((re.escape(y) for v in TITLES.values() for x in v for y in {x, x.upper()}), key=len, reverse=True))
+_any = lambda words: "|".join(sorted({re.escape(y) for x in words for y in (x, x.upper())}, key=len, reverse=True))
+_capital = r"(?=[^\W\d_a-zа-яёα-ωά-ώ])"
+_name = r"[^\W\d_a-zа-яё]\w*(?:['’-](?!s\b)\w+)*"
+_first = rf"(?!(?:{_any(STOPS)})\b){_name}"
+_titles = _any(x for v in TITLES.values() for x in v)
+_more = rf"[ \u00a0](?!(?:{_titles})\b){_first}"
+_given = _any(x for names in (GIVEN, KNOWN) for v in names.values() for x in v)
 _PATTERNS = [
     ("email", r"(?<![\w.%+-])[A-Za-z0-9_%+-][\w.%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
     ("key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\b[sp]k_(?:live|test)_[A-Za-z0-9]{16,}+"),
@@ -65,11 +87,13 @@ _PATTERNS = [
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\(?\d{2,5}\)?[ ./-]\d{3,4}[ .-]\d{3,4}|\d{1,4}(?:[ .-]\d{2}){4})(?!\w|[.-]\d)"
               r"|(?<![\w.])\+\d{7,15}(?!\w)"),
-    ("name", rf"\b(?P<title>{_titles})\b\.?[ \u00a0]+(?P<who>{_name}(?:[ \u00a0]{_name}){{0,2}})"),
+    ("name", rf"\b{_capital}(?P<title>{_titles})\b\.?[ \u00a0]+(?P<who>{_first}(?:{_more}){{0,2}})"),
+    ("full", rf"\b{_capital}(?:{_given})(?:{_more}){{1,2}}"),
 ]
 _ALL = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in _PATTERNS))
-# Every pattern needs one of these: @, a digit, a sign of assignment, a key prefix or a title.
-_HINT = re.compile(rf"[@\d=:_]|\b(?=[^\W\d_a-zа-яё])(?:AKIA|ASIA|(?:{_titles})\b)")
+# Every pattern needs one of these: @, a digit, a sign of assignment, a key prefix, a title or a given name.
+_HINT = re.compile(rf"[@\d=:_]|\b{_capital}(?:AKIA|ASIA|(?:{_titles}|{_given})\b)")
+_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
 class Stream:
@@ -165,9 +189,9 @@ def _fill(shape: str, digits: str) -> str:
 
 
 def _parts(m: re.Match) -> tuple[int, int, list[tuple[str, str]]]:
-    """(start, end, [(kind, canonical unit)]) of a detected entity."""
+    """(start, end, [(kind, canonical unit)]) of a detected entity but a name."""
     kind = next(k for k, _ in _PATTERNS if m[k] is not None)
-    start, end = m.span("value" if kind == "secret" else "who" if kind == "name" else kind)
+    start, end = m.span("value" if kind == "secret" else kind)
     text = m.string[start:end]
     if kind == "email":
         low = text.lower()
@@ -180,20 +204,84 @@ def _parts(m: re.Match) -> tuple[int, int, list[tuple[str, str]]]:
         code = re.match(r"\+\d{1,3}(?=[ .(-])", text)
         digits = re.sub(r"\D", "", text[code.end() if code else 0:])
         return start, end, [(kind, f"{code[0] if code else ''}:{digits}")]
-    if kind == "name":
-        gender = next(g for g, names in TITLES.items() if m["title"].capitalize() in names)
-        words = text.replace("\u00a0", " ").split(" ")
-        last = words[-1].lower()
-        role = "f" if _script(last) == "cyrillic" and last.endswith(("а", "я")) else "n"
-        return start, end, [*(("given", f"{gender}:{_script(w)}:{w.lower()}") for w in words[:-1]), ("surname", f"{role}:{_script(last)}:{last}")]
     return start, end, [(kind, text)]
 
 
+def _person(m: re.Match) -> tuple[int, int, str, list[str]] | None:
+    """(start, end, gender by the title, words) of a detected name."""
+    kind = "who" if m["name"] is not None else "full"
+    if m[kind] is None:
+        return None
+    title = m["title"] and m["title"].capitalize()
+    return *m.span(kind), next((g for g, names in TITLES.items() if title in names), "n"), m[kind].lower().replace("\u00a0", " ").split(" ")
+
+
+class _People:
+    """The names detected in a text, as units."""
+
+    def __init__(self, people: list[tuple[int, int, str, list[str]]]) -> None:
+        self.surnames = {words[-1] for *_, words in people if len(words) > 1}
+        self.given, said = {}, {}
+        for *_, gender, words in people:
+            for w in words[:-1]:
+                self.given.setdefault(w, gender)
+                if gender != "n":
+                    said.setdefault(w, set()).add(gender)
+        self.said = {w: g.pop() for w, g in said.items() if len(g) == 1}
+        # a word alone after a title is a surname unless the text has it only as a given name
+        self.surnames |= {words[0] for *_, words in people if len(words) == 1 and words[0] not in self.given}
+
+    def unit(self, word: str, gender: str | None = None) -> tuple[str, str] | None:
+        """The unit of a given name, or without a gender of a word alone."""
+        script = _script(word)
+        if gender is None and word in self.surnames:
+            return "surname", f"{'f' if script == 'cyrillic' and word.endswith(('а', 'я')) else 'n'}:{script}:{word}"
+        if gender is None and word not in self.given:
+            return None
+        gender = gender or self.given[word]
+        if gender == "n":
+            gender = GENDER.get((script, word), "n")
+        return "given", f"{self.said.get(word, 'n') if gender == 'n' else gender}:{script}:{word}"
+
+    def units(self, gender: str, words: list[str]) -> list[tuple[str, str]]:
+        if len(words) == 1:
+            return [self.unit(words[0])]
+        return [*(self.unit(w, gender) for w in words[:-1]), self.unit(words[-1])]
+
+    def mentions(self, text: str, start: int, end: int):
+        """(start, end, units) of capitalised mentions, one for words that follow each other."""
+        run = None
+        for w in _WORD.finditer(text, start, end):
+            whole = w[0][0].isupper() and self.unit(w[0].lower())
+            for m in [w] if whole else re.compile(r"[^\W_]+").finditer(text, *w.span()):
+                unit = m[0][0].isupper() and m[0] not in STOPS and self.unit(m[0].lower())
+                if not unit:
+                    continue
+                if run and text[run[1]:m.start()] in (" ", "\u00a0"):
+                    run = run[0], m.end(), [*run[2], unit]
+                else:
+                    if run:
+                        yield run
+                    run = m.start(), m.end(), [unit]
+        if run:
+            yield run
+
+
 def entities(text: str | None):
     """(start, end, units) of the entities of a text, in order."""
-    if text and _HINT.search(text):
-        for m in _ALL.finditer(text):
-            yield _parts(m)
+    if not text or not _HINT.search(text):
+        return
+    found = [(_person(m), m) for m in _ALL.finditer(text)]
+    people = _People([p for p, _ in found if p])
+    at = 0
+    for person, m in found:
+        start, end, units = (*person[:2], people.units(*person[2:])) if person else _parts(m)
+        if people.surnames:
+            yield from people.mentions(text, at, start)
+        yield start, end, units
+        at = end
+    if people.surnames:
+        yield from people.mentions(text, at, len(text))
 
 
 def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, int]:

@@ -244,3 +244,19 @@ def test_surrogates_of_secrets_without_digits():
         alone, n = surrogates.rewrite(f"use {secret} here", b"k", {})
         other, m = surrogates.rewrite(f"use {secret} here 7", b"k", {})
         assert n == m == 1 and re.split("[ =_]+", secret)[-1] not in alone and other == alone + " 7"
+
+
+def test_surrogates_of_later_mentions():
+    def units(text):
+        return [u for *_, us in surrogates.entities(text) for u in us]
+
+    text = "Mr John Smith met Dr Maria Jones. Smith said, and SMITH's Smith-led team with John Smith agreed; Jones left. Blacksmith, smith."
+    new, n = surrogates.rewrite(text, b"k", {})
+    assert n == 7 and not re.search(r"John|Smith|SMITH|Maria|Jones", new) and new.endswith("Blacksmith, smith.")
+    him, her = re.match(r"Mr (\w+) (\w+) met Dr (\w+) (\w+)", new).groups()[1::2]
+    assert f". {him} said, and {him.upper()}'s {him}-led" in new and f"; {her} left" in new
+    assert ("given", "f:latin:maria") in units("Dr Maria Smith")
+    assert units("Mr John Smith") == units("Dr John Smith") == units("yesterday John Smith left")
+    assert units("Dr Zorg Smith and Mr Zorg Smith") == units("Mr Zorg Smith and Mr Zorg Smith")
+    assert units("Mr Smith The Mrs Jones") == [("surname", "n:latin:smith"), ("surname", "n:latin:jones")]
+    assert units("Anna The Great; John; Smith said; Miss You") == []
