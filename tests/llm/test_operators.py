@@ -260,3 +260,14 @@ def test_surrogates_of_later_mentions():
     assert units("Dr Zorg Smith and Mr Zorg Smith") == units("Mr Zorg Smith and Mr Zorg Smith")
     assert units("Mr Smith The Mrs Jones") == [("surname", "n:latin:smith"), ("surname", "n:latin:jones")]
     assert units("Anna The Great; John; Smith said; Miss You") == []
+
+
+def test_templates_of_numbers_names_and_unspaced_scripts(spark):
+    items = [(1, "Compute 3 + 4 * 12 / 6"), (2, "Then Anna has 3 apples, Bob has 4 pears, Carl has 5 plums, Dora has 6 figs"),
+             (3, "小明有12个苹果，他给了小红3个苹果，他还剩下多少个苹果？"), (4, "แม่ซื้อส้มห้าผลและกินไปสองผล"), (5, "北京大学"), (6, "Add 1 2 3 and Ohio 4 5 Utah 6 7 8")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, f"Some words before. {t} Some words after.") for i, t in items if i != 5]
+    docs += [(12, "Then Mary has 8 apples, Paul has 9 pears, Hugo has 2 plums, Nora has 7 figs"), (13, "问题：小明有80个苹果，他给了小红5个苹果，他还剩下多少个苹果？谢谢。"),
+             (15, "他在北京大学学习"), (21, "Compute 3 + 4 * 12 / 7"), (23, "小明有12本书，他还想买多少本"), (24, "nothing of this kind stands here")]
+    found = {(r.doc_id, r.item_id): r.exact for r in templates.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert found == {(1, 1): True, (2, 2): True, (12, 2): False, (3, 3): True, (13, 3): False, (4, 4): True, (6, 6): True}
