@@ -73,9 +73,18 @@ _WEEK1_TO = _dt.date(2024, 1, 7)
 SELECT p.person_id FROM people p
 WHERE NOT EXISTS (SELECT 1 FROM time_records r WHERE r.resource_id = p.person_id
                   AND r.work_date BETWEEN {D(EVENTS_FROM)} AND {D(_WEEK1_TO)})""", "people", "time_records"))
-def no_timesheet(t: Tables) -> DataFrame:
-    """R-TL3: employees without any time record in the first week."""
-    r = S.time_records(t).filter(F.col("work_date").between(F.lit(EVENTS_FROM), F.lit(_WEEK1_TO))) \
+def no_timesheet_first_week(t: Tables) -> DataFrame:
+    """R-TL3 for the first week only, as the SQL under this key has it."""
+    return no_timesheet(t, EVENTS_FROM, _WEEK1_TO)
+
+
+@register("r_tl3_no_timesheet_in_period", S.with_sql(f"""
+SELECT p.person_id FROM people p
+WHERE NOT EXISTS (SELECT 1 FROM time_records r WHERE r.resource_id = p.person_id
+                  AND r.work_date BETWEEN {D(EVENTS_FROM)} AND {D(EVENTS_TO)})""", "people", "time_records"))
+def no_timesheet(t: Tables, date_from: _dt.date = EVENTS_FROM, date_to: _dt.date = EVENTS_TO) -> DataFrame:
+    """R-TL3: employees without any time record in the period."""
+    r = S.time_records(t).filter(F.col("work_date").between(F.lit(date_from), F.lit(date_to))) \
         .select(F.col("resource_id").alias("person_id"))
     return S.people(t).join(r, "person_id", "left_anti")
 
