@@ -20,7 +20,10 @@ and however it is written.
 
 *Collision checks.*  All distinct units of the table are gathered (a small
 shuffle); a unit whose surrogate another unit of its kind also has, or that
-is a real unit itself, gets the next attempt until none is left.  The texts
+is a real unit itself, gets the next attempt until none is left; from
+attempt ``WIDER`` on private addresses are drawn from 10/8.  If units still
+collide after ``ATTEMPTS`` rounds (their format has too few values), the
+operator fails.  The texts
 are then rewritten with attempt 0 unless the unit is among those; which
 documents hold such a unit is joined to them.
 
@@ -41,6 +44,7 @@ from .templates import row_key
 
 KEY = b"replace with a secret of your own"
 ATTEMPTS = 40
+WIDER = 8
 
 # Titles by gender, given names by script and gender.
 TITLES = {"m": "Mr Mister Sir Herr Herrn Monsieur Señor Don Г-н Господин Κύριος".split(),
@@ -161,7 +165,7 @@ def surrogate(key: bytes, kind: str, unit: str, attempt: int = 0) -> str:
         a = [int(x) for x in unit.split(".")]
         fixed = 1 if a[0] in (10, 127) else 2 if a[0] == 192 and a[1] == 168 or a[0] == 172 and 16 <= a[1] < 32 else 0
         free = [x for x in range(1, 224) if x not in (10, 127, 172, 192)]
-        out = a[:fixed] or [free[s.below(len(free))]]
+        out = ([10] if fixed == 2 and attempt >= WIDER else a[:fixed]) or [free[s.below(len(free))]]
         return ".".join(map(str, out + [s.below(256) for _ in range(4 - len(out))]))
     if kind == "phone":
         code, _, rest = unit.rpartition(":")
@@ -347,13 +351,16 @@ def attempts_needed(held: DataFrame, key: bytes = KEY) -> DataFrame:
     units = table(held.select("kind", "unit").distinct(), "pii-units")
     real = units.select("kind", _real("kind", "unit").alias("made")).distinct().withColumn("taken", F.lit(True))
     drawn = table(_drawn(units.withColumn("attempt", F.lit(0)), key), "pii-drawn")
-    for attempt in range(1, ATTEMPTS + 1):
+    for attempt in range(1, ATTEMPTS + 2):
         first = drawn.groupBy("kind", "made").agg(F.min(F.struct((-F.col("attempt")).alias("a"), "unit")).alias("owner"), F.count("*").alias("n"))
         judged = drawn.join(first, ["kind", "made"]).join(real, ["kind", "made"], "left")
         judged = judged.select("kind", "unit", "attempt", "made", (F.col("taken").isNotNull() | (F.col("n") > 1) & (F.col("owner.unit") != F.col("unit"))).alias("bad"))
         judged = table(judged, "pii-judged")
         if judged.where("bad").isEmpty():
             break
+        if attempt > ATTEMPTS:
+            left = judged.where("bad").groupBy("kind").count().collect()
+            raise RuntimeError(f"no distinct surrogates after {ATTEMPTS} rounds: " + ", ".join(f"{r['count']} of kind {r['kind']}" for r in left))
         again = _drawn(judged.where("bad").withColumn("attempt", F.lit(attempt)), key)
         drawn = table(judged.where("not bad").select("kind", "unit", "attempt", "made").unionByName(again), "pii-drawn")
     return drawn.where("attempt > 0").select("kind", "unit", "attempt")

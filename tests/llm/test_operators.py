@@ -271,3 +271,15 @@ def test_templates_of_numbers_names_and_unspaced_scripts(spark):
              (15, "他在北京大学学习"), (21, "Compute 3 + 4 * 12 / 7"), (23, "小明有12本书，他还想买多少本"), (24, "nothing of this kind stands here")]
     found = {(r.doc_id, r.item_id): r.exact for r in templates.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert found == {(1, 1): True, (2, 2): True, (12, 2): False, (3, 3): True, (13, 3): False, (4, 4): True, (6, 6): True}
+
+
+def test_surrogates_of_crowded_kinds(spark, monkeypatch):
+    held = spark.range(40_000).select(F.lit("ip").alias("kind"), F.format_string("192.168.%d.%d", F.floor(F.col("id") / 256), F.col("id") % 256).alias("unit"))
+    found = {r.unit: r.attempt for r in surrogates.attempts_needed(held, b"k").collect()}
+    real = {r.unit for r in held.collect()}
+    made = {surrogates.surrogate(b"k", "ip", u, found.get(u, 0)) for u in real}
+    assert len(made) == 40_000 and not made & real and {m.split(".")[0] for m in made} == {"10", "192"}
+    monkeypatch.setattr(surrogates, "ATTEMPTS", 2)
+    full = spark.range(10).select(F.lit("card").alias("kind"), F.format_string("4%d", "id").alias("unit"))
+    with pytest.raises(RuntimeError, match="10 of kind card"):
+        surrogates.attempts_needed(full, b"k")
