@@ -3,7 +3,7 @@
 import corpus_pipeline
 from tallyspark.llm import mixing, queries, site_lines, templates
 
-from test_operators import brute_components  # noqa: I100
+from llm_brute import brute_components
 
 
 def test_stages(spark, small_dir):
