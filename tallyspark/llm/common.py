@@ -65,6 +65,15 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return Scratch(df.sparkSession).table(df, tag)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until the frame has no such column
+    (Spark's names do not differ by case alone)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # --- slices of Arrow string columns -----------------------------------------
 
 def text_slices(col: pa.Array, limit: int = SLICE_BYTES):
