@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, ngram_join, quality_gam, sharding, site_lines, surrogates, tag_paths, templates, trie_tokens, warc, whitening, winnowing
+from . import conversations, mixing, ngram_join, quality_gam, sharding, site_lines, surrogates, tag_paths, templates, trie_tokens, warc, whitening, winnowing
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,14 @@ def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(_docs(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired hash of damaged conversations."""
+    return conversations.repaired_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_winnowing, op3_template_matches, op4_ngram_join, op5_trie_tokens,
-                            op6_tag_paths, op7_site_lines, op8_warc, op9_quality, op10_surrogates, op11_whitening, op12_feistel_shards)
+                            op6_tag_paths, op7_site_lines, op8_warc, op9_quality, op10_surrogates, op11_whitening, op12_feistel_shards,
+                            op13_conversation_repair)
 }
 ORACLE: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op7_site_lines": site_lines.ORACLE}
