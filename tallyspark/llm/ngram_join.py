@@ -9,7 +9,10 @@ distinct five-word shingles (64-bit hashes).  The steps, all over whole texts:
    any order keeps the join exact, this one keeps common passages out of the
    prefixes.
 2. *Prefixes.*  In that order two linked sets share a token among the first
-   ``q - ceil(0.75 q) + 1`` of each.  Tokens that one class alone has go.
+   ``q - ceil(0.75 q) + 1`` of each.  Tokens that one class alone has go: most
+   before any row is shuffled, by a bit filter of the tokens that two classes
+   have (tasks send sorted hashes of a few bits more than their number needs,
+   coded by their differences), the rest after it, exactly.
 3. *Groups.*  Each token names two leads among its classes, those with the
    fewest tokens that are not common, so the likely centres of near copies.
    A class is compared exactly with the leads that it shares most with, if
@@ -40,13 +43,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, Shingler, text_slices
+from .common import Scratch, Shingler, free, mix, text_slices
 from .components import components
 
 FLUSH = 2_000_000   # tokens that a task holds before it counts them
 COMMON = 1 << 21    # most tokens that are ordered last (16 MB)
 MAP_BITS = 26       # size of the class filter: 2**26 bits, 8 MB
 BLOCK = 32          # classes in a block, about
+HASH_MORE = 6       # bits of a token's hash beyond those of the tokens' number
+FILTER_BITS = 28    # size of the token filter: at most 2**28 bits, 32 MB
 GRID = 15           # steps of a prefix profile
 
 
@@ -59,7 +64,7 @@ def _needed(n, num: int, den: int):
 
 
 def _sets(k: int):
-    schema = "kind int, doc_id long, n long, c long, cnt long"
+    schema = "kind int, doc_id long, n long, c long, cnt long, t long"
 
     def run(batches):
         shingles, seen, held, size = Shingler(k), set(), [], 0
@@ -69,7 +74,7 @@ def _sets(k: int):
             tokens, counts = tokens[counts > 1].view(np.int64), counts[counts > 1]
             n = len(tokens)
             none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), none, none, pa.array(tokens), pa.array(counts)], ["kind", "doc_id", "n", "c", "cnt"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), none, none, pa.array(tokens), pa.array(counts), none], ["kind", "doc_id", "n", "c", "cnt", "t"])
 
         for batch in batches:
             ns, cs = [], []
@@ -86,7 +91,7 @@ def _sets(k: int):
                     yield shared()
                     held, size = [], 0
             n = len(ns)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.nulls(n, pa.int64())], ["kind", "doc_id", "n", "c", "cnt"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.nulls(n, pa.int64()), batch.column(2)], ["kind", "doc_id", "n", "c", "cnt", "t"])
         if held:
             yield shared()
 
@@ -106,11 +111,104 @@ def _keys(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _prefixes(k: int, common):
+def _short(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of ``bits`` bits of sort keys."""
+    return mix(keys.view(np.uint64)) >> np.uint64(64 - bits)
+
+
+def coded(values: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, seven bits a byte."""
+    steps = np.diff(values, prepend=values.dtype.type(0)).astype(np.uint64)
+    width = np.ones(len(steps), np.int64)
+    for i in range(1, 10):
+        width += steps >= np.uint64(1 << 7 * i)
+    ends = np.cumsum(width)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for i in range(int(width.max(initial=0))):
+        has = width > i
+        more = (width[has] > i + 1).astype(np.uint8) << 7
+        out[ends[has] - width[has] + i] = (steps[has] >> np.uint64(7 * i)).astype(np.uint8) & 127 | more
+    return out.tobytes()
+
+
+def decoded(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    first = np.append(0, np.flatnonzero(raw < 128)[:-1] + 1)
+    place = np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))
+    return np.cumsum(np.add.reduceat((raw & 127).astype(np.uint64) << (7 * place).astype(np.uint64), first), dtype=np.uint64)
+
+
+def _prefix_of(tokens: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    n = len(tokens)
+    return _keys(tokens, common), n - _needed(n, 75, 100) + 1
+
+
+def _hashes(k: int, common, bits: int, cell_bits: int):
+    """Each task's prefix tokens, hashed: those of one class, those of more."""
+    schema = "cell int, ones binary, many binary"
+
+    def run(batches):
+        shingles, seen, held, size, last = Shingler(k), set(), [], 0, common.value
+
+        def sent():
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(values, np.arange((1 << cell_bits) + 1, dtype=np.uint64) << np.uint64(bits - cell_bits))
+            rows = [(c, values[i:j], counts[i:j]) for c, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if i < j]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in rows], pa.int32()), pa.array([coded(v[n == 1]) for _, v, n in rows], pa.binary()),
+                                               pa.array([coded(v[n > 1]) for _, v, n in rows], pa.binary())], ["cell", "ones", "many"])
+
+        for batch in batches:
+            for _, _, data, offs in text_slices(batch.column(0)):
+                for tokens in shingles(data, offs):
+                    if len(tokens) and (c := _class_id(tokens)) not in seen:
+                        seen.add(c)
+                        keys, p = _prefix_of(tokens, last)
+                        held.append(_short(keys[:p], bits))
+                        size += p
+                if size > FLUSH:
+                    yield sent()
+                    held, size = [], 0
+        if held:
+            yield sent()
+
+    return run, schema
+
+
+def _token_filter(texts: DataFrame, members: DataFrame, k: int, common) -> tuple[np.ndarray, int, int]:
+    """(bytes of the filter, bits of a hash, bits of the filter's index): set
+    for every prefix token that two classes have, and for few others."""
+    p = F.col("n") - F.ceil(F.col("n") * 75 / 100) + 1
+    tokens = members.where("n > 0").agg(F.sum(p).cast("long")).first()[0] or 1
+    bits = max(16, min(60, tokens.bit_length() + HASH_MORE))
+    size = min(bits, FILTER_BITS)
+    cell_bits = max(4, min(size - 3, tokens.bit_length() - 20))
+    run, schema = _hashes(k, common, bits, cell_bits)
+
+    def merged(table):
+        ones, many = (np.concatenate([decoded(x) for x in table.column(i).to_pylist()]) for i in (1, 2))
+        ones.sort()
+        again = ones[1:][ones[1:] == ones[:-1]]
+        cell = table.column(0)[0].as_py()
+        at = (np.concatenate([again, many]) >> np.uint64(bits - size)).astype(np.int64) - (cell << size - cell_bits)
+        mask = np.zeros(1 << size - cell_bits, bool)
+        mask[at] = True
+        return pa.table({"cell": pa.array([cell], pa.int32()), "mask": pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << size - 3, np.uint8)
+    step = 1 << size - cell_bits - 3
+    rows = texts.mapInArrow(run, schema).groupBy("cell").applyInArrow(merged, "cell int, mask binary").toArrow()
+    for cell, mask in zip(rows.column(0).to_pylist(), rows.column(1)):
+        out[cell * step:(cell + 1) * step] = np.frombuffer(mask.as_py(), np.uint8)
+    return out, bits, size
+
+
+def _prefixes(k: int, common, wanted, bits: int, size: int):
     schema = "token long, c long, pos int, size int, odd int, prof array<long>"
 
     def run(batches):
-        shingles, seen, last = Shingler(k), set(), common.value
+        shingles, seen, last, filled = Shingler(k), set(), common.value, wanted.value
         for batch in batches:
             for _, _, data, offs in text_slices(batch.column(0)):
                 cols = ([], [], [], [], [], [])
@@ -118,15 +216,18 @@ def _prefixes(k: int, common):
                     if not len(tokens) or (c := _class_id(tokens)) in seen:
                         continue
                     seen.add(c)
-                    n = len(tokens)
-                    p = n - _needed(n, 75, 100) + 1
-                    keys = _keys(tokens, last)
-                    cols[0].append(keys[:p])
-                    cols[1].append(np.full(p, c, np.int64))
-                    cols[2].append(np.arange(p, dtype=np.int32))
-                    cols[3].append(np.full(p, n, np.int32))
-                    cols[4].append(np.full(p, np.searchsorted(keys, 0), np.int32))
-                    cols[5].append([keys[np.arange(GRID + 1) * (p - 1) // GRID]] + [None] * (p - 1))
+                    keys, p = _prefix_of(tokens, last)
+                    at = (_short(keys[:p], bits) >> np.uint64(bits - size)).astype(np.int64)
+                    kept = filled[at >> 3] >> (at & 7).astype(np.uint8) & 1
+                    kept[0] = 1  # the class's own row
+                    kept = np.flatnonzero(kept).astype(np.int32)
+                    m = len(kept)
+                    cols[0].append(keys[kept])
+                    cols[1].append(np.full(m, c, np.int64))
+                    cols[2].append(kept)
+                    cols[3].append(np.full(m, len(tokens), np.int32))
+                    cols[4].append(np.full(m, np.searchsorted(keys, 0), np.int32))
+                    cols[5].append([keys[np.arange(GRID + 1) * (p - 1) // GRID]] + [None] * (m - 1))
                 if cols[0]:
                     flat = [pa.array(np.concatenate(x)) for x in cols[:5]]
                     prof = pa.array([x for y in cols[5] for x in y], pa.list_(pa.int64()))
@@ -196,18 +297,22 @@ def _until(prof: str, n: str, end: str) -> str:
     return f"if({below} = 0, 0, floor(({below} - 1) * ({n} - ceil({n} * 75 / 100)) / {GRID}) + 1)"
 
 
-def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+def _labelled(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(doc_id, n, t, label), one row per row of ``docs``, in a table of
+    ``scratch``: t is a hash of the text as it is, label names the component
+    (null without words).  Other tables are dropped when no step needs them."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     table = scratch.table
     texts = docs.select(F.col(text_col).alias("text"))
     run, schema = _sets(k)
-    sets = table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "ngj-sets")
-    members = sets.where("kind = 0").select("doc_id", "n", "c")
+    sets = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    sets = table(sets.mapInArrow(run, schema), "ngj-sets")
+    members = sets.where("kind = 0").select("doc_id", "n", "c", "t")
 
     # prefixes of the classes, without tokens that one class alone has
-    run, schema = _prefixes(k, spark.sparkContext.broadcast(_common_tokens(sets, table)))
+    common = spark.sparkContext.broadcast(_common_tokens(sets, table))
+    wanted, bits, size = _token_filter(texts, members, k, common)
+    run, schema = _prefixes(k, common, spark.sparkContext.broadcast(wanted), bits, size)
     by = Window.partitionBy("token")
     pre = texts.mapInArrow(run, schema)
     pre = (pre.withColumn("before", F.lag("c").over(by.orderBy("c")))
@@ -217,6 +322,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
               .where("(met or pos = 0) and (before is null or before <> c)")
               .select("token", "c", "pos", "size", "prof", "lead", "other", "met"))
     pre = table(pre, "ngj-prefixes")
+    scratch.drop(keep=(sets, pre))
     scratch.release()
     met = pre.where("met").select("token", "c", "pos", "size", "lead", "other")
 
@@ -234,16 +340,19 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     star = table(star.select(F.col("c").alias("a"), F.col("o").alias("b")).distinct(), "ngj-star")
     ends = star.select(F.col("a").alias("c")).union(star.select(F.col("b").alias("c"))).distinct()
     first = table(_linked(star, _sets_of(texts, ends, k, table)), "ngj-links")
+    scratch.drop(keep=(sets, pre, first))
     scratch.release()
     group = components(first, scratch)
     many = group.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     group = group.join(many, "label").select("c", "label", F.xxhash64("label", F.pmod(F.xxhash64("c"), "parts")).alias("block"))
     group = table(group, "ngj-groups")
+    scratch.drop(keep=(sets, pre, first, group))
 
     # the matrix, and which blocks a class of another group has to look at
     cls = (pre.where("pos = 0").select("c", "size", "prof").join(group, "c", "left")
               .select("c", "size", "prof", F.coalesce("label", "c").alias("label"), F.coalesce("block", "c").alias("block")))
     cls = table(cls, "ngj-classes")
+    scratch.release()
     blocks = cls.groupBy("block").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("members"),
                                       F.min(F.element_at("prof", -1)).alias("known"), F.max(F.struct("c", "prof")).alias("one"))
     placed = (met.join(group, "c", "left")
@@ -254,6 +363,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hits = (placed.select("token", "c", "size", "pos", "label").join(early, "token")
                   .where("label <> other and 100 * most >= 75 * size and least <= size").where(F.expr(f"pos <= size - {need}")))
     hits = table(hits.select("c", "block").distinct(), "ngj-hits")
+    scratch.release()
     matrix = placed.join(hits.select("block").distinct(), "block", "left_semi").select("token", "block").distinct()
     hits = (hits.join(met.select("c", "token"), "c").join(matrix, ["token", "block"])
                 .groupBy("c", "block").agg(F.count("*").alias("x")))
@@ -262,6 +372,8 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 .where(F.expr(f"members > 1 or {_until('one.prof', 'most', 'own')} - x <= most - {need}"))
                 .select("c", "block", F.expr(need).alias("need")))
     cand = table(cand, "ngj-candidates")
+    scratch.drop(keep=(sets, first, cls, cand))
+    scratch.release()
 
     # open the qualifying blocks
     inside = cls.join(cand.select("block").distinct(), "block", "left_semi").select("block", F.col("c").alias("b"))
@@ -273,27 +385,41 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = table(opened.select(F.col("c").alias("a"), "block").join(inside, "block").select("a", "b"), "ngj-pairs")
     second = table(_linked(pairs, arrays), "ngj-links")
 
+    scratch.drop(keep=(sets, first, second))
+    scratch.release()
     label = components(first.union(second), scratch)
-    rows = members.join(label, "c", "left").select("doc_id", "n", F.coalesce("label", "c").alias("label"))
+    rows = members.join(label, "c", "left").select("doc_id", "n", "t", F.coalesce("label", "c").alias("label"))
     rows = table(rows, "ngj-rows")
-    least = table(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "ngj-least")
-    scratch.drop(keep=(rows, least))
+    scratch.drop(keep=(rows,))
     scratch.release()
+    return rows
+
+
+def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+    scratch = Scratch(docs.sparkSession)
+    rows = _labelled(docs, scratch, id_col, text_col, k)
+    least = scratch.table(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "ngj-least")
     return rows.join(least, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id.
-
-    Of repeated rows of that id with equal texts one stays.  Rows with a null
-    id cannot be named in a component: of those with equal texts one stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (null
+    ids last), of texts of that id that of the smallest text hash, and of
+    equal rows any.  Rows whose text has no word are in no component and stay.
+    Columns of any name pass through.
     """
-    found = linked_components(docs, id_col, text_col)
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    keep = Scratch(docs.sparkSession).table(keep.select(F.col("doc_id").alias("_keep_id"), "_copies"), "ngj-keep")
-    kept = docs.join(keep, F.col(id_col) == F.col("_keep_id")).drop("_keep_id")
-    one = kept.where("_copies = 1").drop("_copies")
-    more = kept.where("_copies > 1").drop("_copies").dropDuplicates([id_col, text_col])
-    return one.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    scratch = Scratch(docs.sparkSession)
+    rows = _labelled(docs, scratch, id_col, text_col, k).where("label is not null")
+    names = [free(docs, c) for c in ("_id", "_hash", "_copies")]
+    each = rows.groupBy("label", "doc_id", "t").agg(F.count(F.lit(1)).alias("copies"))
+    keep = each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "copies")).alias("one"))
+    keep = scratch.table(keep.select(*[F.col(f"one.{c}").alias(n) for c, n in zip(("doc_id", "t", "copies"), names)]), "ngj-keep")
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(text_col) == F.col(names[1]))
+    kept = docs.where(worded).join(keep, same)
+    one = kept.where(F.col(names[2]) == 1).select(docs.columns)
+    more = kept.where(F.col(names[2]) > 1).select(docs.columns).dropDuplicates([id_col, text_col])
+    return one.unionByName(more).unionByName(docs.where(~worded))

@@ -41,6 +41,17 @@ def test_ngram_join(spark, odd, none, small_dir):
     kept = ngram_join.keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str) == [1, 2, 3, 4, 7, 9, None]
+    clash = docs.limit(60).withColumn("_id", F.lit(1)).withColumn("_hash", F.lit(2)).withColumn("_copies", F.lit(3)).withColumn("label", F.lit(4)).withColumn("t", F.lit(5))
+    kept = ngram_join.keep_one(clash)
+    assert kept.columns == clash.columns and {(r["_id"], r["_hash"], r["_copies"], r.label, r.t) for r in kept.collect()} == {(1, 2, 3, 4, 5)}
+    twin = spark.createDataFrame([(None, BASE), (8, BASE), (8, BASE), (None, "lone words"), (None, "lone words"), (9, "two"), (9, "three")], "doc_id long, text string")
+    assert order(ngram_join.keep_one(twin).collect()) == order([(8, BASE), (None, "lone words"), (9, "two"), (9, "three")])
+
+
+def test_coded_numbers():
+    rng = np.random.default_rng(8)
+    for values in (np.zeros(0, np.uint64), np.array([0], np.uint64), np.array([0, 0, 127, 128, 2 ** 60], np.uint64), np.sort(rng.integers(0, 2 ** 40, 999).astype(np.uint64))):
+        assert ngram_join.decoded(ngram_join.coded(values)).tolist() == values.tolist()
 
 
 def test_ngram_join_of_a_large_near_group(spark):
