@@ -1,37 +1,55 @@
 """Operator 6, HTML extraction by tag-path ratios.
 
-A page is read into blocks of text, each with its root-to-leaf path of block
-elements (with their classes).  Per path the text length and the punctuation
-are summed over its blocks and divided by their number.  The content root is
-the longest path prefix that most of the page's text lies under.  Ratios are
-smoothed with those of the content root (for paths under it) or of the
-parent (for others, which then count by the share of text they hold); length
-and punctuation ratios are fused by their geometric mean, and paths of at least
-``THRESHOLD`` of the highest score are content.  Elements that name
-themselves as no content (menus, headers and footers of the page, sidebars,
-notices, adverts, forms, comments) never are, nor are paths of mostly links.
+A page is read into blocks of text, each with its root-to-leaf path: the block
+elements around it with their class and id (digits made alike, so that
+numbered elements share a path).  Three ratios are taken of the blocks under a
+path, headings left out: characters per block, punctuation marks per block,
+and characters per holder (the element that holds the block; a comment list
+has many holders of little text, an article few of much).  Their fused score
+is the cube root of characters * (1 + marks) * characters per holder.
+
+* The *content root* is the longest path prefix that holds ``ROOT_SHARE`` of
+  the page's text, each path's text weighed by its score and prior.
+* Under the root all blocks stay but those under a named container, or a
+  distrusted element, whose score, smoothed with the ratios of the heaviest
+  path, is below ``INSIDE`` of that path's.
+* Elsewhere a path stays if its score, from where it leaves the root's own
+  path, is at least ``OUTSIDE`` of the heaviest path's; a main heading beside
+  the root stays too.
+* Paths of mostly links are no content.
+
+Priors only weigh the scores: an element that is named as no content (a whole
+class or id: ``WHOLE``; a part of one: ``PART``; a role: ``WHOLE``) counts
+less, ``main`` and ``article`` more.  Elements that HTML itself defines as no
+running text of the page (scripts, forms, nav, aside, footer, the page's
+header, hidden ones) are left out.  Single short blocks of a neutral name
+inside the article stay.
 
 Character references are decoded, white space within a block becomes one
 blank, blocks are trimmed and joined by an empty line in page order.  Broken
 markup is read as browsers do as far as it concerns blocks: a block start
 ends an open paragraph, unknown end tags are ignored, open elements end with
-the page.  A null or empty page has the empty text.  Pages are read whole, one
-by one, so repeated rows give repeated results; other columns are not read.
+the page.  A null or empty page has the empty text, and an empty table gives
+an empty one.  Pages are read whole, one by one, so repeated rows give
+repeated results; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import defaultdict
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 ROOT_SHARE = 0.6
-THRESHOLD = 0.05
+INSIDE, OUTSIDE = 0.35, 0.4
+SMOOTH = 0.2       # share of the heaviest path's ratios in those of a path under the root
 LINK_SHARE = 0.6
+HOLDERS = 3        # from so many holders on their number counts
+WHOLE, PART, TRUSTED = 0.1, 0.6, 3.0
 
 # Elements by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,30 +69,55 @@ SAME_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPE = set("ul ol dl table article section div body main td th".split())
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = set("div section article main".split())
+HOLDING = CONTAINERS | {"body", "li", "td", "dd", "blockquote"}
+
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def _open(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
+@dataclass(frozen=True)
+class Step:
+    """An element of a path: its tag, its names, and how far to trust it."""
+
+    tag: str
+    names: str
+    prior: float
+
+
+@dataclass
+class Block:
+    path: tuple[Step, ...]
+    text: str
+    links: int   # characters in links
+    holder: int  # number of the element around the block's own
+
+
+def _open(tag: str, attrs: str, inside: bool) -> tuple[Step, bool]:
     """(path step, whether the element and all in it is no content)."""
-    names, out = [], tag in NEVER or tag == "header" and not inside
+    names, out, prior = [], tag in NEVER or tag == "header" and not inside, 1.0
+    trusted = tag in ("html", "body", "article", "main")
     for name, *values in _ATTR.findall(attrs):
-        value = "".join(values).lower()
-        if name.lower() == "role":
-            out |= value in ROLES
-        elif name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
+        name, value = name.lower(), "".join(values).lower()
+        if name == "role":
+            prior *= WHOLE if value in ROLES else 1
+        elif name == "hidden" or name == "aria-hidden" and value == "true":
             out = True
-        elif name.lower() in ("class", "id"):
-            out |= tag not in ("html", "body", "article", "main") and not NOT_CONTENT.isdisjoint(_SPLIT.split(value))
-            names += [value] if name.lower() == "class" else []
-    return ".".join([tag, *names]), out
+        elif name in ("class", "id"):
+            names.append(re.sub("[0-9]+", "0", value))
+            if not trusted:
+                words = value.split()
+                part = not NOT_CONTENT.isdisjoint(_SPLIT.split(value))
+                prior *= WHOLE if not NOT_CONTENT.isdisjoint(words) else PART if part else 1
+    return Step(tag, " ".join(names), TRUSTED if tag in ("article", "main") else prior), out
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of the blocks that may be content, in page order."""
-    out, stack, parts, linked = [], [], [], 0
-    in_link = 0
+def blocks(page: str) -> list[Block]:
+    """The blocks that may be content, in page order."""
+    out, stack, parts, linked = [], [], [], 0  # stack: (tag, step, no content, number)
+    in_link = opened = 0
 
     def flush():
         nonlocal linked
@@ -82,7 +125,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if not (stack and stack[-1][2]):
                 text = " ".join(html.unescape("".join(parts)).split())
                 if text:
-                    out.append((tuple(x[1] for x in stack), text, min(linked, len(text))))
+                    holder = next((x[3] for x in reversed(stack) if x[0] in HOLDING), 0)
+                    out.append(Block(tuple(x[1] for x in stack), text, min(linked, len(text)), holder))
             parts.clear()
         linked = 0
 
@@ -144,39 +188,89 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         inside = any(x[0] in ("article", "main") for x in stack)
         step, never = _open(tag, attrs, inside)
-        stack.append((tag, step, never or bool(stack and stack[-1][2])))
+        opened += 1
+        stack.append((tag, step, never or bool(stack and stack[-1][2]), opened))
     flush()
     return out
 
 
-def select(found: list[tuple[tuple[str, ...], str, int]]) -> list[str]:
+class _Sums:
+    """Ratios of the blocks under a path."""
+
+    def __init__(self) -> None:
+        self.chars = self.marks = self.blocks = self.links = 0
+        self.holders: set[int] = set()
+
+    def add(self, block: Block, marks: int) -> None:
+        self.chars += len(block.text)
+        self.marks += marks
+        self.blocks += 1
+        self.links += block.links
+        self.holders.add(block.holder)
+
+    def score(self, root: _Sums | None = None, smooth: float = 0.0) -> float:
+        """Fused ratios; beside a path few holders count as that path's."""
+        chars, marks, held = self.chars / self.blocks, self.marks / self.blocks, self.chars / len(self.holders)
+        if root is not None:
+            chars = (1 - smooth) * chars + smooth * root.chars / root.blocks
+            marks = (1 - smooth) * marks + smooth * root.marks / root.blocks
+            held = held if len(self.holders) >= HOLDERS else root.chars / len(root.holders)
+        return (chars * (1 + marks) * held) ** (1 / 3)
+
+
+def _prior(steps: tuple[Step, ...]) -> float:
+    out = 1.0
+    for s in steps:
+        out *= s.prior
+    return out
+
+
+def select(found: list[Block]) -> list[str]:
     """The texts of the blocks whose paths are content."""
-    sums = defaultdict(lambda: [0, 0, 0, 0])  # per path: characters, punctuation marks, blocks, characters in links
-    for path, text, links in found:
-        s = sums[path]
-        s[0] += len(text)
-        s[1] += len(_PUNCT.findall(text))
-        s[2] += 1
-        s[3] += links
-    sums = {p: s for p, s in sums.items() if s[3] <= LINK_SHARE * s[0]}
-    total = sum(s[0] for s in sums.values())
-    if not total:
+    marks = [len(_PUNCT.findall(b.text)) for b in found]
+    own = defaultdict(_Sums)
+    for b, m in zip(found, marks):
+        own[b.path].add(b, m)
+    linked = {p for p, s in own.items() if s.links > LINK_SHARE * s.chars}
+    live = [(b, m) for b, m in zip(found, marks) if b.path not in linked]
+    if not live:
         return []
-    under = defaultdict(lambda: [0, 0, 0])
-    for p, s in sums.items():
+    under, weights, each = defaultdict(_Sums), defaultdict(float), {}
+    plain = [(b, m) for b, m in live if not b.path or b.path[-1].tag not in HEADINGS]
+    for b, m in plain or live:
+        for d in range(len(b.path) + 1):
+            under[b.path[:d]].add(b, m)
+    for p, s in own.items():
+        if p in linked or plain and p and p[-1].tag in HEADINGS:
+            continue
+        each[p] = s.chars * s.score() * _prior(p)
         for d in range(max(1, len(p))):  # proper prefixes: a root holds blocks or elements
-            for i in range(3):
-                under[p[:d]][i] += s[i]
-    root = max((p for p, u in under.items() if u[0] >= ROOT_SHARE * total), key=len, default=())
-    scores = {}
-    for p, s in sums.items():
-        inside = p[:len(root)] == root
-        near = under[root] if inside else under[p[:-1]] if p else s
-        long = s[0] / s[2] / 2 + near[0] / near[2] / 2
-        marks = s[1] / s[2] / 2 + near[1] / near[2] / 2
-        scores[p] = math.sqrt(long * (1 + marks)) * (1 if inside else near[0] / total)
-    least = THRESHOLD * max(scores.values())
-    return [text for path, text, _ in found if scores.get(path, -1) >= least]
+            weights[p[:d]] += each[p]
+    root = max((p for p, w in weights.items() if w >= ROOT_SHARE * weights[()]), key=len, default=())
+    best, n = own[max((p for p in each if p[:len(root)] == root), key=each.get)], len(root)
+    least = best.score(best)
+
+    def stays(path: tuple[Step, ...]) -> bool:
+        same = 0
+        while same < min(n, len(path)) and path[same] == root[same]:
+            same += 1
+        if same < n:  # beside the root
+            if same == len(path):
+                return own[path].score() >= OUTSIDE * least
+            prior = _prior(path[same:])
+            if path[same].tag == "h1" and len(path) == same + 1:
+                return prior >= 1
+            return path[:same + 1] in under and under[path[:same + 1]].score() * prior >= OUTSIDE * least
+        for d in range(n + 1, len(path) + 1):
+            step, prior = path[d - 1], _prior(tuple(s for s in path[n:d] if s.tag not in ("article", "main")))
+            if step.prior < 1 or step.tag in CONTAINERS and step.names:
+                sums = under.get(path[:d])
+                if (sums.score(best, SMOOTH) if sums else least) * prior < INSIDE * least:
+                    return False
+        return True
+
+    kept = {p for p in own if p not in linked and stays(p)}
+    return [b.text for b in found if b.path in kept]
 
 
 def extract(page: str | None) -> str:
