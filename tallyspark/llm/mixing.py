@@ -17,7 +17,10 @@ of one source and epoch, or documents of one block: never a whole source.
 
 Null sources are a source of their own.  Documents without words cost
 nothing and come with their block; a source without words has weight 0 and
-is left out.  Repeated rows count each.  All columns pass through.
+is left out.  Repeated rows count each.  The hash is that of id and text, so
+rows that share an id or have none spread over the blocks.  Texts are counted
+whole; an empty table gives an empty mix.  All columns pass through; result
+columns whose name the input has get a trailing underscore.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import table
+from .common import free, table
 
 TARGET = 0.97
 MAX_REPEATS = 4.0
@@ -89,9 +92,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         block_words: int = BLOCK_WORDS, seed: str = SEED) -> DataFrame:
     """``docs`` with _words, _epoch, _block, _rank (of the block in its epoch), a
     row for each time that the mix reads a document."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    own = docs.withColumn("_words", words(F.col(text_col))).withColumn("_h", _hash(F.lit(seed), key))
-    narrow = table(own.select(F.col(source_col).alias("source"), F.col("_words").alias("n"), F.col("_h").alias("h")), "mix-docs")
+    out_names = [free(docs, c) for c in ("_words", "_epoch", "_block", "_rank")]
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text_col, F.lit(""))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"),
+                      words(F.col(text_col)).alias("n"), _hash(F.lit(seed), *key).alias("h"))
+    narrow = table(own.select("source", "n", "h"), "mix-docs")
 
     sources = table(narrow.groupBy("source").agg(F.sum("n").alias("tokens")).where("tokens > 0"), "mix-sources")
     a = exponent(sources, target, max_repeats, budget)
@@ -120,21 +125,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     last = inside.groupBy("of", "block").agg(F.max("h").alias("last"))
     last = last.select(F.col("of").alias("of2"), F.col("block").alias("block2"), "last")
     turns = turns.join(last, F.col("cut") & F.col("of").eqNullSafe(F.col("of2")) & (F.col("block") == F.col("block2")), "left")
-    turns = turns.where("not cut or last is not null").select("of", F.col("block").alias("_block"), F.col("epoch").alias("_epoch"), F.col("rank").cast("long").alias("_rank"), F.col("last").alias("_last"))
-    turns = turns.groupBy("of", "_block").agg(F.collect_list(F.struct("_epoch", "_rank", "_last")).alias("_turns"))  # at most max_repeats + 1
-    turns = table(turns.select(F.col("of").alias("_of"), F.col("_block").alias("_of_block"), "_turns"), "mix-blocks")
+    turns = turns.where("not cut or last is not null").select("of", "block", "epoch", F.col("rank").cast("long").alias("rank"), "last")
+    turns = turns.groupBy("of", "block").agg(F.collect_list(F.struct("epoch", "rank", "last")).alias("turns"))  # at most max_repeats + 1
+    turns = table(turns.select("of", F.col("block").alias("of_block"), "turns"), "mix-blocks")
 
-    sized = plan.select(F.col("of").alias("_source"), F.col("blocks").alias("_blocks"))
-    out = (own.join(sized, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_block", F.expr("_h % _blocks"))
-           .join(turns, F.col(source_col).eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_of_block")))
-           .withColumn("_turn", F.explode("_turns")).where("_turn._last is null or _h <= _turn._last"))
-    return out.select(*[F.col(c) for c in docs.columns], "_words", F.col("_turn._epoch").alias("_epoch"), "_block", F.col("_turn._rank").alias("_rank"))
+    sized = plan.select(F.col("of").alias("sized"), "blocks")
+    out = (own.join(sized, F.col("source").eqNullSafe(F.col("sized"))).withColumn("block", F.expr("h % blocks"))
+           .join(turns, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block")))
+           .withColumn("turn", F.explode("turns")).where("turn.last is null or h <= turn.last"))
+    found = (F.col("n"), F.col("turn.epoch"), F.col("block"), F.col("turn.rank"))
+    return out.select("row.*", *[c.alias(name) for c, name in zip(found, out_names)])
 
 
 ORACLE = f"""
 WITH RECURSIVE own AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n,
-         CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
   FROM documents),
 sources AS (SELECT source, CAST(sum(n) AS BIGINT) AS tokens FROM own GROUP BY source HAVING sum(n) > 0),
 head AS (SELECT count(*) AS c, CAST(sum(tokens) AS DOUBLE) AS total FROM sources),

@@ -15,7 +15,10 @@ id are no inputs of a score.  Labels other than 0 and 1 are ignored; several
 labels of one document count as their mean; a null id is never learned from.
 A null or empty text is scored like any other, with all features 0.  Without
 both labels to learn from, the score is the share of label 1 (0.5 without
-labels).  Rows pass one by one, with all their columns.
+labels).  Of several texts of one id the one with the least features is
+learned from.  Rows pass one by one, with all their columns; an empty table
+gives an empty one.  A result column whose name the input has gets a trailing
+underscore.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import WordHasher, text_slices
+from .common import WordHasher, free, text_slices
 
 SAMPLE = 20_000  # most labelled documents that a fit reads
 BINS = 32
@@ -205,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .where(~held_out("id")).groupBy("id").agg(F.avg("y").alias("y")))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-    rows = _featured(texts, "text", "x").select("id", "y", "x").dropDuplicates(["id"]).orderBy("id").toArrow()
+    rows = _featured(texts, "text", "x").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("id").toArrow()
     if not rows.num_rows:
         return Model(0.0)
     x = np.stack(rows.column("x").to_numpy())
@@ -214,4 +217,4 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "_score") -> DataFrame:
     """``docs`` with the model's score, 0 to 1, as column ``out``."""
-    return _featured(docs, text_col, out, model)  # a model is under 100 KB
+    return _featured(docs, text_col, free(docs, out), model)  # a model is under 100 KB

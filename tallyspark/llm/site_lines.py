@@ -9,14 +9,16 @@ has no other line keeps its text: it is a frequent page, which is the
 near-duplicate operator's business.
 
 A null host is a host of its own, a null text stays null, blank lines stay,
-repeated rows are treated alike, and all other columns pass through.
+repeated rows are treated alike, an empty table gives an empty one, texts are
+split whole, and all other columns pass through; result columns whose name
+the input has get a trailing underscore.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import free, table
 
 RATIO = 0.02
 MIN_PAGES = 5
@@ -43,18 +45,20 @@ def drop_site_lines(docs: DataFrame, host_col: str = "source", text_col: str = "
                     min_pages: int = MIN_PAGES, lines_out: str = "_lines", dropped_out: str = "_dropped") -> DataFrame:
     """``docs`` with the cleaned text and two counts: the text's non-blank
     lines, and how many of them went."""
-    bad = boilerplate(docs, host_col, text_col, ratio, min_pages).select(F.col("host").alias("_host"), F.col("bad").alias("_bad"))
-    joined = docs.join(bad, F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    shown = F.size(F.filter(F.col("_all"), lambda x: F.trim(x) != ""))
-    kept = F.when(F.col("_bad").isNull(), F.col("_all")).otherwise(
-        F.filter("_all", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_bad"), F.xxhash64(F.trim(x)))))
-    some = F.exists("_kept", lambda x: F.trim(x) != "")
-    out = (joined.withColumn("_all", F.split(F.col(text_col), "\n")).withColumn("_kept", kept)
-           .withColumn(lines_out, F.when(F.col("_all").isNull(), 0).otherwise(shown).cast("long"))
-           .withColumn("_keep", F.when(some, F.col("_kept")).otherwise(F.col("_all")))
-           .withColumn(dropped_out, F.when(F.col("_all").isNull(), 0).otherwise(F.size("_all") - F.size("_keep")).cast("long"))
-           .withColumn(text_col, F.array_join("_keep", "\n")))
-    return out.select(*[F.col(c) for c in docs.columns], lines_out, dropped_out)
+    bad = boilerplate(docs, host_col, text_col, ratio, min_pages).select(F.col("host").alias("of"), "bad")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host_col).alias("host"),
+                       F.split(F.col(text_col), "\n").alias("all"))
+    shown = F.size(F.filter(F.col("all"), lambda x: F.trim(x) != ""))
+    kept = F.when(F.col("bad").isNull(), F.col("all")).otherwise(
+        F.filter("all", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("bad"), F.xxhash64(F.trim(x)))))
+    some = F.exists("kept", lambda x: F.trim(x) != "")
+    out = (rows.join(bad, F.col("host").eqNullSafe(F.col("of")), "left").withColumn("kept", kept)
+           .withColumn("keep", F.when(some, F.col("kept")).otherwise(F.col("all"))))
+    none = F.col("all").isNull()
+    text = F.array_join("keep", "\n").alias(text_col)
+    return out.select(*[text if c == text_col else F.col(f"row.`{c}`") for c in docs.columns],
+                      F.when(none, 0).otherwise(shown).cast("long").alias(free(docs, lines_out)),
+                      F.when(none, 0).otherwise(F.size("all") - F.size("keep")).cast("long").alias(free(docs, dropped_out)))
 
 
 ORACLE = f"""

@@ -28,7 +28,10 @@ are then rewritten with attempt 0 unless the unit is among those; which
 documents hold such a unit is joined to them.
 
 Null texts stay null, empty ones empty; texts without entities stay as they
-are; equal rows (id and text) have equal results; other columns pass.
+are; equal rows (id and text) have equal results; an empty table gives an
+empty one.  Of units of one kind with one surrogate that of the most attempts
+keeps it, then the first by its text.  Other columns pass; a result column
+whose name the input has gets a trailing underscore.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import table
+from .common import free, table
 from .templates import row_key
 
 KEY = b"replace with a secret of your own"
@@ -370,8 +373,10 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with the text rewritten, and the number of its entities as column ``out``."""
     held = table(_units(docs, id_col, text_col), "pii-held")
     changed = table(attempts_needed(held, key), "pii-attempts")
-    per_row = held.join(changed, ["kind", "unit"]).groupBy("key").agg(F.collect_set(F.struct("kind", "unit", "attempt")).alias("_changed"))
-    per_row = table(per_row.withColumnRenamed("key", "_row"), "pii-rows")
+    row, own = free(docs, "_row"), free(docs, "_changed")
+    out = free(docs, out)
+    per_row = held.join(changed, ["kind", "unit"]).groupBy("key").agg(F.collect_set(F.struct("kind", "unit", "attempt")).alias(own))
+    per_row = table(per_row.withColumnRenamed("key", row), "pii-rows")
     names = docs.columns
     at, n = names.index(text_col), len(names)
 
@@ -386,5 +391,5 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32())], [*names, out])
 
-    joined = docs.join(per_row, row_key(id_col, text_col) == F.col("_row"), "left").drop("_row").select(*docs.columns, "_changed")
+    joined = docs.join(per_row, row_key(id_col, text_col) == F.col(row), "left").select(*[F.col(f"`{c}`") for c in docs.columns], own)
     return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.IntegerType())]))

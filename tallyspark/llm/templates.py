@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, powers, stream, table, text_slices
+from .common import free, mix, powers, stream, table, text_slices
 
 WINDOW = 6
 LITERALS = 4
@@ -284,5 +284,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that contain a benchmark item."""
-    bad = table(matches(docs, benchmark, id_col, text_col).select(F.col("key").alias("_bad")).distinct(), "template-bad")
-    return docs.join(bad, row_key(id_col, text_col) == F.col("_bad"), "left_anti")
+    name = free(docs, "_bad")
+    bad = table(matches(docs, benchmark, id_col, text_col).select(F.col("key").alias(name)).distinct(), "template-bad")
+    return docs.join(bad, row_key(id_col, text_col) == F.col(name), "left_anti")
