@@ -338,8 +338,11 @@ def _labelled(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, k:
                 .withColumn("need", F.expr("greatest(ceil(greatest(size, most) * 75 / 100), ceil((size + most) * 3 / 7))"))
                 .where(F.expr(f"{_until('prof', 'size', 'own2')} - x <= size - need and {_until('prof2', 'most', 'own')} - x <= most - need")))
     star = table(star.select(F.col("c").alias("a"), F.col("o").alias("b")).distinct(), "ngj-star")
+    scratch.release()
     ends = star.select(F.col("a").alias("c")).union(star.select(F.col("b").alias("c"))).distinct()
-    first = table(_linked(star, _sets_of(texts, ends, k, table)), "ngj-links")
+    arrays = _sets_of(texts, ends, k, table)
+    scratch.release()
+    first = table(_linked(star, arrays), "ngj-links")
     scratch.drop(keep=(sets, pre, first))
     scratch.release()
     group = components(first, scratch)
@@ -379,10 +382,12 @@ def _labelled(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, k:
     inside = cls.join(cand.select("block").distinct(), "block", "left_semi").select("block", F.col("c").alias("b"))
     ends = inside.select(F.col("b").alias("c")).union(cand.select("c")).distinct()
     arrays = _sets_of(texts, ends, k, table)
+    scratch.release()
     union = (inside.join(arrays.withColumnRenamed("c", "b"), "b").groupBy("block")
                    .agg(F.array_distinct(F.flatten(F.collect_list("arr"))).alias("all")))
     opened = cand.join(arrays, "c").join(union, "block").where(F.size(F.array_intersect("arr", "all")) >= F.col("need"))
     pairs = table(opened.select(F.col("c").alias("a"), "block").join(inside, "block").select("a", "b"), "ngj-pairs")
+    scratch.release()
     second = table(_linked(pairs, arrays), "ngj-links")
 
     scratch.drop(keep=(sets, first, second))
