@@ -96,3 +96,27 @@ def override_union(level2: DataFrame, level1: DataFrame, keys: Sequence[str]) ->
 def fallback_chain(cols: Sequence[Column]) -> Column:
     """Hierarchy fallback (task -> project -> line manager)."""
     return F.coalesce(*cols)
+
+
+def stretch_overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], amount: str = "cents", upto: str = "upto",
+                     width: int = 1 << 23) -> DataFrame:
+    """Pairs of rows whose stretches ``[upto - amount, upto)`` overlap within a
+    key, with the ``overlap``; amounts are whole and above 0, and neither side
+    overlaps itself.
+
+    Stretches are cut into cells of ``width`` and met by equality on (key,
+    cell), so a hot key is as many groups as it has cells; a pair counts in
+    the cell in which its overlap starts.  Choose ``width`` near a usual
+    amount: a cell then holds a few rows of either side.
+    """
+    def celled(df: DataFrame, side: str) -> DataFrame:
+        low = F.col(upto) - F.col(amount)
+        own = [F.col(c).alias(f"{side}{c}") for c in df.columns if c not in (*keys, amount, upto)]
+        cells = F.explode(F.sequence(F.floor(low / width), F.floor((F.col(upto) - 1) / width))).alias("__cell")
+        return df.select(*keys, *own, low.alias(f"__{side}low"), F.col(upto).alias(f"__{side}upto"), cells)
+
+    both = celled(left, "l__").join(celled(right, "r__"), [*keys, "__cell"])
+    start, end = F.greatest("__l__low", "__r__low"), F.least("__l__upto", "__r__upto")
+    both = both.where((start < end) & (F.floor(start / width) == F.col("__cell")))
+    names = [F.col(f"{side}{c}").alias(c) for side, df in (("l__", left), ("r__", right)) for c in df.columns if c not in (*keys, amount, upto)]
+    return both.select(*keys, *names, (end - start).alias("overlap"))

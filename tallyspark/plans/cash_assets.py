@@ -44,7 +44,7 @@ FROM bank_statement_lines WHERE statement_date BETWEEN {D(PERIOD_FROM)} AND {D(P
 def statement_running_balance(t: Tables) -> DataFrame:
     """R-CM4: statement lines with a running balance from the control
     balance (0) per bank account; skew-safe W1 chunked by date."""
-    b = S.bank_statement_lines(t).filter(F.col("statement_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    b = S.bank_statement_lines(t).filter(F.col("statement_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
     b = b.select("bank_account_id", "statement_line_id", "statement_date", "statement_amount")
     out = W.running_total(b, ["bank_account_id"], ["statement_date", "statement_line_id"], "statement_amount",
                           "running_balance", chunk="statement_date")
@@ -106,11 +106,11 @@ def cash_book(t: Tables) -> DataFrame:
     """R-CM6: daily cash book per account: opening, inflow, outflow and a
     running closing balance (window over one row per account and day)."""
     s = S.bank_statement_lines(t)
-    per_day = (s.filter(F.col("statement_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    per_day = (s.filter(F.col("statement_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
                .groupBy("bank_account_id", "statement_date").agg(
                    F.sum(F.when(F.col("statement_amount") > 0, F.col("statement_amount")).otherwise(0)).cast(TOTAL).alias("inflow"),
                    F.sum(F.when(F.col("statement_amount") < 0, -F.col("statement_amount")).otherwise(0)).cast(TOTAL).alias("outflow")))
-    opening = (s.filter(F.col("statement_date") < F.lit(PERIOD_FROM)).groupBy("bank_account_id")
+    opening = (s.filter(F.col("statement_date") < F.lit(t.params.date_from)).groupBy("bank_account_id")
                .agg(F.sum("statement_amount").alias("opening")))
     run = W.running_total(per_day, ["bank_account_id"], ["statement_date"], F.col("inflow") - F.col("outflow"), "run")
     run = run.join(opening, "bank_account_id", "left")
@@ -165,8 +165,8 @@ FROM (SELECT *, {_MONTHS_SQL} AS months_used FROM assets WHERE date_placed_in_se
 def asset_register(t: Tables) -> DataFrame:
     """R-FA2: cost, reserve at the period (straight line, exact cents),
     net book value and remaining life."""
-    a = assets(t).filter(F.col("date_placed_in_service") <= F.lit(AS_OF))
-    a = a.withColumn("months_used", _months_used(F.lit(AS_OF)).cast("bigint"))
+    a = assets(t).filter(F.col("date_placed_in_service") <= F.lit(t.params.as_of))
+    a = a.withColumn("months_used", _months_used(F.lit(t.params.as_of)).cast("bigint"))
     reserve = div_round(cents("cost") * F.col("months_used"), F.col("life_in_months") * 100, 2).cast(MONEY)
     return a.select("asset_id", "cost", "date_placed_in_service", "months_used", reserve.alias("reserve"),
                     (F.col("cost") - reserve).cast(MONEY).alias("net_book_value"),
@@ -256,7 +256,7 @@ def asset_distribution(t: Tables) -> DataFrame:
     """R-FA6: units of each asset per location at the date, with its share
     of the asset's units (W3 as aggregate + join back), location and assignee."""
     from tallyspark.functions.scalars import percent
-    li = t.lineitem.filter(F.to_date("l_shipdate") <= F.lit(AS_OF))
+    li = t.lineitem.filter(F.to_date("l_shipdate") <= F.lit(t.params.as_of))
     d = li.groupBy(F.col("l_partkey").alias("asset_id"), F.col("l_suppkey").alias("location_id")).agg(
         F.sum(F.col("l_quantity").cast("bigint")).alias("units"))
     d = W.partition_total(d, ["asset_id"], "units", "total_units")

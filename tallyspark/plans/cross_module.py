@@ -100,7 +100,7 @@ FROM (SELECT 'COLLECTED' AS tax_type, strftime(apply_date, '%Y-%m') AS period,
 def tax_register(t: Tables) -> DataFrame:
     """R-FX3 (O4 + W3): tax collected and paid per month with the total of
     each tax type beside every row."""
-    a = S.applications(t).filter(F.col("apply_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    a = S.applications(t).filter(F.col("apply_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
     tax = F.col("acctd_amount") - F.col("amount")
 
     def branch(kind, app_type):

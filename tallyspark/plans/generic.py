@@ -39,7 +39,7 @@ SELECT p.person_id, CAST(d.day AS DATE) AS day
 FROM people p CROSS JOIN LATERAL (SELECT {SPINE_SQL} AS day) d""", "people"))
 def date_spine(t: Tables) -> DataFrame:
     """One row per person and day of the window (explode, no cartesian product)."""
-    return S.people(t).select("person_id", F.explode(F.sequence(F.lit(EVENTS_FROM), F.lit(EVENTS_TO))).alias("day"))
+    return S.people(t).select("person_id", F.explode(F.sequence(F.lit(t.params.events_from), F.lit(t.params.events_to))).alias("day"))
 
 
 @register("s6_working_calendar", S.with_sql("SELECT * FROM schedule_days", "schedule_days"))
@@ -75,7 +75,7 @@ def rate_card_lookup(t: Tables) -> DataFrame:
 
     The rate card (fixed size) is filtered at the date and pivoted once,
     then joined to each customer on (region, segment)."""
-    rc = E.as_of(K.rate_card(t.spark), AS_OF, "valid_from", "valid_to")
+    rc = E.as_of(K.rate_card(t.spark), t.params.as_of, "valid_from", "valid_to")
     piv = A.attribute_pivot(rc, ["region_id", "segment"], "kind", "rate", ["ADULT", "CHILD", "INFANT"],
                             {"ADULT": "adult_rate", "CHILD": "child_rate", "INFANT": "infant_rate"})
     c = S.customers(t).select("customer_id", F.col("ledger_id").alias("region_id"), "segment")
@@ -167,7 +167,7 @@ def parameter_filters(t: Tables) -> DataFrame:
     inv = S.invoices(t)
     inv = P.filter_in(inv, "org_id", [1, 2, 3])
     inv = P.filter_in(inv, "class", "All")
-    inv = inv.filter(P.date_range("trx_date", PERIOD_FROM, PERIOD_TO))
+    inv = inv.filter(P.date_range("trx_date", t.params.date_from, t.params.date_to))
     return inv.groupBy("org_id", "class").agg(F.count(F.lit(1)).alias("trx_count"),
                                               F.sum("amount").cast(TOTAL).alias("amount"))
 
@@ -325,7 +325,7 @@ WHERE NOT EXISTS (SELECT 1 FROM invoices i WHERE i.customer_id = c.customer_id A
                                           "customers", "invoices"))
 def semi_anti(t: Tables) -> DataFrame:
     """Customers with and without an invoice in the period."""
-    inv = S.invoices(t).filter(F.col("trx_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    inv = S.invoices(t).filter(F.col("trx_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
     c = S.customers(t).select("customer_id")
     return (J.semi(c, inv, ["customer_id"]).withColumn("kind", F.lit("WITH_ACTIVITY"))
             .unionByName(J.anti(c, inv, ["customer_id"]).withColumn("kind", F.lit("WITHOUT_ACTIVITY"))))
@@ -358,7 +358,7 @@ FROM service_periods s JOIN person_versions v ON v.person_id = s.person_id
 def asof_dimension(t: Tables) -> DataFrame:
     """Dimension version valid at one report date (filter, then equi-join)."""
     sp = S.service_periods(t).select("person_id", "person_number")
-    return E.join_as_of(sp, S.person_versions(t), ["person_id"], AS_OF, how="inner")
+    return E.join_as_of(sp, S.person_versions(t), ["person_id"], t.params.as_of, how="inner")
 
 
 @register("j8_effective_at_row_date", S.with_sql("""
@@ -380,7 +380,7 @@ FROM service_periods s LEFT JOIN person_versions v ON v.person_id = s.person_id
                                         "service_periods", "person_versions"))
 def capped_as_of(t: Tables) -> DataFrame:
     """As-of date capped by termination, then the version at that date."""
-    sp = S.service_periods(t).select("person_id", E.capped_as_of("actual_termination_date", AS_OF).alias("effective_date"))
+    sp = S.service_periods(t).select("person_id", E.capped_as_of("actual_termination_date", t.params.as_of).alias("effective_date"))
     out = E.join_effective(sp, S.person_versions(t), ["person_id"], "effective_date")
     return out.select("person_id", "effective_date", "salary")
 
@@ -576,7 +576,7 @@ def asof_year_split(t: Tables) -> DataFrame:
     current-year split, in one pass."""
     a = S.applications(t).filter(F.col("app_type") == "CASH")
     return a.groupBy(F.col("applied_trx_id").alias("trx_id")).agg(
-        A.as_of_sum("amount", "apply_date", AS_OF).alias("paid_at_date"),
+        A.as_of_sum("amount", "apply_date", t.params.as_of).alias("paid_at_date"),
         *A.year_split("apply_date", "amount", 2000))
 
 
@@ -698,7 +698,7 @@ SELECT person_id, eff_start, salary FROM (
 def latest_at_or_before(t: Tables) -> DataFrame:
     """V1/V2: latest row at or before the date (grouped max_by, no correlated MAX)."""
     pv = S.person_versions(t).select("person_id", "eff_start", "salary")
-    return E.latest_at_or_before(pv, ["person_id"], "eff_start", AS_OF)
+    return E.latest_at_or_before(pv, ["person_id"], "eff_start", t.params.as_of)
 
 
 @register("v3_latest_version", S.with_sql("""
@@ -811,8 +811,8 @@ def scalar_functions(t: Tables) -> DataFrame:
         F.round("acctbal", 0).cast("decimal(18,0)").alias("round_bal"),
         X.month_start("date_start").alias("month_start"), F.last_day("date_start").alias("month_end"),
         F.add_months("date_start", 3).alias("plus_3_months"),
-        X.days_between(F.lit(AS_OF), "date_start").cast("bigint").alias("service_days"),
-        F.floor(F.months_between(F.lit(AS_OF), F.col("date_start"), False)).cast("bigint").alias("service_months"),
+        X.days_between(F.lit(t.params.as_of), "date_start").cast("bigint").alias("service_days"),
+        F.floor(F.months_between(F.lit(t.params.as_of), F.col("date_start"), False)).cast("bigint").alias("service_months"),
         F.date_format("date_start", "dd-MM-yyyy").alias("start_text"),
         X.iso_weekday("date_start").cast("bigint").alias("start_weekday"),
         X.greatest_strict("date_start", "actual_termination_date").alias("greatest_strict"),

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.params import AS_OF, PERIOD_FROM, PERIOD_TO
-from tallyspark.functions.scalars import MONEY, TOTAL
-from tallyspark.operators import aging, quality
+from tallyspark.functions.scalars import MONEY, TOTAL, cents
+from tallyspark.operators import aging, joins, quality, windows
 from tallyspark.operators.rollup import debit_credit
 from tallyspark.plans.registry import register
 from tallyspark.sources import standins as S
@@ -60,10 +60,11 @@ SELECT applied_trx_id AS order_id, supplier_id AS vendor_id,
 FROM applications WHERE return_flag IN ('A', 'N')""")
 
 
-def invoice_balances(t: Tables, as_of=AS_OF) -> DataFrame:
+def invoice_balances(t: Tables, as_of=None) -> DataFrame:
     """Invoice amount and what was paid / prepaid on it by the date, in ONE
     aggregation pass over the lines (invoice and payments share the key
     (order, supplier)), instead of two scans joined back together."""
+    as_of = as_of or t.params.as_of
     a = S.applications(t)
     upto = F.col("apply_date") <= F.lit(as_of)
     g = a.groupBy(F.col("applied_trx_id").alias("order_id"), F.col("supplier_id").alias("vendor_id")).agg(
@@ -103,9 +104,9 @@ GROUP BY x.vendor_id, s.vendor_name""", "ap_invoices", "ap_payments", "suppliers
 def supplier_aging(t: Tables) -> DataFrame:
     """R-AP1: supplier aging at a date, 14 buckets, prepayments netted.
     Invoice and payment amounts come from one aggregation pass."""
-    x = invoice_balances(t).filter(F.col("invoice_date") <= F.lit(AS_OF))
+    x = invoice_balances(t).filter(F.col("invoice_date") <= F.lit(t.params.as_of))
     x = x.withColumn("outstanding", F.col("invoice_amount") - F.col("paid") - F.col("prepaid"))
-    x = x.filter(F.col("outstanding") != 0).withColumn("days", F.datediff(F.lit(AS_OF), F.col("due_date")))
+    x = x.filter(F.col("outstanding") != 0).withColumn("days", F.datediff(F.lit(t.params.as_of), F.col("due_date")))
     per = aging.bucket_totals(x, ["vendor_id"], "days", "outstanding", aging.AP_FOURTEEN, "total_outstanding")
     s = S.suppliers(t).select(F.col("supplier_id").alias("vendor_id"), "vendor_name")
     return per.join(s, "vendor_id")
@@ -124,7 +125,7 @@ WHERE i.invoice_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}""", "ap_invoice
 @register("r_ap2_invoice_register", _AP2_SQL)
 def invoice_register(t: Tables) -> DataFrame:
     """R-AP2: invoices of the period with approval and payment status."""
-    inv = ap_invoices(t).filter(F.col("invoice_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    inv = ap_invoices(t).filter(F.col("invoice_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
     pay = (ap_payments(t).filter(F.col("pay_type") == "PAYMENT").groupBy("order_id", "vendor_id")
            .agg(F.max("pay_date").alias("last_payment_date"), F.sum("amount").alias("paid")))
     s = S.suppliers(t).select(F.col("supplier_id").alias("vendor_id"), "vendor_name")
@@ -151,9 +152,9 @@ GROUP BY vendor_id""", "ap_invoices", "ap_payments")
 def supplier_ledger(t: Tables) -> DataFrame:
     """R-AP3: invoices and payments of the period per supplier (O4), with
     the net split into credit/debit by sign (A10)."""
-    inv = ap_invoices(t).filter(F.col("invoice_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO))) \
+    inv = ap_invoices(t).filter(F.col("invoice_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to))) \
         .select("vendor_id", F.lit("INVOICE").alias("kind"), F.col("invoice_amount").alias("amount"))
-    pay = ap_payments(t).filter((F.col("pay_type") == "PAYMENT") & F.col("pay_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO))) \
+    pay = ap_payments(t).filter((F.col("pay_type") == "PAYMENT") & F.col("pay_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to))) \
         .select("vendor_id", F.lit("PAYMENT").alias("kind"), (-F.col("amount")).alias("amount"))
     g = inv.unionByName(pay).groupBy("vendor_id").agg(
         F.sum(F.when(F.col("kind") == "INVOICE", F.col("amount")).otherwise(0)).cast(TOTAL).alias("invoiced"),
@@ -175,12 +176,12 @@ WHERE i.invoice_date <= {D(AS_OF)} AND i.invoice_amount - COALESCE(p.paid, 0) <>
 @register("r_ap6_outstanding_at_date", _AP6_SQL)
 def outstanding_at_date(t: Tables) -> DataFrame:
     """R-AP6: invoice total less paid at the date (A12), days past due, non-zero (A4)."""
-    x = invoice_balances(t).filter(F.col("invoice_date") <= F.lit(AS_OF))
+    x = invoice_balances(t).filter(F.col("invoice_date") <= F.lit(t.params.as_of))
     x = x.withColumn("invoice_num", F.concat(F.col("order_id").cast("string"), F.lit("-"), F.col("vendor_id").cast("string")))
     out = F.col("invoice_amount") - F.col("paid")
     return x.filter(out != 0).select(
         "invoice_num", "vendor_id", "invoice_amount", F.col("paid").cast(TOTAL).alias("paid_at_date"),
-        out.cast(TOTAL).alias("outstanding"), F.datediff(F.lit(AS_OF), F.col("due_date")).cast("bigint").alias("days_past_due"))
+        out.cast(TOTAL).alias("outstanding"), F.datediff(F.lit(t.params.as_of), F.col("due_date")).cast("bigint").alias("days_past_due"))
 
 
 _AP7_SQL = S.with_sql("""
@@ -196,6 +197,54 @@ def prepayment_applied(t: Tables) -> DataFrame:
                                                   F.count(F.lit(1)).alias("applications"))
 
 
+# Stand-ins: a supplier's prepayment invoices are its lines returned with
+# flag R (money paid ahead, not yet used); its standard invoices take them up.
+S._cte("prepayments", ("applications",), """
+SELECT supplier_id AS vendor_id, applied_trx_id AS prepay_id, MIN(apply_date) AS prepay_date, CAST(SUM(gross_amount) AS DECIMAL(18,2)) AS amount
+FROM applications WHERE return_flag = 'R' GROUP BY supplier_id, applied_trx_id HAVING SUM(gross_amount) > 0""")
+
+
+def prepayments(t: Tables) -> DataFrame:
+    """One prepayment per (order, supplier) with lines returned (flag R)."""
+    a = S.applications(t).filter(F.col("return_flag") == "R")
+    g = a.groupBy(F.col("supplier_id").alias("vendor_id"), F.col("applied_trx_id").alias("prepay_id")).agg(
+        F.min("apply_date").alias("prepay_date"), F.sum("gross_amount").cast(MONEY).alias("amount"))
+    return g.filter("amount > 0")
+
+
+# In hundredths: a supplier's prepayments and invoices laid end to end, each a
+# stretch of the supplier's money; a pair applies as much as the stretches share.
+_PAIRS_SQL = S.with_sql(f"""
+SELECT p.vendor_id, p.prepay_id, i.order_id AS invoice_id, p.prepay_date, i.invoice_date,
+       CAST(CAST(LEAST(p.upto, i.upto) - GREATEST(p.upto - p.cents, i.upto - i.cents) AS DECIMAL(20,0)) * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(38,2)) AS applied_amount
+FROM (SELECT *, CAST(amount * 100 AS BIGINT) AS cents,
+             SUM(CAST(amount * 100 AS BIGINT)) OVER (PARTITION BY vendor_id ORDER BY prepay_date, prepay_id ROWS UNBOUNDED PRECEDING) AS upto
+      FROM prepayments WHERE prepay_date <= {D(AS_OF)}) p
+JOIN (SELECT *, CAST(invoice_amount * 100 AS BIGINT) AS cents,
+             SUM(CAST(invoice_amount * 100 AS BIGINT)) OVER (PARTITION BY vendor_id ORDER BY invoice_date, order_id ROWS UNBOUNDED PRECEDING) AS upto
+      FROM ap_invoices WHERE invoice_date <= {D(AS_OF)} AND approval_status = 'APPROVED' AND invoice_amount > 0) i
+  ON i.vendor_id = p.vendor_id AND p.upto - p.cents < i.upto AND i.upto - i.cents < p.upto""", "prepayments", "ap_invoices")
+
+
+@register("r_ap7_prepayment_pairs", _PAIRS_SQL)
+def prepayment_pairs(t: Tables) -> DataFrame:
+    """R-AP7/J12: which prepayment pays how much of which invoice at the date.
+
+    A supplier's prepayments, oldest first, are used up by its approved
+    invoices, oldest first.  Both are laid end to end by skew-safe running
+    totals; a pair applies the overlap of its two stretches, so a pair's sum
+    is exact and neither side is overdrawn."""
+    p = prepayments(t).filter(F.col("prepay_date") <= F.lit(t.params.as_of))
+    i = ap_invoices(t).filter((F.col("invoice_date") <= F.lit(t.params.as_of)) & (F.col("approval_status") == "APPROVED") & (F.col("invoice_amount") > 0))
+    left = p.select("vendor_id", "prepay_id", "prepay_date", cents("amount").alias("cents"))
+    right = i.select("vendor_id", F.col("order_id").alias("invoice_id"), "invoice_date", cents("invoice_amount").alias("cents"))
+    left = windows.running_total(left, ["vendor_id"], ["prepay_date", "prepay_id"], F.col("cents"), "upto", chunk="prepay_date")
+    right = windows.running_total(right, ["vendor_id"], ["invoice_date", "invoice_id"], F.col("cents"), "upto", chunk="invoice_date")
+    both = joins.stretch_overlaps(left, right, ["vendor_id"])
+    return both.select("vendor_id", "prepay_id", "invoice_id", "prepay_date", "invoice_date",
+                       (F.col("overlap").cast("decimal(20,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(TOTAL).alias("applied_amount"))
+
+
 _AP8_SQL = S.with_sql("""
 SELECT applied_trx_id AS order_id, supplier_id AS vendor_id, COUNT(*) AS active_holds
 FROM applications WHERE return_flag = 'R' AND line_status = 'O' GROUP BY applied_trx_id, supplier_id""", "applications")
@@ -209,6 +258,21 @@ def active_holds(t: Tables) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("active_holds"))
 
 
+@register("r_ap8_all_holds", S.with_sql("""
+SELECT applied_trx_id AS order_id, supplier_id AS vendor_id, COUNT(*) AS holds,
+       CAST(SUM(CASE WHEN line_status = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS active_holds,
+       CAST(SUM(CASE WHEN line_status = 'O' THEN 0 ELSE 1 END) AS BIGINT) AS released_holds, MIN(apply_date) AS first_hold_date
+FROM applications WHERE return_flag = 'R' GROUP BY applied_trx_id, supplier_id""", "applications"))
+def all_holds(t: Tables) -> DataFrame:
+    """R-AP8 in its "all" mode: active and released holds per invoice (a hold
+    is a returned line, released once the line is no longer open)."""
+    a = S.applications(t).filter(F.col("return_flag") == "R")
+    open_ = F.when(F.col("line_status") == "O", 1).otherwise(0)
+    return a.groupBy(F.col("applied_trx_id").alias("order_id"), F.col("supplier_id").alias("vendor_id")).agg(
+        F.count(F.lit(1)).alias("holds"), F.sum(open_).alias("active_holds"), F.sum(1 - open_).alias("released_holds"),
+        F.min("apply_date").alias("first_hold_date"))
+
+
 _AP9_SQL = S.with_sql("""
 SELECT COALESCE(i.order_id, j.order_id) AS order_id, CAST(i.inv AS DECIMAL(38,2)) AS invoice_total,
        CAST(j.liab AS DECIMAL(38,2)) AS liability_total,
@@ -314,8 +378,8 @@ def complete_supplier_ledger(t: Tables) -> DataFrame:
     over the aggregated rows: bounded by months x types) and the party
     name with the negative-vendor fallback (J15)."""
     from tallyspark.operators import windows as W
-    mv = _ap_movements(t).filter(F.col("mv_date") <= F.lit(PERIOD_TO))
-    before = F.col("mv_date") < F.lit(PERIOD_FROM)
+    mv = _ap_movements(t).filter(F.col("mv_date") <= F.lit(t.params.date_to))
+    before = F.col("mv_date") < F.lit(t.params.date_from)
     # opening and period blocks from ONE aggregation: rows before the period
     # collapse into the opening key
     blocks = mv.select("vendor_id", F.when(before, 1).otherwise(2).alias("block"),
@@ -371,7 +435,7 @@ WHERE p.pay_type = 'PAYMENT' AND p.pay_date BETWEEN {D(PERIOD_FROM)} AND {D(PERI
 def payment_vouchers(t: Tables) -> DataFrame:
     """R-CM2: payment voucher list of the period (amount in words is a
     print formatter and is not built)."""
-    p = ap_payments(t).filter((F.col("pay_type") == "PAYMENT") & F.col("pay_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    p = ap_payments(t).filter((F.col("pay_type") == "PAYMENT") & F.col("pay_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
     s = S.suppliers(t).select(F.col("supplier_id").alias("vendor_id"), "vendor_name", "country_id")
     n = F.broadcast(t.nation.select(F.col("n_nationkey").alias("country_id"), F.col("n_name").alias("bank_country")))
     j = p.join(s, "vendor_id").join(n, "country_id")

@@ -88,20 +88,20 @@ def information_elements(t: Tables) -> DataFrame:
     return r.groupBy("person_id").agg(F.count(F.lit(1)).alias("info_entries"), F.max("effective_date").alias("last_entry"))
 
 
-_MONTH0 = f"DATE '{EVENTS_TO.year}-{EVENTS_TO.month:02d}-15'"
+_MONTH0 = D(EVENTS_TO.start("month") + _dt.timedelta(days=14))
 
 
 @register("r_py8_balance_dimensions", S.with_sql(f"""
 SELECT person_id, element,
        CAST(SUM(CASE WHEN effective_date <= {D(EVENTS_TO)} THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS itd,
-       CAST(SUM(CASE WHEN effective_date <= {D(EVENTS_TO)} AND effective_date >= DATE '{EVENTS_TO.year}-01-01' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS ytd,
-       CAST(SUM(CASE WHEN effective_date <= {D(EVENTS_TO)} AND effective_date >= DATE '{EVENTS_TO.year}-{EVENTS_TO.month:02d}-01' THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS ptd
+       CAST(SUM(CASE WHEN effective_date <= {D(EVENTS_TO)} AND effective_date >= {D(EVENTS_TO.start("year"))} THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS ytd,
+       CAST(SUM(CASE WHEN effective_date <= {D(EVENTS_TO)} AND effective_date >= {D(EVENTS_TO.start("month"))} THEN {_VAL} ELSE 0 END) AS DECIMAL(38,2)) AS ptd
 FROM run_results WHERE classification <> 'Information' GROUP BY person_id, element""", "run_results"))
 def balance_dimensions(t: Tables) -> DataFrame:
     """R-PY8: balance per dimension re-aimed as ITD/YTD/PTD sums of run
     results (A15, one pass)."""
     r = S.run_results(t).filter(F.col("classification") != "Information")
-    return r.groupBy("person_id", "element").agg(*A.to_date_sums("effective_date", _value(), EVENTS_TO))
+    return r.groupBy("person_id", "element").agg(*A.to_date_sums("effective_date", _value(), t.params.events_to))
 
 
 @register("r_py9_component_breakdown", S.with_sql(f"""
@@ -151,7 +151,7 @@ FROM service_periods s JOIN person_versions v ON v.person_id = s.person_id
 def salary_at_date(t: Tables) -> DataFrame:
     """R-CP5/J7: salary valid at the date (dimension filtered first)."""
     sp = S.service_periods(t).select("person_id", "department")
-    pv = E.as_of(S.person_versions(t), AS_OF).select("person_id", "salary", F.col("eff_start").alias("salary_since"))
+    pv = E.as_of(S.person_versions(t), t.params.as_of).select("person_id", "salary", F.col("eff_start").alias("salary_since"))
     return sp.join(pv, "person_id")
 
 
@@ -169,14 +169,14 @@ SELECT s.person_id, c.salary,
        CASE WHEN s.service_years < 2 THEN 'Entry Level' WHEN s.service_years <= 5 THEN 'Mid Level'
             WHEN s.service_years <= 10 THEN 'Senior Level' ELSE 'Expert Level' END AS experience_band,
        {sql_div_round('CAST(c.salary * 100 AS BIGINT)', 'greatest(CAST(s.service_years * 100 AS BIGINT), 100)')} AS pay_per_service_year
-FROM (SELECT person_id, {sql_service_years("DATE '2000-12-31'", "date_start")} AS service_years
+FROM (SELECT person_id, {sql_service_years("/*as_of*/DATE '2000-12-31'", "date_start")} AS service_years
       FROM service_periods WHERE date_start <= {D(AS_OF)}) s
 JOIN {_CUR_SAL_SQL} c ON c.person_id = s.person_id""", "service_periods", "person_versions"))
 def salary_experience_bands(t: Tables) -> DataFrame:
     """R-CP6/X14: salary band (edges 5, 10, 20 thousand), experience band (2,
     5, 10 years) and pay per service year, a year at least."""
-    s = S.service_periods(t).filter(F.col("date_start") <= F.lit(AS_OF))
-    s = s.select("person_id", service_years(F.lit(AS_OF), "date_start").alias("service_years"))
+    s = S.service_periods(t).filter(F.col("date_start") <= F.lit(t.params.as_of))
+    s = s.select("person_id", service_years(F.lit(t.params.as_of), "date_start").alias("service_years"))
     j = s.join(_current_salary(t), "person_id")
     pay, y = F.col("salary"), F.col("service_years")
     return j.select("person_id", "salary",
@@ -206,7 +206,7 @@ FROM service_periods s JOIN person_versions v ON v.person_id = s.person_id AND v
 WHERE s.date_start BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}""", "service_periods", "person_versions"))
 def new_joiners(t: Tables) -> DataFrame:
     """R-CP2: people hired in the period with their starting salary."""
-    s = S.service_periods(t).filter(F.col("date_start").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    s = S.service_periods(t).filter(F.col("date_start").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
     v = S.person_versions(t).select("person_id", F.col("eff_start").alias("date_start"), F.col("salary").alias("starting_salary"))
     return s.select("person_id", "date_start").join(v, ["person_id", "date_start"])
 
@@ -404,7 +404,7 @@ FROM service_periods s JOIN person_versions v ON v.person_id = s.person_id
 def compensation_listing(t: Tables) -> DataFrame:
     """R-CP1: salary at the date (J7) with percentage allowances and gross."""
     sp = S.service_periods(t).select("person_id", "person_number", "department")
-    v = E.as_of(S.person_versions(t), AS_OF).select("person_id", "grade_id", "salary")
+    v = E.as_of(S.person_versions(t), t.params.as_of).select("person_id", "grade_id", "salary")
     j = sp.join(v, "person_id")
     h = div_round(cents("salary") * HOUSING_PCT, F.lit(10000), 2)
     tr = div_round(cents("salary") * TRANSPORT_PCT, F.lit(10000), 2)
@@ -449,8 +449,8 @@ WHERE {D(AS_OF)} >= e.eff_start AND {D(AS_OF)} <= COALESCE(e.eff_end, {D(END_OF_
 def medical_enrolments(t: Tables) -> DataFrame:
     """R-BN1: medical enrolments valid at the date with the coverage level
     from the grade valid at the same date (J7 on both)."""
-    e = E.as_of(enrolments(t), AS_OF)
-    v = E.as_of(S.person_versions(t), AS_OF).select("person_id", "grade_id")
+    e = E.as_of(enrolments(t), t.params.as_of)
+    v = E.as_of(S.person_versions(t), t.params.as_of).select("person_id", "grade_id")
     j = e.join(v, "person_id")
     return j.select("person_id", "plan_name", "eff_start",
                     F.when(F.col("grade_id") <= 2, "FAMILY").otherwise("EMPLOYEE").alias("coverage_level"))
@@ -468,9 +468,9 @@ def enrolment_coverage_check(t: Tables) -> DataFrame:
     """R-BN2: enrolments valid at the date (row validity) checked against a
     coverage rate valid at the same date (second J7)."""
     from tallyspark.sources import constants as K
-    e = E.as_of(enrolments(t), AS_OF)
+    e = E.as_of(enrolments(t), t.params.as_of)
     c = S.customers(t).select(F.col("customer_id").alias("person_id"), F.col("ledger_id").alias("region_id"), "segment")
-    rc = E.as_of(K.rate_card(t.spark).filter(F.col("kind") == "ADULT"), AS_OF, "valid_from", "valid_to") \
+    rc = E.as_of(K.rate_card(t.spark).filter(F.col("kind") == "ADULT"), t.params.as_of, "valid_from", "valid_to") \
         .select("region_id", "segment", "rate")
     j = e.join(c, "person_id").join(rc, ["region_id", "segment"], "left")
     return j.select("person_id", "plan_name", (F.col("rate") * 10).cast("decimal(18,2)").alias("coverage_amount"),

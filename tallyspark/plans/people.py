@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.params import AS_OF, END_OF_TIME, EVENTS_FROM, EVENTS_TO
@@ -25,7 +25,7 @@ WHERE date_start <= {D(AS_OF)} AND COALESCE(actual_termination_date, {D(END_OF_T
 GROUP BY department""", "service_periods"))
 def headcount(t: Tables) -> DataFrame:
     """R-HR1: headcount at a date by department (period of service valid at the date)."""
-    s = E.as_of(S.service_periods(t), AS_OF, "date_start", "actual_termination_date")
+    s = E.as_of(S.service_periods(t), t.params.as_of, "date_start", "actual_termination_date")
     return s.groupBy("department").agg(F.count(F.lit(1)).alias("headcount"))
 
 
@@ -37,9 +37,9 @@ SELECT s.person_id, s.person_number, s.full_name, s.department, s.date_start,
 FROM service_periods s WHERE s.date_start <= {D(AS_OF)}""", "service_periods"))
 def worker_master(t: Tables) -> DataFrame:
     """R-HR2: worker master with service (as-of date capped by termination, J9)."""
-    s = S.service_periods(t).filter(F.col("date_start") <= F.lit(AS_OF))
-    end = E.capped_as_of("actual_termination_date", AS_OF)
-    status = F.when(F.col("actual_termination_date").isNull() | (F.col("actual_termination_date") >= F.lit(AS_OF)),
+    s = S.service_periods(t).filter(F.col("date_start") <= F.lit(t.params.as_of))
+    end = E.capped_as_of("actual_termination_date", t.params.as_of)
+    status = F.when(F.col("actual_termination_date").isNull() | (F.col("actual_termination_date") >= F.lit(t.params.as_of)),
                     "ACTIVE").otherwise("TERMINATED")
     return s.select("person_id", "person_number", "full_name", "department", "date_start", end.alias("service_end"),
                     F.datediff(end, F.col("date_start")).cast("bigint").alias("service_days"), status.alias("assignment_status"))
@@ -112,7 +112,7 @@ SELECT person_id, plan_name, {_component_sql()}
 FROM accrual_entries WHERE processed_date <= {D(EVENTS_TO)} GROUP BY person_id, plan_name""", "accrual_entries"))
 def annual_leave_balance(t: Tables) -> DataFrame:
     """R-AB6/A14: carry + accrued + adjustments - encashed - taken, one pass."""
-    e = S.accrual_entries(t).filter(F.col("processed_date") <= F.lit(EVENTS_TO))
+    e = S.accrual_entries(t).filter(F.col("processed_date") <= F.lit(t.params.events_to))
     return e.groupBy("person_id", "plan_name").agg(*_components())
 
 
@@ -126,6 +126,158 @@ def balance_by_plan_year(t: Tables) -> DataFrame:
     return e.groupBy("person_id", plan_year_start("processed_date").alias("plan_year_start")).agg(*_components())
 
 
+# Carry-over of the year before may be taken up to this many days after it was
+# granted; what leave taken by then has not used up expires.
+CARRY_OVER_DAYS = 10
+
+_EXPIRY_SQL = S.with_sql(f"""
+SELECT g.person_id, g.plan_name, g.carry_over, g.accrued, g.adjustments, g.transferred, g.encashed, g.taken, COALESCE(x.expired, CAST(0 AS DECIMAL(38,2))) AS expired,
+       CAST(g.carry_over + g.accrued + g.adjustments + g.transferred - g.encashed - g.taken - COALESCE(x.expired, 0) AS DECIMAL(38,2)) AS balance,
+       x.last_expiry_date
+FROM (SELECT person_id, plan_name,
+             CAST(SUM(CASE WHEN entry_type = 'COVR' THEN entry_value ELSE 0 END) AS DECIMAL(38,2)) AS carry_over,
+             CAST(SUM(CASE WHEN entry_type = 'ACRL' THEN entry_value ELSE 0 END) AS DECIMAL(38,2)) AS accrued,
+             CAST(SUM(CASE WHEN entry_type = 'ADJOTH' AND entry_id % 2 = 0 THEN entry_value ELSE 0 END) AS DECIMAL(38,2)) AS adjustments,
+             CAST(SUM(CASE WHEN entry_type = 'ADJOTH' AND entry_id % 2 = 1 THEN entry_value ELSE 0 END) AS DECIMAL(38,2)) AS transferred,
+             CAST(SUM(CASE WHEN entry_type = 'CSH' THEN entry_value ELSE 0 END) AS DECIMAL(38,2)) AS encashed,
+             CAST(SUM(CASE WHEN entry_type = 'ABS' THEN entry_value ELSE 0 END) AS DECIMAL(38,2)) AS taken
+      FROM accrual_entries WHERE processed_date <= {D(EVENTS_TO)} GROUP BY person_id, plan_name) g
+LEFT JOIN (
+  SELECT person_id, plan_name, CAST(SUM(greatest(least(value, upto - used), 0)) AS DECIMAL(38,2)) AS expired, MAX(expiry) AS last_expiry_date
+  FROM (SELECT c.person_id, c.plan_name, c.expiry, c.value, c.upto,
+               COALESCE((SELECT SUM(entry_value) FROM accrual_entries a WHERE a.person_id = c.person_id AND a.plan_name = c.plan_name
+                         AND a.entry_type = 'ABS' AND a.processed_date <= c.expiry), 0) AS used
+        FROM (SELECT person_id, plan_name, CAST(processed_date + {CARRY_OVER_DAYS} AS DATE) AS expiry, SUM(entry_value) AS value,
+                     SUM(SUM(entry_value)) OVER (PARTITION BY person_id, plan_name ORDER BY processed_date ROWS UNBOUNDED PRECEDING) AS upto
+              FROM accrual_entries WHERE entry_type = 'COVR' AND processed_date <= {D(EVENTS_TO)} GROUP BY person_id, plan_name, processed_date) c
+        WHERE c.expiry < {D(EVENTS_TO)}) e
+  GROUP BY person_id, plan_name) x ON x.person_id = g.person_id AND x.plan_name = g.plan_name""", "accrual_entries")
+
+
+def expired_carry_over(entries: DataFrame, as_of: _dt.date, days: int = CARRY_OVER_DAYS) -> DataFrame:
+    """(person_id, plan_name, expired, last_expiry_date): carry-over that no
+    leave has used up by its expiry.
+
+    Grants are used up oldest first.  Laid end to end, a grant reaches up to
+    the running total of grants; leave taken by its expiry has used the front
+    of that line, so what is left of the grant is the part beyond it, at most
+    the grant.  Running totals are over a person's days, not entries: grants
+    and leave are summed per day first, and the leave taken up to each expiry
+    comes from one window over the merged days."""
+    key = ["person_id", "plan_name"]
+    grants = entries.filter((F.col("entry_type") == "COVR") & (F.col("processed_date") <= F.lit(as_of)))
+    grants = grants.groupBy(*key, "processed_date").agg(F.sum("entry_value").alias("value"))
+    w = Window.partitionBy(*key).orderBy("processed_date").rowsBetween(Window.unboundedPreceding, 0)
+    grants = grants.withColumn("upto", F.sum("value").over(w)).withColumn("day", F.date_add("processed_date", days))
+    grants = grants.filter(F.col("day") < F.lit(as_of))
+    leave = entries.filter(F.col("entry_type") == "ABS").groupBy(*key, F.col("processed_date").alias("day")).agg(F.sum("entry_value").alias("leave"))
+    # leave of an expiry's own day still counts for it: days before grants
+    merged = leave.select(*key, "day", "leave", F.lit(0).alias("last"), F.lit(None).cast(grants.schema["value"].dataType).alias("value"),
+                          F.lit(None).cast(grants.schema["upto"].dataType).alias("upto")) \
+        .unionByName(grants.select(*key, "day", F.lit(0).cast(leave.schema["leave"].dataType).alias("leave"), F.lit(1).alias("last"), "value", "upto"))
+    seen = Window.partitionBy(*key).orderBy("day", "last").rowsBetween(Window.unboundedPreceding, 0)
+    merged = merged.withColumn("used", F.sum("leave").over(seen)).filter("last = 1")
+    left = F.greatest(F.least("value", F.col("upto") - F.col("used")), F.lit(0))
+    return merged.groupBy(*key).agg(F.sum(left).cast(TOTAL).alias("expired"), F.max("day").alias("last_expiry_date"))
+
+
+@register("r_ab6_balance_with_expiry", _EXPIRY_SQL)
+def balance_with_expiry(t: Tables) -> DataFrame:
+    """R-AB6/A14 with all seven movements: carried over, accrued, adjusted,
+    transferred, encashed, taken and expired carry-over.
+
+    Stand-ins: entries of type ADJOTH with an odd id are transfers; carry-over
+    expires ``CARRY_OVER_DAYS`` after its day."""
+    entries = S.accrual_entries(t)
+    e = entries.filter(F.col("processed_date") <= F.lit(t.params.events_to))
+    odd = F.col("entry_id") % 2 == 1
+    kinds = {"carry_over": F.col("entry_type") == "COVR", "accrued": F.col("entry_type") == "ACRL", "adjustments": (F.col("entry_type") == "ADJOTH") & ~odd,
+             "transferred": (F.col("entry_type") == "ADJOTH") & odd, "encashed": F.col("entry_type") == "CSH", "taken": F.col("entry_type") == "ABS"}
+    g = e.groupBy("person_id", "plan_name").agg(*[F.sum(F.when(c, F.col("entry_value")).otherwise(0)).cast(TOTAL).alias(n) for n, c in kinds.items()])
+    j = g.join(expired_carry_over(entries, t.params.events_to), ["person_id", "plan_name"], "left")
+    j = j.withColumn("expired", F.coalesce("expired", F.lit(0)).cast(TOTAL))
+    signs = {"carry_over": 1, "accrued": 1, "adjustments": 1, "transferred": 1, "encashed": -1, "taken": -1, "expired": -1}
+    balance = sum((F.col(n) * s for n, s in signs.items()), F.lit(0))
+    return j.select("person_id", "plan_name", *signs, balance.cast(TOTAL).alias("balance"), "last_expiry_date")
+
+
+_ANNIVERSARY_SQL = S.with_sql(f"""
+SELECT y.person_id, y.year_number, y.plan_year_start, y.plan_year_end, {_component_sql()}
+FROM (SELECT person_id, n AS year_number, CAST(date_start + n * INTERVAL 1 YEAR AS DATE) AS plan_year_start,
+             CAST(date_start + (n + 1) * INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE) AS plan_year_end
+      FROM (SELECT person_id, date_start, unnest(range(0, 100)) AS n FROM service_periods)) y
+JOIN accrual_entries e ON e.person_id = y.person_id AND e.processed_date BETWEEN y.plan_year_start AND y.plan_year_end
+WHERE e.processed_date <= {D(EVENTS_TO)}
+GROUP BY y.person_id, y.year_number, y.plan_year_start, y.plan_year_end""", "service_periods", "accrual_entries")
+
+
+def plan_year_number(day, start):
+    """Whole plan years from a start date to a day: the n with
+    start + n years <= day < start + (n + 1) years.  A start on 29 February
+    has its anniversary on the 28th in other years."""
+    n = F.year(day) - F.year(start)
+    return n - F.when(F.add_months(start, n * 12) > F.col(day), 1).otherwise(0)
+
+
+@register("r_ab7_balance_by_anniversary_year", _ANNIVERSARY_SQL)
+def balance_by_anniversary_year(t: Tables) -> DataFrame:
+    """R-AB7: balance by movement type per plan year counted from the hire
+    date (X9, anniversary mode); an entry's year is computed from its own date,
+    so each entry meets one year."""
+    e = S.accrual_entries(t).filter(F.col("processed_date") <= F.lit(t.params.events_to))
+    p = S.service_periods(t).select("person_id", "date_start")
+    n = plan_year_number("processed_date", "date_start")
+    j = e.join(p, "person_id").withColumn("n", n.cast("bigint")).filter("n >= 0")
+    start = F.add_months("date_start", (F.col("n") * 12).cast("int"))
+    end = F.date_sub(F.add_months("date_start", ((F.col("n") + 1) * 12).cast("int")), 1)
+    return j.groupBy("person_id", F.col("n").alias("year_number"), start.alias("plan_year_start"), end.alias("plan_year_end")).agg(*_components())
+
+
+_REQUEST_SQL = S.with_sql(f"""
+SELECT r.person_id, r.absence_id AS request_id, r.start_date, r.end_date, CAST(r.end_date - r.start_date + 1 AS BIGINT) AS days_requested,
+       CASE WHEN h.previous_count > 0 THEN 'Full Leave History' ELSE 'New Leave Request' END AS history_class,
+       COALESCE(h.previous_count, 0) AS previous_count, COALESCE(h.days_taken, 0) AS days_taken, h.last_leave_date,
+       r.start_date - h.last_leave_date AS days_since_last,
+       COALESCE(c.conflicts, 0) AS conflicts, COALESCE(c.conflict_days, 0) AS conflict_days
+FROM (SELECT * FROM leaves WHERE start_date BETWEEN {D(EVENTS_FROM + _dt.timedelta(days=20))} AND {D(EVENTS_TO)}) r
+LEFT JOIN (SELECT person_id, absence_type, COUNT(*) AS previous_count, CAST(SUM(end_date - start_date + 1) AS BIGINT) AS days_taken, MAX(end_date) AS last_leave_date
+           FROM leaves WHERE start_date < {D(EVENTS_FROM + _dt.timedelta(days=20))} GROUP BY person_id, absence_type) h
+  ON h.person_id = r.person_id AND h.absence_type = r.absence_type
+LEFT JOIN (SELECT r.absence_id, COUNT(*) AS conflicts,
+                  CAST(SUM(LEAST(r.end_date, o.end_date) - GREATEST(r.start_date, o.start_date) + 1) AS BIGINT) AS conflict_days
+           FROM leaves r JOIN leaves o ON o.person_id = r.person_id AND o.absence_id <> r.absence_id
+            AND o.start_date <= r.end_date AND r.start_date <= o.end_date GROUP BY r.absence_id) c ON c.absence_id = r.absence_id""", "leaves")
+
+REQUESTS_AFTER_DAYS = 20
+
+
+@register("r_ab1_request_against_history", _REQUEST_SQL)
+def request_against_history(t: Tables) -> DataFrame:
+    """R-AB1: each leave request of the period beside the person's earlier
+    leave of its type: number, days, last day and days since, and the other
+    leaves that it overlaps, with the days in common.
+
+    Stand-in: requests are the leaves that start ``REQUESTS_AFTER_DAYS`` into
+    the event window or later.  Overlaps meet by equality on (person, day):
+    each leave is its few days, a pair counts once a shared day."""
+    lv = S.leaves(t)
+    since = F.lit(t.params.events_from + _dt.timedelta(days=REQUESTS_AFTER_DAYS))
+    req = lv.filter((F.col("start_date") >= since) & (F.col("start_date") <= F.lit(t.params.events_to)))
+    length = (F.datediff("end_date", "start_date") + 1).cast("bigint")
+    hist = lv.filter(F.col("start_date") < since).groupBy("person_id", "absence_type").agg(
+        F.count(F.lit(1)).alias("previous_count"), F.sum(length).alias("days_taken"), F.max("end_date").alias("last_leave_date"))
+    day = lambda df, name: E.explode_interval(df.select("person_id", F.col("absence_id").alias(name), "start_date", "end_date"),
+                                              "start_date", "end_date", "day").select("person_id", name, "day")
+    shared = day(req, "absence_id").join(day(lv, "other_id"), ["person_id", "day"]).where("absence_id <> other_id")
+    conf = shared.groupBy("absence_id").agg(F.count_distinct("other_id").alias("conflicts"), F.count(F.lit(1)).alias("conflict_days"))
+    j = req.join(hist, ["person_id", "absence_type"], "left").join(conf, "absence_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return j.select("person_id", F.col("absence_id").alias("request_id"), "start_date", "end_date", length.alias("days_requested"),
+                    F.when(F.col("previous_count") > 0, "Full Leave History").otherwise("New Leave Request").alias("history_class"),
+                    none("previous_count"), none("days_taken"), "last_leave_date",
+                    F.datediff("start_date", "last_leave_date").cast("bigint").alias("days_since_last"), none("conflicts"), none("conflict_days"))
+
+
 _PEND_FROM = _dt.date(2024, 1, 21)
 
 
@@ -226,8 +378,8 @@ FROM (SELECT *, CASE WHEN current_status IN ('To be Reviewed', 'Shared with Hiri
                      WHEN current_status = 'Accepted' AND days_to_start < 14
                      THEN 'Alert: Pre-employment activities must complete in < 14 days'
                      ELSE 'No Alert' END AS alert_message
-      FROM (SELECT person_id, submission_id, DATE '2024-01-30' - submission_date AS days_since_submission,
-                   CASE WHEN accepted = 1 OR offered = 1 THEN (submission_date + 30) - DATE '2024-01-30' END AS days_to_start,
+      FROM (SELECT person_id, submission_id, /*events_to*/DATE '2024-01-30' - submission_date AS days_since_submission,
+                   CASE WHEN accepted = 1 OR offered = 1 THEN (submission_date + 30) - /*events_to*/DATE '2024-01-30' END AS days_to_start,
                    CASE WHEN accepted = 1 THEN 'Accepted' WHEN offered = 1 AND person_id % 2 = 0 THEN 'Extended'
                         WHEN offered = 1 THEN 'Approved' WHEN submission_id % 2 = 0 THEN 'To be Reviewed'
                         ELSE 'Shared with Hiring Manager' END AS current_status
@@ -247,8 +399,8 @@ def stage_alerts(t: Tables) -> DataFrame:
                .when((F.col("offered") == 1) & (F.col("person_id") % 2 == 0), "Extended").when(F.col("offered") == 1, "Approved")
                .when(F.col("submission_id") % 2 == 0, "To be Reviewed").otherwise("Shared with Hiring Manager"))
     s = s.select("person_id", "submission_id", status.alias("current_status"),
-                 F.datediff(F.lit(EVENTS_TO), "submission_date").cast("bigint").alias("days_since_submission"),
-                 F.when(offer, F.datediff(F.date_add("submission_date", 30), F.lit(EVENTS_TO)).cast("bigint")).alias("days_to_start"))
+                 F.datediff(F.lit(t.params.events_to), "submission_date").cast("bigint").alias("days_since_submission"),
+                 F.when(offer, F.datediff(F.date_add("submission_date", 30), F.lit(t.params.events_to)).cast("bigint")).alias("days_to_start"))
     return stage_alert_columns(s).filter(F.col("alert_message") != "No Alert")
 
 
@@ -342,7 +494,7 @@ def offer_package(t: Tables) -> DataFrame:
     one infant from the rate card (S7 + J20 pivot + A2)."""
     from tallyspark.plans.generic import rate_card_lookup
     rates = rate_card_lookup(t).withColumnRenamed("customer_id", "person_id")
-    sal = E.as_of(S.person_versions(t), AS_OF).select("person_id", "salary")
+    sal = E.as_of(S.person_versions(t), t.params.as_of).select("person_id", "salary")
     j = sal.join(rates, "person_id")
     fares = F.col("adult_rate") + 2 * F.col("child_rate") + F.col("infant_rate")
     return j.select("person_id", "salary", fares.cast("decimal(18,2)").alias("fares"),

@@ -19,8 +19,8 @@ from tallyspark.sources import standins as S
 from tallyspark.sources.tables import Tables
 
 D = S._d
-_Y0 = f"DATE '{AS_OF.year}-01-01'"
-_M0 = f"DATE '{AS_OF.year}-{AS_OF.month:02d}-01'"
+_Y0 = D(AS_OF.start("year"))
+_M0 = D(AS_OF.start("month"))
 
 
 def _td_sql(val: str, prefix: str) -> str:
@@ -38,9 +38,9 @@ def actual_cost_to_date(t: Tables) -> DataFrame:
     period-to-date in one aggregation pass."""
     c = S.project_costs(t)
     return c.groupBy("project_id").agg(
-        *A.to_date_sums("expenditure_date", "raw_cost", AS_OF, "raw_"),
-        *A.to_date_sums("expenditure_date", F.col("burdened_cost") - F.col("raw_cost"), AS_OF, "burden_"),
-        *A.to_date_sums("expenditure_date", "burdened_cost", AS_OF, "total_"))
+        *A.to_date_sums("expenditure_date", "raw_cost", t.params.as_of, "raw_"),
+        *A.to_date_sums("expenditure_date", F.col("burdened_cost") - F.col("raw_cost"), t.params.as_of, "burden_"),
+        *A.to_date_sums("expenditure_date", "burdened_cost", t.params.as_of, "total_"))
 
 
 @register("r_co2_cost_by_category", S.with_sql("""
@@ -129,7 +129,7 @@ LEFT JOIN (SELECT project_id, SUM(burdened_cost) AS actual_cost FROM project_cos
 def project_summary(t: Tables) -> DataFrame:
     """R-PJ2: latest baselined budget and latest forecast at the date (V1
     as a grouped max_by), actual cost to date, per project."""
-    pv = S.plan_versions(t).filter(F.col("submitted_date") <= F.lit(AS_OF))
+    pv = S.plan_versions(t).filter(F.col("submitted_date") <= F.lit(t.params.as_of))
     bud = E.latest(pv.filter((F.col("plan_class") == "BUDGET") & (F.col("plan_status") == "BASELINED"))
                    .select("project_id", "submitted_date", "plan_version_id", "plan_amount"),
                    ["project_id"], ["submitted_date", "plan_version_id"]).select(
@@ -137,7 +137,7 @@ def project_summary(t: Tables) -> DataFrame:
     fc = E.latest(pv.filter(F.col("plan_class") == "FORECAST").select("project_id", "submitted_date", "plan_version_id", "plan_amount"),
                   ["project_id"], ["submitted_date", "plan_version_id"]).select(
         "project_id", F.col("plan_amount").alias("forecast_amount"))
-    cost = (S.project_costs(t).filter(F.col("expenditure_date") <= F.lit(AS_OF)).groupBy("project_id")
+    cost = (S.project_costs(t).filter(F.col("expenditure_date") <= F.lit(t.params.as_of)).groupBy("project_id")
             .agg(F.sum("burdened_cost").alias("actual_cost")))
     p = S.plan_versions(t).select("project_id").distinct()
     j = p.join(bud, "project_id", "left").join(fc, "project_id", "left").join(cost, "project_id", "left")
@@ -353,7 +353,7 @@ def project_manager_director(t: Tables) -> DataFrame:
     director picked as one deterministic row per country (V8)."""
     p = S.plan_versions(t).select("project_id").distinct()
     c = S.customers(t).select(F.col("customer_id").alias("project_id"), "org_id")
-    v = E.as_of(S.person_versions(t), AS_OF).select(F.col("person_id").alias("project_id"),
+    v = E.as_of(S.person_versions(t), t.params.as_of).select(F.col("person_id").alias("project_id"),
                                                     F.col("grade_id").alias("manager_grade"),
                                                     F.col("salary").alias("manager_salary"))
     d = E.earliest(S.customers(t).select("org_id", F.col("customer_id").alias("director_id")), ["org_id"], ["director_id"])

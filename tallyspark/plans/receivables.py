@@ -42,8 +42,9 @@ _SQL_EIGHT = {"not_yet_due": "< 0", "b0_30": "BETWEEN 0 AND 30", "b31_60": "BETW
 # Shared blocks
 # ---------------------------------------------------------------------------
 
-def applied_to_date(t: Tables, as_of=AS_OF) -> DataFrame:
+def applied_to_date(t: Tables, as_of=None) -> DataFrame:
     """Applied amount per transaction up to the date (cash + credit memo)."""
+    as_of = as_of or t.params.as_of
     app = S.applications(t)
     return (app.filter((F.col("apply_date") <= F.lit(as_of)) & F.col("app_type").isin("CASH", "CM")
                        & (F.col("status") == "APP"))
@@ -55,9 +56,10 @@ APPLIED_SQL = f"""(SELECT applied_trx_id, SUM(amount) AS applied_amt FROM applic
  GROUP BY applied_trx_id)"""
 
 
-def open_balances(t: Tables, as_of=AS_OF) -> DataFrame:
+def open_balances(t: Tables, as_of=None) -> DataFrame:
     """Remaining functional balance per transaction at the date: original and
     applications, both at the document's rate (default 1)."""
+    as_of = as_of or t.params.as_of
     inv = S.invoices(t).filter((F.col("trx_date") <= F.lit(as_of)) & (F.col("amount") != 0))
     app = applied_to_date(t, as_of)
     bal = inv.join(app, inv.trx_id == app.applied_trx_id, "left")
@@ -135,13 +137,14 @@ GROUP BY c.party_name""", "invoices", "applications", "customers")
 
 
 @register("r_ar1_customer_aging_5", _AR1_SQL)
-def customer_aging_5(t: Tables, as_of=AS_OF) -> DataFrame:
+def customer_aging_5(t: Tables, as_of=None) -> DataFrame:
     """R-AR1: customer aging at a date, 5 buckets (Current, 1-30, 31-60, 61-90, >90).
 
     Balance = original x rate - applications up to the date; days due from
     the due date.  Bucket sums are taken per customer id first (partial
     aggregation), then named and re-summed per party name.
     """
+    as_of = as_of or t.params.as_of
     bal = open_balances(t, as_of).filter(F.col("remaining") != 0)
     bal = bal.withColumn("days_due", F.datediff(F.lit(as_of), F.col("due_date")))
     per_cust = aging.bucket_totals(bal, ["customer_id"], "days_due", "remaining", aging.AR_FIVE)
@@ -156,7 +159,7 @@ def customer_aging_5(t: Tables, as_of=AS_OF) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _ledger_rows(t: Tables) -> DataFrame:
-    mv = customer_movements(t).filter(F.col("gl_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    mv = customer_movements(t).filter(F.col("gl_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
     is_rc = F.col("source") == "RECEIPT"
     return mv.select("org_id", "customer_id", "gl_date", F.col("doc_number").alias("trx_number"), "source",
                      F.col("type_name").alias("type"),
@@ -208,7 +211,7 @@ def customer_ledger(t: Tables) -> DataFrame:
 # The signed-movement fact (R-AR8) and its reports
 # ---------------------------------------------------------------------------
 
-def movement_fact(t: Tables, as_of=AS_OF) -> DataFrame:
+def movement_fact(t: Tables, as_of=None) -> DataFrame:
     """One long fact of signed movements per transaction up to the date.
 
     Components: invoice (original x rate), cash and credit-memo
@@ -219,6 +222,7 @@ def movement_fact(t: Tables, as_of=AS_OF) -> DataFrame:
     so that the balance is their plain sum (§8 #1: amounts are already
     signed).  Every row carries the invoice's customer and due date.
     """
+    as_of = as_of or t.params.as_of
     inv = S.invoices(t).filter((F.col("trx_date") <= F.lit(as_of)) & (F.col("amount") != 0))
     inv_b = inv.select("trx_id", "customer_id", "due_date", F.col("trx_date").alias("mv_date"),
                        round_money(F.col("amount") * F.coalesce(F.col("exchange_rate"), F.lit(1))).alias("amount"),
@@ -300,7 +304,7 @@ def transaction_buckets(t: Tables) -> DataFrame:
     not-due column so that the buckets add up to the balance (§8 #5)."""
     per_trx = movement_fact(t).groupBy("trx_id").agg(F.sum("amount").alias("balance"),
                                                      F.max("due_date").alias("due_date"))
-    x = per_trx.withColumn("days_due", F.datediff(F.lit(AS_OF), F.col("due_date")))
+    x = per_trx.withColumn("days_due", F.datediff(F.lit(t.params.as_of), F.col("due_date")))
     x = x.withColumn("balance", F.col("balance").cast(TOTAL))
     return x.groupBy("trx_id", "balance").agg(*aging.AR_SIX_NOT_DUE.sums("days_due", "balance"))
 
@@ -338,8 +342,8 @@ def opening_balance(t: Tables) -> DataFrame:
     in the period.  One aggregation over the movement stream gives both the
     opening (movements before the period) and the activity flag."""
     # reversed receipts still make a customer active, but carry no balance
-    mv = customer_movements(t, include_reversed=True).filter(F.col("gl_date") <= F.lit(PERIOD_TO))
-    before = F.col("gl_date") < F.lit(PERIOD_FROM)
+    mv = customer_movements(t, include_reversed=True).filter(F.col("gl_date") <= F.lit(t.params.date_to))
+    before = F.col("gl_date") < F.lit(t.params.date_from)
     g = mv.groupBy("customer_id").agg(
         F.sum(F.when(before & ~F.col("is_reversed"), F.col("func_amount"))).alias("opening_balance"),
         F.max(F.when(~before, F.lit(1))).alias("active"))
@@ -397,19 +401,19 @@ def production_ledger(t: Tables) -> DataFrame:
     opening is simply the part of it before the period -- no separate
     opening join.  Skew-safe two-level W1 (chunk = date); the opening rows
     come from one aggregation over the same movement stream."""
-    mv = customer_movements(t).filter(F.col("gl_date") <= F.lit(PERIOD_TO)).select(
+    mv = customer_movements(t).filter(F.col("gl_date") <= F.lit(t.params.date_to)).select(
         "customer_id", "gl_date", "doc_number", "doc_type", F.col("func_amount").alias("amount"))
     run = windows.running_total(mv, ["customer_id"], ["gl_date", "doc_type", "doc_number"], "amount",
                                 "running_balance", chunk="gl_date")
     cust = S.customers(t).select("customer_id", "party_name")
-    det_out = run.filter(F.col("gl_date") >= F.lit(PERIOD_FROM)).join(cust, "customer_id").select(
+    det_out = run.filter(F.col("gl_date") >= F.lit(t.params.date_from)).join(cust, "customer_id").select(
         "customer_id", "party_name", "gl_date", "doc_number", "doc_type",
         F.col("amount").cast(TOTAL).alias("amount"), F.col("running_balance").cast(TOTAL).alias("running_balance"))
-    before = F.col("gl_date") < F.lit(PERIOD_FROM)
+    before = F.col("gl_date") < F.lit(t.params.date_from)
     g = mv.groupBy("customer_id").agg(F.sum(F.when(before, F.col("amount"))).alias("opening"),
                                       F.max(F.when(~before, F.lit(1))).alias("active"))
     open_out = g.filter((F.col("active") == 1) & F.col("opening").isNotNull()).join(cust, "customer_id").select(
-        "customer_id", "party_name", F.lit(PERIOD_FROM).alias("gl_date"),
+        "customer_id", "party_name", F.lit(t.params.date_from).alias("gl_date"),
         F.lit("OPENING").alias("doc_number"), F.lit("OPENING").alias("doc_type"),
         F.col("opening").cast(TOTAL).alias("amount"), F.col("opening").cast(TOTAL).alias("running_balance"))
     return opening_and_detail(open_out, det_out)
@@ -433,10 +437,10 @@ HAVING SUM(u.amount) <> 0""", "unapplied_receipts", "receipt_history", "customer
 def unapplied_aging(t: Tables) -> DataFrame:
     """R-AR13: unapplied receipts at the date, not reversed (J4), aged by
     receipt date into 8 buckets, negative amounts, non-zero customers (A4)."""
-    u = S.unapplied_receipts(t).filter(F.col("receipt_date") <= F.lit(AS_OF))
+    u = S.unapplied_receipts(t).filter(F.col("receipt_date") <= F.lit(t.params.as_of))
     u = u.join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"),
                "receipt_id", "left_anti")
-    u = u.withColumn("days", F.datediff(F.lit(AS_OF), F.col("receipt_date")))
+    u = u.withColumn("days", F.datediff(F.lit(t.params.as_of), F.col("receipt_date")))
     per = aging.bucket_totals(u, ["customer_id"], "days", "amount", aging.UNAPPLIED_EIGHT, "unapplied_total")
     per = per.filter(F.col("unapplied_total") != 0)
     return per.join(S.customers(t).select("customer_id", "party_name"), "customer_id")
@@ -477,13 +481,13 @@ def aging_with_unapplied(t: Tables) -> DataFrame:
                                                      F.max("due_date").alias("ref_date"))
     trx = per_trx.select(F.col("trx_id").alias("doc_id"), F.lit("TRX").alias("doc_kind"), "customer_id",
                          "ref_date", "balance")
-    u = S.unapplied_receipts(t).filter(F.col("receipt_date") <= F.lit(AS_OF))
+    u = S.unapplied_receipts(t).filter(F.col("receipt_date") <= F.lit(t.params.as_of))
     u = u.join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"),
                "receipt_id", "left_anti")
     un = u.select(F.col("receipt_id").alias("doc_id"), F.lit("UNAPPLIED").alias("doc_kind"), "customer_id",
                   F.col("receipt_date").alias("ref_date"), F.col("amount").alias("balance"))
     x = trx.unionByName(un).filter(F.col("balance") != 0)
-    days = F.datediff(F.lit(AS_OF), F.col("ref_date"))
+    days = F.datediff(F.lit(t.params.as_of), F.col("ref_date"))
     lab = aging.AR_SIX_NOT_DUE.label(days)
     buckets = [F.when(lab == F.lit(label), F.col("balance")).otherwise(F.lit(0)).cast(TOTAL).alias(col)
                for label, col, _, _ in aging.AR_SIX_NOT_DUE.buckets]
@@ -507,7 +511,7 @@ WHERE ob.remaining <> 0 GROUP BY ob.customer_id, c.party_name""", "invoices", "a
 def aging_7(t: Tables) -> DataFrame:
     """R-AR3: aging by customer, all 7 buckets output (they add up, §8 #3)."""
     bal = open_balances(t).filter(F.col("remaining") != 0).withColumn(
-        "days", F.datediff(F.lit(AS_OF), F.col("due_date")))
+        "days", F.datediff(F.lit(t.params.as_of), F.col("due_date")))
     per = aging.bucket_totals(bal, ["customer_id"], "days", "remaining", aging.AR_SEVEN)
     return per.join(S.customers(t).select("customer_id", "party_name"), "customer_id")
 
@@ -524,7 +528,7 @@ WHERE i.trx_date >= {D(PERIOD_FROM)} AND i.trx_date <= {D(PERIOD_TO)} AND i.comp
 def transaction_register(t: Tables) -> DataFrame:
     """R-AR4: complete transactions in the period with customer, unit and terms."""
     from tallyspark.functions.params import date_range
-    inv = S.invoices(t).filter(date_range("trx_date", PERIOD_FROM, PERIOD_TO) & (F.col("complete_flag") == "Y"))
+    inv = S.invoices(t).filter(date_range("trx_date", t.params.date_from, t.params.date_to) & (F.col("complete_flag") == "Y"))
     c = S.customers(t).select("customer_id", "party_name", "unit_name")
     return inv.join(c, "customer_id").select(
         "trx_id", "trx_number", "trx_date", "class", "party_name", "unit_name", "amount", "due_date",
@@ -546,7 +550,7 @@ WHERE r.receipt_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}
 def receipt_register(t: Tables) -> DataFrame:
     """R-AR5: receipts in the period, reversed ones excluded (J4), with
     their application count and amount (pre-aggregated, J2)."""
-    r = S.receipts(t).filter((F.col("receipt_date") >= F.lit(PERIOD_FROM)) & (F.col("receipt_date") <= F.lit(PERIOD_TO)))
+    r = S.receipts(t).filter((F.col("receipt_date") >= F.lit(t.params.date_from)) & (F.col("receipt_date") <= F.lit(t.params.date_to)))
     r = r.join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"), "receipt_id", "left_anti")
     apps = (S.applications(t).filter(F.col("app_type") == "CASH").groupBy(F.col("applied_trx_id").alias("receipt_id"))
             .agg(F.count(F.lit(1)).alias("app_count"), F.sum("amount").alias("applied")))
@@ -684,7 +688,7 @@ def _aging_basis(t: Tables, basis: str, widen: int) -> DataFrame:
     """Five buckets by due or invoice date; ``widen`` moves only the lower
     edge of the first bucket, earlier documents count in the total alone."""
     bal = open_balances(t).filter(F.col("remaining") != 0)
-    bal = bal.withColumn("days", F.datediff(F.lit(AS_OF), F.col("due_date" if basis == "due" else "trx_date")))
+    bal = bal.withColumn("days", F.datediff(F.lit(t.params.as_of), F.col("due_date" if basis == "due" else "trx_date")))
     return aging.bucket_totals(bal, ["customer_id"], "days", "remaining", aging.ar_widened(widen))
 
 
@@ -723,7 +727,7 @@ def transaction_aging_8(t: Tables) -> DataFrame:
     """R-AR7: one row per open complete transaction with its 8-bucket
     position; the test tables hold no sites, so the unit stands for the place."""
     bal = open_balances(t).filter((F.col("remaining") != 0) & (F.col("complete_flag") == "Y"))
-    days = F.datediff(F.lit(AS_OF), F.col("due_date"))
+    days = F.datediff(F.lit(t.params.as_of), F.col("due_date"))
     label = F.coalesce(aging.AR_EIGHT.label(days), F.lit("Unknown"))
     cols = [F.when(label == F.lit(name), F.col("remaining")).otherwise(F.lit(0)).cast(TOTAL).alias(col)
             for name, col, _, _ in aging.AR_EIGHT.buckets]
@@ -760,8 +764,8 @@ FROM receipts r WHERE r.receipt_date <= {D(AS_OF)} GROUP BY r.customer_id""", "r
 @register("r_ar24_aging_by_receipt_date", _AR24_SQL)
 def aging_by_receipt(t: Tables) -> DataFrame:
     """R-AR24: receipts aged by receipt date, 5 buckets per customer."""
-    r = S.receipts(t).filter(F.col("receipt_date") <= F.lit(AS_OF)).withColumn(
-        "days", F.datediff(F.lit(AS_OF), F.col("receipt_date")))
+    r = S.receipts(t).filter(F.col("receipt_date") <= F.lit(t.params.as_of)).withColumn(
+        "days", F.datediff(F.lit(t.params.as_of), F.col("receipt_date")))
     return aging.bucket_totals(r, ["customer_id"], "days", "amount", aging.AR_FIVE, "received")
 
 
@@ -801,8 +805,8 @@ def customer_statement(t: Tables) -> DataFrame:
     memos, receipts) of the period and the closing balance per customer.
     The opening filters the transaction date itself (§8 #6).  One
     conditional-sum pass over the movement stream."""
-    mv = customer_movements(t).filter(F.col("gl_date") <= F.lit(PERIOD_TO))
-    in_p = F.col("gl_date") >= F.lit(PERIOD_FROM)
+    mv = customer_movements(t).filter(F.col("gl_date") <= F.lit(t.params.date_to))
+    in_p = F.col("gl_date") >= F.lit(t.params.date_from)
     kind = lambda k: F.coalesce(F.sum(F.when(in_p & (F.col("doc_type") == k), F.col("func_amount"))),
                                 F.lit(0)).cast(TOTAL)
     g = mv.groupBy("customer_id").agg(
@@ -836,16 +840,16 @@ def statement_of_account(t: Tables) -> DataFrame:
     NOT IN, J5), balance and its 5-bucket position per invoice; balances
     within 0..0.5 suppressed (F10)."""
     from tallyspark.operators.joins import not_in
-    cash = S.applications(t).filter((F.col("app_type") == "CASH") & (F.col("apply_date") <= F.lit(AS_OF)))
+    cash = S.applications(t).filter((F.col("app_type") == "CASH") & (F.col("apply_date") <= F.lit(t.params.as_of)))
     rev = S.receipt_history(t).filter(F.col("status") == "REVERSED")
     paid = not_in(cash, "applied_trx_id", rev, "receipt_id").groupBy(F.col("applied_trx_id").alias("trx_id")) \
         .agg(F.sum("amount").alias("paid"))
-    inv = S.invoices(t).filter((F.col("trx_date") <= F.lit(AS_OF)) & (F.col("class") == "INV"))
+    inv = S.invoices(t).filter((F.col("trx_date") <= F.lit(t.params.as_of)) & (F.col("class") == "INV"))
     j = inv.join(paid, "trx_id", "left")
     rec = _func()
     bal = rec - F.coalesce("paid", F.lit(0))
     j = j.filter(~bal.between(0, 0.5))
-    lab = aging.AR_FIVE.label(F.datediff(F.lit(AS_OF), F.col("due_date")))
+    lab = aging.AR_FIVE.label(F.datediff(F.lit(t.params.as_of), F.col("due_date")))
     buckets = [F.when(lab == F.lit(label), bal).otherwise(F.lit(0)).cast(TOTAL).alias(c)
                for label, c, _, _ in aging.AR_FIVE.buckets]
     return j.select("trx_id", "customer_id", rec.cast(TOTAL).alias("rec_amount"),
@@ -863,7 +867,7 @@ WHERE r.receipt_date BETWEEN {D(PERIOD_FROM)} AND {D(PERIOD_TO)}
 @register("r_cm3_receipt_vouchers", _CM3_SQL)
 def receipt_vouchers(t: Tables) -> DataFrame:
     """R-CM3: receipt voucher list of the period (J2 + J4)."""
-    r = S.receipts(t).filter(F.col("receipt_date").between(F.lit(PERIOD_FROM), F.lit(PERIOD_TO)))
+    r = S.receipts(t).filter(F.col("receipt_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
     r = r.join(S.receipt_history(t).filter(F.col("status") == "REVERSED").select("receipt_id"), "receipt_id", "left_anti")
     c = S.customers(t).select("customer_id", "party_name")
     return r.join(c, "customer_id").select("receipt_id", "receipt_number", "receipt_date",

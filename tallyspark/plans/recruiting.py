@@ -122,7 +122,7 @@ def candidate_pipeline(t: Tables) -> DataFrame:
     date, workflow state, business-friendly status (X2 map), source,
     recruiter and hiring manager (J21)."""
     from tallyspark.functions.scalars import decode as dec
-    s = S.submissions(t).filter((F.col("submission_date") >= F.lit(EVENTS_FROM)) & (F.col("applied") == 1))
+    s = S.submissions(t).filter((F.col("submission_date") >= F.lit(t.params.events_from)) & (F.col("applied") == 1))
     s = s.withColumn("current_status", _state())
     r = requisitions(t)
     j = (s.withColumn("requisition_id", F.col("person_id") % 7).join(r, "requisition_id")
@@ -236,7 +236,7 @@ def pending_offer_priority(t: Tables) -> DataFrame:
     """R-RC16: extended, not accepted offers with days since extended and a
     follow-up priority band (X5 + X14)."""
     o = offers(t).filter(F.col("extended_date").isNotNull() & F.col("accepted_date").isNull())
-    days = F.datediff(F.lit(EVENTS_TO), F.col("extended_date")).cast("bigint")
+    days = F.datediff(F.lit(t.params.events_to), F.col("extended_date")).cast("bigint")
     pr = None
     for d, lab in FOLLOW_UP:
         pr = F.when(days > d, lab) if pr is None else pr.when(days > d, lab)
@@ -267,7 +267,7 @@ FROM (SELECT o.offer_id, o.extended_date, o.accepted_date, o.extended_date + 14
       FROM offers o
       LEFT JOIN (SELECT resource_id, MAX(work_date) AS last_work_date FROM time_records GROUP BY resource_id) w
         ON w.resource_id = o.person_id
-      WHERE o.extended_date >= DATE '2024-01-01') x""", "offers", "time_records")
+      WHERE o.extended_date >= /*events_from*/DATE '2024-01-01') x""", "offers", "time_records")
 
 
 def transition_status(hired, active, accepted, extended) -> F.Column:
@@ -285,7 +285,7 @@ def offer_transition(t: Tables) -> DataFrame:
     Stand-ins: a hired candidate has an employee assignment, active once a
     time record lies on or after the hire date; an offer's projected start is
     14 days after it was extended."""
-    o = offers(t).filter(F.col("extended_date") >= F.lit(EVENTS_FROM))
+    o = offers(t).filter(F.col("extended_date") >= F.lit(t.params.events_from))
     worked = S.time_records(t).groupBy(F.col("resource_id").alias("person_id")).agg(F.max("work_date").alias("last_work_date"))
     j = o.join(worked, "person_id", "left")
     active = F.coalesce(F.col("last_work_date") >= F.col("hire_date"), F.lit(False))
@@ -363,7 +363,7 @@ def offer_vs_current(t: Tables) -> DataFrame:
     """R-RC7: proposed components (A2/A3 pivot of the offer's elements)
     against the current salary at the date (J7)."""
     p = _proposed(t)
-    cur = E.as_of(S.person_versions(t), AS_OF).select("person_id", F.col("salary").alias("current_salary"))
+    cur = E.as_of(S.person_versions(t), t.params.as_of).select("person_id", F.col("salary").alias("current_salary"))
     j = p.join(cur, "person_id")
     tot = F.col("proposed_basic") + F.col("proposed_housing") + F.col("proposed_transport")
     return j.select("person_id", "current_salary", "proposed_basic", "proposed_housing", "proposed_transport",
@@ -379,7 +379,7 @@ FROM {_PROPOSED_SQL} p JOIN person_versions v ON v.person_id = p.person_id
 def current_vs_proposed(t: Tables) -> DataFrame:
     """R-RC13: current vs proposed basic -- rounded change (X3) and percent."""
     p = _proposed(t).select("person_id", "proposed_basic")
-    cur = E.as_of(S.person_versions(t), AS_OF).select("person_id", F.col("salary").alias("current_salary"))
+    cur = E.as_of(S.person_versions(t), t.params.as_of).select("person_id", F.col("salary").alias("current_salary"))
     j = p.join(cur, "person_id")
     ch = F.col("proposed_basic") - F.col("current_salary")
     return j.select("person_id", "current_salary", "proposed_basic",

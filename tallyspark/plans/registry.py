@@ -12,6 +12,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.functions.params import Params, apply_filters, listed, render
 from tallyspark.session import tune_session
 from tallyspark.sources.tables import Tables
 
@@ -20,6 +21,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 DESCRIPTIONS: dict[str, str] = {}
+PLANS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 _TABLES: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
@@ -51,6 +53,7 @@ def register(name: str, sql: str | None = None):
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        PLANS[name] = fn
         DESCRIPTIONS[name] = (fn.__doc__ or "").strip().splitlines()[0] if fn.__doc__ else ""
         if sql is not None:
             ORACLE[name] = sql
@@ -59,6 +62,28 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def report(name: str, spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
+    """A report for other parameters than the defaults.
+
+    Dates reach the plan as literals, so they are pushed into the scans as
+    the defaults are; a filter on a report column is one on the result, which
+    Catalyst pushes as far down as the plan allows.
+    """
+    load_all()
+    tune_session(spark)
+    df = PLANS[name](tables_for(spark, sf_dir).with_params(params))
+    wanted = {c: v for c, v in params.filters.items() if listed(v) is not None}
+    if missing := sorted(set(wanted) - set(df.columns)):
+        raise ValueError(f"{name} has no column {', '.join(missing)} to filter; it has {', '.join(df.columns)}")
+    return apply_filters(df, wanted)
+
+
+def report_sql(name: str, params: Params) -> str:
+    """The DuckDB text of :func:`report`."""
+    load_all()
+    return render(ORACLE[name], params)
+
+
 def load_all() -> None:
     """Import every plan module so that its queries register."""
     from tallyspark.plans import (  # noqa: F401

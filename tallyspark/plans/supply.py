@@ -201,7 +201,7 @@ GROUP BY s.supplier_id, s.vendor_name, s.acctbal""", "suppliers", "applications"
 def supplier_qualification(t: Tables) -> DataFrame:
     """R-P2P5: supplier qualification list at a date."""
     s = S.suppliers(t)
-    a = (S.applications(t).filter(F.col("apply_date") <= F.lit(AS_OF)).groupBy("supplier_id")
+    a = (S.applications(t).filter(F.col("apply_date") <= F.lit(t.params.as_of)).groupBy("supplier_id")
          .agg(F.count_distinct("applied_trx_id").alias("orders_supplied")))
     j = s.join(a, "supplier_id", "left")
     return j.select("supplier_id", "vendor_name", F.coalesce("orders_supplied", F.lit(0)).alias("orders_supplied"),

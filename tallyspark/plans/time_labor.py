@@ -42,7 +42,8 @@ SELECT resource_id AS person_id, work_date, COUNT(*) AS punches, MIN(start_time)
 FROM time_records GROUP BY resource_id, work_date""")
 
 
-def missing_days(t: Tables, as_of: _dt.date = EVENTS_TO) -> DataFrame:
+def missing_days(t: Tables, as_of: _dt.date | None = None) -> DataFrame:
+    as_of = as_of or t.params.events_to
     days = S.schedule_days(t).filter(F.col("work_date") <= F.lit(as_of))
     reported = S.time_records(t).select(F.col("resource_id").alias("person_id"), "work_date").distinct()
     hol = S.person_holidays(t).select("person_id", F.col("holiday_date").alias("work_date"))
@@ -66,24 +67,18 @@ def missing_timecard_days(t: Tables) -> DataFrame:
     return missing_days(t).select("person_id", "schedule_id", "work_date", "weekday")
 
 
-_WEEK1_TO = _dt.date(2024, 1, 7)
-
-
-@register("r_tl3_no_timesheet", S.with_sql(f"""
+_TL3_SQL = S.with_sql(f"""
 SELECT p.person_id FROM people p
 WHERE NOT EXISTS (SELECT 1 FROM time_records r WHERE r.resource_id = p.person_id
-                  AND r.work_date BETWEEN {D(EVENTS_FROM)} AND {D(_WEEK1_TO)})""", "people", "time_records"))
-def no_timesheet_first_week(t: Tables) -> DataFrame:
-    """R-TL3 for the first week only, as the SQL under this key has it."""
-    return no_timesheet(t, EVENTS_FROM, _WEEK1_TO)
+                  AND r.work_date BETWEEN {D(EVENTS_FROM)} AND {D(EVENTS_TO)})""", "people", "time_records")
 
 
-@register("r_tl3_no_timesheet_in_period", S.with_sql(f"""
-SELECT p.person_id FROM people p
-WHERE NOT EXISTS (SELECT 1 FROM time_records r WHERE r.resource_id = p.person_id
-                  AND r.work_date BETWEEN {D(EVENTS_FROM)} AND {D(EVENTS_TO)})""", "people", "time_records"))
-def no_timesheet(t: Tables, date_from: _dt.date = EVENTS_FROM, date_to: _dt.date = EVENTS_TO) -> DataFrame:
+@register("r_tl3_no_timesheet_in_period", _TL3_SQL)
+@register("r_tl3_no_timesheet", _TL3_SQL)
+def no_timesheet(t: Tables, date_from: _dt.date | None = None, date_to: _dt.date | None = None) -> DataFrame:
     """R-TL3: employees without any time record in the period."""
+    date_from = date_from or t.params.events_from
+    date_to = date_to or t.params.events_to
     r = S.time_records(t).filter(F.col("work_date").between(F.lit(date_from), F.lit(date_to))) \
         .select(F.col("resource_id").alias("person_id"))
     return S.people(t).join(r, "person_id", "left_anti")
@@ -120,7 +115,7 @@ def daily_attendance(t: Tables) -> DataFrame:
 _TL7_SQL = S.with_sql(f"""
 SELECT d.person_id, COUNT(*) AS scheduled_days,
        CAST(SUM(CASE WHEN p.person_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS worked_days,
-       30 - COUNT(*) AS week_off_days,
+       {D(EVENTS_TO)} - {D(EVENTS_FROM)} + 1 - COUNT(*) AS week_off_days,
        CAST(SUM(CASE WHEN l.person_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS leave_days,
        CAST(SUM(CASE WHEN p.person_id IS NULL AND l.person_id IS NULL AND h.person_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS absent_days,
        {sql_percent('SUM(CASE WHEN p.person_id IS NOT NULL THEN 1 ELSE 0 END)', 'COUNT(*)')} AS attendance_pct
@@ -149,7 +144,7 @@ def monthly_attendance(t: Tables) -> DataFrame:
         F.sum(F.when(F.col("w").isNotNull(), 1).otherwise(0)).alias("worked_days"),
         F.sum(F.when(F.col("l").isNotNull(), 1).otherwise(0)).alias("leave_days"),
         F.sum(F.when(F.col("w").isNull() & F.col("l").isNull() & F.col("h").isNull(), 1).otherwise(0)).alias("absent_days"))
-    days_in_window = (EVENTS_TO - EVENTS_FROM).days + 1
+    days_in_window = (t.params.events_to - t.params.events_from).days + 1
     return g.select("person_id", "scheduled_days", "worked_days",
                     (F.lit(days_in_window) - F.col("scheduled_days")).alias("week_off_days"), "leave_days", "absent_days",
                     percent("worked_days", "scheduled_days").alias("attendance_pct"))
@@ -255,18 +250,18 @@ SELECT person_id, service_years, entitlement_days, {sql_div_round('entitlement_d
 FROM (SELECT person_id, service_years,
              CAST(CASE WHEN service_years < 1 THEN 10 WHEN service_years <= 5 THEN 15
                        WHEN service_years <= 10 THEN 20 ELSE 25 END AS INTEGER) AS entitlement_days
-      FROM (SELECT person_id, {sql_service_years("DATE '2000-12-31'", "date_start")} AS service_years
+      FROM (SELECT person_id, {sql_service_years("/*as_of*/DATE '2000-12-31'", "date_start")} AS service_years
             FROM service_periods
-            WHERE date_start <= DATE '2000-12-31'
-              AND (actual_termination_date IS NULL OR actual_termination_date >= DATE '2000-12-31')) s) b""",
+            WHERE date_start <= /*as_of*/DATE '2000-12-31'
+              AND (actual_termination_date IS NULL OR actual_termination_date >= /*as_of*/DATE '2000-12-31')) s) b""",
                                                  "service_periods"))
 def leave_entitlement(t: Tables) -> DataFrame:
     """R-TL13: entitlement of the people in service at the date by years of
     service (2 decimals) and the monthly accrual (entitlement / 12, exact).
     Fixed values: 10 days below 1 year, 15 up to 5, 20 up to 10, then 25."""
-    s = S.service_periods(t).filter((F.col("date_start") <= F.lit(AS_OF))
-                                    & F.coalesce(F.col("actual_termination_date") >= F.lit(AS_OF), F.lit(True)))
-    s = s.select("person_id", service_years(F.lit(AS_OF), "date_start").alias("service_years"))
+    s = S.service_periods(t).filter((F.col("date_start") <= F.lit(t.params.as_of))
+                                    & F.coalesce(F.col("actual_termination_date") >= F.lit(t.params.as_of), F.lit(True)))
+    s = s.select("person_id", service_years(F.lit(t.params.as_of), "date_start").alias("service_years"))
     y = F.col("service_years")
     ent = F.when(y < 1, 10).when(y <= 5, 15).when(y <= 10, 20).otherwise(25).cast("int")
     return s.select("person_id", "service_years", ent.alias("entitlement_days"),

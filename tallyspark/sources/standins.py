@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.params import END_OF_TIME, EVENTS_FROM, EVENTS_TO
+from tallyspark.functions.params import END_OF_TIME, EVENTS_FROM, EVENTS_TO, literal
 from tallyspark.functions.scalars import MONEY, RATE, cents, div_round, money, round_money, sql_div_round
 from tallyspark.sources import constants as K
 from tallyspark.sources.tables import Tables
@@ -47,8 +47,7 @@ def with_sql(body: str, *names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in order) + "\n" + body
 
 
-def _d(d) -> str:
-    return f"DATE '{d.isoformat()}'"
+_d = literal
 
 
 # ---------------------------------------------------------------------------
@@ -516,13 +515,15 @@ SELECT person_id, 'STD' AS schedule_id, 1 AS level FROM people p
 WHERE NOT EXISTS (SELECT 1 FROM people q WHERE q.person_id = p.person_id AND q.person_id % 5 = 0)""")
 
 
-def schedule_days(t: Tables, date_from=EVENTS_FROM, date_to=EVENTS_TO) -> DataFrame:
+def schedule_days(t: Tables, date_from=None, date_to=None) -> DataFrame:
     """S5 + S6: working days of each person's schedule in the window.
 
     The day spine is generated per person with ``explode(sequence(...))``
     (bounded by the window length), then filtered by an equi-join to the
     fixed schedule/weekday table -- no cartesian product.
     """
+    date_from = date_from or t.params.events_from
+    date_to = date_to or t.params.events_to
     ps = person_schedules(t)
     days = ps.select("person_id", "schedule_id",
                      F.explode(F.sequence(F.lit(date_from), F.lit(date_to))).alias("work_date"))

@@ -11,6 +11,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.functions.params import Params
 
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -20,20 +23,32 @@ TABLE_NAMES = (
 
 
 class Tables:
-    """Lazy access to the source tables of one data folder."""
+    """Lazy access to the source tables of one data folder, for one set of
+    report parameters; organisation and customer lists limit the customer
+    scan, and through the joins what hangs on it."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, params: Params | None = None):
         self.spark = spark
         self.root = root
+        self.params = params or Params()
         self._cache: dict[str, DataFrame] = {}
 
+    def with_params(self, params: Params) -> Tables:
+        """The same tables for other parameters; files are not listed again."""
+        out = Tables(self.spark, self.root, params)
+        out._cache = {n: df for n, df in self._cache.items() if n != "customer"}
+        return out
+
     def path(self, name: str) -> str:
         direct = os.path.join(self.root, f"{name}.parquet")
         return direct
 
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(self.path(name))
+            df = self.spark.read.parquet(self.path(name))
+            for column, values in self.params.customer_limits().items() if name == "customer" else ():
+                df = df.filter(F.col(column).isin(values))
+            self._cache[name] = df
         return self._cache[name]
 
     def exists(self, name: str) -> bool:

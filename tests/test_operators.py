@@ -233,7 +233,7 @@ def test_parameter_block_and_default_windows(spark):
     assert as_date(dt.datetime(2024, 2, 29, 23, 59)) == dt.date(2024, 2, 29)
     assert year_to_date(dt.date(2024, 5, 7)) == (dt.date(2024, 1, 1), dt.date(2024, 5, 7))
     assert previous_month(dt.date(2024, 3, 10)) == (dt.date(2024, 2, 1), dt.date(2024, 2, 29))
-    assert Params(as_of=None).as_of_or_today() == dt.date.today()
+    assert Params(as_of=None).as_of == dt.date.today()
     df = spark.createDataFrame([(1, "a", "X"), (2, "b", None)], "id int, k string, c string")
     assert apply_filters(df, {"k": ["a", "b"], "c": "All"}).count() == 2
     assert apply_filters(df, {"c": None}, mode="nvl").count() == 1

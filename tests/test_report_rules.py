@@ -69,10 +69,11 @@ def test_weekly_overtime(spark):
 def test_no_timesheet_looks_at_the_whole_period(spark):
     from types import SimpleNamespace
 
+    from tallyspark.functions.params import Params
     from tallyspark.plans.time_labor import no_timesheet
 
     rows = [(1, 1, "click", "2024-01-03 08:00:00"), (2, 2, "click", "2024-01-10 08:00:00"), (3, 3, "click", "2024-01-30 23:00:00"),
             (4, 4, "view", "2024-01-10 08:00:00"), (5, 5, "click", "2024-02-01 08:00:00")]
     events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string")
-    t = SimpleNamespace(events=events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp"), F.lit(1.0).alias("value")))
+    t = SimpleNamespace(params=Params(), events=events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp"), F.lit(1.0).alias("value")))
     assert {r.person_id for r in no_timesheet(t).collect()} == {4, 5}
