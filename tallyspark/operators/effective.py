@@ -40,7 +40,7 @@ def join_as_of(fact: DataFrame, dim: DataFrame, keys: Sequence[str], date,
 
 def join_effective(fact: DataFrame, dim: DataFrame, keys: Sequence[str], fact_date: str,
                    how: str = "left", start: str = "eff_start", end: str = "eff_end",
-                   month_buckets: bool = True) -> DataFrame:
+                   month_buckets: bool = True, within: tuple | None = None) -> DataFrame:
     """Join each fact row to the version valid at the fact's own date.
 
     Versions do not overlap, so at most one matches.  With
@@ -50,12 +50,13 @@ def join_effective(fact: DataFrame, dim: DataFrame, keys: Sequence[str], fact_da
     range test only confirming the match.  A fact row then meets the few
     versions of its own month instead of the key's whole history, and a hot
     key's facts spread over as many join partitions as it has months.
+    ``within`` gives bounds of the fact dates (dates or scalar columns, wider
+    ones do no harm); without it the fact is run once more to find them.
     """
     d = dim.withColumnRenamed(start, "__es").withColumnRenamed(end, "__ee")
     es, ee = F.col("__es"), F.coalesce(F.col("__ee"), F.lit(END_OF_TIME))
     if month_buckets:
-        lo_fact = fact.agg(F.min(fact_date)).scalar()
-        hi_fact = fact.agg(F.max(fact_date)).scalar()
+        lo_fact, hi_fact = within or (fact.agg(F.min(fact_date)).scalar(), fact.agg(F.max(fact_date)).scalar())
         lo = F.trunc(F.greatest(es, lo_fact), "month")
         hi = F.trunc(F.least(ee, hi_fact), "month")
         d = (d.filter(lo <= hi)

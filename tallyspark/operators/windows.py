@@ -213,7 +213,14 @@ def rows_at_max(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return keep_ties(df, keys, value, descending=True)
 
 
-def serial_number(df: DataFrame, order: Sequence, out: str = "serial_no") -> DataFrame:
+def magnitude_bucket(c) -> Column:
+    """A bucket that rises with a number: its sign and sixteen steps to each
+    power of two, so at most some two thousand whatever the data."""
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.signum(c) * F.when(c > 0, F.floor(F.log2(F.abs(c) + 1) * 16)).otherwise(F.ceil(F.log2(F.abs(c) + 1) * 16))).cast("int")
+
+
+def serial_number(df: DataFrame, order: Sequence, out: str = "serial_no", bucket: Column | None = None) -> DataFrame:
     """1..n over the whole result in ``order`` (a total order) without
     a single-task window over the rows.
 
@@ -223,10 +230,31 @@ def serial_number(df: DataFrame, order: Sequence, out: str = "serial_no") -> Dat
     distinct values (the calendar), not by the data.  Deterministic: no
     sampled range boundaries are involved, so a re-executed stage yields
     the same numbers.
+
+    Where the leading column has about a value a row, give ``bucket``: a
+    column that never falls as the leading one rises, of few values (see
+    :func:`magnitude_bucket`).  Values are then counted within their bucket
+    and only the buckets' totals go through one window.
     """
     order = _cols(order)
     lead = order[0] if isinstance(order[0], str) else None
     if lead is None:
         raise ValueError("serial_number needs the leading order column by name")
+    if bucket is not None:
+        return _serial_by_bucket(df, lead, order, out, bucket)
     out_df = running_totals(df, [], order, {out: F.lit(1)}, chunk=lead)
     return out_df.withColumn(out, F.col(out).cast("bigint"))
+
+
+def _serial_by_bucket(df: DataFrame, lead: str, order: Sequence, out: str, bucket: Column) -> DataFrame:
+    rows = df.withColumn("__b", bucket)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    values = rows.groupBy("__b", lead).agg(F.count(F.lit(1)).alias("__n"))
+    totals = values.groupBy("__b").agg(F.sum("__n").alias("__n"))
+    totals = totals.select("__b", F.coalesce(F.sum("__n").over(earlier(Window.orderBy("__b"))), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum("__n").over(earlier(Window.partitionBy("__b").orderBy(lead))), F.lit(0))
+    values = values.select("__b", lead, inside.alias("__inside")).join(totals, "__b")
+    own = F.row_number().over(Window.partitionBy("__b", lead).orderBy(*order[1:]))
+    rows = rows.withColumn("__own", own).join(values, ["__b", lead])
+    number = (F.col("__own") + F.col("__inside") + F.col("__before")).cast("bigint")
+    return rows.select(*df.columns, number.alias(out))

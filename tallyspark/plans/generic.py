@@ -368,7 +368,7 @@ FROM invoices i LEFT JOIN person_versions v ON v.person_id = i.customer_id
 def effective_at_row_date(t: Tables) -> DataFrame:
     """Each fact row joined to the version valid at its own date."""
     inv = S.invoices(t).select("trx_id", "trx_date", F.col("customer_id").alias("person_id"))
-    out = E.join_effective(inv, S.person_versions(t), ["person_id"], "trx_date")
+    out = E.join_effective(inv, S.person_versions(t), ["person_id"], "trx_date", within=S.order_date_bounds(t))
     return out.select("trx_id", "trx_date", "salary", "grade_id")
 
 
@@ -381,7 +381,8 @@ FROM service_periods s LEFT JOIN person_versions v ON v.person_id = s.person_id
 def capped_as_of(t: Tables) -> DataFrame:
     """As-of date capped by termination, then the version at that date."""
     sp = S.service_periods(t).select("person_id", E.capped_as_of("actual_termination_date", t.params.as_of).alias("effective_date"))
-    out = E.join_effective(sp, S.person_versions(t), ["person_id"], "effective_date")
+    out = E.join_effective(sp, S.person_versions(t), ["person_id"], "effective_date",
+                           within=(S.order_date_bounds(t)[0], F.lit(t.params.as_of)))
     return out.select("person_id", "effective_date", "salary")
 
 
@@ -675,6 +676,16 @@ def serial_numbers(t: Tables) -> DataFrame:
     return W.serial_number(inv, ["trx_date", "trx_id"])
 
 
+@register("w10_serial_by_amount", S.with_sql("""
+SELECT ROW_NUMBER() OVER (ORDER BY amount DESC, trx_id) AS serial_no, trx_id, amount
+FROM invoices""", "invoices"))
+def serial_by_amount(t: Tables) -> DataFrame:
+    """W10 where almost every row has a leading value of its own: the values'
+    offsets are taken within buckets of their magnitude."""
+    inv = S.invoices(t).select("trx_id", "amount", (-F.col("amount")).alias("falling"))
+    return W.serial_number(inv, ["falling", "trx_id"], bucket=W.magnitude_bucket("falling")).drop("falling")
+
+
 @register("w11_net_per_document", S.with_sql("""
 SELECT applied_trx_id, line_number, app_type, amount,
        CAST(SUM(CASE WHEN app_type = 'CASH' THEN amount ELSE -amount END) OVER (PARTITION BY applied_trx_id) AS DECIMAL(38,2)) AS document_net

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.params import PERIOD_TO, literal
 from tallyspark.functions.scalars import TOTAL
 from tallyspark.operators import windows as W
 from tallyspark.plans.generic import _account_class_sql, account_class
@@ -12,8 +13,15 @@ from tallyspark.plans.registry import register
 from tallyspark.sources import standins as S
 from tallyspark.sources.tables import Tables
 
-PERIOD = 200012  # the trial-balance period (December 2000)
-YEAR_START = 200001
+# The trial-balance period is the month of the period parameter's end.
+PERIOD = f"(year({literal(PERIOD_TO)}) * 100 + month({literal(PERIOD_TO)}))"
+YEAR_START = f"(year({literal(PERIOD_TO)}) * 100 + 1)"
+
+
+def _period(t: Tables) -> int:
+    return t.params.date_to.year * 100 + t.params.date_to.month
+
+
 
 _GL1_SQL = S.with_sql(f"""
 SELECT r.r_name AS ledger_name, b.account, b.begin_balance, b.period_net_dr, b.period_net_cr,
@@ -25,7 +33,7 @@ WHERE b.period_num = {PERIOD}""", "gl_balances")
 @register("r_gl1_trial_balance", _GL1_SQL)
 def trial_balance(t: Tables) -> DataFrame:
     """R-GL1: trial balance of one period: begin, period debit/credit, end."""
-    b = S.gl_balances(t).filter(F.col("period_num") == PERIOD)
+    b = S.gl_balances(t, _period(t)).filter(F.col("period_num") == _period(t))
     r = F.broadcast(t.region.select(F.col("r_regionkey").alias("ledger_id"), F.col("r_name").alias("ledger_name")))
     return b.join(r, "ledger_id").select(
         "ledger_name", "account", "begin_balance", "period_net_dr", "period_net_cr",
@@ -70,14 +78,15 @@ WHERE l.status = 'P'""", "journal_lines")
 @register("r_gl3_journal_register", _GL3_SQL)
 def journal_register(t: Tables) -> DataFrame:
     """R-GL3: posted journal lines with their header totals beside them
-    (pre-aggregated per header, then joined: A8 + J1)."""
+    (pre-aggregated per header, then joined with salt: A8 + J1); the totals
+    come from unnumbered lines, so that numbering runs once."""
     jl = S.journal_lines(t, numbered=True)
-    hdr = jl.groupBy("je_header_id").agg(
+    hdr = S.journal_lines(t).groupBy("je_header_id").agg(
         F.sum(F.coalesce("accounted_dr", F.lit(0))).cast(TOTAL).alias("header_dr"),
         F.sum(F.coalesce("accounted_cr", F.lit(0))).cast(TOTAL).alias("header_cr"))
     lines = jl.filter(F.col("status") == "P").select("je_header_id", "je_line_num", "je_source", "period_name",
                                                      "account", "accounted_dr", "accounted_cr")
-    return lines.join(hdr, "je_header_id")
+    return W.join_back(lines, hdr, ["je_header_id"])
 
 
 _GL4_SQL = S.with_sql(f"""
@@ -95,7 +104,7 @@ def enhanced_trial_balance(t: Tables) -> DataFrame:
     """R-GL4: account type, begin, activity, end, type total (W3) and grand
     total (W4) -- windows over the per-account aggregate (bounded by the
     chart of accounts), so the journal is aggregated once."""
-    b = S.gl_balances(t).filter(F.col("period_num") == PERIOD)
+    b = S.gl_balances(t, _period(t)).filter(F.col("period_num") == _period(t))
     g = b.groupBy(account_class("account").alias("account_type"), "account").agg(
         F.sum("begin_balance").cast(TOTAL).alias("begin_balance"),
         F.sum(F.col("period_net_dr") - F.col("period_net_cr")).cast(TOTAL).alias("activity"),
@@ -138,8 +147,8 @@ def period_ytd_balances(t: Tables) -> DataFrame:
     """R-GL6: period, beginning, year-to-date and ending balance per account
     -- one aggregation over the year's balance rows (YTD as a sum, the
     period's own figures picked with conditional aggregates)."""
-    b = S.gl_balances(t).filter(F.col("period_num").between(YEAR_START, PERIOD))
-    cur = F.col("period_num") == PERIOD
+    b = S.gl_balances(t, _period(t)).filter(F.col("period_num").between(_period(t) // 100 * 100 + 1, _period(t)))
+    cur = F.col("period_num") == _period(t)
     net = F.col("period_net_dr") - F.col("period_net_cr")
     g = b.groupBy("ledger_id", "account").agg(
         F.max(F.when(cur, F.col("begin_balance"))).alias("begin_balance"),

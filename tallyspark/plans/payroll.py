@@ -287,7 +287,8 @@ def end_of_service(t: Tables) -> DataFrame:
     months = ((F.year("actual_termination_date") - F.year("date_start")) * 12 + F.month("actual_termination_date")
               - F.month("date_start") - F.when(F.dayofmonth("actual_termination_date") < F.dayofmonth("date_start"), 1).otherwise(0))
     s = s.select("person_id", "actual_termination_date", F.floor(months / 12).cast("bigint").alias("service_years"))
-    j = E.join_effective(s, S.person_versions(t), ["person_id"], "actual_termination_date", how="inner")
+    j = E.join_effective(s, S.person_versions(t), ["person_id"], "actual_termination_date", how="inner",
+                         within=S.order_date_bounds(t))
     c = S.customers(t).select(F.col("customer_id").alias("person_id"), F.col("ledger_id").alias("region_id"), "segment")
     rc = K.rate_card(t.spark).filter(F.col("kind") == "ADULT")
     j = j.join(c, "person_id")

@@ -55,7 +55,7 @@ def leaving_state(t: Tables) -> DataFrame:
     """R-HR4: leaving action and reason from the state on termination + 1 day."""
     s = S.service_periods(t).filter(F.col("actual_termination_date").isNotNull()) \
         .select("person_id", "actual_termination_date", F.date_add("actual_termination_date", 1).alias("probe"))
-    j = E.join_effective(s, S.person_versions(t), ["person_id"], "probe")
+    j = E.join_effective(s, S.person_versions(t), ["person_id"], "probe", within=S.order_date_bounds(t))
     reason = F.when(F.col("grade_id") <= 2, "RESIGNATION").otherwise("END OF CONTRACT")
     return j.select("person_id", "actual_termination_date", F.col("salary").alias("last_salary"),
                     F.col("grade_id").alias("last_grade"), reason.alias("leaving_reason"))

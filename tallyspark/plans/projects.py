@@ -204,7 +204,8 @@ def cost_detail(t: Tables) -> DataFrame:
     o = t.orders.select(F.col("o_orderkey").alias("expenditure_item_id"), F.col("o_custkey").alias("person_id"))
     j = c.join(o, "expenditure_item_id")
     j = E.join_effective(j, S.person_versions(t).select("person_id", "eff_start", "eff_end", "grade_id"),
-                         ["person_id"], "expenditure_date")
+                         ["person_id"], "expenditure_date",
+                         within=tuple(t.lineitem.agg(f(F.to_date("l_shipdate"))).scalar() for f in (F.min, F.max)))
     return j.select("expenditure_item_id", "project_id", "task_id", "expenditure_date", "cost_category", "raw_cost",
                     "burdened_cost", F.col("person_id").alias("employee_id"), F.col("grade_id").alias("employee_grade"))
 

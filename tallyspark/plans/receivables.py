@@ -154,6 +154,17 @@ def customer_aging_5(t: Tables, as_of=None) -> DataFrame:
     return named.groupBy("party_name").agg(*[F.sum(c).cast(TOTAL).alias(c) for c in cols])
 
 
+@register("r_ar1_customer_aging_ordered", f"""
+SELECT *, ROW_NUMBER() OVER (ORDER BY total_due DESC, party_name) AS report_order FROM ({_AR1_SQL}) a""")
+def customer_aging_ordered(t: Tables) -> DataFrame:
+    """R-AR1 in report order (O1: largest total first, then the name), with
+    the order as a column, so that it outlasts writing and regrouping; the
+    rows are numbered without one window over all of them."""
+    rows = customer_aging_5(t).withColumn("falling", -F.col("total_due"))
+    out = windows.serial_number(rows, ["falling", "party_name"], "report_order", bucket=windows.magnitude_bucket("falling"))
+    return out.drop("falling").sort("report_order")
+
+
 # ---------------------------------------------------------------------------
 # R-AR2: customer ledger with running balance
 # ---------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.params import AS_OF
 from tallyspark.functions.scalars import MONEY, TOTAL, cents, div_round, money, round_money, sql_div_round
 from tallyspark.operators import effective as E
+from tallyspark.operators.windows import join_back
 from tallyspark.plans.registry import register
 from tallyspark.sources import standins as S
 from tallyspark.sources.tables import Tables
@@ -57,8 +58,8 @@ def po_shipment_detail(t: Tables) -> DataFrame:
     j = (base.join(t.customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
              .join(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
              .join(F.broadcast(t.nation.select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"))
-             .join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-             .join(first, "l_suppkey"))
+             .join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")))
+    j = join_back(j, first, ["l_suppkey"])
     return j.select(F.col("l_orderkey").alias("po_id"), F.col("l_linenumber").alias("shipment_num"),
                     F.col("l_partkey").alias("item_id"), F.col("p_name").alias("item_name"),
                     F.col("s_name").alias("supplier_name"), F.col("n_name").alias("supplier_country"),

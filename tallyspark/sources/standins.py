@@ -14,6 +14,8 @@ into a broadcast at runtime when the measured side is small).
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -301,14 +303,15 @@ FROM invoices WHERE trx_id % 3 <> 2""")
 # General ledger: journal lines and balances
 # ---------------------------------------------------------------------------
 
-def journal_lines(t: Tables, numbered: bool = False) -> DataFrame:
+def journal_lines(t: Tables, numbered: bool = False, before: _dt.date | None = None) -> DataFrame:
     """One journal line per line item; header = order; ledger = the
     supplier's region.  Line number is an ordinal over all columns within
     the header, computed in (header, source line) chunks so that even a
     very large journal is numbered by many tasks (``numbered=True`` only:
     reports that do not show the line number do not pay for it).
+    ``before`` keeps lines dated earlier, by a filter that reaches the scan.
     """
-    li = t.lineitem
+    li = t.lineitem if before is None else t.lineitem.filter(F.col("l_shipdate") < F.lit(before))
     s = t.supplier.select("s_suppkey", "s_nationkey")
     n = F.broadcast(t.nation.select("n_nationkey", "n_regionkey"))
     from tallyspark.operators.windows import line_number
@@ -362,13 +365,16 @@ SELECT l_orderkey AS je_header_id,
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""")
 
 
-def gl_balances(t: Tables) -> DataFrame:
+def gl_balances(t: Tables, last_period: int | None = None) -> DataFrame:
     """Net per ledger, account and month; begin = sum of earlier months.
+    Up to ``last_period`` (yyyymm) only lines of earlier days are read: no
+    balance needs later ones.
 
     The window runs over the aggregated balance table (one row per account
     and month), so its partitions are bounded by the number of periods.
     """
-    jl = journal_lines(t)
+    before = None if last_period is None else _dt.date(last_period // 100 + last_period % 100 // 12, last_period % 100 % 12 + 1, 1)
+    jl = journal_lines(t, before=before)
     agg = jl.groupBy("ledger_id", "account", "period_num", "period_name").agg(
         F.coalesce(F.sum("accounted_dr"), F.lit(0)).cast("decimal(38,2)").alias("period_net_dr"),
         F.coalesce(F.sum("accounted_cr"), F.lit(0)).cast("decimal(38,2)").alias("period_net_cr"))
@@ -393,6 +399,13 @@ FROM (SELECT ledger_id, account, period_num, period_name,
 # People: dated person versions and service periods
 # ---------------------------------------------------------------------------
 
+def order_date_bounds(t: Tables) -> tuple:
+    """First order date and the day after the last one, as scalars over the
+    one column: bounds for :func:`effective.join_effective`."""
+    day = F.to_date("o_orderdate")
+    return t.orders.agg(F.min(day)).scalar(), F.date_add(t.orders.agg(F.max(day)).scalar(), 1)
+
+
 def person_versions(t: Tables) -> DataFrame:
     """Date-effective salary rows: one version per customer and order date.
 

@@ -37,6 +37,20 @@ def test_plan_has_no_forbidden_operator(spark, key):
         assert op not in text, f"{key}: {op}"
 
 
+@pytest.mark.parametrize("key", ["r_gl1_trial_balance", "r_gl4_enhanced_trial_balance", "r_gl6_period_ytd_balances"])
+def test_balances_read_no_later_lines(spark, key):
+    text = plan_text(E.queries()[key](spark, SMALL))
+    assert "LessThan(l_shipdate,2001-01-01" in text
+
+
+def test_effective_join_runs_its_fact_once(spark):
+    """The bounds of the fact dates come from one column, not from the join."""
+    for key, table in (("r_co1_cost_detail", "lineitem"), ("j8_effective_at_row_date", "customer")):
+        text = plan_text(E.queries()[key](spark, SMALL))
+        wide = [s for s in text.split("ReadSchema: struct<")[1:] if s.split(">")[0].count(":") > 1 and s.startswith("l_" if table == "lineitem" else "c_")]
+        assert len(wide) == 1, key
+
+
 def test_date_filter_pushed_to_scan(spark):
     text = plan_text(E.queries()["r_ar1_customer_aging_5"](spark, SMALL))
     assert "LessThan(l_shipdate" in text and "LessThan(o_orderdate" in text

@@ -19,7 +19,8 @@ import duckdb
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SRC = "/root/testdata/sf0.01"
 QUERIES = ["w11_net_per_document", "a11_proration", "r_ar2_customer_ledger", "r_ar12_production_ledger", "r_gl2_journal_voucher", "a6_ordered_listagg",
-           "v1_latest_at_or_before", "j8_effective_at_row_date", "w10_serial_number"]
+           "v1_latest_at_or_before", "j8_effective_at_row_date", "w10_serial_number", "w10_serial_by_amount", "r_gl3_journal_register",
+           "r_po2_po_shipment_detail", "r_ap7_prepayment_pairs"]
 
 
 def _skewed_copy(out: str) -> None:
