@@ -94,6 +94,24 @@ def ordered_list(df: DataFrame, keys: Sequence[str], value: str, order: Sequence
 
 
 
+def list_pieces(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], size: int = 1000,
+                sep: str = ", ", out: str = "value_list") -> DataFrame:
+    """A6 for keys of any size: the ordered list in pieces of at most ``size``
+    values, (keys, piece, first_position, values, out).
+
+    Positions come from the two-level running count, and a piece is one group,
+    so a hot key is as many groups as it has pieces; its pieces in order,
+    joined by ``sep``, are the whole list.
+    """
+    from tallyspark.operators.windows import running_total
+
+    placed = running_total(df, keys, order, F.lit(1), "__pos", chunk=order[0])
+    placed = placed.withColumn("piece", F.floor((F.col("__pos") - 1) / size) + 1)
+    values = F.transform(F.array_sort(F.collect_list(F.struct("__pos", F.col(value).alias("__v")))), lambda x: x["__v"])
+    return placed.groupBy(*keys, "piece").agg(F.min("__pos").cast("bigint").alias("first_position"), F.count(F.lit(1)).alias("values"),
+                                              F.array_join(values, sep).alias(out))
+
+
 def debit_credit(sum_col) -> tuple[Column, Column]:
     """A10: split a signed total into debit (positive) and credit (negative)."""
     s = _c(sum_col)

@@ -515,6 +515,20 @@ def ordered_listagg(t: Tables) -> DataFrame:
     return A.ordered_list(o, ["customer_id"], "k", ["o_orderdate", "o_orderkey"], ", ", "order_list")
 
 
+PIECE = 8
+
+
+@register("a6_listagg_pieces", f"""
+SELECT customer_id, CAST((pos - 1) // {PIECE} + 1 AS BIGINT) AS piece, MIN(pos) AS first_position, COUNT(*) AS "values",
+       string_agg(CAST(o_orderkey AS VARCHAR), ', ' ORDER BY pos) AS order_list
+FROM (SELECT o_custkey AS customer_id, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos FROM orders) o
+GROUP BY customer_id, (pos - 1) // {PIECE}""")
+def listagg_pieces(t: Tables) -> DataFrame:
+    """A6 for keys of any size: the same list in numbered pieces with offsets."""
+    o = t.orders.select(F.col("o_custkey").alias("customer_id"), "o_orderdate", "o_orderkey", F.col("o_orderkey").cast("string").alias("k"))
+    return A.list_pieces(o, ["customer_id"], "k", ["o_orderdate", "o_orderkey"], PIECE, ", ", "order_list")
+
+
 @register("a7_distinct", S.with_sql("SELECT DISTINCT customer_id, org_id, class FROM invoices", "invoices"))
 def distinct_rows(t: Tables) -> DataFrame:
     """DISTINCT rows."""

@@ -19,6 +19,7 @@ from tallyspark.functions.scalars import (
 )
 from tallyspark.operators import effective as E
 from tallyspark.plans.registry import register
+from tallyspark.sources import constants as K
 from tallyspark.sources import standins as S
 from tallyspark.sources.tables import Tables
 
@@ -170,6 +171,88 @@ def shift_allowance(t: Tables) -> DataFrame:
     return p.select("person_id", "work_date", shift.alias("shift_type"), "worked_minutes", elig.alias("allowance_eligible"))
 
 
+# Shifts by hours of their work date; hours from 24 on are the next day's.
+ROSTER_SHIFTS = [(0, "DAY", 8.0, 8.0), (1, "AFTERNOON", 13.5, 8.0), (2, "NIGHT", 22.0, 8.0), (3, "SMALL HOURS", 25.0, 6.0)]
+ROSTER_SCHEMA = "roster int, shift_name string, start_hour double, shift_hours double"
+#: A punch so many hours outside a shift may still belong to it.
+PUNCH_REACH = 4
+
+
+def shift_windows(days: DataFrame) -> DataFrame:
+    """(person_id, work_date, shift_name, shift_type, shift_hours, shift_start,
+    shift_end) of rows with roster columns.  Fixed values: a shift that starts
+    from 18 to 28 h or from 0 to 4 h is a night shift, from 13 to 17.5 h an
+    evening shift."""
+    h = F.col("start_hour")
+    kind = F.when(h.between(18, 28) | h.between(0, 4), "night shift").when(h.between(13, 17.5), "Evening Shift").otherwise("Regular")
+    at = lambda hours: (F.col("work_date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), (hours * 60).cast("int")))
+    return days.select("person_id", "work_date", "shift_name", kind.alias("shift_type"), "shift_hours",
+                       at(h).alias("shift_start"), at(h + F.col("shift_hours")).alias("shift_end"))
+
+
+def punches_by_shift(punches: DataFrame, windows: DataFrame) -> DataFrame:
+    """(person_id, work_date, punch_in, punch_out, punches): each punch belongs
+    to the nearest of its person's shifts, of those at most ``PUNCH_REACH``
+    hours away the one that lies least far from it, the earlier on a tie.
+
+    A shift ends on its own or the next day, so a punch meets by equality the
+    shifts of three work dates: two, and the next for early arrivals."""
+    day = F.to_date("punch")
+    near = punches.withColumn("punch_id", F.struct("person_id", "punch", "record_id")).withColumn(
+        "work_date", F.explode(F.array(F.date_sub(day, 1), day, F.date_add(day, 1))))
+    seconds = lambda c: F.unix_timestamp(c)
+    far = F.greatest(seconds("shift_start") - seconds("punch"), seconds("punch") - seconds("shift_end"), F.lit(0))
+    met = near.join(windows.select("person_id", "work_date", "shift_start", "shift_end"), ["person_id", "work_date"])
+    met = met.withColumn("far", far).where(F.col("far") <= PUNCH_REACH * 3600)
+    own = met.groupBy("punch_id").agg(F.min(F.struct("far", "work_date")).alias("best"))
+    own = own.select("punch_id.person_id", "best.work_date", "punch_id.punch")
+    return own.groupBy("person_id", "work_date").agg(F.min("punch").alias("punch_in"), F.max("punch").alias("punch_out"), F.count(F.lit(1)).alias("punches"))
+
+
+def _shift_windows_sql() -> str:
+    rows = ", ".join(f"({r}, '{n}', {h}, {d})" for r, n, h, d in ROSTER_SHIFTS)
+    return f"""
+SELECT d.person_id, d.work_date, s.shift_name, s.shift_hours,
+       CASE WHEN start_hour BETWEEN 18 AND 28 OR start_hour BETWEEN 0 AND 4 THEN 'night shift'
+            WHEN start_hour BETWEEN 13 AND 17.5 THEN 'Evening Shift' ELSE 'Regular' END AS shift_type,
+       CAST(d.work_date AS TIMESTAMP) + to_minutes(CAST(start_hour * 60 AS BIGINT)) AS shift_start,
+       CAST(d.work_date AS TIMESTAMP) + to_minutes(CAST((start_hour + shift_hours) * 60 AS BIGINT)) AS shift_end
+FROM schedule_days d JOIN (VALUES {rows}) s(roster, shift_name, start_hour, shift_hours)
+  ON s.roster = (d.person_id + day(d.work_date)) % 4"""
+
+
+@register("r_tl8_rostered_shift_allowance", S.with_sql(f"""
+SELECT w.person_id, w.work_date, w.shift_name, w.shift_type, CAST(w.shift_hours AS DOUBLE) AS shift_hours, p.punches, p.punch_in, p.punch_out,
+       CAST(epoch(p.punch_out) - epoch(p.punch_in) AS BIGINT) // 60 AS worked_minutes, CASE WHEN w.person_id % 3 = 0 THEN 'SUBMITTED' ELSE 'APPROVED' END AS status,
+       CASE WHEN w.shift_hours * 60 <= CAST(epoch(p.punch_out) - epoch(p.punch_in) AS BIGINT) // 60 AND p.punch_in <= w.shift_start AND p.punch_out >= w.shift_end
+             AND w.person_id % 3 <> 0 THEN 'Y' ELSE 'N' END AS allowance_eligible
+FROM ({_shift_windows_sql()}) w
+JOIN (SELECT person_id, work_date, MIN(punch) AS punch_in, MAX(punch) AS punch_out, COUNT(*) AS punches
+      FROM (SELECT r.resource_id AS person_id, r.start_time AS punch, r.record_id, arg_min(w.work_date, (f.far, w.work_date)) AS work_date
+            FROM time_records r JOIN ({_shift_windows_sql()}) w ON w.person_id = r.resource_id AND w.work_date BETWEEN r.work_date - 1 AND r.work_date + 1,
+                 LATERAL (SELECT greatest(floor(epoch(w.shift_start)) - floor(epoch(r.start_time)), floor(epoch(r.start_time)) - floor(epoch(w.shift_end)), 0) AS far) f
+            WHERE f.far <= {PUNCH_REACH} * 3600 GROUP BY r.resource_id, r.start_time, r.record_id) x
+      GROUP BY person_id, work_date) p ON p.person_id = w.person_id AND p.work_date = w.work_date
+WHERE w.shift_type IN ('night shift', 'Evening Shift')""", "schedule_days", "time_records"))
+def rostered_shift_allowance(t: Tables) -> DataFrame:
+    """R-TL8 on the roster's shifts: night and evening shifts with punches,
+    eligible if worked in full, on time at both ends, and approved.
+
+    Stand-ins: a person's shift of a day goes round ``ROSTER_SHIFTS``; a
+    person's time sheets are approved unless the id is a multiple of 3."""
+    days = S.schedule_days(t).select("person_id", "work_date", ((F.col("person_id") + F.dayofmonth("work_date")) % 4).cast("int").alias("roster"))
+    w = shift_windows(days.join(K.frame(t.spark, ROSTER_SHIFTS, ROSTER_SCHEMA), "roster"))
+    p = S.time_records(t).select(F.col("resource_id").alias("person_id"), F.col("start_time").cast("timestamp").alias("punch"), "record_id")
+    j = w.filter(F.col("shift_type") != "Regular").join(punches_by_shift(p, w), ["person_id", "work_date"])
+    worked = F.floor((F.unix_micros("punch_out") - F.unix_micros("punch_in")) / 60_000_000)
+    approved = F.col("person_id") % 3 != 0
+    good = (F.col("shift_hours") * 60 <= worked) & (F.col("punch_in") <= F.col("shift_start")) & (F.col("punch_out") >= F.col("shift_end")) & approved
+    local = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return j.select("person_id", "work_date", "shift_name", "shift_type", "shift_hours", "punches", local("punch_in"), local("punch_out"),
+                    worked.cast("bigint").alias("worked_minutes"), F.when(approved, "APPROVED").otherwise("SUBMITTED").alias("status"),
+                    F.when(good, "Y").otherwise("N").alias("allowance_eligible"))
+
+
 @register("r_tl9_missing_punches", S.with_sql("""
 SELECT person_id, work_date, first_in AS only_punch FROM punch_days WHERE punches = 1""", "punch_days"))
 def missing_punches(t: Tables) -> DataFrame:

@@ -131,3 +131,35 @@ def test_requests_and_their_conflicts(spark):
     rows = R.QUERIES["r_ab1_request_against_history"](spark, SMALL).collect()
     assert rows and all((r.conflict_days >= r.conflicts) and (r.conflicts > 0) == (r.conflict_days > 0) for r in rows)
     assert all((r.history_class == "New Leave Request") == (r.previous_count == 0) for r in rows)
+
+
+def test_shift_windows_and_their_punches(spark):
+    from tallyspark.plans.time_labor import punches_by_shift, shift_windows
+
+    hours = [(13.0, "Evening Shift"), (17.5, "Evening Shift"), (17.75, "Regular"), (18.0, "night shift"), (28.0, "night shift"), (28.5, "Regular"),
+             (0.0, "night shift"), (4.0, "night shift"), (4.5, "Regular"), (12.5, "Regular")]
+    day = dt.date(2024, 1, 10)
+    df = spark.createDataFrame([(i, day, "x", h, 8.0) for i, (h, _) in enumerate(hours)], "person_id long, work_date date, shift_name string, start_hour double, shift_hours double")
+    rows = shift_windows(df).orderBy("person_id").collect()
+    assert [r.shift_type for r in rows] == [k for _, k in hours]
+    assert rows[4].shift_start == dt.datetime(2024, 1, 11, 4) and rows[3].shift_end == dt.datetime(2024, 1, 11, 2)
+
+    def at(d, h, m=0):
+        return dt.datetime(2024, 1, d, h, m)
+
+    # person 1 works nights from the 10th and from the 11th; person 2 by day
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 10), "n", 22.0, 8.0), (1, dt.date(2024, 1, 11), "n", 22.0, 8.0), (2, day, "d", 8.0, 8.0)],
+                               "person_id long, work_date date, shift_name string, start_hour double, shift_hours double")
+    punches = [(1, at(10, 21, 55)), (1, at(11, 6, 1)), (1, at(11, 14)), (1, at(11, 18)), (1, at(11, 17, 59)), (1, at(12, 5)), (2, at(10, 4)), (2, at(10, 3, 59)), (2, at(10, 20))]
+    p = spark.createDataFrame([(*x, i) for i, x in enumerate(punches)], "person_id long, punch timestamp, record_id long")
+    got = {(r.person_id, r.work_date.day): (r.punch_in, r.punch_out, r.punches) for r in punches_by_shift(p, shift_windows(df)).collect()}
+    assert got == {(1, 10): (at(10, 21, 55), at(11, 6, 1), 2), (1, 11): (at(11, 18), at(12, 5), 2), (2, 10): (at(10, 4), at(10, 20), 2)}
+
+
+def test_pieces_join_to_the_whole_list(spark):
+    whole = {r.customer_id: r.order_list for r in R.QUERIES["a6_ordered_listagg"](spark, SMALL).collect()}
+    pieces = {}
+    for r in R.QUERIES["a6_listagg_pieces"](spark, SMALL).orderBy("customer_id", "piece").collect():
+        assert r["values"] <= 8 and r.first_position == (r.piece - 1) * 8 + 1
+        pieces.setdefault(r.customer_id, []).append(r.order_list)
+    assert {k: ", ".join(v) for k, v in pieces.items()} == whole
