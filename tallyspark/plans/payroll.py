@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.params import AS_OF, END_OF_TIME, EVENTS_TO, PERIOD_FROM, PERIOD_TO
 from tallyspark.functions.scalars import (
-    TOTAL, cents, div_round, percent, service_years, sql_div_round, sql_percent, sql_service_years,
+    TOTAL, cents, div_round, months_between_sql, percent, service_years, sql_div_round, sql_percent, sql_service_years,
 )
 from tallyspark.operators import effective as E
 from tallyspark.operators import rollup as A
@@ -418,6 +418,54 @@ COST_CENTRES = [("AUTOMOBILE", "CC-100"), ("BUILDING", "CC-200"), ("FURNITURE",
                 ("HOUSEHOLD", "CC-400"), ("MACHINERY", "CC-500")]
 
 
+# Stand-ins: every fourth order of a person is a dependant, born as many years
+# before it as its key's remainder by 30; one in eight is a spouse, two in
+# three are eligible.  Nationals are the people of region 4.
+CHILD_ALLOWANCE = 600
+
+S._cte("dependants", (), """
+SELECT o_custkey AS person_id, o_orderkey AS contact_id, CASE WHEN o_orderkey % 32 = 0 THEN 'S' ELSE 'C' END AS contact_type,
+       CAST(CAST(o_orderdate AS DATE) - to_years(CAST(o_orderkey % 30 AS INTEGER)) AS DATE) AS birth_date,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'N' ELSE 'Y' END AS eligible
+FROM orders WHERE o_orderkey % 4 = 0""")
+
+
+def dependants(t: Tables) -> DataFrame:
+    """Dependants of people: child or spouse, birth date, eligibility."""
+    key = F.col("o_orderkey")
+    return t.orders.filter(key % 4 == 0).select(
+        F.col("o_custkey").alias("person_id"), key.alias("contact_id"), F.when(key % 32 == 0, "S").otherwise("C").alias("contact_type"),
+        F.add_months(F.to_date("o_orderdate"), (-12 * (key % 30)).cast("int")).alias("birth_date"),
+        F.when(key % 3 == 0, "N").otherwise("Y").alias("eligible"))
+
+
+@register("r_cp8_dependants_by_age", S.with_sql(f"""
+SELECT d.person_id,
+       CAST(SUM(CASE WHEN d.eligible = 'Y' AND d.age < 2 THEN 1 ELSE 0 END) AS BIGINT) AS infants,
+       CAST(SUM(CASE WHEN d.eligible = 'Y' AND d.age BETWEEN 2 AND 11 THEN 1 ELSE 0 END) AS BIGINT) AS children,
+       CAST(SUM(CASE WHEN d.eligible = 'Y' AND d.age > 11 THEN 1 ELSE 0 END) AS BIGINT) AS adults,
+       CAST(SUM(CASE WHEN d.eligible = 'Y' AND d.contact_type = 'S' THEN 1 ELSE 0 END) AS BIGINT) AS spouses,
+       CAST(SUM(CASE WHEN d.eligible = 'Y' AND d.contact_type = 'C' AND c.ledger_id = 4 THEN 1 ELSE 0 END) AS BIGINT) AS allowance_children,
+       CAST(SUM(CASE WHEN d.eligible = 'Y' AND d.contact_type = 'C' AND c.ledger_id = 4 THEN {CHILD_ALLOWANCE} ELSE 0 END) AS BIGINT) AS child_allowance
+FROM (SELECT *, CAST(floor({months_between_sql(D(AS_OF), "birth_date")} / 12) AS BIGINT) AS age
+      FROM dependants WHERE birth_date <= {D(AS_OF)}) d
+JOIN customers c ON c.customer_id = d.person_id GROUP BY d.person_id""", "dependants", "customers"))
+def dependants_by_age(t: Tables) -> DataFrame:
+    """R-CP8: eligible dependants by age at the date (below 2, 2 to 11, above
+    11 years, spouses of any age) and the fixed allowance for the eligible
+    children of nationals."""
+    as_of = t.params.as_of
+    d = dependants(t).filter(F.col("birth_date") <= F.lit(as_of))
+    d = d.join(S.customers(t).select(F.col("customer_id").alias("person_id"), "ledger_id"), "person_id")
+    age = F.floor(F.months_between(F.lit(as_of), F.col("birth_date"), False) / 12)
+    ok = F.col("eligible") == "Y"
+    child = ok & (F.col("contact_type") == "C") & (F.col("ledger_id") == 4)
+    many = lambda cond, name, each=1: F.sum(F.when(cond, each).otherwise(0)).alias(name)
+    return d.groupBy("person_id").agg(many(ok & (age < 2), "infants"), many(ok & age.between(2, 11), "children"), many(ok & (age > 11), "adults"),
+                                      many(ok & (F.col("contact_type") == "S"), "spouses"), many(child, "allowance_children"),
+                                      many(child, "child_allowance", CHILD_ALLOWANCE))
+
+
 @register("r_cp9_cost_centre_map", S.with_sql(f"""
 SELECT s.person_id, s.department, COALESCE(m.cost_centre, 'CC-999') AS cost_centre
 FROM service_periods s LEFT JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in COST_CENTRES)}) m(department, cost_centre)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.params import AS_OF
-from tallyspark.functions.scalars import TOTAL, decode, sql_div_round
+from tallyspark.functions.scalars import TOTAL, decode, money, round_money, sql_div_round
 from tallyspark.operators import effective as E
 from tallyspark.operators import rollup as A
 from tallyspark.plans.registry import register
@@ -145,6 +145,114 @@ def project_summary(t: Tables) -> DataFrame:
                     F.coalesce("actual_cost", F.lit(0)).cast(TOTAL).alias("actual_cost"))
 
 
+# Stand-ins: an order is a plan version of its suppliers' projects (budget for
+# priorities 1 and 2, baselined when finished), its lines are the plan lines;
+# a plan line's revenue is its burdened cost and a fifth.
+S._cte("plan_lines", (), """
+SELECT l_suppkey AS project_id, CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) <= 2 THEN 'BUDGET' ELSE 'FORECAST' END AS plan_class,
+       CASE o_orderstatus WHEN 'F' THEN 'B' WHEN 'O' THEN 'S' ELSE 'W' END AS plan_status_code, CAST(o_orderdate AS DATE) AS submitted_date,
+       CAST(l_extendedprice AS DECIMAL(18,2)) AS raw_cost,
+       CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 + CAST(l_tax AS DECIMAL(4,2))), 2) AS DECIMAL(18,2)) AS burdened_cost
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+
+
+def plan_lines(t: Tables) -> DataFrame:
+    """Plan lines of budget and forecast versions per project."""
+    raw = money("l_extendedprice")
+    j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select(F.col("l_suppkey").alias("project_id"),
+                    F.when(F.substring("o_orderpriority", 1, 1).cast("int") <= 2, "BUDGET").otherwise("FORECAST").alias("plan_class"),
+                    F.when(F.col("o_orderstatus") == "F", "B").when(F.col("o_orderstatus") == "O", "S").otherwise("W").alias("plan_status_code"),
+                    F.to_date("o_orderdate").alias("submitted_date"), raw.alias("raw_cost"),
+                    round_money(raw * (F.lit(1) + F.col("l_tax").cast("decimal(4,2)"))).alias("burdened_cost"))
+
+
+def _plan_sql(plan: str) -> str:
+    return f"""(SELECT project_id, SUM(raw_cost) AS raw_cost, SUM(burdened_cost) - SUM(raw_cost) AS burden_cost, SUM(burdened_cost) AS total_cost,
+         SUM(burdened_cost) * 6 / 5 AS revenue
+  FROM plan_lines p WHERE plan_class = '{plan}' AND plan_status_code = 'B'
+   AND submitted_date = (SELECT MAX(submitted_date) FROM plan_lines q WHERE q.project_id = p.project_id AND q.plan_class = '{plan}'
+                         AND q.plan_status_code = 'B' AND q.submitted_date < last_day({D(AS_OF)}))
+  GROUP BY project_id)"""
+
+
+def _tenth_sql(value: str, name: str) -> str:
+    return f"CAST(ROUND(COALESCE({value}, 0), 1) AS DECIMAL(38,1)) AS {name}"
+
+
+_PLAN_COLUMNS = ("raw_cost", "burden_cost", "total_cost", "revenue")
+
+_PJ2F_SQL = S.with_sql(f"""
+SELECT s.s_suppkey AS project_id, s.s_name AS project_name, c.start_date, c.completion_date,
+       {", ".join(_tenth_sql(f"b.{x}" if x != "revenue" else "CAST(b.revenue AS DECIMAL(38,4))", f"budget_{x}") for x in _PLAN_COLUMNS)},
+       {", ".join(_tenth_sql(f"f.{x}" if x != "revenue" else "CAST(f.revenue AS DECIMAL(38,4))", f"forecast_{x}") for x in _PLAN_COLUMNS)},
+       {_tenth_sql("c.revenue", "billing_revenue_amt")}, {_tenth_sql("c.invoiced", "total_invoice_amt")},
+       {_tenth_sql("COALESCE(c.revenue, 0) - COALESCE(c.invoiced, 0)", "wip_amount")}
+FROM supplier s
+LEFT JOIN {_plan_sql("BUDGET")} b ON b.project_id = s.s_suppkey
+LEFT JOIN {_plan_sql("FORECAST")} f ON f.project_id = s.s_suppkey
+LEFT JOIN (SELECT project_id, MIN(expenditure_date) AS start_date, MAX(expenditure_date) AS completion_date,
+                  SUM(CASE WHEN revenue_recognized_flag = 'F' AND expenditure_date <= last_day({D(AS_OF)}) THEN burdened_cost END) AS revenue,
+                  SUM(CASE WHEN invoiced_flag = 'F' AND expenditure_date <= last_day({D(AS_OF)}) THEN raw_cost END) AS invoiced
+           FROM project_costs GROUP BY project_id) c ON c.project_id = s.s_suppkey""", "plan_lines", "project_costs")
+
+
+@register("r_pj2_project_financials", _PJ2F_SQL)
+def project_financials(t: Tables) -> DataFrame:
+    """R-PJ2 in full: latest baselined budget and forecast before the month's
+    last day (all lines of that day, V7) as raw, burden, total and revenue;
+    revenue recognised, invoiced, and their difference as work in progress.
+
+    Plan lines are summed per project, class and day first; the latest day is
+    then one max_by over those sums, not a join back to the lines."""
+    last = F.last_day(F.lit(t.params.as_of))
+    p = plan_lines(t).filter((F.col("plan_status_code") == "B") & (F.col("submitted_date") < last))
+    daily = p.groupBy("project_id", "plan_class", "submitted_date").agg(F.sum("raw_cost").alias("raw"), F.sum("burdened_cost").alias("total"))
+    latest = daily.groupBy("project_id", "plan_class").agg(F.max_by(F.struct("raw", "total"), "submitted_date").alias("sums"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(38,2)"))
+    tenth = lambda c, name: F.round(c, 1).cast("decimal(38,1)").alias(name)
+    both = latest.groupBy("project_id").agg(*[F.max(F.when(F.col("plan_class") == k, F.col("sums"))).alias(k) for k in ("BUDGET", "FORECAST")])
+    c = S.project_costs(t)
+    upto = F.col("expenditure_date") <= last
+    cost = c.groupBy("project_id").agg(
+        F.min("expenditure_date").alias("start_date"), F.max("expenditure_date").alias("completion_date"),
+        F.sum(F.when(upto & (F.col("revenue_recognized_flag") == "F"), F.col("burdened_cost"))).cast(TOTAL).alias("rev"),
+        F.sum(F.when(upto & (F.col("invoiced_flag") == "F"), F.col("raw_cost"))).cast(TOTAL).alias("inv"))
+    s = t.supplier.select(F.col("s_suppkey").alias("project_id"), F.col("s_name").alias("project_name"))
+    j = s.join(both, "project_id", "left").join(cost, "project_id", "left")
+    plan = []
+    for k in ("BUDGET", "FORECAST"):
+        raw, total = zero(F.col(f"{k}.raw").cast(TOTAL)), zero(F.col(f"{k}.total").cast(TOTAL))
+        sixth = (total * F.lit("1.2").cast("decimal(2,1)"))
+        plan += [tenth(v, f"{k.lower()}_{n}") for n, v in zip(_PLAN_COLUMNS, (raw, total - raw, total, sixth))]
+    return j.select("project_id", "project_name", "start_date", "completion_date", *plan, tenth(zero("rev"), "billing_revenue_amt"),
+                    tenth(zero("inv"), "total_invoice_amt"), tenth(zero("rev") - zero("inv"), "wip_amount"))
+
+
+@register("r_pj3_project_revenue", S.with_sql(f"""
+SELECT c.project_id, o.o_custkey AS contract_id,
+       CAST(SUM(CASE WHEN c.expenditure_date <= {D(AS_OF)} THEN c.burdened_cost ELSE 0 END) AS DECIMAL(38,2)) AS cumulative_revenue,
+       CAST(SUM(CASE WHEN c.expenditure_date BETWEEN {D(AS_OF.start("year"))} AND last_day({D(AS_OF)}) THEN c.burdened_cost ELSE 0 END) AS DECIMAL(38,2)) AS ytd_revenue,
+       CAST(SUM(CASE WHEN c.expenditure_date BETWEEN {D(AS_OF.start("month"))} AND last_day({D(AS_OF)}) THEN c.burdened_cost ELSE 0 END) AS DECIMAL(38,2)) AS ptd_revenue,
+       strftime({D(AS_OF)}, '%Y') AS accounting_year, strftime({D(AS_OF)}, '%Y-%m') AS ptd_month
+FROM project_costs c JOIN orders o ON o.o_orderkey = c.expenditure_item_id
+WHERE c.revenue_recognized_flag = 'F' AND c.expenditure_date <= last_day({D(AS_OF)})
+GROUP BY c.project_id, o.o_custkey""", "project_costs"))
+def project_revenue(t: Tables) -> DataFrame:
+    """R-PJ3: revenue of each project and contract to the date, in its year
+    and in its month, in one pass (the last two run to the month's end).
+    Stand-in: the contract is the customer whose order the cost belongs to."""
+    as_of = t.params.as_of
+    last, day = F.last_day(F.lit(as_of)), F.col("expenditure_date")
+    c = S.project_costs(t).filter((F.col("revenue_recognized_flag") == "F") & (day <= last))
+    o = t.orders.select(F.col("o_orderkey").alias("expenditure_item_id"), F.col("o_custkey").alias("contract_id"))
+    part = lambda cond, name: F.sum(F.when(cond, F.col("burdened_cost")).otherwise(0)).cast(TOTAL).alias(name)
+    g = c.join(o, "expenditure_item_id").groupBy("project_id", "contract_id").agg(
+        part(day <= F.lit(as_of), "cumulative_revenue"), part(day >= F.trunc(F.lit(as_of), "year"), "ytd_revenue"),
+        part(day >= F.trunc(F.lit(as_of), "month"), "ptd_revenue"))
+    return g.withColumn("accounting_year", F.lit(f"{as_of:%Y}")).withColumn("ptd_month", F.lit(f"{as_of:%Y-%m}"))
+
+
 @register("r_pj10_plan_status_map", S.with_sql("""
 SELECT plan_class, plan_status, current_plan_status_flag, original_flag,
        CASE plan_class

@@ -96,6 +96,23 @@ def hours_by_week(t: Tables) -> DataFrame:
         F.sum("measure").cast("decimal(38,2)").alias("hours"), F.count(F.lit(1)).alias("entries"))
 
 
+@register("r_tl4_hours_by_project", S.with_sql(f"""
+SELECT resource_id AS person_id, 'PRJ-' || CAST(record_id % 40 AS VARCHAR) AS project_number, CAST(record_id % 7 + 1 AS BIGINT) AS task_number,
+       CASE record_id % 3 WHEN 0 THEN 'Regular' WHEN 1 THEN 'Overtime' ELSE 'Travel' END AS expenditure_type,
+       CAST(SUM(measure) AS DECIMAL(38,2)) AS total_hours, COUNT(*) AS entries
+FROM time_records WHERE work_date BETWEEN {D(EVENTS_FROM)} AND {D(EVENTS_TO)} AND record_id % 4 <> 3 GROUP BY 1, 2, 3, 4""", "time_records"))
+def hours_by_project(t: Tables) -> DataFrame:
+    """R-TL4: hours of the period per person, project, task and expenditure
+    type, of time cards approved or submitted.  Stand-ins: an entry's project,
+    task, type and status go round by its id."""
+    r = F.col("record_id")
+    tr = S.time_records(t).filter(F.col("work_date").between(F.lit(t.params.events_from), F.lit(t.params.events_to)) & (r % 4 != 3))
+    kind = F.when(r % 3 == 0, "Regular").when(r % 3 == 1, "Overtime").otherwise("Travel")
+    return tr.groupBy(F.col("resource_id").alias("person_id"), F.concat(F.lit("PRJ-"), (r % 40).cast("string")).alias("project_number"),
+                      (r % 7 + 1).alias("task_number"), kind.alias("expenditure_type")).agg(
+        F.sum("measure").cast("decimal(38,2)").alias("total_hours"), F.count(F.lit(1)).alias("entries"))
+
+
 _ATT_SQL = ("CASE WHEN p.punches IS NULL THEN 'ABSENT' WHEN p.punches = 1 THEN 'MISSING OUT' ELSE 'PRESENT' END")
 
 

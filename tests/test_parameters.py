@@ -163,3 +163,26 @@ def test_pieces_join_to_the_whole_list(spark):
         assert r["values"] <= 8 and r.first_position == (r.piece - 1) * 8 + 1
         pieces.setdefault(r.customer_id, []).append(r.order_list)
     assert {k: ", ".join(v) for k, v in pieces.items()} == whole
+
+
+def test_dependants_at_the_age_limits(spark):
+    """Two and twelve years to the day, and a day short of them."""
+    from tallyspark.plans.payroll import dependants, dependants_by_age
+
+    t = R.tables_for(spark, SMALL)
+    row = t.orders.where("o_orderkey % 4 = 0 and o_orderkey % 3 <> 0").limit(1)
+    person = row.first().o_custkey
+    for birth, infants, children, adults in (("1998-12-31", 0, 1, 0), ("1999-01-01", 1, 0, 0), ("1988-12-31", 0, 0, 1), ("1989-01-01", 0, 1, 0), ("2001-01-01", 0, 0, 0)):
+        one = t.with_params(P.Params())
+        years = (60 * 16 + 4) % 30  # taken off by the stand-in, so added here
+        one._cache["orders"] = row.withColumn("o_orderdate", F.add_months(F.to_date(F.lit(birth)), 12 * years)).withColumn("o_orderkey", F.lit(60 * 16 + 4))
+        assert dependants(one).first().eligible == "Y"
+        got = [(r.person_id, r.infants, r.children, r.adults) for r in dependants_by_age(one).collect()]
+        assert got == ([(person, infants, children, adults)] if birth < "2000" else [])
+
+
+def test_project_sums_agree(spark):
+    full = R.QUERIES["r_pj2_project_financials"](spark, SMALL)
+    assert full.where("abs(wip_amount - (billing_revenue_amt - total_invoice_amt)) > 0.1 or abs(budget_total_cost - budget_raw_cost - budget_burden_cost) > 0.1").count() == 0
+    revenue = R.QUERIES["r_pj3_project_revenue"](spark, SMALL).groupBy("project_id").agg(F.sum("cumulative_revenue").alias("r"))
+    assert full.join(revenue, "project_id").where("abs(billing_revenue_amt - r) > 0.1").count() == 0
