@@ -15,6 +15,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators import windows
+
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], fixed_size: bool = False,
            how: str = "left") -> DataFrame:
@@ -120,3 +122,20 @@ def stretch_overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], amo
     both = both.where((start < end) & (F.floor(start / width) == F.col("__cell")))
     names = [F.col(f"{side}{c}").alias(c) for side, df in (("l__", left), ("r__", right)) for c in df.columns if c not in (*keys, amount, upto)]
     return both.select(*keys, *names, (end - start).alias("overlap"))
+
+
+def link_chain(df: DataFrame, hops: Sequence[tuple], tenant: Sequence[str] = ()) -> DataFrame:
+    """Follow rows through bridge tables, hop by hop.
+
+    A hop is ``(table, keys, how)``; its table has one row per key, so no hop
+    can fan out, and is joined with salt (a hot document spreads over tasks).
+    Every ``tenant`` column that both sides hold must be among the keys (F6):
+    ids repeat across tenants, and a hop without it would mix them.
+    Follow the short tables to their document first and join the fact last.
+    """
+    for table, keys, how in hops:
+        loose = [c for c in tenant if c in df.columns and c in table.columns and c not in keys]
+        if loose:
+            raise ValueError(f"a hop on {', '.join(keys)} leaves out the tenant key {', '.join(loose)}")
+        df = windows.join_back(df, table, keys, how)
+    return df

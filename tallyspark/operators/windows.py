@@ -113,8 +113,9 @@ def running_total_range(df: DataFrame, keys: Sequence[str], order: str, value, o
 SALTS = 8
 
 
-def join_back(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join of detail rows with one row per key, salted.
+def join_back(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join of detail rows with one row per key, salted; ``how="left"`` keeps
+    details without a match.
 
     An aggregate is no bare shuffle, so AQE would not split a hot key here.
     Each detail row takes a salt from a hash of its own columns (the same
@@ -123,7 +124,7 @@ def join_back(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFra
     """
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)).cast("int")
     copies = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("__salt", salt).join(copies, [*keys, "__salt"], "inner").drop("__salt")
+    return df.withColumn("__salt", salt).join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def partition_total(df: DataFrame, keys: Sequence[str], value, out: str, bounded: bool = False) -> DataFrame:

@@ -88,5 +88,5 @@ def load_all() -> None:
     """Import every plan module so that its queries register."""
     from tallyspark.plans import (  # noqa: F401
         generic, receivables, payables, ledger, cash_assets, supply, projects,
-        time_labor, payroll, people, quality_checks, cross_module, recruiting,
+        time_labor, payroll, people, quality_checks, cross_module, recruiting, supplier_ledger, link_chain,
     )
