@@ -6,8 +6,9 @@ the others are revisit records that refer to it; smaller payloads are all
 responses.  A task writes its records to archives of about ``ARCHIVE_BYTES``:
 a Zstandard dictionary is built from records of the archive and lies in a
 leading skippable frame, then each record follows as a frame of its own.
-Files get their final name when they are complete, and a repeated task
-writes the same names, so lost executors leave no half archives.
+Every attempt of a task writes names of its own, and the index lists the
+files of the attempts that counted: archives of a lost executor or a retried
+task, whole or half, are in no index and are not read back.
 
 A null payload is empty.  Rows with a null id are revisits if a page with an
 id has the payload, else responses.  Repeated rows of the largest id are all
@@ -24,7 +25,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import shared_dir, table
 
@@ -34,6 +35,7 @@ SAMPLE_BYTES = 4 << 20     # of records that a dictionary is built from
 MAGIC = 0x184D2A5D         # fixed value: the skippable frame of a dictionary
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 3
+READERS = 20_000           # most tasks that read archives back
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -124,9 +126,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     def run(batches):
         from pyarrow import fs
 
-        store, folder = fs.FileSystem.from_uri(path)
+        store, folder = fs.FileSystem.from_uri(_plain(path))
         store.create_dir(folder, recursive=True)
-        part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, count, held, size = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, [], 0
 
         for batch in batches:
             for page_id, url, text, sha, refers_to in zip(*(batch.column(i) for i in range(5))):
@@ -143,49 +145,59 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     return table(rows.mapInArrow(run, "file string, records long, bytes long"), "warc-index")
 
 
-def _written(store, folder: str, part: int, count: int, records: list[bytes]) -> pa.RecordBatch:
-    name, data = f"{folder}/pages-{part:06d}-{count:05d}.warc.zst", archive_bytes(records)
-    draft = f"{name}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(draft) as out:
+def _plain(path: str) -> str:
+    """The folder under the scheme by which Arrow knows its file system."""
+    scheme, _, rest = path.partition("://")
+    return f"s3://{rest}" if scheme in ("s3a", "s3n") else path
+
+
+def _written(store, folder: str, part: str, count: int, records: list[bytes]) -> pa.RecordBatch:
+    name, data = f"pages-{part}-{count:05d}.warc.zst", archive_bytes(records)
+    with store.open_output_stream(f"{folder}/{name}") as out:
         out.write(data)
-    store.move(draft, name)
     return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(records)], pa.int64()), pa.array([len(data)], pa.int64())], ["file", "records", "bytes"])
 
 
 _ROWS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records of all archives in ``path``.  Length and digest of a
-    response are those of the bytes read; a revisit has them in its header."""
+def read_archives(index: DataFrame, path: str, payload: bool = True) -> DataFrame:
+    """The records of the archives in ``path`` that ``index`` lists, a task for
+    each archive up to ``READERS``.  Length and digest of a response are those
+    of the bytes read; a revisit has them in its header.  An archive that is
+    missing or holds another number of records than listed is an error."""
     def page(value: str | None) -> int | None:
         number = (value or "").removeprefix("<urn:page:").removesuffix(">")
         return int(number) if number else None
 
     def run(batches):
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(_plain(path))
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
         names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
         for batch in batches:
-            for content in batch.column(0):
+            for name, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_input_stream(f"{folder}/{name}") as source:
+                    content = source.read()
                 out = []
-                for fields, block in records_of(content.as_buffer().to_pybytes()):
+                for fields, block in records_of(content):
                     body = block.partition(b"\r\n\r\n")[2]
                     size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
                     if fields["warc-type"] == "response" and (size, digest) != (len(body), base32_sha1(body)):
                         raise ValueError(f"payload of {fields['warc-record-id']} differs from its digest")
                     out.append((page(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], size, digest,
                                 page(fields.get("warc-refers-to")), body if payload and fields["warc-type"] == "response" else None))
+                if len(out) != listed:
+                    raise ValueError(f"{name} holds {len(out)} records, {listed} are listed")
                 cols = list(zip(*out)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
-    return files.mapInArrow(run, _ROWS)
+    tasks = max(1, min(index.count(), READERS))
+    return index.select("file", "records").repartition(tasks, F.xxhash64("file")).mapInArrow(run, _ROWS)
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to a new folder of archives and read their records back, without payloads."""
-    spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    if write_archives(pages, path, id_col, url_col, html_col, min_bytes).isEmpty():
-        return spark.createDataFrame([], _ROWS)
-    return read_archives(spark, path, payload=False)
+    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    return read_archives(write_archives(pages, path, id_col, url_col, html_col, min_bytes), path, payload=False)

@@ -157,6 +157,23 @@ def test_warc(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_reads_only_archives_of_the_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4096)  # records above an archive's size, several archives a task
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * (2000 if i % 10 == 0 else 5)) for i in range(60)], "page_id long, url string, html string")
+    folder = f"{tmp_path}/archives"
+    index = warc.write_archives(pages, folder)
+    first = {r.file for r in index.collect()}
+    assert len(first) > 8
+    again = warc.write_archives(pages, folder)  # as an attempt that did not count: same folder, other names
+    assert not first & {r.file for r in again.collect()}
+    (tmp_path / "archives" / "pages-000000-half-00000.warc.zst").write_bytes(b"cut")
+    got = {r.page_id: r.payload.decode() for r in warc.read_archives(index, folder).collect()}
+    assert got == {r.page_id: r.html for r in pages.collect()}
+    assert warc.read_archives(index, folder).count() == 60
+    with pytest.raises(Exception, match="records, .* are listed"):
+        warc.read_archives(index.withColumn("records", F.col("records") + 1), folder).collect()
+
+
 def test_archive_round_trip():
     records = [warc.record(i, f"http://x/{i}", f"payload {i} ".encode() * 50, "D", None) for i in range(100)]
     data = warc.archive_bytes(records)
