@@ -13,8 +13,12 @@ is a prefix, shared by its neighbours in sorted order.  Level by level, the
 forward score of each node (best score of its prefix) and its token count are
 computed once, for all nodes of the level together; terminal counts go to a
 table that later batches of the task look up (cleared when it is full, which
-costs time, not results).  Words of more than ``WIDE`` characters run the
-same recursion one by one.
+costs time, not results).  A pre-token of more than ``WIDE`` characters is
+split wherever no piece holds the two characters side by side: every cut has
+an edge there, so the likeliest cut is that of the parts (scores are summed
+part by part), and the parts go into the trie.  Text of scripts without
+blanks becomes short parts in this way.  Only a part that is still longer
+than ``WIDE`` runs the same recursion by itself.
 
 Null and empty texts have 0 words and tokens; rows pass one by one, repeated
 or not; only the id and text columns are read.
@@ -76,6 +80,7 @@ class TrieCounter:
     def __init__(self, pieces: dict[str, float], byte: float) -> None:
         self.byte, self.longest = byte, max(map(len, pieces), default=1)
         self.up, self.down = powers(WIDE + 2), powers(WIDE + 2, pow(_BASE, -1, 2 ** 64))
+        self.beside = {x[i:i + 2] for x in pieces for i in range(len(x) - 1)}
         names = list(pieces)
         grid, _ = self._grid(names, self.longest)
         sums = self._sums(grid)
@@ -95,6 +100,11 @@ class TrieCounter:
         np.cumsum(mix(grid.astype(np.uint64) + np.uint64(1)) * self.up[:grid.shape[1]], axis=1, out=out[:, 1:])
         return out
 
+    def parts(self, word: str) -> list[str]:
+        """``word`` split at the edges that every cut has."""
+        edges = [0, *(i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.beside), len(word)]
+        return [word[a:b] for a, b in zip(edges, edges[1:])]
+
     def __call__(self, words: list[str]) -> np.ndarray:
         grid, length = self._grid(words, max(map(len, words)))
         n, width = grid.shape
@@ -184,14 +194,21 @@ def _fresh(trie, hasher, pieces, byte, data, start, offs) -> np.ndarray:
     end = edge[np.searchsorted(edge, start, "right")]
     raw = data.tobytes()
     found = [MARK + raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())]
-    out = np.zeros(len(found), np.int64)
-    order = sorted((x, i) for i, x in enumerate(found) if len(x) <= WIDE)
-    for a in range(0, len(order), BLOCK):
-        part = order[a:a + BLOCK]
-        out[[i for _, i in part]] = trie([x for x, _ in part])
+    each, of_word, of_part = {}, [], []  # distinct parts, and which word has which
     for i, x in enumerate(found):
+        for part in trie.parts(x) if len(x) > WIDE else (x,):
+            of_word.append(i)
+            of_part.append(each.setdefault(part, len(each)))
+    tokens = np.zeros(len(each), np.int64)
+    order = sorted((x, i) for x, i in each.items() if len(x) <= WIDE)
+    for a in range(0, len(order), BLOCK):
+        block = order[a:a + BLOCK]
+        tokens[[i for _, i in block]] = trie([x for x, _ in block])
+    for x, i in each.items():
         if len(x) > WIDE:
-            out[i] = cut(x, pieces, byte, trie.longest)
+            tokens[i] = cut(x, pieces, byte, trie.longest)
+    out = np.zeros(len(found), np.int64)
+    np.add.at(out, of_word, tokens[of_part])
     return out
 
 

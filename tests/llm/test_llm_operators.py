@@ -125,6 +125,22 @@ def test_trie_tokens(spark, odd, none, small_dir):
     assert trie_tokens.token_counts(odd).count() == len(ODD) and trie_tokens.token_counts(none).count() == 0
 
 
+def test_long_words_go_through_the_trie(spark):
+    pieces, byte = trie_tokens.load_pieces()
+    longest = max(map(len, pieces))
+    rng = np.random.default_rng(5)
+    han = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 3000))
+    thai = "".join(chr(c) for c in rng.integers(0x0E01, 0x0E2F, 3000))
+    mixed = "".join(rng.choice(["the", "漢字", "ing", "☃", "number", "é"], 600))
+    base64ish = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/"), 3000))
+    docs = [(i, w) for i, w in enumerate((han, thai, mixed, base64ish, han[:100] + " " + han, "a" * 200, "\U0001F600" * 100))]
+    trie = trie_tokens.TrieCounter(pieces, byte)
+    assert all("".join(trie.parts(w)) == w for _, w in docs)
+    assert max(map(len, trie.parts(trie_tokens.MARK + han))) <= trie_tokens.WIDE
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in trie_tokens.token_counts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: (len(t.split()), sum(trie_tokens.cut(trie_tokens.MARK + w, pieces, byte, longest) for w in t.split())) for i, t in docs}
+
+
 def test_tag_paths(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>Site name</header><nav><ul><li><a href=x>Home</a></ul></nav>
     <div class="ad">Buy now, really. Good.</div><main><h1>A&amp;B  title</h1><p>First <b>bold</b>
