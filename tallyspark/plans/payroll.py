@@ -524,3 +524,140 @@ def enrolment_coverage_check(t: Tables) -> DataFrame:
     j = e.join(c, "person_id").join(rc, ["region_id", "segment"], "left")
     return j.select("person_id", "plan_name", (F.col("rate") * 10).cast("decimal(18,2)").alias("coverage_amount"),
                     F.when(F.col("rate").isNull(), "NO COVERAGE").otherwise("COVERED").alias("coverage_check"))
+
+
+# Stand-ins: allowance elements as a percentage of the monthly salary, paid to
+# grades up to the last number.  Fixed values: the element names.
+ALLOWANCES = [("Housing Allowance", 25, 5), ("Transport Allowance", 10, 5), ("Food Allowance", 5, 3), ("Mobile Allowance", 2, 2), ("Other Allowance", 3, 4)]
+
+S._cte("element_entries", ("person_versions",), " UNION ALL ".join(
+    ["SELECT person_id, 'Basic' AS element, salary AS entry_value, eff_start, eff_end FROM person_versions"]
+    + [f"SELECT person_id, '{name}', {sql_div_round(f'CAST(salary * 100 AS BIGINT) * {pct}', '120000')}, eff_start, eff_end FROM person_versions WHERE grade_id <= {last}"
+       for name, pct, last in ALLOWANCES]))
+
+
+def element_entries(versions: DataFrame) -> DataFrame:
+    """Element entries of salary versions: the annual basic and the monthly
+    allowances of the grade, a row each."""
+    entry = lambda name, value: F.struct(F.lit(name).alias("element"), value.cast("decimal(18,2)").alias("entry_value"))
+    paid = [F.when(F.col("grade_id") <= last, entry(name, div_round(cents("salary") * pct, F.lit(120000), 2))) for name, pct, last in ALLOWANCES]
+    rest = [c for c in versions.columns if c not in ("salary", "grade_id")]
+    return versions.select(*rest, F.explode(F.array(entry("Basic", F.col("salary")), *paid)).alias("e")).filter("e IS NOT NULL").select(*rest, "e.*")
+
+
+def _allowance_column(name: str) -> str:
+    return name.lower().replace(" ", "_")
+
+
+def _entry_sum(name: str) -> F.Column:
+    return F.sum(F.when(F.col("element") == name, F.col("entry_value")))
+
+
+@register("r_cp1_compensation_elements", S.with_sql(f"""
+SELECT s.person_number, s.full_name, s.date_start AS hire_date, s.department, g.grade_id, e.basic_salary,
+       {", ".join(f"COALESCE(e.{_allowance_column(n)}, 0) AS {_allowance_column(n)}" for n, _, _ in ALLOWANCES)},
+       COALESCE(e.gross_salary, 0) AS gross_salary
+FROM service_periods s
+LEFT JOIN (SELECT person_id, {sql_div_round("CAST(SUM(CASE WHEN element = 'Basic' THEN entry_value END) * 100 AS BIGINT)", "1200")} AS basic_salary,
+                  {", ".join(f"CAST(SUM(CASE WHEN element = '{n}' THEN entry_value END) AS DECIMAL(38,2)) AS {_allowance_column(n)}" for n, _, _ in ALLOWANCES)},
+                  CAST(SUM(entry_value) AS DECIMAL(38,2)) AS gross_salary
+           FROM element_entries WHERE {D(AS_OF)} BETWEEN eff_start AND eff_end GROUP BY person_id) e ON e.person_id = s.person_id
+LEFT JOIN person_versions g ON g.person_id = s.person_id AND {D(AS_OF)} BETWEEN g.eff_start AND g.eff_end
+WHERE s.date_start <= {D(AS_OF)} AND COALESCE(s.actual_termination_date, {D(END_OF_TIME)}) >= {D(AS_OF)}""",
+                                                    "service_periods", "element_entries", "person_versions"))
+def compensation_elements(t: Tables) -> DataFrame:
+    """R-CP1 by element: monthly basic, the five allowances and the gross of
+    all earning entries valid at the date (J7), for people then in service;
+    one pass over the entries (A2).  Gross adds entry values as they are
+    stored, the annual basic among them, as the listing does."""
+    v = E.as_of(S.person_versions(t), t.params.as_of).drop("eff_start", "eff_end")
+    grades = v.select("person_id", "grade_id")
+    e = element_entries(v).groupBy("person_id").agg(
+        div_round(cents(_entry_sum("Basic")), F.lit(1200), 2).alias("basic_salary"),
+        *[_entry_sum(n).cast(TOTAL).alias(_allowance_column(n)) for n, _, _ in ALLOWANCES], F.sum("entry_value").cast(TOTAL).alias("gross_salary"))
+    s = S.service_periods(t).filter((F.col("date_start") <= F.lit(t.params.as_of))
+                                    & (F.coalesce("actual_termination_date", F.lit(END_OF_TIME)) >= F.lit(t.params.as_of)))
+    j = s.join(e, "person_id", "left").join(grades, "person_id", "left")
+    none = F.lit(0).cast(TOTAL)
+    return j.select("person_number", "full_name", F.col("date_start").alias("hire_date"), "department", "grade_id", "basic_salary",
+                    *[F.coalesce(c, none).alias(c) for c in (*(_allowance_column(n) for n, _, _ in ALLOWANCES), "gross_salary")])
+
+
+_AIR = ("air_fare_self", "air_fare_spouse", "air_fare_child", "air_fare_infant", "air_fare_adult_dependent")
+_LEFT_AGE = f"CAST(floor({months_between_sql('s.actual_termination_date', 'd.birth_date')} / 12) AS BIGINT)"
+_LEAVER_SQL = S.with_sql(f"""
+SELECT person_id, actual_termination_date, basic_salary, housing_allowance, leave_balance_days, service_years, one_day_salary, leave_encashment,
+       gratuity_balance, {", ".join(_AIR)},
+       CAST(leave_encashment + gratuity_balance + {" + ".join(_AIR)} AS DECIMAL(38,2)) AS total_eos_payment
+FROM (SELECT *, {sql_div_round("CAST((basic_salary + housing_allowance) * 100 AS BIGINT)", "3000")} AS one_day_salary,
+             {sql_div_round("CAST((basic_salary + housing_allowance) * 100 AS BIGINT) * CAST(leave_balance_days * 100 AS BIGINT)", "300000")} AS leave_encashment,
+             {sql_div_round(f"CAST(basic_salary * 100 AS BIGINT) * service_years * {GRATUITY_DAYS}", "3000")} AS gratuity_balance
+      FROM (SELECT s.person_id, s.actual_termination_date, {sql_div_round("CAST(v.salary * 100 AS BIGINT)", "1200")} AS basic_salary,
+                   CASE WHEN v.grade_id <= {ALLOWANCES[0][2]} THEN {sql_div_round(f"CAST(v.salary * 100 AS BIGINT) * {ALLOWANCES[0][1]}", "120000")} ELSE 0 END AS housing_allowance,
+                   COALESCE(b.days, CAST(0 AS DECIMAL(38,2))) AS leave_balance_days,
+                   CAST(floor({months_between_sql("s.actual_termination_date", "s.date_start")} / 12) AS BIGINT) AS service_years,
+                   CAST(COALESCE(r.adult, 0) AS DECIMAL(38,2)) AS air_fare_self, CAST(COALESCE(r.adult * f.spouses, 0) AS DECIMAL(38,2)) AS air_fare_spouse,
+                   CAST(COALESCE(r.child * f.children, 0) AS DECIMAL(38,2)) AS air_fare_child, CAST(COALESCE(r.infant * f.infants, 0) AS DECIMAL(38,2)) AS air_fare_infant,
+                   CAST(COALESCE(r.adult * f.adults, 0) AS DECIMAL(38,2)) AS air_fare_adult_dependent
+            FROM service_periods s
+            JOIN person_versions v ON v.person_id = s.person_id AND s.actual_termination_date BETWEEN v.eff_start AND v.eff_end
+            JOIN customers c ON c.customer_id = s.person_id
+            LEFT JOIN (SELECT person_id, CAST(SUM(CASE WHEN entry_type IN ('COVR', 'ACRL', 'ADJOTH') THEN entry_value WHEN entry_type IN ('CSH', 'ABS') THEN -entry_value
+                              ELSE 0 END) AS DECIMAL(38,2)) AS days FROM accrual_entries WHERE processed_date <= {D(EVENTS_TO)} GROUP BY person_id) b ON b.person_id = s.person_id
+            LEFT JOIN (SELECT d.person_id, CAST(SUM(CASE WHEN d.contact_type = 'S' THEN 1 ELSE 0 END) AS BIGINT) AS spouses,
+                              CAST(SUM(CASE WHEN d.contact_type = 'C' AND {_LEFT_AGE} < 2 THEN 1 ELSE 0 END) AS BIGINT) AS infants,
+                              CAST(SUM(CASE WHEN d.contact_type = 'C' AND {_LEFT_AGE} BETWEEN 2 AND 11 THEN 1 ELSE 0 END) AS BIGINT) AS children,
+                              CAST(SUM(CASE WHEN d.contact_type = 'C' AND {_LEFT_AGE} > 11 THEN 1 ELSE 0 END) AS BIGINT) AS adults
+                       FROM dependants d JOIN service_periods s ON s.person_id = d.person_id AND d.birth_date <= s.actual_termination_date
+                       WHERE d.eligible = 'Y' GROUP BY d.person_id) f ON f.person_id = s.person_id
+            LEFT JOIN (SELECT region_id, segment, valid_from, valid_to, MAX(CASE WHEN kind = 'ADULT' THEN rate END) AS adult, MAX(CASE WHEN kind = 'CHILD' THEN rate END) AS child,
+                              MAX(CASE WHEN kind = 'INFANT' THEN rate END) AS infant FROM rate_card GROUP BY ALL) r
+              ON r.region_id = c.ledger_id AND r.segment = c.segment AND s.actual_termination_date BETWEEN r.valid_from AND r.valid_to) x) y""",
+                           "service_periods", "person_versions", "customers", "accrual_entries", "dependants", "rate_card")
+
+
+@register("r_cp7_end_of_service_components", _LEAVER_SQL)
+def end_of_service_components(t: Tables) -> DataFrame:
+    """R-CP7 after the reference, for people who have left: leave encashment
+    (basic + housing) / 30 x leave balance, gratuity balance, and the fares of
+    the person, the spouse and the eligible dependants by age at the leaving
+    date (J7 on salary and rate card).  The gratuity balance is calculated
+    (basic x years x 21 / 30); a fare without a valid rate counts as 0."""
+    from tallyspark.sources import constants as K
+    left = S.service_periods(t).filter(F.col("actual_termination_date").isNotNull()).select("person_id", "date_start", "actual_termination_date")
+    years = F.floor(F.months_between("actual_termination_date", "date_start", False) / 12).cast("bigint")
+    j = E.join_effective(left.withColumn("service_years", years), S.person_versions(t), ["person_id"], "actual_termination_date", how="inner",
+                         within=S.order_date_bounds(t))
+    j = j.join(S.customers(t).select(F.col("customer_id").alias("person_id"), F.col("ledger_id").alias("region_id"), "segment"), "person_id")
+    value = F.col("entry_value")
+    sign = F.when(F.col("entry_type").isin("COVR", "ACRL", "ADJOTH"), value).when(F.col("entry_type").isin("CSH", "ABS"), -value).otherwise(0)
+    days = S.accrual_entries(t).filter(F.col("processed_date") <= F.lit(t.params.events_to)).groupBy("person_id").agg(F.sum(sign).cast(TOTAL).alias("days"))
+    d = dependants(t).filter(F.col("eligible") == "Y").join(left.select("person_id", "actual_termination_date"), "person_id")
+    d = d.filter(F.col("birth_date") <= F.col("actual_termination_date"))
+    age = F.floor(F.months_between("actual_termination_date", "birth_date", False) / 12)
+    child = F.col("contact_type") == "C"
+    many = lambda cond, name: F.sum(F.when(cond, 1).otherwise(0)).alias(name)
+    family = d.groupBy("person_id").agg(many(F.col("contact_type") == "S", "spouses"), many(child & (age < 2), "infants"),
+                                        many(child & age.between(2, 11), "children"), many(child & (age > 11), "adults"))
+    rate = lambda kind: F.max(F.when(F.col("kind") == kind.upper(), F.col("rate"))).alias(kind)
+    fares = K.rate_card(t.spark).groupBy(F.col("region_id").alias("r_region"), F.col("segment").alias("r_segment"), "valid_from", "valid_to").agg(
+        rate("adult"), rate("child"), rate("infant"))
+    j = j.join(days, "person_id", "left").join(family, "person_id", "left")
+    j = j.join(fares, (j.region_id == fares.r_region) & (j.segment == fares.r_segment) & j.actual_termination_date.between(fares.valid_from, fares.valid_to), "left")
+    none = F.lit(0)
+    fare = lambda kind, number: F.coalesce((F.col(kind) * number).cast(TOTAL), none.cast(TOTAL))
+    _, pct, last = ALLOWANCES[0]
+    j = j.select("person_id", "actual_termination_date", div_round(cents("salary"), F.lit(1200), 2).alias("basic_salary"),
+                 F.when(F.col("grade_id") <= last, div_round(cents("salary") * pct, F.lit(120000), 2)).otherwise(none).cast("decimal(18,2)").alias("housing_allowance"),
+                 F.coalesce("days", none).cast(TOTAL).alias("leave_balance_days"), "service_years",
+                 fare("adult", F.lit(1)).alias("air_fare_self"), fare("adult", F.col("spouses")).alias("air_fare_spouse"),
+                 fare("child", F.col("children")).alias("air_fare_child"), fare("infant", F.col("infants")).alias("air_fare_infant"),
+                 fare("adult", F.col("adults")).alias("air_fare_adult_dependent"))
+    paid = cents(F.col("basic_salary") + F.col("housing_allowance"))
+    j = j.select("*", div_round(paid, F.lit(3000), 2).alias("one_day_salary"),
+                 div_round(paid * cents("leave_balance_days"), F.lit(300000), 2).alias("leave_encashment"),
+                 div_round(cents("basic_salary") * F.col("service_years") * GRATUITY_DAYS, F.lit(3000), 2).alias("gratuity_balance"))
+    total = F.col("leave_encashment") + F.col("gratuity_balance")
+    for c in _AIR:
+        total = total + F.col(c)
+    return j.withColumn("total_eos_payment", total.cast(TOTAL))

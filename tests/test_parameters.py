@@ -24,7 +24,8 @@ REPORTS = ["r_ar1_customer_aging_5", "r_ar2_customer_ledger", "r_ar11_opening_ba
            "r_ap1_supplier_aging_14", "r_ap3_supplier_ledger", "r_ap7_prepayment_pairs", "r_co5_actual_cost_to_date", "r_hr1_headcount_at_date",
            "r_ab6_balance_with_expiry", "r_ab7_balance_by_anniversary_year", "r_ab1_request_against_history", "r_tl1_missing_timecard_days",
            "r_tl3_no_timesheet", "r_tl7_monthly_attendance", "r_tl13_leave_entitlement", "r_py8_balance_dimensions", "r_rc11_stage_alerts",
-           "r_ap5_supplier_document_ledger", "j13_sla_distributions", "r_ap4_voucher_distributions", "r_fx1_source_documents"]
+           "r_ap5_supplier_document_ledger", "j13_sla_distributions", "r_ap4_voucher_distributions", "r_fx1_source_documents",
+           "r_cp1_compensation_elements", "r_cp7_end_of_service_components"]
 
 
 @pytest.fixture(scope="module")

@@ -6,6 +6,7 @@ from tallyspark.plans.registry import load_all
 
 load_all()
 
+from tallyspark.plans.payroll import element_entries  # noqa: E402
 from tallyspark.plans.people import stage_alert_columns  # noqa: E402
 from tallyspark.plans.projects import plan_status_code  # noqa: E402
 from tallyspark.plans.recruiting import transition_status  # noqa: E402
@@ -77,3 +78,22 @@ def test_no_timesheet_looks_at_the_whole_period(spark):
     events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string")
     t = SimpleNamespace(params=Params(), events=events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp"), F.lit(1.0).alias("value")))
     assert {r.person_id for r in no_timesheet(t).collect()} == {4, 5}
+
+
+def test_allowances_by_grade(spark):
+    df = spark.createDataFrame([(1, "12000.00", 1), (2, "12000.00", 3), (3, "100.07", 5), (4, "12000.00", 6)], "person_id int, s string, grade_id int")
+    rows = element_entries(df.select("person_id", F.col("s").cast("decimal(18,2)").alias("salary"), "grade_id")).collect()
+    got = {(r.person_id, r.element.split()[0]): str(r.entry_value) for r in rows}
+    assert got == {(1, "Basic"): "12000.00", (1, "Housing"): "250.00", (1, "Transport"): "100.00", (1, "Food"): "50.00", (1, "Mobile"): "20.00", (1, "Other"): "30.00",
+                   (2, "Basic"): "12000.00", (2, "Housing"): "250.00", (2, "Transport"): "100.00", (2, "Food"): "50.00", (2, "Other"): "30.00",
+                   (3, "Basic"): "100.07", (3, "Housing"): "2.08", (3, "Transport"): "0.83", (4, "Basic"): "12000.00"}
+
+
+def test_end_of_service_adds_up(spark):
+    from tallyspark.plans.registry import QUERIES
+    rows = QUERIES["r_cp7_end_of_service_components"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.actual_termination_date is not None for r in rows)
+    for r in rows:
+        one = (r.basic_salary + r.housing_allowance) / 30
+        assert abs(r.one_day_salary - one) < 0.01 and abs(r.leave_encashment - one * r.leave_balance_days) < 0.01
+        assert r.total_eos_payment == r.leave_encashment + r.gratuity_balance + sum(r[c] for c in r.asDict() if c.startswith("air_fare"))
