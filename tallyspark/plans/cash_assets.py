@@ -265,3 +265,41 @@ def asset_distribution(t: Tables) -> DataFrame:
     j = d.join(s, "location_id").join(n, "s_nationkey")
     return j.select("asset_id", "location_id", "location", "assignee", "units",
                     percent("units", "total_units").alias("unit_share_pct"))
+
+
+_REGISTER_RESERVE = sql_div_round("CAST(cost * 100 AS BIGINT) * months_used", "life_in_months * 100")
+
+
+@register("r_fa2_asset_register_by_location", S.with_sql(f"""
+SELECT a.asset_id, a.description, a.category, a.book, a.date_placed_in_service, a.life_in_months, a.life_in_months - a.months_used AS remaining_life,
+       a.cost, CAST({_REGISTER_RESERVE} AS DECIMAL(18,2)) AS accumulated_depreciation, CAST(a.cost - {_REGISTER_RESERVE} AS DECIMAL(18,2)) AS net_book_value,
+       p.location_id, n.n_name AS location, s.s_name AS employee_name, p.distribution_pct
+FROM (SELECT *, {_MONTHS_SQL} AS months_used FROM assets WHERE date_placed_in_service <= {D(AS_OF)}) a
+LEFT JOIN (SELECT asset_id, location_id, {sql_percent('units', 'total_units')} AS distribution_pct
+           FROM (SELECT l_partkey AS asset_id, l_suppkey AS location_id, SUM(CAST(l_quantity AS BIGINT)) AS units,
+                        SUM(SUM(CAST(l_quantity AS BIGINT))) OVER (PARTITION BY l_partkey) AS total_units,
+                        ROW_NUMBER() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS rn
+                 FROM lineitem WHERE CAST(l_shipdate AS DATE) <= {D(AS_OF)} GROUP BY l_partkey, l_suppkey) d WHERE rn = 1) p ON p.asset_id = a.asset_id
+LEFT JOIN supplier s ON s.s_suppkey = p.location_id LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey""", "assets"))
+def asset_register_by_location(t: Tables) -> DataFrame:
+    """R-FA2 with each asset's primary distribution: its first location, whom
+    it is assigned to there, and that location's share of the asset's units.
+
+    Location and total come from two partial aggregations, by asset and
+    location and then by asset, without a window over an asset's rows."""
+    from tallyspark.functions.scalars import percent
+    as_of = F.lit(t.params.as_of)
+    a = assets(t).filter(F.col("date_placed_in_service") <= as_of)
+    a = a.withColumn("months_used", _months_used(as_of).cast("bigint"))
+    reserve = div_round(cents("cost") * F.col("months_used"), F.col("life_in_months") * 100, 2).cast(MONEY)
+    d = t.lineitem.filter(F.to_date("l_shipdate") <= as_of).groupBy(F.col("l_partkey").alias("asset_id"), F.col("l_suppkey").alias("at")).agg(
+        F.sum(F.col("l_quantity").cast("bigint")).alias("units"))
+    p = d.groupBy("asset_id").agg(F.min(F.struct("at", "units")).alias("first"), F.sum("units").alias("total_units"))
+    p = p.select("asset_id", F.col("first.at").alias("location_id"), percent(F.col("first.units"), "total_units").alias("distribution_pct"))
+    s = t.supplier.select(F.col("s_suppkey").alias("location_id"), F.col("s_name").alias("employee_name"), "s_nationkey")
+    n = F.broadcast(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("location")))
+    j = a.join(p, "asset_id", "left").join(s, "location_id", "left").join(n, "s_nationkey", "left")
+    return j.select("asset_id", "description", "category", "book", "date_placed_in_service", "life_in_months",
+                    (F.col("life_in_months") - F.col("months_used")).cast("bigint").alias("remaining_life"), "cost",
+                    reserve.alias("accumulated_depreciation"), (F.col("cost") - reserve).cast(MONEY).alias("net_book_value"),
+                    "location_id", "location", "employee_name", "distribution_pct")
