@@ -11,12 +11,12 @@ distributions (item and tax), the others to one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.params import PERIOD_FROM, PERIOD_TO
 from tallyspark.functions.scalars import MONEY, TOTAL
-from tallyspark.operators.joins import link_chain
+from tallyspark.operators.joins import link_chain, semi
 from tallyspark.plans.cash_assets import assets
 from tallyspark.plans.payables import ap_invoices
 from tallyspark.plans.registry import register
@@ -47,10 +47,19 @@ SELECT application_id, ledger_id, ae_header_id, ae_line_num, entity_id, unnest(C
 FROM xla_lines""")
 
 
-def accounting_lines(t: Tables, numbered: bool = False) -> DataFrame:
+def period_months(t: Tables) -> tuple[Column, Column]:
+    """First and last day of the months that the period touches.  An event,
+    and so a header, lies in one month: lines of other months are on none of
+    the period's headers and need not be followed."""
+    return F.trunc(F.lit(t.params.date_from), "month"), F.last_day(F.lit(t.params.date_to))
+
+
+def accounting_lines(t: Tables, numbered: bool = False, months: tuple | None = None) -> DataFrame:
     """Accounting lines of the subledgers; ``numbered`` adds the line number
-    and the link to the journal line, at the cost of numbering the journal."""
+    and the link to the journal line, at the cost of numbering the journal;
+    ``months`` keeps the lines of whole months (:func:`period_months`)."""
     j = S.journal_lines(t, numbered=numbered).filter(F.col("je_source").isin("Payables", "Receivables"))
+    j = j if months is None else j.filter(F.col("gl_date").between(*months))
     payable = F.col("je_source") == "Payables"
     order = F.col("je_header_id").cast("string")
     link = [F.col("je_line_num").alias("ae_line_num"), F.concat(order, F.lit("-"), F.col("je_line_num").cast("string")).alias("gl_sl_link_id")] if numbered else []
@@ -63,32 +72,41 @@ def accounting_lines(t: Tables, numbered: bool = False) -> DataFrame:
     return x.withColumn("event_id", event).withColumn("ae_header_id", F.concat(event, F.lit("-"), F.col("ledger_id").cast("string")))
 
 
-def accounting_headers(t: Tables) -> DataFrame:
-    return accounting_lines(t).groupBy("application_id", "ledger_id", "event_id", "ae_header_id").agg(
+def accounting_headers(t: Tables, months: tuple | None = None) -> DataFrame:
+    return accounting_lines(t, months=months).groupBy("application_id", "ledger_id", "event_id", "ae_header_id").agg(
         F.max("gl_date").alias("accounting_date"), F.max("period_name").alias("period_name"))
 
 
-def accounting_events(t: Tables) -> DataFrame:
+def accounting_events(t: Tables, months: tuple | None = None) -> DataFrame:
     kind = F.when(F.col("application_id") == 200, "INVOICE VALIDATED").otherwise("RECP_CREATE")
-    return accounting_lines(t).select("application_id", "entity_id", "event_id").distinct().withColumn("event_type_code", kind)
+    return accounting_lines(t, months=months).select("application_id", "entity_id", "event_id").distinct().withColumn("event_type_code", kind)
 
 
-def transaction_entities(t: Tables, application: int) -> DataFrame:
-    """Entities of one application with their document."""
+def transaction_entities(t: Tables, application: int, months: tuple | None = None) -> DataFrame:
+    """Entities of one application with their document.  Payables invoices are
+    as many as lines; with ``months`` those without a line in them are dropped
+    where they were added up, before their next shuffle."""
     if application == 200:
         o, v = F.col("order_id").cast("string"), F.col("vendor_id").cast("string")
-        return ap_invoices(t).select(F.lit(200).alias("application_id"), F.concat(F.lit("AP-"), o, F.lit("-"), v).alias("entity_id"),
+        docs = ap_invoices(t)
+        if months is not None:
+            j = S.journal_lines(t).filter((F.col("je_source") == "Payables") & F.col("gl_date").between(*months))
+            docs = semi(docs, j.select(F.col("je_header_id").alias("order_id"), F.col("supplier_id").alias("vendor_id")).distinct(), ["order_id", "vendor_id"])
+        return docs.select(F.lit(200).alias("application_id"), F.concat(F.lit("AP-"), o, F.lit("-"), v).alias("entity_id"),
                                      F.col("order_id").alias("source_id"), "vendor_id", "invoice_num", "invoice_date", "invoice_amount")
     return S.invoices(t).select(F.lit(222).alias("application_id"), F.concat(F.lit("AR-"), F.col("trx_id").cast("string")).alias("entity_id"),
                                 F.col("trx_id").alias("source_id"), "trx_number", "trx_date", "amount", "customer_id")
 
 
-def source_documents(t: Tables, application: int, headers: DataFrame) -> DataFrame:
-    """Headers of one application with event type, entity and document."""
+def source_documents(t: Tables, application: int, headers: DataFrame, months: tuple | None = None) -> DataFrame:
+    """Headers of one application with event type, entity and document;
+    ``months`` are those of the headers.  Both hops are plain: an event has a
+    header in each ledger and an entity an event in each month, so no key is
+    hot, and both tables are about as long as the headers."""
     only = F.col("application_id") == application
     return link_chain(headers.filter(only), [
-        (accounting_events(t).filter(only), ["application_id", "event_id"], "inner"),
-        (transaction_entities(t, application), ["application_id", "entity_id"], "inner")], TENANT)
+        (accounting_events(t, months).filter(only), ["application_id", "event_id"], "inner", True),
+        (transaction_entities(t, application, months), ["application_id", "entity_id"], "inner", True)], TENANT)
 
 
 _HEADER_KEYS = ["application_id", "ledger_id", "ae_header_id"]
@@ -107,10 +125,12 @@ def sla_distributions(t: Tables) -> DataFrame:
     """Accounting distributions of receivables transactions of the
     period.  The chain is followed from the header, one row each, to the
     document; the lines join last, once."""
-    h = accounting_headers(t).filter(F.col("accounting_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
-    docs = source_documents(t, 222, h).drop("event_id")
-    lines = accounting_lines(t).filter(F.col("application_id") == 222).select(*_HEADER_KEYS, "accounting_class_code", "account", "accounted_dr", "accounted_cr")
-    x = link_chain(lines, [(docs, _HEADER_KEYS, "inner")], TENANT)
+    months = period_months(t)
+    h = accounting_headers(t, months).filter(F.col("accounting_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
+    docs = source_documents(t, 222, h, months).drop("event_id")
+    lines = accounting_lines(t, months=months).filter(F.col("application_id") == 222)
+    lines = lines.select(*_HEADER_KEYS, "accounting_class_code", "account", "accounted_dr", "accounted_cr")
+    x = link_chain(lines, [(docs, _HEADER_KEYS, "inner", True)], TENANT)
     return x.select(F.col("source_id").alias("customer_trx_id"), "trx_number", "event_type_code", "accounting_date", "period_name",
                     "accounting_class_code", "ledger_id", F.col("account").alias("gl_account"), "accounted_dr", "accounted_cr")
 
@@ -133,21 +153,22 @@ def voucher_distributions(t: Tables) -> DataFrame:
     account, non-zero, with the number of distributions its lines link to.
     Links are counted per line before they are joined, so a line with two
     distributions counts once."""
-    h = accounting_headers(t).filter(F.col("accounting_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
-    docs = source_documents(t, 200, h).filter(F.col("event_type_code").isin("PAYMENT CREATED", "INVOICE VALIDATED")).drop("event_id")
-    lines = accounting_lines(t, numbered=True).filter(
+    months = period_months(t)
+    h = accounting_headers(t, months).filter(F.col("accounting_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
+    docs = source_documents(t, 200, h, months).filter(F.col("event_type_code").isin("PAYMENT CREATED", "INVOICE VALIDATED")).drop("event_id")
+    lines = accounting_lines(t, numbered=True, months=months).filter(
         (F.col("application_id") == 200) & F.col("accounting_class_code").isin("LIABILITY", "LOSS", "GAIN", "ITEM EXPENSE"))
     keys = [*_HEADER_KEYS, "ae_line_num"]
-    links = distribution_links(t).groupBy(*keys).agg(F.count(F.lit(1)).alias("distributions"))
-    x = link_chain(lines.select(*keys, "account", "accounted_dr", "accounted_cr"), [(links, keys, "inner"), (docs, _HEADER_KEYS, "inner")], TENANT)
+    links = distribution_links(t, months).groupBy(*keys).agg(F.count(F.lit(1)).alias("distributions"))
+    x = link_chain(lines.select(*keys, "account", "accounted_dr", "accounted_cr"), [(links, keys, "inner", True), (docs, _HEADER_KEYS, "inner", True)], TENANT)
     g = x.groupBy(F.col("source_id").alias("check_id"), "vendor_id", "invoice_num", "distributions", "account").agg(
         (F.coalesce(F.sum("accounted_dr"), F.lit(0)) - F.coalesce(F.sum("accounted_cr"), F.lit(0))).cast(TOTAL).alias("dist_debit"))
     return g.filter(F.col("dist_debit") != 0)
 
 
-def distribution_links(t: Tables) -> DataFrame:
+def distribution_links(t: Tables, months: tuple | None = None) -> DataFrame:
     kinds = F.when(F.col("ae_line_num") % 2 == 0, F.array(F.lit("ITEM"), F.lit("TAX"))).otherwise(F.array(F.lit("ITEM")))
-    return accounting_lines(t, numbered=True).select(*_HEADER_KEYS, "ae_line_num", "entity_id", F.explode(kinds).alias("distribution_type"))
+    return accounting_lines(t, numbered=True, months=months).select(*_HEADER_KEYS, "ae_line_num", "entity_id", F.explode(kinds).alias("distribution_type"))
 
 
 @register("r_fx1_source_documents", S.with_sql(f"""
@@ -178,14 +199,14 @@ def fx1_source_documents(t: Tables) -> DataFrame:
     payables invoice, receivables transaction or asset it came from (type,
     number, date, party, amount), else 'Manual Journal'.  Headers of the
     period's months are followed to their documents first."""
-    first, last = F.trunc(F.lit(t.params.date_from), "month"), F.last_day(F.lit(t.params.date_to))
+    months = period_months(t)
     g = S.journal_lines(t, numbered=True).filter((F.col("status") == "P") & F.col("gl_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
     link = F.concat(F.col("je_header_id").cast("string"), F.lit("-"), F.col("je_line_num").cast("string"))
     g = g.withColumn("gl_sl_link_id", link).withColumn("asset_id", F.when((F.col("je_source") == "Manual") & F.col("account").between(1000, 1999), F.col("part_id")))
-    h = accounting_headers(t).filter(F.col("accounting_date").between(first, last))
+    h = accounting_headers(t, months)
 
     def documents(application, number, date, amount, names, key):
-        d = link_chain(source_documents(t, application, h), [(names, [key], "left")])
+        d = link_chain(source_documents(t, application, h, months), [(names, [key], "left")])
         return d.select(*_HEADER_KEYS, F.col(number).alias("source_number"), F.col(date).alias("source_date"), "party",
                         F.col(amount).cast(MONEY).alias("source_amount"))
 
@@ -193,10 +214,10 @@ def fx1_source_documents(t: Tables) -> DataFrame:
     buyers = S.customers(t).select("customer_id", F.col("party_name").alias("party"))
     docs = documents(200, "invoice_num", "invoice_date", "invoice_amount", vendors, "vendor_id").unionByName(
         documents(222, "trx_number", "trx_date", "amount", buyers, "customer_id"))
-    refs = accounting_lines(t, numbered=True).filter(F.col("gl_date").between(first, last)).select(*_HEADER_KEYS, "gl_sl_link_id")
-    refs = link_chain(refs, [(docs, _HEADER_KEYS, "inner")], TENANT).drop("ae_header_id")
+    refs = accounting_lines(t, numbered=True, months=months).select(*_HEADER_KEYS, "gl_sl_link_id")
+    refs = link_chain(refs, [(docs, _HEADER_KEYS, "inner", True)], TENANT).drop("ae_header_id")
     fa = assets(t).select("asset_id", F.col("asset_id").cast("string").alias("asset_number"), F.col("description").alias("asset_text"))
-    x = link_chain(g, [(refs, ["gl_sl_link_id", "ledger_id"], "left"), (fa, ["asset_id"], "left")], ("ledger_id",))
+    x = link_chain(g, [(refs, ["gl_sl_link_id", "ledger_id"], "left", True), (fa, ["asset_id"], "left")], ("ledger_id",))
     kind = (F.when(F.col("application_id") == 200, "AP Invoice").when(F.col("application_id") == 222, "AR Transaction")
             .when(F.col("asset_text").isNotNull(), "FA Transaction").otherwise("Manual Journal"))
     return x.select("je_header_id", "je_line_num", "ledger_id", "period_name", "je_source", F.col("gl_date").alias("posted_date"), "account",
