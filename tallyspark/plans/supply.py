@@ -50,21 +50,24 @@ JOIN (SELECT l_suppkey, arg_min(o_custkey, (o_orderdate, o_orderkey, o_custkey))
 def po_shipment_detail(t: Tables) -> DataFrame:
     """R-PO2/J21: one row per shipment stitched from order, buyer, supplier,
     country and item masters, plus the supplier's first buyer (W6 as a
-    grouped min_by)."""
-    li, o = t.lineitem, t.orders
-    base = li.join(o, li.l_orderkey == o.o_orderkey)
-    first = base.groupBy("l_suppkey").agg(
-        F.min_by("o_custkey", F.struct("o_orderdate", "o_orderkey", "o_custkey")).alias("first_buyer"))
-    j = (base.join(t.customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
-             .join(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-             .join(F.broadcast(t.nation.select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"))
-             .join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")))
-    j = join_back(j, first, ["l_suppkey"])
-    return j.select(F.col("l_orderkey").alias("po_id"), F.col("l_linenumber").alias("shipment_num"),
-                    F.col("l_partkey").alias("item_id"), F.col("p_name").alias("item_name"),
-                    F.col("s_name").alias("supplier_name"), F.col("n_name").alias("supplier_country"),
-                    F.col("c_name").alias("buyer_name"), F.to_date("o_orderdate").alias("po_date"),
-                    F.col("l_quantity").cast("bigint").alias("quantity"), money("l_extendedprice").alias("amount"),
+    grouped min_by).
+
+    What hangs on an order or a supplier is joined to that table first, so the
+    lines are shuffled once for each of order, item and supplier."""
+    # money and dates in their reported types: doubles hardly compress in a shuffle
+    li = t.lineitem.select(F.col("l_orderkey").alias("po_id"), F.col("l_linenumber").alias("shipment_num"), F.col("l_partkey").alias("item_id"),
+                           "l_suppkey", F.col("l_quantity").cast("bigint").alias("quantity"), money("l_extendedprice").alias("amount"))
+    o = t.orders.select(F.col("o_orderkey").alias("po_id"), "o_custkey", "o_orderdate")
+    buyers = o.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("buyer_name")), "o_custkey")
+    first = li.join(o, "po_id").groupBy("l_suppkey").agg(
+        F.min_by("o_custkey", F.struct("o_orderdate", "po_id", "o_custkey")).alias("first_buyer"))
+    sellers = (t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("supplier_name"), "s_nationkey")
+               .join(F.broadcast(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("supplier_country"))), "s_nationkey")
+               .join(first, "l_suppkey").drop("s_nationkey"))
+    j = li.join(buyers.select("po_id", "buyer_name", F.to_date("o_orderdate").alias("po_date")), "po_id")
+    j = j.join(t.part.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name")), "item_id")
+    j = join_back(j, sellers, ["l_suppkey"])
+    return j.select("po_id", "shipment_num", "item_id", "item_name", "supplier_name", "supplier_country", "buyer_name", "po_date", "quantity", "amount",
                     "first_buyer")
 
 

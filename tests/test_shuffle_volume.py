@@ -51,7 +51,8 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name, most", [("r_fx1_source_documents", 16), ("r_ap4_voucher_distributions", 12), ("j13_sla_distributions", 3)])
+@pytest.mark.parametrize("name, most", [("r_fx1_source_documents", 16), ("r_ap4_voucher_distributions", 12), ("j13_sla_distributions", 3),
+                                        ("r_po2_po_shipment_detail", 6)])
 def test_rows_shuffled_per_line(spark, folder, name, most):
     was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
