@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.params import END_OF_TIME, EVENTS_FROM, EVENTS_TO, literal
@@ -153,12 +153,17 @@ JOIN nation ON c_nationkey = n_nationkey
 LEFT JOIN payment_terms pt ON pt.term_id = CAST(substr(o_orderpriority, 1, 1) AS INTEGER)""")
 
 
+def application_amounts(gross: Column, disc: Column, tax: Column) -> tuple[Column, Column, Column]:
+    """Amount, discount taken and amount with tax of a line."""
+    amount = round_money(gross * (F.lit(1) - disc))
+    return amount, round_money(gross * disc), round_money(amount * (F.lit(1) + tax))
+
+
 def applications(t: Tables) -> DataFrame:
     """One application per line item: A = CASH, R = CM, N = ADJ."""
     li = t.lineitem
-    disc = F.col("l_discount").cast("decimal(4,2)")
     tax = F.col("l_tax").cast("decimal(4,2)")
-    amount = round_money(money("l_extendedprice") * (F.lit(1) - disc))
+    amount, discount, with_tax = application_amounts(money("l_extendedprice"), F.col("l_discount").cast("decimal(4,2)"), tax)
     return li.select(
         F.col("l_orderkey").alias("applied_trx_id"),
         F.col("l_linenumber").alias("line_number"),
@@ -168,8 +173,8 @@ def applications(t: Tables) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", "CASH").when(F.col("l_returnflag") == "R", "CM")
          .otherwise("ADJ").alias("app_type"),
         amount.alias("amount"),
-        round_money(money("l_extendedprice") * disc).alias("discount_taken"),
-        round_money(amount * (F.lit(1) + tax)).alias("acctd_amount"),
+        discount.alias("discount_taken"),
+        with_tax.alias("acctd_amount"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
         money("l_extendedprice").alias("gross_amount"),
         tax.alias("tax_rate"),

@@ -52,7 +52,7 @@ def folder(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name, most", [("r_fx1_source_documents", 16), ("r_ap4_voucher_distributions", 12), ("j13_sla_distributions", 3),
-                                        ("r_po2_po_shipment_detail", 6)])
+                                        ("r_po2_po_shipment_detail", 6), ("r_ap5_supplier_document_ledger", 14)])
 def test_rows_shuffled_per_line(spark, folder, name, most):
     was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -64,4 +64,4 @@ def test_rows_shuffled_per_line(spark, folder, name, most):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
-    assert rows < most
+    assert rows < most, (name, rows)
