@@ -183,6 +183,29 @@ def line_number(df: DataFrame, keys: Sequence[str], order: Sequence, out: str =
     return out_df
 
 
+def line_number_of(df: DataFrame, widen, keys: Sequence[str], order: Sequence, picked: str, chunk: str,
+                   out: str = "line_num", count_out: str | None = None) -> DataFrame:
+    """W5 for the rows of ``widen(df)`` whose ``picked`` (a column of ``df``,
+    never null) is true: the numbers that :func:`line_number` gives them among
+    all rows of ``widen(df)``; only they are returned.
+
+    ``widen`` joins dimensions, which may drop or repeat a row.  All rows pass
+    it with keys and ``chunk`` only, to count each chunk's rows; whole rows are
+    shuffled once, by (keys, chunk), and those of chunks with a picked row are
+    widened and ranked.  A chunk with a picked row is whole in that rank.
+    """
+    keys = _cols(keys)
+    per = widen(df).groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("__n"), F.max(picked).alias("__any"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    if count_out:
+        per = per.withColumn(count_out, F.sum("__n").over(whole).cast("bigint"))
+    rows = widen(df.join(per.filter("__any").drop("__n", "__any"), [*keys, chunk]))
+    own = F.row_number().over(Window.partitionBy(*keys, chunk).orderBy(*_cols(order)))
+    return rows.withColumn(out, (F.col("__before") + own).cast("int")).filter(picked).drop("__before", picked)
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """One row per key in preference order (``row_number() = 1``)."""
     w = Window.partitionBy(*_cols(keys)).orderBy(*_cols(order))

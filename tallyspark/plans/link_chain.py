@@ -54,11 +54,12 @@ def period_months(t: Tables) -> tuple[Column, Column]:
     return F.trunc(F.lit(t.params.date_from), "month"), F.last_day(F.lit(t.params.date_to))
 
 
-def accounting_lines(t: Tables, numbered: bool = False, months: tuple | None = None) -> DataFrame:
+def accounting_lines(t: Tables, numbered: bool = False, months: tuple | None = None, only: Column | None = None) -> DataFrame:
     """Accounting lines of the subledgers; ``numbered`` adds the line number
     and the link to the journal line, at the cost of numbering the journal;
-    ``months`` keeps the lines of whole months (:func:`period_months`)."""
-    j = S.journal_lines(t, numbered=numbered).filter(F.col("je_source").isin("Payables", "Receivables"))
+    ``months`` keeps the lines of whole months (:func:`period_months`);
+    ``only`` those where it holds, of which alone whole rows are numbered."""
+    j = S.journal_lines(t, numbered=numbered, only=only).filter(F.col("je_source").isin("Payables", "Receivables"))
     j = j if months is None else j.filter(F.col("gl_date").between(*months))
     payable = F.col("je_source") == "Payables"
     order = F.col("je_header_id").cast("string")
@@ -152,23 +153,25 @@ def voucher_distributions(t: Tables) -> DataFrame:
     """R-AP4 (distribution set) over the chain: net debit per document and
     account, non-zero, with the number of distributions its lines link to.
     Links are counted per line before they are joined, so a line with two
-    distributions counts once."""
+    distributions counts once.  Lines and links number the same lines, the
+    returned ones (payables) of the period's months, and share the shuffles."""
     months = period_months(t)
     h = accounting_headers(t, months).filter(F.col("accounting_date").between(F.lit(t.params.date_from), F.lit(t.params.date_to)))
     docs = source_documents(t, 200, h, months).filter(F.col("event_type_code").isin("PAYMENT CREATED", "INVOICE VALIDATED")).drop("event_id")
-    lines = accounting_lines(t, numbered=True, months=months).filter(
+    returned = (F.col("l_returnflag") == "R") & F.to_date("l_shipdate").between(*months)
+    lines = accounting_lines(t, numbered=True, months=months, only=returned).filter(
         (F.col("application_id") == 200) & F.col("accounting_class_code").isin("LIABILITY", "LOSS", "GAIN", "ITEM EXPENSE"))
     keys = [*_HEADER_KEYS, "ae_line_num"]
-    links = distribution_links(t, months).groupBy(*keys).agg(F.count(F.lit(1)).alias("distributions"))
+    links = distribution_links(t, months, returned).groupBy(*keys).agg(F.count(F.lit(1)).alias("distributions"))
     x = link_chain(lines.select(*keys, "account", "accounted_dr", "accounted_cr"), [(links, keys, "inner", True), (docs, _HEADER_KEYS, "inner", True)], TENANT)
     g = x.groupBy(F.col("source_id").alias("check_id"), "vendor_id", "invoice_num", "distributions", "account").agg(
         (F.coalesce(F.sum("accounted_dr"), F.lit(0)) - F.coalesce(F.sum("accounted_cr"), F.lit(0))).cast(TOTAL).alias("dist_debit"))
     return g.filter(F.col("dist_debit") != 0)
 
 
-def distribution_links(t: Tables, months: tuple | None = None) -> DataFrame:
+def distribution_links(t: Tables, months: tuple | None = None, only: Column | None = None) -> DataFrame:
     kinds = F.when(F.col("ae_line_num") % 2 == 0, F.array(F.lit("ITEM"), F.lit("TAX"))).otherwise(F.array(F.lit("ITEM")))
-    return accounting_lines(t, numbered=True, months=months).select(*_HEADER_KEYS, "ae_line_num", "entity_id", F.explode(kinds).alias("distribution_type"))
+    return accounting_lines(t, numbered=True, months=months, only=only).select(*_HEADER_KEYS, "ae_line_num", "entity_id", F.explode(kinds).alias("distribution_type"))
 
 
 @register("r_fx1_source_documents", S.with_sql(f"""

@@ -308,30 +308,35 @@ FROM invoices WHERE trx_id % 3 <> 2""")
 # General ledger: journal lines and balances
 # ---------------------------------------------------------------------------
 
-def journal_lines(t: Tables, numbered: bool = False, before: _dt.date | None = None) -> DataFrame:
+def journal_lines(t: Tables, numbered: bool = False, before: _dt.date | None = None, only: Column | None = None) -> DataFrame:
     """One journal line per line item; header = order; ledger = the
     supplier's region.  Line number is an ordinal over all columns within
     the header, computed in (header, source line) chunks so that even a
     very large journal is numbered by many tasks (``numbered=True`` only:
     reports that do not show the line number do not pay for it).
     ``before`` keeps lines dated earlier, by a filter that reaches the scan.
+    ``only`` (a condition on line items) keeps the lines where it holds, with
+    their number among all lines.
     """
     li = t.lineitem if before is None else t.lineitem.filter(F.col("l_shipdate") < F.lit(before))
     s = t.supplier.select("s_suppkey", "s_nationkey")
     n = F.broadcast(t.nation.select("n_nationkey", "n_regionkey"))
-    from tallyspark.operators.windows import line_number
+    from tallyspark.operators.windows import line_number, line_number_of
     order_cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     disc = F.col("l_discount").cast("decimal(4,2)")
     amount = round_money(money("l_extendedprice") * (F.lit(1) - disc))
     is_cr = F.col("l_returnflag") == "R"
-    base = li.join(s, li.l_suppkey == s.s_suppkey).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    placed = lambda lines: lines.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    picked = None if only is None else F.coalesce(only, F.lit(False))
+    base = placed(li if picked is None else li.filter(picked))
     numbering = []
     if numbered:
         # ordinal within the journal, numbered per (journal, source line) chunk;
         # only built when a report uses it (it costs a second pass and a join)
-        base = line_number(base, ["l_orderkey"], order_cols, "je_line_num", chunk="l_linenumber",
-                           count_out="je_line_count")
+        how = {"out": "je_line_num", "chunk": "l_linenumber", "count_out": "je_line_count"}
+        base = (line_number(base, ["l_orderkey"], order_cols, **how) if picked is None else
+                line_number_of(li.withColumn("__picked", picked), placed, ["l_orderkey"], order_cols, "__picked", **how))
         numbering = [F.col("je_line_num").cast("bigint").alias("je_line_num"), F.col("je_line_count")]
     return base.select(
         F.col("l_orderkey").alias("je_header_id"),

@@ -217,6 +217,22 @@ def test_line_number_chunked_on_a_hot_document(spark):
     assert rows(chunked, "doc", "id", "n") == rows(plain, "doc", "id", "n")
 
 
+def test_line_number_of_numbers_among_all_rows(spark):
+    """Repeated lines, null keys, and a dimension that drops and repeats rows."""
+    rows = [(doc, line, i, i % 4) for i, (doc, line) in enumerate([(1, 1), (1, 2), (1, 2), (1, 2), (1, 3), (2, 5), (2, 5), (2, 7), (2, 7), (2, None),
+                                                                   (None, 1), (3, 1), (3, 1), (3, 2), (3, 4), (4, 1)])]
+    df = spark.createDataFrame(rows, "doc int, line int, id int, dim int")
+    dims = spark.createDataFrame([(0, "a"), (1, "b"), (1, "b"), (2, "c")], "k int, name string")
+    widen = lambda x: x.join(dims, F.col("dim") == F.col("k"))
+    for wanted in (F.col("id") % 3 == 0, F.col("id") % 3 == 1, F.col("doc") == 2, F.lit(True), F.lit(False)):
+        picked = F.coalesce(wanted, F.lit(False))
+        full = W.line_number(widen(df), ["doc"], ["line", "id"], "n", chunk="line", count_out="of").filter(picked)
+        only = W.line_number_of(df.withColumn("p", picked), widen, ["doc"], ["line", "id"], "p", "line", "n", "of")
+        cols = ["doc", "line", "id", "name", "n", "of"]
+        assert sorted(full.select(cols).collect()) == sorted(only.select(cols).collect())
+        assert full.select(cols).dtypes == only.select(cols).dtypes
+
+
 def test_ordered_list_two_level_equals_single_sort(spark):
     from tallyspark.operators.rollup import ordered_list
     data = [(1 if i % 4 else 2, dt.date(2024, 1, 1 + i % 20), i, f"v{i}") for i in range(400)]

@@ -65,3 +65,29 @@ def test_rows_shuffled_per_line(spark, folder, name, most):
         for k, v in was.items():
             spark.conf.set(k, v)
     assert rows < most, (name, rows)
+
+
+def test_whole_lines_are_shuffled_once(spark, folder):
+    """Shuffles of all line items with their prices: one, by journal and line."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        df = entry.queries()["r_ap4_voucher_distributions"](spark, folder)
+        df.collect()
+        whole, todo = 0, [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "AdaptiveSparkPlanExec":
+                todo.append(node.executedPlan())
+            elif kind.endswith("QueryStageExec"):
+                todo.append(node.plan())
+            elif kind != "ReusedExchangeExec":
+                if kind == "ShuffleExchangeExec" and "l_extendedprice" in node.output().toString():
+                    whole += node.metrics().apply("shuffleRecordsWritten").value() >= LINES
+                todo.extend(node.children().apply(i) for i in range(node.children().size()))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert whole == 1
