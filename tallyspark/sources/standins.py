@@ -96,6 +96,12 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 # Receivables: invoices, applications, receipts
 # ---------------------------------------------------------------------------
 
+def nation_rate() -> Column:
+    """Exchange rate of a nation: NULL in region 0 else ``1 + nation * 0.01``."""
+    return (F.when(F.col("n_regionkey") == 0, F.lit(None))
+            .otherwise(F.lit(1) + F.col("n_nationkey") * F.lit(0.01).cast("decimal(3,2)")).cast(RATE))
+
+
 def invoices(t: Tables) -> DataFrame:
     """One transaction (and payment schedule) per order.
 
@@ -124,8 +130,7 @@ def invoices(t: Tables) -> DataFrame:
         F.when(is_cm, F.lit("CM")).otherwise(F.lit("INV")).alias("class"),
         (money("o_totalprice") * F.when(is_cm, F.lit(-1)).otherwise(F.lit(1))).cast(MONEY).alias("amount"),
         F.when(F.col("o_orderstatus") == "P", F.lit("N")).otherwise(F.lit("Y")).alias("complete_flag"),
-        F.when(F.col("n_regionkey") == 0, F.lit(None))
-         .otherwise(F.lit(1) + F.col("n_nationkey") * F.lit(0.01).cast("decimal(3,2)")).cast(RATE).alias("exchange_rate"),
+        nation_rate().alias("exchange_rate"),
         F.col("term_id"),
         F.col("term_name"),
         F.col("due_days"),

@@ -46,6 +46,30 @@ def test_prepayments_are_applied_oldest_first_and_never_overdrawn(spark):
     assert got == {(1, 11, Decimal("30.00")), (1, 12, Decimal("70.00")), (2, 12, Decimal("20.00"))}
 
 
+def test_packed_values_come_back_null_or_not(spark):
+    fields = {"day": (-(1 << 31), 33), "rate": (-9999, 15), "code": (0, 2)}
+    cases = [(-(1 << 31), -9999, 0), ((1 << 31) - 1, 9999, 2), (0, 0, 1), (None, None, None), (11000, None, 2), (None, -1, None), (-1, 5, None)]
+    df = spark.createDataFrame(cases, "day int, rate int, code int")
+    back = ledger.unpack(fields, ledger.pack(fields, **{c: F.col(c) for c in fields}))
+    assert [tuple(r) for r in df.select(*[back[c].alias(c) for c in fields]).collect()] == cases
+
+
+def test_what_is_left_of_prepayments(spark):
+    day = dt.date(2000, 1, 31)
+    rows = [  # order, supplier, prepayment paid on, paid, invoice date, invoice amount
+        (1, 7, day, "100.00", None, None), (2, 7, day + dt.timedelta(1), "50.00", None, None), (3, 7, day + dt.timedelta(90), "8.00", None, None),
+        (11, 7, None, "0.00", day, "30.00"), (12, 7, None, "0.00", day + dt.timedelta(40), "90.00"),
+        (4, 8, day, "5.00", None, None), (5, None, day, "5.00", None, None), (6, 9, dt.date(2001, 1, 1), "5.00", None, None)]
+    docs = spark.createDataFrame(
+        [(o, v, p, Decimal(a), i, b and Decimal(b), "F", 1, 1, 1, p, Decimal("1.250000")) for o, v, p, a, i, b in rows],
+        "order_id long, vendor_id long, pre_date date, pre_paid decimal(18,2), inv_date date, inv_amount decimal(18,2), inv_status string,"
+        "org_id long, ledger_id long, customer_id long, pre_gl_date date, exchange_rate decimal(18,6)")
+    got = {(r.order_id, r.vendor_id, r.pre_date, r.pre_paid, r.left, r.exchange_rate) for r in ledger.left_ahead(ledger.laid_out(docs, dt.date(2000, 12, 31))).collect()}
+    rate = Decimal("1.250000")
+    assert got == {(2, 7, day + dt.timedelta(1), Decimal("50.00"), Decimal("30.00"), rate), (3, 7, day + dt.timedelta(90), Decimal("8.00"), Decimal("8.00"), rate),
+                   (4, 8, day, Decimal("5.00"), Decimal("5.00"), rate)}  # 5 and 6 lie in no stretch: a document itself leaves them whole
+
+
 def test_movements_of_a_document_add_up(tables):
     mv = ledger.supplier_movements(tables.with_params(Params(date_from="1990-01-01", date_to="2030-01-01"))).toPandas()
     docs = ledger.ledger_documents(tables).toPandas().set_index(["order_id", "vendor_id"])

@@ -91,3 +91,30 @@ def test_whole_lines_are_shuffled_once(spark, folder):
         for k, v in was.items():
             spark.conf.set(k, v)
     assert whole == 1
+
+
+def test_supplier_ledger_shuffles_its_lines_twice(spark, folder):
+    """Shuffles of all line items: one by order, one by order and supplier,
+    which documents, prepayments and invoices share; prices go through once each."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        df = entry.queries()["r_ap5_supplier_document_ledger"](spark, folder)
+        df.collect()
+        of_lines, todo = [], [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "AdaptiveSparkPlanExec":
+                todo.append(node.executedPlan())
+            elif kind.endswith("QueryStageExec"):
+                todo.append(node.plan())
+            elif kind != "ReusedExchangeExec":
+                if kind == "ShuffleExchangeExec" and "gross_amount" in node.output().toString():
+                    of_lines.append(node.metrics().apply("shuffleRecordsWritten").value())
+                todo.extend(node.children().apply(i) for i in range(node.children().size()))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert of_lines == [LINES, LINES]
